@@ -6,16 +6,45 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import quality
+from touchline.llm import decontaminate, line_dedup, ngram_join, packing, quality
+from touchline.llm.queries import tokenizer_path
 from touchline.llm.util import shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; the others lose the lines that are frequent in their host."""
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
-#: Line alignment, similarity joins, BM25 and tokenisation have no SQL form; tests/llm compare them with brute force.
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Aligned common blocks go from the later document; documents without anything left go too."""
+    kept = line_dedup.dedup_lines(docs)
+    return kept.where("n_lines = 0 or n_removed < n_lines").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: n-grams of five words, similarity 0.8."""
+    return ngram_join.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of the documents that stay lies in the training sequences."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup_stage),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
+#: Line alignment, similarity joins, BM25 and tokenisation have no SQL form; tests/llm compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import chat_format, quality, secret_scan, sharding, url_filter
+from touchline.llm import chat_format, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, sharding, suffix_dedup, url_filter
 from touchline.llm.url_filter import Rule
 
 URL_RULES = [
@@ -101,5 +101,32 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_chat_formatting, op5_sharding, op8_quality_rules, op10_secret_scans)}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_texts(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_url_filters, op2_decontamination, op3_chat_formatting, op4_line_dedup, op5_sharding, op6_best_fit_packing, op7_ngram_jaccard_join, op8_quality_rules, op9_suffix_dedup, op10_secret_scans)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op8_quality_rules": OP8_SQL}
