@@ -16,7 +16,9 @@ among the pieces of its length, which Spark computes in salted windows.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,28 +32,45 @@ from touchline.llm.util import stored
 
 CAPACITY, END_ID = 4096, 1
 #: Words whose ids a task remembers at once.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 SALTS = 256
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds(dict):
-    """Ids of a word as little-endian bytes. Line ends and blanks end words of this tokenizer, so a text's ids are those of its words."""
+    """Ids of a word as little-endian bytes, for tokenizers that drop white space and lower-case letters.
+
+    Blanks and line ends separate words of such a tokenizer, so a text's ids are those of its
+    words in turn. A run of letters is one unit of it and can go to the model at once; whatever
+    else a word holds goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+            raise ValueError(f"{path} is no tokenizer whose words can be told by white space")
+        self.model = self.tokenizer.model.tokenize
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHED_WORDS:
             self.clear()
-        ids = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        plain = word and max(word) < "\u0100"  # characters that NFC leaves alone, and whose lower case is one character
+        if plain and word.isalpha():
+            low = word.lower()
+            ids = [t.id for t in self.model(low if word.isascii() else self.as_bytes(low)[0][0])]
+        elif plain and word[-1] in ".," and word[:-1].isalpha():
+            return self.setdefault(word, self[word[:-1]] + self[word[-1]])
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return self.setdefault(word, array("I", ids).tobytes())
 
     def of_text(self, text: str) -> bytes:
-        found = [self[w] for w in text.replace("\n", " ").split(" ")]
-        return b"".join(found)
+        return b"".join([self[w] for w in text.replace("\n", " ").split(" ")])
 
 
 def pieces_of(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
