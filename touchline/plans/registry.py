@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from touchline.plans.oracle import ORACLE_SQL
+from touchline.plans.queries import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
