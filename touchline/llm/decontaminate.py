@@ -34,7 +34,7 @@ HITS = "doc_id long, text_hash long, item_id long, score double, first_word long
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(text.casefold())
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
