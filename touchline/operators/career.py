@@ -128,3 +128,10 @@ def trajectory(table: DataFrame) -> DataFrame:
     latest = known.agg(F.max("season_end_year").alias("_latest"))
     joined = rollup(known).join(streak(known), "club_id").join(natural_level(known).drop(*(f"n{t}" for t in range(1, 7))), "club_id").join(F.broadcast(latest), F.lit(True))  # one row
     return joined.withColumn("level_gap", level_gap(F.col("current_tier"), F.col("natural_tier"), F.col("last_season_in_db") == F.col("_latest"))).drop("_latest")
+
+
+def level_panel(levels: DataFrame) -> DataFrame:
+    """The share of each tier in a club's window, in percent to two places (half to even); empty tiers are left out."""
+    parts = F.array(*(F.struct(F.lit(t).alias("bucket"), F.col(f"n{t}").alias("n")) for t in range(1, 7)))
+    percent = F.bround((F.col("p.n") * 100 / F.col("seasons")).cast("decimal(20,8)"), 2).cast("double")
+    return levels.select("club_id", "seasons", F.explode(parts).alias("p")).where("p.n > 0").select("club_id", "p.bucket", "p.n", percent.alias("percent"))

@@ -84,3 +84,26 @@ def rivalries(entries: DataFrame, clubs: DataFrame) -> DataFrame:
     pairs = entries.join(known, "opponent", "left_semi").withColumns({"club_a": a, "club_b": b})
     order = Window.partitionBy("club_a", "club_b").orderBy(F.desc(F.length(F.coalesce("note", F.lit("")))), "seq")
     return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def facts_panel(facts: DataFrame) -> DataFrame:
+    """Label and value of every fact in the order of the panel; blanks are dropped, lists have a row for each entry."""
+    f = lambda n: F.col(f"facts.{n}")
+    entry = lambda i, label, value: F.struct(F.lit(i).alias("place"), F.lit(label).alias("label"), value.cast("string").alias("value"))
+    many = lambda i, label, items, value: F.transform(F.coalesce(f(items), F.array()), lambda e: entry(i, label, value(e)))
+    one = F.array(entry(1, "Founded", f("founded")), entry(2, "Owner", f("owner")), entry(3, "Ownership", f("ownership_model")), entry(4, "Successor of", f("phoenix_of")))
+    rows = F.concat(one, many(5, "Administration", "administration", lambda e: e["year"]), many(6, "Points deducted", "points_deductions", lambda e: e["points"]), many(7, "Exiled at", "exile", lambda e: e["venue"]))
+    shown = F.filter(rows, lambda r: r["value"].isNotNull() & (r["value"] != ""))
+    return facts.select("club_id", F.posexplode(shown).alias("n", "r")).select("club_id", "n", "r.label", "r.value")
+
+
+def on_chart(events: DataFrame, positions: DataFrame) -> DataFrame:
+    """Events of themes with the club's overall position that season; those without one are not on the chart."""
+    p = positions.select("club_id", "season_end_year", "overall_position")
+    return events.join(p, ["club_id", "season_end_year"], "left").withColumn("on_chart", F.col("overall_position").isNotNull())
+
+
+def with_notes(patterns: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(patterns with the first note on their club and last season, notes that fit no pattern). notes: club_id, last, note, seq."""
+    first = notes.groupBy("club_id", "last").agg(F.min_by("note", "seq").alias("note"))
+    return patterns.join(first, ["club_id", "last"]), notes.join(patterns.select("club_id", "last").distinct(), ["club_id", "last"], "left_anti")

@@ -149,6 +149,14 @@ CTE = {
         UNION ALL SELECT c, 'phoenix', y + 1, 'Predecessor folded', 'Old Club ceased to exist in ' || y || '.' FROM fc WHERE c % 10 = 0
         UNION ALL SELECT c, 'phoenix', 1880 + c % 120 + 1, 'Club founded', 'Founded in ' || (1880 + c % 120) || ', succeeding Old Club.' FROM fc WHERE c % 5 = 0
         UNION ALL SELECT c, 'fan-owned', y + 1, 'Fans take control', CASE WHEN c % 14 = 2 THEN 'Trust' ELSE 'The supporters'' trust' END || ' took control in ' || y || '.' FROM fc WHERE c % 7 = 2""",
+    "member": """SELECT c AS club_id, unnest(list_distinct(list_filter([CASE WHEN c % 5 = 0 THEN 'phoenix' END, CASE WHEN c % 7 = 2 THEN 'fan-owned' END, CASE WHEN c % 6 = 1 THEN 'administration' END,
+        CASE WHEN c % 9 = 4 THEN 'points-deductions' END, CASE WHEN c % 11 = 3 OR c % 17 = 1 THEN 'exiled' END, CASE WHEN c % 13 = 5 THEN 'ground-grading' END, CASE WHEN c % 17 = 1 THEN 'special' END], lambda x: x IS NOT NULL))) AS theme FROM fc""",
+    "panel": """SELECT c AS club_id, 1 AS p, 'Founded' AS label, (1880 + c % 120)::VARCHAR AS value FROM fc WHERE c % 5 = 0 UNION ALL SELECT c, 2, 'Owner', 'Trust' FROM fc WHERE c % 14 = 2
+        UNION ALL SELECT c, 3, 'Ownership', 'fan_trust' FROM fc WHERE c % 7 = 2 UNION ALL SELECT c, 4, 'Successor of', 'Old Club' FROM fc WHERE c % 5 = 0 UNION ALL SELECT c, 5, 'Administration', y::VARCHAR FROM fc WHERE c % 6 = 1
+        UNION ALL SELECT c, 6, 'Points deducted', (c % 13)::VARCHAR FROM fc WHERE c % 9 = 4 UNION ALL SELECT c, 7, 'Exiled at', 'Away Park' FROM fc WHERE c % 11 = 3""",
+    "notes": "SELECT club_id, season_end_year AS last, CASE position WHEN 1 THEN 'Finished 1st' ELSE 'Finished 2nd' END AS note FROM settled WHERE position <= 2",
+    "riv": """SELECT club_a, club_b, seq, note FROM (SELECT least(a, b) AS club_a, greatest(a, b) AS club_b, seq, note FROM (SELECT o_orderkey AS seq, o_custkey % 25 AS a, o_orderkey % 27 AS b, o_orderpriority AS note FROM orders) WHERE a <> b AND b IN (SELECT n_nationkey FROM nation))
+        QUALIFY row_number() OVER (PARTITION BY club_a, club_b ORDER BY length(coalesce(note, '')) DESC, seq) = 1""",
     "grounds": "SELECT n_nationkey::BIGINT AS id, 50 + (n_nationkey * 37 % 80) / 10.0::DOUBLE AS lat, -5 + (n_nationkey * 53 % 70) / 10.0::DOUBLE AS lon FROM nation",
     "miles": """SELECT a.id, b.id AS other, 3958.8 * 2 * atan2(sqrt(h), sqrt(1 - h)) AS miles FROM grounds a JOIN grounds b ON a.id <> b.id
         CROSS JOIN LATERAL (SELECT pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h)""",
@@ -309,11 +317,18 @@ SELECTS = {
         CASE WHEN c % 9 = 4 THEN 'points-deductions' END, CASE WHEN c % 11 = 3 OR c % 17 = 1 THEN 'exiled' END, CASE WHEN c % 13 = 5 THEN 'ground-grading' END, CASE WHEN c % 17 = 1 THEN 'special' END], lambda x: x IS NOT NULL))), ',') AS themes FROM fc) WHERE themes <> ''""",
     "theme_events": "SELECT club_id, theme, season_end_year, label, text FROM tev",
     "boom_and_bust": "SELECT theme, count(DISTINCT club_id)::BIGINT AS clubs, count(*)::BIGINT AS events, min(season_end_year) AS first, max(season_end_year) AS last FROM tev WHERE theme IN ('administration', 'points-deductions') GROUP BY 1",
-    "rivalry_dedup": """SELECT club_a, club_b, seq, note FROM (SELECT least(a, b) AS club_a, greatest(a, b) AS club_b, seq, note FROM (SELECT o_orderkey AS seq, o_custkey % 25 AS a, o_orderkey % 27 AS b, o_orderpriority AS note FROM orders) WHERE a <> b AND b IN (SELECT n_nationkey FROM nation))
-        QUALIFY row_number() OVER (PARTITION BY club_a, club_b ORDER BY length(coalesce(note, '')) DESC, seq) = 1""",
+    "rivalry_dedup": "SELECT club_a, club_b, seq, note FROM riv",
     "ground_distance": "SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY miles, other)::BIGINT AS nth, round(miles, 6) AS miles FROM miles QUALIFY nth <= 3",
     "club_colour": """SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN '#1a5c9a' WHEN p_partkey % 4 = 1 THEN '#a00000' WHEN p_partkey % 3 = 0 THEN '#000080' ELSE '#1a5c9a' END AS colour FROM part""",
     "rule_periods": """SELECT tier, from_year, to_year, sum(n)::BIGINT AS n_orders FROM (SELECT y, n, r.tier, from_year, to_year FROM (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1) o JOIN rules r ON y BETWEEN from_year AND to_year
         QUALIFY row_number() OVER (PARTITION BY y, r.tier ORDER BY from_year DESC) = 1) GROUP BY 1, 2, 3""",
+    "theme_narrative": "SELECT m.club_id, m.theme, coalesce(string_agg(text, ' ' ORDER BY season_end_year, text), '') AS narrative FROM member m LEFT JOIN tev t ON t.club_id = m.club_id AND t.theme = m.theme GROUP BY 1, 2",
+    "theme_chart": "SELECT t.club_id, theme, t.season_end_year, label, overall_position, overall_position IS NOT NULL AS on_chart FROM tev t LEFT JOIN overall o ON o.club_id = t.club_id AND o.season_end_year = t.season_end_year",
+    "facts_panel": "SELECT club_id, row_number() OVER (PARTITION BY club_id ORDER BY p)::BIGINT - 1 AS n, label, value FROM panel",
+    "level_panel": "SELECT * FROM (SELECT club_id, tier::BIGINT AS bucket, count(*)::BIGINT AS n, round_even(count(*) * 100.0::DOUBLE / any_value(seasons), 2) AS percent FROM filled JOIN win USING (club_id) GROUP BY 1, 2)",
+    "featured_notes": "SELECT p.club_id, p.last, pattern, first, note FROM patterns p JOIN notes n ON n.club_id = p.club_id AND n.last = p.last",
+    "unmatched_notes": "SELECT * FROM notes n WHERE NOT EXISTS (SELECT 1 FROM patterns p WHERE p.club_id = n.club_id AND p.last = n.last)",
+    "rivalry_stats": "SELECT club_id, count(*)::BIGINT AS rivals, max(length(note))::BIGINT AS longest_note FROM (SELECT club_a AS club_id, note FROM riv UNION ALL SELECT club_b, note FROM riv) GROUP BY 1",
+    "division_list": "SELECT c.*, coalesce(division_name, 'Tier ' || c.tier) AS division_name, (season_end_year - 1) || '/' || lpad((season_end_year % 100)::VARCHAR, 2, '0') AS label FROM (SELECT DISTINCT season_end_year, tier FROM career) c LEFT JOIN divisions d ON d.tier = c.tier AND season_end_year >= from_year AND season_end_year < until_year",
 }
 ORACLE_SQL = {name: sql(text) for name, text in SELECTS.items()}

@@ -721,3 +721,54 @@ def rule_periods(spark: SparkSession, sf: str) -> DataFrame:
     n = o.groupBy("season_end_year").agg(F.count("*").alias("n")).select("season_end_year", "n", F.explode(F.array(*(F.lit(t) for t in range(1, 6)))).alias("tier"))
     r = S.rules_for(n, RU.rules(spark), "from_year", "to_year").where("from_year is not null")
     return longs(r.groupBy("tier", "from_year", "to_year").agg(F.sum("n").alias("n_orders")))
+
+
+@query
+def theme_narrative(spark: SparkSession, sf: str) -> DataFrame:
+    return ST.theme_narratives(_facts(spark, sf))
+
+
+@query
+def theme_chart(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of themes against the positions of the careers that have the same club id."""
+    return longs(ST.on_chart(ST.theme_events(_facts(spark, sf)), P.overall_positions(A.career(spark, sf))).select("club_id", "theme", "season_end_year", "label", "overall_position", "on_chart"))
+
+
+@query
+def facts_panel(spark: SparkSession, sf: str) -> DataFrame:
+    return longs(ST.facts_panel(_facts(spark, sf)))
+
+
+@query
+def level_panel(spark: SparkSession, sf: str) -> DataFrame:
+    return longs(C.level_panel(C.natural_level(A.career(spark, sf))))
+
+
+def _notes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    t = settled(spark, sf)
+    notes = t.where("position <= 2").select("club_id", F.col("season_end_year").alias("last"), F.concat(F.lit("Finished "), T.ordinal(F.col("position"))).alias("note"), F.col("tier").alias("seq"))
+    return ST.with_notes(M.runs(t).unionByName(M.triples(t)), notes)
+
+
+@query
+def featured_notes(spark: SparkSession, sf: str) -> DataFrame:
+    return longs(_notes(spark, sf)[0])
+
+
+@query
+def unmatched_notes(spark: SparkSession, sf: str) -> DataFrame:
+    return longs(_notes(spark, sf)[1].select("club_id", "last", "note"))
+
+
+@query
+def rivalry_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Rivalries of each club and the longest note on one."""
+    r = rivalry_dedup(spark, sf).select(F.explode(F.array("club_a", "club_b")).alias("club_id"), "note")
+    return r.groupBy("club_id").agg(F.count("*").alias("rivals"), F.max(F.length("note")).cast("long").alias("longest_note"))
+
+
+@query
+def division_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Seasons with their divisions' names."""
+    t = A.career(spark, sf).select("season_end_year", "tier").distinct()
+    return longs(S.with_division_name(t, RU.divisions(spark)).select("season_end_year", "tier", "division_name", T.season_label(F.col("season_end_year")).alias("label")))
