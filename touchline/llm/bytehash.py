@@ -6,8 +6,6 @@ i counted from its start, modulo 2**64 (R odd). Prefix sums give the hash of any
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
 _RANDOM = np.random.default_rng(20240229)
@@ -27,9 +25,14 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
-@cache
+#: Powers by size, made once in a task. (functools.cache would travel by name and need the package on executors.)
+_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    return powers(R, size), powers(_R_INV, size + 1)
+    if size not in _TABLES:
+        _TABLES[size] = powers(R, size), powers(_R_INV, size + 1)
+    return _TABLES[size]
 
 
 class Spans:

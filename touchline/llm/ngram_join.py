@@ -19,7 +19,8 @@ same component and need no pair. For all others, sets are replaced by their diff
 hub: x and y link only if these differences share most of their n-grams, so the same prefix join
 runs again on the differences, whose n-grams are rare where the group's are not. (A node that
 does not link with its hub c cannot link with one whose difference shares nothing with its own:
-|D_y| - n_y/r is least for c itself.) Levels repeat until no group is left; nothing is capped.
+|D_y| - n_y/r is least for c itself.) Levels repeat until no group is left, LEVELS times at most; then groups are
+compared pair by pair. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -36,8 +37,12 @@ from touchline.llm.util import components, stored
 
 N, PERCENT = 5, 80
 FEW = 64
+#: Levels of hubs; groups that are left then are compared pair by pair.
+LEVELS = 8
 #: In one batch: an n-gram with more nodes is sent as a summary, its rows go another way.
-FEW_IN_BATCH = 256
+FEW_IN_BATCH = 32
+#: The same for differences from a hub: there the filters leave few pairs, so larger groups are compared at once.
+FEW_DEEP, FEW_DEEP_IN_BATCH = 4096, 2048
 RANGE_BITS = 18
 _LEAST = -(1 << 63)
 _BLOCK = 1 << 19
@@ -116,7 +121,7 @@ def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
     def add(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"chunk": g["chunk"][:1], "counts": [np.sum([np.frombuffer(x, np.int64) for x in g["counts"]], axis=0).tobytes()]})
 
-    rows = docs.select("text").mapInPandas(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()
+    rows = stored(docs.select("text").mapInPandas(count, "chunk int, counts binary").groupBy("chunk").applyInPandas(add, "chunk int, counts binary"), "counts").collect()
     return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows)]) if rows else np.zeros(size, np.int64)
 
 
@@ -124,18 +129,28 @@ def _rare_first(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return grams[np.lexsort((grams, counts[(grams >> np.uint64(64 - RANGE_BITS)).astype(np.int64)]))]
 
 
+def _rare_difference(grams: np.ndarray, hub: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Differences from a hub, those first that few others of its group share: what is rare and not in the
+    hub, then what is common and missing; then what only the hub has, and what all but the hub have."""
+    of = lambda s: counts[(s >> np.uint64(64 - RANGE_BITS)).astype(np.int64)]
+    n, in_hub = of(grams), np.isin(grams, hub, True)
+    common = n > (counts.mean() + np.median(of(hub))) / 2
+    shared = np.where(in_hub, np.where(common, 1, 2), np.where(common, 3, 0))
+    return grams[np.lexsort((grams, np.where(in_hub, -n, n), shared))]
+
+
 def _to_buckets(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((mix(h) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _deal(columns: list[np.ndarray], buckets: int) -> list[tuple[int, int, bytes]]:
-    """Rows by the bucket of their n-gram. An n-gram that is hot in this batch goes as a summary, its rows to any bucket."""
+def _deal(columns: list[np.ndarray], buckets: int, most: float) -> list[tuple[int, int, bytes]]:
+    """Rows by the bucket of their n-gram. An n-gram with over `most` rows in this batch goes as a summary, its rows to any bucket."""
     order = np.argsort(columns[0], kind="stable")
     columns = [c[order] for c in columns]
     key, node = columns[0], columns[1]
     begin = np.flatnonzero(starts_of(key))
     size = np.diff(np.append(begin, len(key)))
-    hot = np.repeat(size > FEW_IN_BATCH, size)
+    hot = np.repeat(size > most, size)
     out = []
     for kind, chosen, bucket in ((_ROW, ~hot, _to_buckets(key, buckets)), (_HOT, hot, _to_buckets(key ^ node.astype(np.uint64), buckets))):
         at = np.flatnonzero(chosen)
@@ -216,7 +231,7 @@ def _groups(percent: int, few: int, last: bool):
     return of
 
 
-def _verify(percent: int, counts: np.ndarray, buckets: int):
+def _verify(percent: int, counts: np.ndarray, buckets: int, most: float):
     """Over candidate pairs with their sets: links, and the differences of members from their hub."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,14 +252,14 @@ def _verify(percent: int, counts: np.ndarray, buckets: int):
                 if linked:
                     links.append((x, y))
                 d, n = len(other), len(sx)
-                most = int(slack(n, n * 100 // percent, percent))
-                first = _rare_first(other, counts)[: d - max(1, d - most) + 1]
+                widest = int(slack(n, n * 100 // percent, percent))
+                first = _rare_difference(other, sy, counts)[: d - max(1, d - widest) + 1]
                 if d:
                     keys.append((mix(first ^ mix(np.array([y], np.int64).view(np.uint64))), np.full(len(first), x), np.full(len(first), n), np.full(len(first), d), np.arange(len(first)), np.full(len(first), linked)))
             out = [(-1, x, y, b"") for x, y in links]
             if keys:
                 columns = [np.concatenate(c).astype(k) for c, k in zip(zip(*keys, strict=True), _KINDS, strict=True)]
-                out += [(bucket, kind, 0, payload) for bucket, kind, payload in _deal(columns, buckets)]
+                out += [(bucket, kind, 0, payload) for bucket, kind, payload in _deal(columns, buckets, most)]
             yield pd.DataFrame(out, columns=["bucket", "x", "y", "payload"])
 
     return of
@@ -283,13 +298,13 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
                 own = np.repeat(b["n"].to_numpy(np.int64), size)
                 place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 columns = [np.concatenate(grams), np.repeat(b["node"].to_numpy(np.int64), size), own, own, place, np.zeros(len(own))]
-                yield pd.DataFrame(_deal([c.astype(k) for c, k in zip(columns, _KINDS, strict=True)], buckets), columns=["bucket", "kind", "payload"])
+                yield pd.DataFrame(_deal([c.astype(k) for c, k in zip(columns, _KINDS, strict=True)], buckets, FEW_IN_BATCH), columns=["bucket", "kind", "payload"])
 
     dealt = nodes.where("length(prefix) > 0").select("node", "n", "prefix").mapInPandas(deal, _ROWS)
-    links, done, sets, level = [], None, None, 0
+    links, done, sets, last_hubs, level = [], None, None, None, 0
     log_ratio = float(np.log(100 / percent))
     while True:
-        grouped = stored(dealt.groupBy("bucket").applyInPandas(_groups(percent, few, level >= 8), _OUT), "groups")
+        grouped = stored(dealt.groupBy("bucket").applyInPandas(_groups(percent, FEW_DEEP if level else few, level >= LEVELS), _OUT), "groups")
         length_class = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(log_ratio) + F.lit(1e-9)).cast("int")
         members = grouped.where(f"kind = {_MEMBER}").select("key", F.col("x").alias("member"), length_class.alias("own"))
         hubs = grouped.where(f"kind = {_HUB}").select("key", F.col("x").alias("hub_node"), F.col("n").alias("class"))
@@ -307,12 +322,16 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
 
             used = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(nodes.select("node", "a", "b"), "node")
             sets = stored(keyed.join(used.withColumnRenamed("node", "id"), "id").mapInPandas(make_sets, "node long, grams binary"), "sets")
+        elif last_hubs is not None:  # later levels concern the members of large groups alone
+            members = last_hubs.select(F.col("x").alias("node")).union(last_hubs.select("y")).distinct()
+            sets = stored(sets.join(members, "node"), "sets")
         of_x, of_y = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"set_{c}")) for c in "xy")
-        verified = stored(pairs.join(of_y, "y").join(of_x, "x").select("x", "y", "hub", "set_x", "set_y").mapInPandas(_verify(percent, counts, buckets), "bucket int, x long, y long, payload binary"), "verified")
+        verified = stored(pairs.join(of_y, "y").join(of_x, "x").select("x", "y", "hub", "set_x", "set_y").mapInPandas(_verify(percent, counts, buckets, FEW_DEEP_IN_BATCH if level + 1 < LEVELS else np.inf), "bucket int, x long, y long, payload binary"), "verified")
         links.append(verified.where("bucket < 0").select(F.col("x").alias("u"), F.col("y").alias("v")))
         dealt = verified.where("bucket >= 0").select("bucket", F.col("x").cast("int").alias("kind"), "payload")
         checked = pairs.where("not hub").select("x", "y")
         done = checked if done is None else done.union(checked)
+        last_hubs = pairs.where("hub").select("x", "y")
         level += 1
         if dealt.isEmpty():
             break

@@ -41,11 +41,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: While a table is written: shuffle files go when the query ends, and batches for Python are bounded in bytes, not rows alone.
+_WHILE_STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a table into the shared folder and read again: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/touchline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df, written as a table into the shared folder and read again: its lineage ends there, and its shuffle files go."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/touchline/{name}-{uuid.uuid4().hex}"
+    before = {k: spark.conf.get(k, None) for k in _WHILE_STORING}
+    try:
+        for k, v in _WHILE_STORING.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(edges: DataFrame) -> DataFrame:
