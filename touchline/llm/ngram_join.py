@@ -14,13 +14,14 @@ most `slack(n_x, n_y)`. Texts with equal sets are one node.
 * Each pair is verified once.
 
 Groups. A prefix n-gram that more than `few` nodes share is not expanded into pairs. Each node is
-verified against the hub of its length class. Two nodes that both link with the hub are in the
-same component and need no pair. For all others, sets are replaced by their differences from the
-hub: x and y link only if these differences share most of their n-grams, so the same prefix join
-runs again on the differences, whose n-grams are rare where the group's are not. (A node that
-does not link with its hub c cannot link with one whose difference shares nothing with its own:
-|D_y| - n_y/r is least for c itself.) Levels repeat until no group is left, LEVELS times at most; then groups are
-compared pair by pair. Nothing is capped.
+verified against the hub of its length class, and the links found so far give components. Only
+nodes of different components are of interest then, and a group that is one component is done.
+For the others, sets are replaced by their differences from the hub: x and y link only if these
+share most of their n-grams, so the same prefix join runs again on the differences, whose n-grams
+are rare where the group's are not. (A node that does not link with its hub c cannot link with one
+whose difference shares nothing with its own: |D_y| - n_y/r is least for c itself.) Levels repeat
+until no group is open, LEVELS times at most; then what is open is compared pair by pair. Nothing
+is capped.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ FEW = 64
 LEVELS = 8
 #: In one batch: an n-gram with more nodes is sent as a summary, its rows go another way.
 FEW_IN_BATCH = 32
-#: The same for differences from a hub: there the filters leave few pairs, so larger groups are compared at once.
+#: The same for the later levels: few nodes are apart from the others then, so larger groups are compared at once.
 FEW_DEEP, FEW_DEEP_IN_BATCH = 4096, 2048
 RANGE_BITS = 18
 _LEAST = -(1 << 63)
@@ -54,8 +55,9 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 _ROWS = "bucket int, kind int, payload binary"
 _ROW, _SUMMARY, _HOT = 0, 1, 2
-_KINDS = ("<u8", "<i8", "<i4", "<i4", "<i4", "u1")  # n-gram, node, set size, difference size, place, links with the hub
-_OUT = "kind int, key long, x long, y long, n int, linked int"
+_KINDS = ("<u8", "<i8", "<i4", "<i4", "<i4", "<i8")  # n-gram, node, set size, difference size, place, component so far
+_OUT = "kind int, key long, x long, y long, n int"
+_CHECKED = "x long, y long, linked boolean, n int, d int, keys binary"
 _PAIR, _HUB, _MEMBER = 0, 1, 2
 
 
@@ -180,27 +182,27 @@ def _hubs(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
 def _groups(percent: int, few: int, last: bool):
     """Over a bucket: pairs of small groups, hubs of large ones."""
 
-    def frame(kind: int, key, x, y, n, linked) -> pd.DataFrame:
+    def frame(kind: int, key, x, y, n) -> pd.DataFrame:
         size = len(x)
-        return pd.DataFrame({"kind": np.full(size, kind), "key": np.broadcast_to(key, size), "x": x, "y": np.broadcast_to(y, size), "n": np.broadcast_to(n, size), "linked": np.broadcast_to(linked, size)})
+        return pd.DataFrame({"kind": np.full(size, kind), "key": np.broadcast_to(key, size), "x": x, "y": np.broadcast_to(y, size), "n": np.broadcast_to(n, size)})
 
     def of(g: pd.DataFrame) -> pd.DataFrame:
         rows = [unpack(b, *_KINDS) for b in g["payload"][g["kind"] == _ROW]]
         summed = [unpack(b, "<u8", "<i8", "<i4") for b in g["payload"][g["kind"] == _SUMMARY]]
         hot = [unpack(b, *_KINDS) for b in g["payload"][g["kind"] == _HOT]]
-        out = [frame(_PAIR, 0, np.empty(0, np.int64), 0, 0, 0)]
-        for key, node, n, _, _, linked in hot:
-            out.append(frame(_MEMBER, key.astype(np.int64), node, 0, n, linked))
-        key, node, n, d, place, linked = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else (np.empty(0, k) for k in _KINDS)
+        out = [frame(_PAIR, 0, np.empty(0, np.int64), 0, 0)]
+        for key, node, n, *_ in hot:
+            out.append(frame(_MEMBER, key.astype(np.int64), node, 0, n))
+        key, node, n, d, place, part = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else (np.empty(0, k) for k in _KINDS)
         skey, snode, sn = (np.concatenate(c) for c in zip(*summed, strict=True)) if summed else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32))
         order = np.lexsort((node, n, key))
-        key, node, n, d, place, linked = (c[order] for c in (key, node, n, d, place, linked))
+        key, node, n, d, place, part = (c[order] for c in (key, node, n, d, place, part))
         n, d, place = n.astype(np.int64), d.astype(np.int64), place.astype(np.int64)
         begin = np.flatnonzero(starts_of(key))
         size = np.diff(np.append(begin, len(key)))
         large_keys = np.unique(skey)
         is_hot = np.isin(key[begin], large_keys)
-        open_ = np.add.reduceat(linked == 0, begin) > 0 if len(begin) else np.empty(0, bool)  # else all link with the hub
+        open_ = np.maximum.reduceat(part, begin) > np.minimum.reduceat(part, begin) if len(begin) else np.empty(0, bool)  # else one component
         is_large = is_hot | ((size > few) & open_ & (not last))
         # pairs of small groups: every row with the k-th after it
         small = np.repeat(~is_large & open_, size)
@@ -211,56 +213,60 @@ def _groups(percent: int, few: int, last: bool):
             a, b = at, at + k
             room = slack(n[a], n[b], percent)
             need = -(-(d[a] + d[b] - room) // 2)
-            fits = (n[b] - n[a] <= room) & (np.minimum(d[a] - place[a], d[b] - place[b]) >= need) & ((linked[a] & linked[b]) == 0) & (node[a] != node[b])
+            fits = (n[b] - n[a] <= room) & (np.minimum(d[a] - place[a], d[b] - place[b]) >= need) & (part[a] != part[b])
             a, b = a[fits], b[fits]
-            out.append(frame(_PAIR, 0, np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), 0, 0))
+            out.append(frame(_PAIR, 0, np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), 0))
             k += 1
             at = at[left[at] >= k]
         # hubs of large groups, one for each length class
         big = np.repeat(is_large, size)
         mkey, mnode, mn = key[big], node[big], n[big]
-        out.append(frame(_MEMBER, mkey.astype(np.int64), mnode, 0, mn, linked[big]))
+        out.append(frame(_MEMBER, mkey.astype(np.int64), mnode, 0, mn))
         hkey, hnode, hn = np.append(mkey, skey), np.append(mnode, snode), np.append(mn, sn)
         order = np.lexsort((hnode, hn, hkey))
         hkey, hnode, hn = hkey[order], hnode[order], hn[order]
         cls = _class(hn, percent)
         new = starts_of(hkey, cls) if len(hkey) else np.empty(0, bool)
-        out.append(frame(_HUB, hkey[new].astype(np.int64), hnode[new], 0, cls[new], 0))
+        out.append(frame(_HUB, hkey[new].astype(np.int64), hnode[new], 0, cls[new]))
         return pd.concat(out, ignore_index=True)
 
     return of
 
 
-def _verify(percent: int, counts: np.ndarray, buckets: int, most: float):
-    """Over candidate pairs with their sets: links, and the differences of members from their hub."""
+def _verify(percent: int, counts: np.ndarray):
+    """Over candidate pairs with their sets: whether they link, and the first differences of members from their hub."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            links: list[tuple[int, int]] = []
-            keys: list[tuple[np.ndarray, ...]] = []
+            rows = []
             for x, y, hub, sx, sy in zip(b["x"], b["y"], b["hub"], b["set_x"], b["set_y"], strict=True):
                 sx, sy = np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)
                 room = int(slack(len(sx), len(sy), percent))
-                if not hub and suffix_bound(sx, sy) > room:
-                    continue
                 if not hub:
-                    if len(sx) + len(sy) - 2 * len(np.intersect1d(sx, sy, True)) <= room:
-                        links.append((x, y))
+                    if suffix_bound(sx, sy) <= room and len(sx) + len(sy) - 2 * len(np.intersect1d(sx, sy, True)) <= room:
+                        rows.append((x, y, True, 0, 0, None))
                     continue
                 other = np.setxor1d(sx, sy, True)
-                linked = len(other) <= room
-                if linked:
-                    links.append((x, y))
                 d, n = len(other), len(sx)
                 widest = int(slack(n, n * 100 // percent, percent))
                 first = _rare_difference(other, sy, counts)[: d - max(1, d - widest) + 1]
-                if d:
-                    keys.append((mix(first ^ mix(np.array([y], np.int64).view(np.uint64))), np.full(len(first), x), np.full(len(first), n), np.full(len(first), d), np.arange(len(first)), np.full(len(first), linked)))
-            out = [(-1, x, y, b"") for x, y in links]
-            if keys:
-                columns = [np.concatenate(c).astype(k) for c, k in zip(zip(*keys, strict=True), _KINDS, strict=True)]
-                out += [(bucket, kind, 0, payload) for bucket, kind, payload in _deal(columns, buckets, most)]
-            yield pd.DataFrame(out, columns=["bucket", "x", "y", "payload"])
+                rows.append((x, y, d <= room, n, d, mix(first ^ mix(np.array([y], np.int64).view(np.uint64))).tobytes()))
+            yield pd.DataFrame(rows, columns=["x", "y", "linked", "n", "d", "keys"])
+
+    return of
+
+
+def _dealer(buckets: int, most: float):
+    """Over nodes with their first n-grams: rows for the buckets."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            grams = [np.frombuffer(k, np.uint64) for k in b["keys"]]
+            size = np.array([len(g) for g in grams], np.int64)
+            if size.sum():
+                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                columns = [np.concatenate(grams), *(np.repeat(b[c].to_numpy(np.int64), size) for c in ("node", "n", "d")), place, np.repeat(b["part"].to_numpy(np.int64), size)]
+                yield pd.DataFrame(_deal([c.astype(k) for c, k in zip(columns, _KINDS, strict=True)], buckets, most), columns=["bucket", "kind", "payload"])
 
     return of
 
@@ -290,21 +296,14 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
     seen = stored(keyed.mapInPandas(prefixes, "id long, n int, a long, b long, prefix binary"), "prefixes")
     nodes = stored(seen.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("id", "prefix")).alias("m")).select("a", "b", "n", F.col("m.id").alias("node"), F.col("m.prefix").alias("prefix")), "nodes")
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            grams = [np.frombuffer(p, np.uint64) for p in b["prefix"]]
-            size = np.array([len(g) for g in grams], np.int64)
-            if size.sum():
-                own = np.repeat(b["n"].to_numpy(np.int64), size)
-                place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                columns = [np.concatenate(grams), np.repeat(b["node"].to_numpy(np.int64), size), own, own, place, np.zeros(len(own))]
-                yield pd.DataFrame(_deal([c.astype(k) for c, k in zip(columns, _KINDS, strict=True)], buckets, FEW_IN_BATCH), columns=["bucket", "kind", "payload"])
-
-    dealt = nodes.where("length(prefix) > 0").select("node", "n", "prefix").mapInPandas(deal, _ROWS)
-    links, done, sets, last_hubs, level = [], None, None, None, 0
+    rows = nodes.where("length(prefix) > 0").select("node", "n", F.col("n").alias("d"), F.col("node").alias("part"), F.col("prefix").alias("keys"))
+    known, done, sets, last_hubs, level = None, None, None, None, 0
     log_ratio = float(np.log(100 / percent))
     while True:
-        grouped = stored(dealt.groupBy("bucket").applyInPandas(_groups(percent, FEW_DEEP if level else few, level >= LEVELS), _OUT), "groups")
+        late = level >= LEVELS // 2  # by now what can link with a hub has done so
+        most = np.inf if level >= LEVELS else FEW_DEEP_IN_BATCH if late else FEW_IN_BATCH
+        dealt = rows.mapInPandas(_dealer(buckets, most), _ROWS)
+        grouped = stored(dealt.groupBy("bucket").applyInPandas(_groups(percent, FEW_DEEP if late else few, level >= LEVELS), _OUT), "groups")
         length_class = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(log_ratio) + F.lit(1e-9)).cast("int")
         members = grouped.where(f"kind = {_MEMBER}").select("key", F.col("x").alias("member"), length_class.alias("own"))
         hubs = grouped.where(f"kind = {_HUB}").select("key", F.col("x").alias("hub_node"), F.col("n").alias("class"))
@@ -326,22 +325,22 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
             members = last_hubs.select(F.col("x").alias("node")).union(last_hubs.select("y")).distinct()
             sets = stored(sets.join(members, "node"), "sets")
         of_x, of_y = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"set_{c}")) for c in "xy")
-        verified = stored(pairs.join(of_y, "y").join(of_x, "x").select("x", "y", "hub", "set_x", "set_y").mapInPandas(_verify(percent, counts, buckets, FEW_DEEP_IN_BATCH if level + 1 < LEVELS else np.inf), "bucket int, x long, y long, payload binary"), "verified")
-        links.append(verified.where("bucket < 0").select(F.col("x").alias("u"), F.col("y").alias("v")))
-        dealt = verified.where("bucket >= 0").select("bucket", F.col("x").cast("int").alias("kind"), "payload")
-        checked = pairs.where("not hub").select("x", "y")
-        done = checked if done is None else done.union(checked)
+        checked = stored(pairs.join(of_y, "y").join(of_x, "x").select("x", "y", "hub", "set_x", "set_y").mapInPandas(_verify(percent, counts), _CHECKED), "checked")
+        links = checked.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
+        known = components(links if known is None else links.union(known.where("node != component")))
+        tried = pairs.where("not hub").select("x", "y")
+        done = tried if done is None else done.union(tried)
         last_hubs = pairs.where("hub").select("x", "y")
         level += 1
-        if dealt.isEmpty():
+        apart = checked.where("keys is not null").join(known, F.col("x") == F.col("node"), "left").withColumn("part", F.coalesce("component", "x"))
+        several = apart.groupBy("y").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("y")
+        rows = stored(apart.select("x", "y", "n", "d", "part", "keys").join(several, "y").select(F.col("x").alias("node"), "n", "d", "part", "keys"), "rows")
+        if rows.isEmpty():
             break
 
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
     placed = seen.select("id", "n", "a", "b").join(nodes.select("a", "b", "n", "node"), ["a", "b", "n"], "left").select("id", "n", F.coalesce("node", "id").alias("node"))
     versions = placed.where("n > 0").groupBy("id").agg(F.collect_set("node").alias("nodes")).where("size(nodes) > 1").select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v"))
-    joined = placed.join(components(edges.union(versions)), "node", "left")
+    joined = placed.join(components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(versions)), "node", "left")
     real = lambda c: F.when(c != _LEAST, c)
     return joined.select(real(F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real(F.coalesce("component", "node")).alias("component_id"))
 

@@ -33,7 +33,8 @@ from touchline.llm.util import stored
 CAPACITY, END_ID = 4096, 1
 #: Words whose ids a task remembers at once.
 CACHED_WORDS = 500_000
-SALTS = 256
+#: Pieces of one length that a task ranks; lengths with more are split.
+RANKED_AT_ONCE = 1 << 20
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -212,17 +213,19 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     own; null doc_ids stay. Other columns are ignored. An empty table gives no rows.
 
     Pieces are written to the shared folder, so texts are tokenised once. Ranks use windows over
-    (length, salt) and the counts before them (at most capacity x SALTS rows), so a length that
-    many pieces have is spread over SALTS tasks.
+    (length, salt), with so many salts that about RANKED_AT_ONCE pieces share one; what is broadcast
+    has a row for each length, and one more for each RANKED_AT_ONCE pieces.
     """
     spark = docs.sparkSession
     order = ["doc_id", "piece", "ids_crc32"]
-    pieces = stored(pieces_of(docs, tokenizer_path, capacity, end_id, with_ids), "pieces").withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    pieces = stored(pieces_of(docs, tokenizer_path, capacity, end_id, with_ids), "pieces")
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = Plan(histogram, capacity)
+    salts = spark.createDataFrame([(n, -(-k // RANKED_AT_ONCE)) for n, k in histogram.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64(*order), F.col("salts")))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = pieces.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
+    ranked = salted.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1)
 
     table = np.array(sorted(plan.segments), np.int64).reshape(-1, 6)
     keys = (table[:, 0] << 44) + table[:, 1]  # up to 2**44 pieces of a length
