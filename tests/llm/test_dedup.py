@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from brute import jaccard_components, repeated_bytes
 from touchline.llm import line_dedup, ngram_join, suffix_dedup
@@ -62,6 +63,19 @@ def test_join_equals_all_pairs(spark, small_groups, n, percent, few, seed):
     assert got == jaccard_components(dict(docs), n, percent)
 
 
+def test_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 63, 64, 65, 500, 3000):
+        x = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for kept, added in ((n, 0), (n, 1), (n - n // 10, 5), (n // 2, 2 * n), (0, n)):
+            y = np.unique(np.append(x[:kept], rng.integers(0, 1 << 64, added, np.uint64)))
+            bound, difference = ngram_join.sketch_bound(ngram_join.sketch(x), ngram_join.sketch(y)), len(np.setxor1d(x, y))
+            assert bound <= difference
+            assert bound == difference or difference > 1
+            if kept == 0 and n >= 500:
+                assert bound > ngram_join.slack(np.array(n), np.array(n), 80)  # unrelated sets of one size go
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_suffix_dedup_equals_brute_force(spark, small_groups, seed):
     docs = corpus(seed)

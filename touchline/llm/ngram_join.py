@@ -9,8 +9,9 @@ most `slack(n_x, n_y)`. Texts with equal sets are one node.
   come last.
 * Prefix filter: two sets that link share an n-gram among their first ones. Nodes are joined on
   these, with the length filter, and the positional filter on what can still follow.
-* Suffix filter: before sets are merged, the sizes of their parts between fixed pivots bound the
-  symmetric difference from below.
+* Suffix filter: before sets are fetched, parity sketches (a bit for each n-gram or so, the parity of
+  the n-grams that hash there) bound the symmetric difference from below: their own is no larger.
+  Before sets are merged, the sizes of their parts between fixed pivots do so once more.
 * Each pair is verified once.
 
 Groups. A prefix n-gram that more than `few` nodes share is not expanded into pairs. Each node is
@@ -109,6 +110,34 @@ def suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.abs(parts[0] - parts[1]).sum())
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the n-grams of a set in a power of two of cells, at least as many as there are n-grams."""
+    cells = 1 << max(6, int(len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_bound(x: bytes, y: bytes) -> int:
+    """A lower bound of the symmetric difference: n-grams in both sets cancel, any other changes one cell."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    a = np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0)  # the parities of fewer cells
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _may_link(percent: int):
+    """Over candidate pairs with their sizes and sketches: those that the sketches leave."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            room = slack(b["n_x"].to_numpy(np.int64), b["n_y"].to_numpy(np.int64), percent)
+            bound = np.array([sketch_bound(x, y) for x, y in zip(b["sketch_x"], b["sketch_y"], strict=True)], np.int64)
+            yield b.loc[bound <= room, ["x", "y", "hub"]]
+
+    return of
+
+
 def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
     """In how many sets the n-grams of each hash range are: a table of 2**RANGE_BITS counts, whatever the input."""
     size, chunk = 1 << RANGE_BITS, 1 << (RANGE_BITS - 6)
@@ -290,13 +319,14 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
             for i, s in zip(b["id"], gram_sets(b["text"].tolist(), n), strict=True):
                 size = len(s)
                 first = _rare_first(s, counts)[: size - -(-size * percent // 100) + 1] if size * (100 - percent) >= percent else s[:0]  # smaller sets link with none but equals
-                rows.append((i, size, *set_key(s), first.tobytes()))
-            yield pd.DataFrame(rows, columns=["id", "n", "a", "b", "prefix"])
+                rows.append((i, size, *set_key(s), first.tobytes(), sketch(s) if len(first) else b""))
+            yield pd.DataFrame(rows, columns=["id", "n", "a", "b", "prefix", "sketch"])
 
-    seen = stored(keyed.mapInPandas(prefixes, "id long, n int, a long, b long, prefix binary"), "prefixes")
-    nodes = stored(seen.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("id", "prefix")).alias("m")).select("a", "b", "n", F.col("m.id").alias("node"), F.col("m.prefix").alias("prefix")), "nodes")
+    seen = stored(keyed.mapInPandas(prefixes, "id long, n int, a long, b long, prefix binary, sketch binary"), "prefixes")
+    nodes = stored(seen.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("id", "prefix", "sketch")).alias("m")).select("a", "b", "n", F.col("m.id").alias("node"), F.col("m.prefix").alias("prefix"), F.col("m.sketch").alias("sketch")), "nodes")
 
     rows = nodes.where("length(prefix) > 0").select("node", "n", F.col("n").alias("d"), F.col("node").alias("part"), F.col("prefix").alias("keys"))
+    of_node = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
     known, done, sets, last_hubs, level = None, None, None, None, 0
     log_ratio = float(np.log(100 / percent))
     while True:
@@ -311,7 +341,8 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
         pairs = grouped.where(f"kind = {_PAIR}").select("x", "y", F.lit(False).alias("hub"))
         if done is not None:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
-        pairs = stored(pairs.union(of_hub).distinct(), "pairs")
+        near = pairs.distinct().join(of_node("x"), "x").join(of_node("y"), "y").mapInPandas(_may_link(percent), "x long, y long, hub boolean")
+        pairs = stored(near.union(of_hub.distinct()), "pairs")
         if sets is None:
 
             def make_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
