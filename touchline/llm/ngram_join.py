@@ -341,8 +341,9 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
         pairs = grouped.where(f"kind = {_PAIR}").select("x", "y", F.lit(False).alias("hub"))
         if done is not None:
             pairs = pairs.join(done, ["x", "y"], "left_anti")
-        near = pairs.distinct().join(of_node("x"), "x").join(of_node("y"), "y").mapInPandas(_may_link(percent), "x long, y long, hub boolean")
-        pairs = stored(near.union(of_hub.distinct()), "pairs")
+        if level == 0:  # later pairs share most of their n-grams, sketches would leave nearly all
+            pairs = pairs.distinct().join(of_node("x"), "x").join(of_node("y"), "y").mapInPandas(_may_link(percent), "x long, y long, hub boolean")
+        pairs = stored(pairs.union(of_hub).distinct(), "pairs")
         if sets is None:
 
             def make_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
