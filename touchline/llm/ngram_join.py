@@ -9,7 +9,7 @@ most `slack(n_x, n_y)`. Texts with equal sets are one node.
   come last.
 * Prefix filter: two sets that link share an n-gram among their first ones. Nodes are joined on
   these, with the length filter, and the positional filter on what can still follow.
-* Suffix filter: before sets are fetched, parity sketches (a bit for each n-gram or so, the parity of
+* Suffix filter: at the first level, before sets are fetched, parity sketches (a bit for each n-gram or so, the parity of
   the n-grams that hash there) bound the symmetric difference from below: their own is no larger.
   Before sets are merged, the sizes of their parts between fixed pivots do so once more.
 * Each pair is verified once.
