@@ -166,6 +166,15 @@ def test_line_dedup_of_large_group(spark, rare):
     assert sorted(r.n_removed for r in got) == [0] + [6] * 39
 
 
+def test_line_dedup_of_frequent_long_line(spark):
+    """A passage of one line goes from all texts but one, however many hold it and whatever stands beside it."""
+    rng = random.Random(14)
+    passage = prose(rng, 60)
+    docs = [(d, f"{d} begins {prose(rng, 9)}\n{passage}\n{d} ends {prose(rng, 9)}") for d in range(150)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert got == {d: int(d > 0) for d in range(150)}
+
+
 def test_no_line_is_lost_from_the_corpus(spark):
     rng = random.Random(13)
     pool = lines(rng, 30, 21)

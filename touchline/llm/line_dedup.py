@@ -4,10 +4,11 @@ Documents that share rare line hashes are aligned with patience diff, and the co
 line up are deleted from the later document.
 
 Every line points to the document that has it first, so a document has at most one partner per
-line and a line in n documents makes n - 1 candidates, not n * n. A line that over RARE texts
-hold is no evidence by itself; together with the line after it, it is. So boilerplate lines start
-no alignment, and large groups of near copies still do, whatever their size. Copies of a whole
-text need no alignment: they count as one text, and all but the first lose all their lines.
+line and a line in n documents makes n - 1 candidates, not n * n. A line of less than MIN_WORDS
+that over RARE texts hold is no evidence by itself; together with the line after it, it is. So
+short boilerplate lines start no alignment, and long lines and large groups of near copies do,
+whatever their number. Copies of a whole text need no alignment: they count as one text, and all
+but the first lose all their lines.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.util import stored
 
-#: Texts that may hold a line for it to be rare; words that an aligned block must have to be deleted.
+#: Texts that may hold a line of under MIN_WORDS for it to be rare; words that an aligned block must have to be deleted.
 RARE, MIN_WORDS = 100, 20
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -99,12 +100,13 @@ def doomed_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS)
     lines = stored(_lines(docs), "lines")
     texts = stored(lines.groupBy("sub").agg(F.min(F.struct("id", "hashes", "words")).alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows"), F.count("id").alias("ids")).select("sub", F.col("m.id").alias("id"), F.col("m.hashes").alias("hashes"), F.col("m.words").alias("words"), (F.coalesce(F.col("low") < F.col("high"), F.lit(False)) | ((F.col("ids") > 0) & (F.col("ids") < F.col("rows")))).alias("copied")), "texts")
     h = F.filter("hashes", lambda x: x != 0)
-    single = F.transform(h, lambda x: F.struct(x.alias("key"), F.lit(False).alias("two")))
-    double = F.transform(h, lambda x, i: F.struct(F.xxhash64(x, F.get(h, i + 1)).alias("key"), F.lit(True).alias("two")))
+    with_words = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["hashes"] != 0)
+    single = F.transform(with_words, lambda x: F.struct(x["hashes"].alias("key"), (x["words"] >= min_words).alias("always")))
+    double = F.transform(h, lambda x, i: F.struct(F.xxhash64(x, F.get(h, i + 1)).alias("key"), F.lit(True).alias("always")))
     double = F.slice(double, 1, F.greatest(F.size(h) - 1, F.lit(0)))
-    keys = texts.select("sub", "id", F.explode(F.array_distinct(F.concat(single, double))).alias("k")).select("sub", "id", "k.key", "k.two")
-    first = keys.groupBy("key", "two").agg(F.count("*").alias("n"), F.min(F.struct("id", "sub")).alias("holder")).where((F.col("n") > 1) & (F.col("two") | (F.col("n") <= rare)))
-    pairs = keys.join(first, ["key", "two"]).where(F.col("sub") != F.col("holder.sub")).select(F.col("sub").alias("later"), F.col("holder.sub").alias("earlier")).distinct()
+    keys = texts.select("sub", "id", F.explode(F.array_distinct(F.concat(single, double))).alias("k")).select("sub", "id", "k.key", "k.always")
+    first = keys.groupBy("key", "always").agg(F.count("*").alias("n"), F.min(F.struct("id", "sub")).alias("holder")).where((F.col("n") > 1) & (F.col("always") | (F.col("n") <= rare)))
+    pairs = keys.join(first, ["key", "always"]).where(F.col("sub") != F.col("holder.sub")).select(F.col("sub").alias("later"), F.col("holder.sub").alias("earlier")).distinct()
     of_earlier = texts.select(F.col("sub").alias("earlier"), F.col("hashes").alias("before"))
     of_later = texts.select(F.col("sub").alias("later"), "hashes", "words")
 
