@@ -58,6 +58,21 @@ def repeated_bytes(docs, width=100):
     return out
 
 
+def shared_lines(docs, min_words=20):
+    """{doc_id: n_removed} of [(doc_id, text)] in order: lines in blocks of min_words that an earlier text has, or all of a copy."""
+    seen, texts, out = set(), set(), {}
+    for d, text in docs:
+        own = [(x, len(WORD.findall(x))) for x in text.split("\n") if WORD.search(x)]
+        blocks = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own) + 1) if sum(n for _, n in own[i:j]) >= min_words}
+        if text in texts:
+            out[d] = len(own) if blocks else 0
+        else:
+            out[d] = len({k for i, j in blocks if tuple(own[i:j]) in seen for k in range(i, j)})
+        texts.add(text)
+        seen |= {tuple(own[i:j]) for i, j in blocks}
+    return out
+
+
 def secret_row(text):
     """(n_assign, n_access, n_hex, base_sha256) by the plain patterns."""
     text = text or ""

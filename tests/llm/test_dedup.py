@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import jaccard_components, repeated_bytes
+from brute import jaccard_components, repeated_bytes, shared_lines
 from touchline.llm import line_dedup, ngram_join, suffix_dedup
 
 VOCABULARY = [f"{a}{b}{c}" for a in ("Th", "on", "éa", "st") for b in ("er", "in", "o") for c in ("", "d", "ly", "ing", "ß")]
@@ -175,6 +175,35 @@ def test_line_dedup_of_frequent_long_line(spark):
     assert got == {d: int(d > 0) for d in range(150)}
 
 
+def test_common_lines_that_repeat_or_cross():
+    w = {1: 30, 2: 25, 3: 8, 4: 9, 5: 7, 6: 3, 7: 3}
+    common = lambda later, earlier: line_dedup.common_lines(later, earlier, [w[x] for x in later], 20)
+    assert common([1, 6, 1], [7, 1, 6]) == [0, 1, 2]
+    assert common([1, 6, 1], [7, 1, 7]) == [0, 2]
+    assert common([7, 1, 7], [1, 6, 1]) == [1]
+    assert common([2, 6, 1], [1, 7, 2]) == [0, 2]
+    assert common([3, 4, 5, 6, 3, 4, 5], [7, 3, 4, 5, 7]) == [0, 1, 2, 4, 5, 6]
+    assert common([3, 4, 6, 5], [3, 4, 5]) == []
+
+
+def test_line_dedup_of_passage_in_parts(spark):
+    """The first holders of the lines and pairs of lines of a passage are not the document that has all of it."""
+    rng = random.Random(15)
+    p, own = lines(rng, 3), lines(rng, 9)
+    docs = list(enumerate(["\n".join(x) for x in ([p[0], p[1], own[0]], [own[1], p[1], p[2]], [own[2], *p, own[3]], [own[4], *p, own[5]])]))
+    assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, docs)).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+@pytest.mark.parametrize(("seed", "rare", "at_once"), [(16, 100, 1 << 17), (17, 2, 5)])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, seed, rare, at_once):
+    monkeypatch.setattr(line_dedup, "LINES_AT_ONCE", at_once)
+    rng = random.Random(seed)
+    pool = ["", " ", *lines(rng, 9, 24), *(prose(rng, rng.randint(1, 12)) for _ in range(25))]
+    docs = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 12)))) for d in range(250)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, docs), rare=rare).collect()}
+    assert got == shared_lines(docs)
+
+
 def test_no_line_is_lost_from_the_corpus(spark):
     rng = random.Random(13)
     pool = lines(rng, 30, 21)

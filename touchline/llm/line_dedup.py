@@ -1,14 +1,16 @@
 """Line dedup by pairwise alignment.
 
-Documents that share rare line hashes are aligned with patience diff, and the common blocks that
-line up are deleted from the later document.
-
-Every line points to the document that has it first, so a document has at most one partner per
-line and a line in n documents makes n - 1 candidates, not n * n. A line of less than MIN_WORDS
-that over RARE texts hold is no evidence by itself; together with the line after it, it is. So
-short boilerplate lines start no alignment, and long lines and large groups of near copies do,
-whatever their number. Copies of a whole text need no alignment: they count as one text, and all
-but the first lose all their lines.
+Documents that share rare line hashes or runs of lines are aligned with patience diff, and the
+common blocks that line up are deleted from the later document. What lines up in no order, or
+repeats, is found by the hashes of runs, so no common block of MIN_WORDS is left in a pair.
+
+A run is the least number of lines from a line on, or up to a line, that have MIN_WORDS together:
+every block of MIN_WORDS or more consists of such runs. Every line and every run points to the
+document that has it first, so one that n documents hold makes n - 1 candidates, not n * n, and no
+block is missed because parts of it stand in other documents before. A line of less than MIN_WORDS
+that over RARE texts hold is no evidence by itself; runs are, whatever their number. So short
+boilerplate lines start no alignment. Copies of a whole text need no alignment: they count as one
+text, and all but the first lose all their lines.
 """
 
 from __future__ import annotations
@@ -17,14 +19,20 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from touchline.llm.util import stored
 
 #: Texts that may hold a line of under MIN_WORDS for it to be rare; words that an aligned block must have to be deleted.
 RARE, MIN_WORDS = 100, 20
+#: Lines whose runs are computed at once; base of the hash of a run.
+LINES_AT_ONCE, BASE = 1 << 17, 0x9E3779B97F4A7C15
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,22 +77,56 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def runs(lines: np.ndarray, words: np.ndarray, text: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, last line and hash of the shortest runs of min_words or more from each line on and up to each line.
+
+    lines: hashes (uint64) of the lines of texts, one after the other; text: the number of the text of each. Runs stay in a text.
+    """
+    n, at = len(lines), np.arange(len(lines))
+    total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    last = np.searchsorted(total, total[:-1] + min_words) - 1
+    first = np.searchsorted(total, total[1:] - min_words, side="right") - 1
+    on = at[last < n]
+    on = on[text[last[on]] == text[on]]
+    up = at[first >= 0]
+    up = up[text[first[up]] == text[up]]
+    start, end = np.concatenate((on, first[up])), np.concatenate((last[on], up))
+    power = lambda base: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, base, np.uint64))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(lines * power(BASE)[:n], dtype=np.uint64)))
+    return start, end, (sums[end + 1] - sums[start]) * power(pow(BASE, -1, 1 << 64))[start]
+
+
+def moved_lines(later: list[int], earlier: list[int], words: list[int], min_words: int) -> list[int]:
+    """Places in `later` of lines in runs that `earlier` has as well, in any order and number."""
+    own = dict(zip(later, words, strict=True))
+    codes = lambda x: np.array(x, np.int64).view(np.uint64)
+    one = lambda x: np.zeros(len(x), np.int8)
+    start, end, key = runs(codes(later), np.array(words, np.int64), one(later), min_words)
+    found = np.isin(key, runs(codes(earlier), np.array([own.get(x, 1) for x in earlier], np.int64), one(earlier), min_words)[2])
+    edges = np.zeros(len(later) + 1, np.int64)
+    np.add.at(edges, start[found], 1)
+    np.add.at(edges, end[found] + 1, -1)
+    return np.flatnonzero(np.cumsum(edges)[:-1]).tolist()
+
+
 def common_lines(later: list[int], earlier: list[int], words: list[int], min_words: int) -> list[int]:
-    """Line numbers of `later` in blocks of aligned lines with min_words or more. 0 stands for a line without words."""
+    """Line numbers of `later` in common blocks of lines with min_words or more. 0 stands for a line without words."""
     own = [i for i, x in enumerate(later) if x]
-    pairs = patience([later[i] for i in own], [x for x in earlier if x])
-    out: list[int] = []
+    mine, other = [later[i] for i in own], [x for x in earlier if x]
+    out: set[int] = set()
     block: list[int] = []
     last = None
-    for i, j in [*pairs, (-9, -9)]:
+    for i, j in [*patience(mine, other), (-9, -9)]:
         if last is None or (i, j) != (last[0] + 1, last[1] + 1):
             if sum(words[x] for x in block) >= min_words:
-                out += block
+                out.update(block)
             block = []
         if i >= 0:
             block.append(own[i])
         last = (i, j)
-    return out
+    if len(out) < len(own):
+        out.update(own[i] for i in moved_lines(mine, other, [words[i] for i in own], min_words))
+    return sorted(out)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -95,16 +137,42 @@ def _lines(docs: DataFrame) -> DataFrame:
     return split.select("id", "sub", F.transform("lines", lambda x: F.when(x.rlike(_WORD), F.xxhash64(F.trim(x))).otherwise(F.lit(0).cast("long"))).alias("hashes"), F.transform("lines", count).alias("words"))
 
 
+def _evidence(texts: DataFrame, min_words: int) -> DataFrame:
+    """sub, id, key, always: for each text the hashes of its lines of under min_words, and those of its runs (always), each once."""
+    schema = StructType([texts.schema["sub"], texts.schema["id"], StructField("key", LongType()), StructField("always", BooleanType())])
+
+    def of_rows(rows: pa.RecordBatch) -> pa.RecordBatch:
+        flat = lambda c: rows.column(c).flatten().to_numpy(zero_copy_only=False)
+        lines, words = flat("hashes").view(np.uint64), flat("words")
+        text = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column("hashes")).to_numpy(zero_copy_only=False))
+        lines, words, text = lines[lines != 0], words[lines != 0], text[lines != 0]
+        start, _, key = runs(lines, words, text, min_words)
+        short = words < min_words
+        key, row = np.concatenate((key, lines[short])), np.concatenate((text[start], text[short]))
+        always = np.arange(len(key)) < len(start)
+        order = np.lexsort((always, key, row))
+        key, row, always = key[order], row[order], always[order]
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (always[1:] != always[:-1])
+        at = pa.array(row[once])
+        return pa.RecordBatch.from_arrays([rows.column("sub").take(at), rows.column("id").take(at), pa.array(key[once].view(np.int64)), pa.array(always[once])], names=schema.names)
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = np.cumsum(pc.list_value_length(b.column("hashes")).to_numpy(zero_copy_only=False)) // LINES_AT_ONCE
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if i < j:
+                    yield of_rows(b.slice(i, j - i))
+
+    return texts.select("sub", "id", "hashes", "words").mapInArrow(of_batches, schema)
+
+
 def doomed_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
     """(sub, first, keep): for texts that lose lines or have copies, the first document and whether each line stays there."""
     lines = stored(_lines(docs), "lines")
     texts = stored(lines.groupBy("sub").agg(F.min(F.struct("id", "hashes", "words")).alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows"), F.count("id").alias("ids")).select("sub", F.col("m.id").alias("id"), F.col("m.hashes").alias("hashes"), F.col("m.words").alias("words"), (F.coalesce(F.col("low") < F.col("high"), F.lit(False)) | ((F.col("ids") > 0) & (F.col("ids") < F.col("rows")))).alias("copied")), "texts")
-    h = F.filter("hashes", lambda x: x != 0)
-    with_words = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["hashes"] != 0)
-    single = F.transform(with_words, lambda x: F.struct(x["hashes"].alias("key"), (x["words"] >= min_words).alias("always")))
-    double = F.transform(h, lambda x, i: F.struct(F.xxhash64(x, F.get(h, i + 1)).alias("key"), F.lit(True).alias("always")))
-    double = F.slice(double, 1, F.greatest(F.size(h) - 1, F.lit(0)))
-    keys = texts.select("sub", "id", F.explode(F.array_distinct(F.concat(single, double))).alias("k")).select("sub", "id", "k.key", "k.always")
+    keys = _evidence(texts, min_words)
     first = keys.groupBy("key", "always").agg(F.count("*").alias("n"), F.min(F.struct("id", "sub")).alias("holder")).where((F.col("n") > 1) & (F.col("always") | (F.col("n") <= rare)))
     pairs = keys.join(first, ["key", "always"]).where(F.col("sub") != F.col("holder.sub")).select(F.col("sub").alias("later"), F.col("holder.sub").alias("earlier")).distinct()
     of_earlier = texts.select(F.col("sub").alias("earlier"), F.col("hashes").alias("before"))
