@@ -53,6 +53,16 @@ def test_near_copies_of_items(spark):
     assert [r.item_id for r in got] == [3]
 
 
+def test_questions_without_answers_are_found(spark):
+    rng = random.Random(24)
+    bench = [(i, f"{prose(rng, 24)}.\n{prose(rng, n)}.") for i, n in enumerate((5, 12, 30, 90))] + [(4, prose(rng, 30)), (5, f"Which one?\n{prose(rng, 30)}")]
+    questions = [decontaminate.question_and_answer(t)[0] for _, t in bench]
+    docs = [(i, f"{prose(rng, 80)} {q} {prose(rng, 80)}") for i, q in enumerate(questions)]
+    rows = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(i, i) for i in range(5)]  # a question of two words is none by itself
+    assert all(r.question_overlap == 1 for r in rows)
+
+
 def test_skipping_misses_nothing():
     """Block-max skipping retrieves what scoring every item does."""
     rng = random.Random(23)

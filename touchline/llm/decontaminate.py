@@ -4,7 +4,8 @@ The index holds the test items. Every passage of every training document is a qu
 twice the longest item, moved by the longest item, so each occurrence of an item lies whole in
 one window. Scores are BM25 over the distinct words of a window, as a part of the item's score
 against itself; every item with `threshold` or more is retrieved, then verified on word shingles
-of its question and of its answer.
+of the item, of its question and of its answer. Questions are indexed by themselves as well, so a
+passage with the question and no answer is retrieved however long the answer is.
 
 Skipping: the words of an item, heaviest first, that carry `essential` of its own score are its
 essential postings. A window can only reach the threshold where its essential postings give what
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD, ESSENTIAL = 0.6, 0.7
-SHINGLE, OVERLAP, ANSWER_OVERLAP = 5, 0.8, 0.5
+SHINGLE, OVERLAP = 5, 0.8
 #: Items in an index; more items are taken in several passes over the documents. Items in a block of postings.
 MAX_ITEMS, BLOCK_ITEMS = 20_000, 16
 K1, B = 1.2, 0.75
@@ -51,28 +52,18 @@ def shingles(w: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-class Index:
-    """Inverted index of items: (item_id, text)."""
+class Postings:
+    """Inverted index of texts, given as counts of their words, with df, number and mean length of the items."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, essential: float = ESSENTIAL):
+    def __init__(self, tfs: list[Counter], df: Counter, n: int, mean: float, threshold: float, essential: float):
         self.threshold = threshold
-        self.ids, self.parts, tfs = [], [], []
-        for item_id, text in items:
-            if w := words_of(text or ""):
-                q, a = (words_of(x) for x in question_and_answer(text))
-                self.ids.append(item_id)
-                self.parts.append((shingles(w), shingles(q), set(a)))
-                tfs.append(Counter(w))
-        n, sizes = len(tfs), [sum(t.values()) for t in tfs]
-        self.stride = max(sizes, default=1)
-        mean = sum(sizes) / max(n, 1)
-        df = Counter(t for tf in tfs for t in tf)
-        idf = {t: math.log(1 + (n - k + 0.5) / (k + 0.5)) for t, k in df.items()}
+        idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for tf in tfs for t in tf}
         self.impact: dict[str, dict[int, float]] = defaultdict(dict)
         self.essential: dict[str, list[int]] = defaultdict(list)
         self.bound: list[float] = []
         for i, tf in enumerate(tfs):
-            own = {t: idf[t] * k * (K1 + 1) / (k + K1 * (1 - B + B * sizes[i] / mean)) for t, k in tf.items()}
+            size = sum(tf.values())
+            own = {t: idf[t] * k * (K1 + 1) / (k + K1 * (1 - B + B * size / mean)) for t, k in tf.items()}
             total, carried = sum(own.values()), 0.0
             for t, x in sorted(own.items(), key=lambda y: (-y[1], y[0])):
                 self.impact[t][i] = x / total
@@ -80,7 +71,7 @@ class Index:
                     self.essential[t].append(i)
                     carried += x / total
             self.bound.append(threshold - (1 - carried) - 1e-9)
-        #: word -> blocks of items with the greatest impact there
+        #: word -> blocks of texts with the greatest impact there
         self.blocks: dict[str, list[tuple[int, float]]] = {}
         for t, own in self.essential.items():
             most: dict[int, float] = {}
@@ -89,8 +80,11 @@ class Index:
             self.blocks[t] = sorted(most.items())
         self.block_bound = [min(self.bound[b : b + BLOCK_ITEMS]) for b in range(0, len(self.bound), BLOCK_ITEMS)]
 
+    def score(self, i: int, window: set[str]) -> float:
+        return math.fsum(self.impact[t].get(i, 0.0) for t in window if t in self.impact)
+
     def retrieve(self, window: set[str], hits: set[str]) -> list[tuple[int, float]]:
-        """All items that score the threshold or more; hits: those words of the window that have essential postings."""
+        """All texts that score the threshold or more; hits: those words of the window that have essential postings."""
         sums: dict[int, float] = defaultdict(float)
         for t in hits:
             for block, most in self.blocks[t]:
@@ -103,18 +97,43 @@ class Index:
             for i in self.essential[t]:
                 if i // BLOCK_ITEMS in live:
                     items[i] += self.impact[t][i]
-        out = []
-        for i in (i for i, x in items.items() if x >= self.bound[i]):
-            score = sum(self.impact[t].get(i, 0.0) for t in window if t in self.impact)
-            if score >= self.threshold:
-                out.append((i, score))
-        return out
+        scores = ((i, self.score(i, window)) for i, x in items.items() if x >= self.bound[i])
+        return [(i, score) for i, score in scores if score >= self.threshold]
+
+
+class Index(Postings):
+    """Inverted index of items, (item_id, text), and one of their questions of SHINGLE words or more."""
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, essential: float = ESSENTIAL):
+        self.ids, self.parts, tfs = [], [], []
+        #: The item of each question, and the words of it.
+        self.asks: list[int] = []
+        asked: list[Counter] = []
+        for item_id, text in items:
+            if w := words_of(text or ""):
+                q, a = (words_of(x) for x in question_and_answer(text))
+                if len(q) >= SHINGLE:
+                    self.asks.append(len(self.ids))
+                    asked.append(Counter(q))
+                self.ids.append(item_id)
+                self.parts.append((shingles(w), shingles(q), set(a), len(q) >= SHINGLE))
+                tfs.append(Counter(w))
+        sizes = [sum(t.values()) for t in tfs]
+        self.stride = max(sizes, default=1)
+        given = Counter(t for tf in tfs for t in tf), len(tfs), sum(sizes) / max(len(tfs), 1), threshold, essential
+        super().__init__(tfs, *given)
+        self.questions = Postings(asked, *given)
+
+    def candidates(self, window: set[str], hits: set[str]) -> list[int]:
+        """Items that are retrieved whole or by their question."""
+        whole = self.retrieve(window, {t for t in hits if t in self.essential})
+        return sorted({i for i, _ in whole} | {self.asks[j] for j, _ in self.questions.retrieve(window, {t for t in hits if t in self.questions.essential})})
 
     def matches(self, text: str) -> list[tuple[int, float, int, float, float]]:
         """(item_id, score, first word of the passage, question overlap, answer overlap) of all verified items, the best passage of each."""
         w = words_of(text)
-        essential = self.essential
-        places = [i for i, x in enumerate(w) if x in essential]
+        essential, asked = self.essential, self.questions.essential
+        places = [i for i, x in enumerate(w) if x in essential or x in asked]
         if not places:
             return []
         seen: dict[int, set[str]] = defaultdict(set)
@@ -127,20 +146,23 @@ class Index:
         for k, hits in seen.items():
             first = k * self.stride
             passage = w[first : first + 2 * self.stride]
-            for i, score in self.retrieve(set(passage), hits) if len(hits) else ():
-                whole, question, answer = self.parts[i]
+            window = set(passage)
+            for i in self.candidates(window, hits):
+                whole, question, answer, alone = self.parts[i]
                 own = set().union(*(shingles(passage, n) for n in {len(x) for s in (whole, question) for x in s}))
                 covered = len(whole & own) / len(whole)
                 q = len(question & own) / len(question) if question else 1.0
-                a = len(answer & set(passage)) / len(answer) if answer else 1.0
-                if covered >= OVERLAP and q > 0 and a >= ANSWER_OVERLAP:
-                    best[i] = max(best.get(i, (-1.0,)), (covered, score, -first, q, a))
+                a = len(answer & window) / len(answer) if answer else 1.0
+                if covered >= OVERLAP or (alone and q >= OVERLAP):
+                    best[i] = max(best.get(i, (-1.0,)), (covered, self.score(i, window), -first, q, a))
         return [(self.ids[i], score, -first, q, a) for i, (_, score, first, q, a) in sorted(best.items())]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, max_items: int = MAX_ITEMS) -> DataFrame:
     """One row per document and test item found in it: doc_id, text_hash, item_id, score, first_word, overlaps.
 
+    An item is found where a passage has OVERLAP of its shingles, or of those of its question. A
+    question of under SHINGLE words is no evidence by itself.
     `items` has item_id and text. Null and empty texts hold nothing, on either side; null ids stay;
     repeated rows give repeated results. Other columns are ignored; an empty table gives no rows.
     The items are indexed in blocks of about max_items, each of which passes over all documents;
