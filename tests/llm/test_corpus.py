@@ -63,6 +63,20 @@ def test_questions_without_answers_are_found(spark):
     assert all(r.question_overlap == 1 for r in rows)
 
 
+def test_passes_change_no_result(spark):
+    """Items of all lengths, half copied: what is found, where and with what score is the same in one pass and in many."""
+    rng = random.Random(25)
+    bench = [(i, f"{prose(rng, rng.randint(6, 20))}.\n{prose(rng, rng.randint(3, 20))}.") for i in range(60)] + [(60, prose(rng, 150)), (61, None)]
+    docs = []
+    for d in range(150):
+        w = rng.choice(bench[:61])[1].split()
+        cut = max(1, int(len(w) * rng.uniform(0.4, 1)))
+        docs.append((d, f"{prose(rng, rng.randint(0, 90))} {edited(rng, ' '.join(w[:cut]), rng.randint(0, 1))} {prose(rng, rng.randint(0, 90))}"))
+    df, bench_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    one, many = ({(r.doc_id, r.item_id): (round(r.score, 9), r.first_word, r.question_overlap, r.answer_overlap) for r in decontaminate.find_leaks(df, bench_df, max_items=n).collect()} for n in (1000, 9))
+    assert len(one) > 60 and one == many
+
+
 def test_skipping_misses_nothing():
     """Block-max skipping retrieves what scoring every item does."""
     rng = random.Random(23)

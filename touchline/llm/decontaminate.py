@@ -20,11 +20,14 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.util import stored
+
 THRESHOLD, ESSENTIAL = 0.6, 0.7
 SHINGLE, OVERLAP = 5, 0.8
 #: Items in an index; more items are taken in several passes over the documents. Items in a block of postings.
@@ -52,11 +55,21 @@ def shingles(w: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
+class Statistics(NamedTuple):
+    """Of all items: those with a word, their words together, the words of the longest, and how many items have each word."""
+
+    n: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+
 class Postings:
-    """Inverted index of texts, given as counts of their words, with df, number and mean length of the items."""
+    """Inverted index of texts, given as counts of their words, under the statistics of all items."""
 
-    def __init__(self, tfs: list[Counter], df: Counter, n: int, mean: float, threshold: float, essential: float):
+    def __init__(self, tfs: list[Counter], stats: Statistics, threshold: float, essential: float):
         self.threshold = threshold
+        n, df, mean = stats.n, stats.df, stats.words / max(stats.n, 1)
         idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for tf in tfs for t in tf}
         self.impact: dict[str, dict[int, float]] = defaultdict(dict)
         self.essential: dict[str, list[int]] = defaultdict(list)
@@ -102,9 +115,12 @@ class Postings:
 
 
 class Index(Postings):
-    """Inverted index of items, (item_id, text), and one of their questions of SHINGLE words or more."""
+    """Inverted index of items, (item_id, text), and one of their questions of SHINGLE words or more.
+
+    stats: of all items, where these are a part of them.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, essential: float = ESSENTIAL):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, essential: float = ESSENTIAL, stats: Statistics | None = None):
         self.ids, self.parts, tfs = [], [], []
         #: The item of each question, and the words of it.
         self.asks: list[int] = []
@@ -118,11 +134,12 @@ class Index(Postings):
                 self.ids.append(item_id)
                 self.parts.append((shingles(w), shingles(q), set(a), len(q) >= SHINGLE))
                 tfs.append(Counter(w))
-        sizes = [sum(t.values()) for t in tfs]
-        self.stride = max(sizes, default=1)
-        given = Counter(t for tf in tfs for t in tf), len(tfs), sum(sizes) / max(len(tfs), 1), threshold, essential
-        super().__init__(tfs, *given)
-        self.questions = Postings(asked, *given)
+        if stats is None:
+            sizes = [sum(t.values()) for t in tfs]
+            stats = Statistics(len(tfs), sum(sizes), max(sizes, default=1), Counter(t for tf in tfs for t in tf))
+        self.stride = stats.longest
+        super().__init__(tfs, stats, threshold, essential)
+        self.questions = Postings(asked, stats, threshold, essential)
 
     def candidates(self, window: set[str], hits: set[str]) -> list[int]:
         """Items that are retrieved whole or by their question."""
@@ -158,6 +175,21 @@ class Index(Postings):
         return [(self.ids[i], score, -first, q, a) for i, (_, score, first, q, a) in sorted(best.items())]
 
 
+def _counted(items: DataFrame) -> DataFrame:
+    """word, n: how many items have each word; the null word holds the number of items with a word, of their words, and the longest (n, words, longest)."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            read = [w for w in (words_of(x or "") for x in b["text"]) if w]
+            df = Counter(t for w in read for t in set(w))
+            sizes = [len(w) for w in read]
+            rows = [(None, len(read), sum(sizes), max(sizes, default=1)), *((t, k, 0, 0) for t, k in df.items())]
+            yield pd.DataFrame(rows, columns=["word", "n", "words", "longest"])
+
+    counted = items.select("text").mapInPandas(count, "word string, n long, words long, longest long")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, max_items: int = MAX_ITEMS) -> DataFrame:
     """One row per document and test item found in it: doc_id, text_hash, item_id, score, first_word, overlaps.
 
@@ -166,15 +198,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     `items` has item_id and text. Null and empty texts hold nothing, on either side; null ids stay;
     repeated rows give repeated results. Other columns are ignored; an empty table gives no rows.
     The items are indexed in blocks of about max_items, each of which passes over all documents;
-    documents are neither shuffled nor collected.
+    documents are neither shuffled nor collected. Statistics are those of all items, so the number
+    of passes changes no score and no window.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
     passes = max(1, -(-items.count() // max_items))
-    found = None
+    found, counted = None, stored(_counted(items), "items") if passes > 1 else None
     for k in range(passes):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text")
-        index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in own.collect()], threshold))
+        read = [(r[0], r[1]) for r in own.collect()]
+        stats = None
+        if counted is not None:
+            used = spark.createDataFrame([(t,) for t in {t for _, text in read for t in words_of(text or "")}], "word string")
+            of_all = counted.where("word is null").first()
+            stats = Statistics(of_all["n"], of_all["words"], of_all["longest"], dict(counted.join(used, "word").select("word", "n").collect()))
+        index = spark.sparkContext.broadcast(Index(read, threshold, stats=stats))
 
         def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for b in batches:
