@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from brute import WORD, crc, secret_row
+from pyspark.sql import functions as F
 from touchline.llm import chat_format, quality, queries, secret_scan, sharding, url_filter
 from touchline.llm.url_filter import Rule
 
@@ -160,6 +161,16 @@ def test_quality_equals_plain(spark, seed):
     assert all(len(WORD.findall(r.text)) == want[r.doc_id][5] for r in kept.collect())
 
 
+def test_repeated_words_of_long_text(spark):
+    """Windows of a text of 2^21 words whose hashes are equal but for the 22 low bits are no repetition."""
+    pair = [w for i in (3596430, 5372134) for w in (f"a{i}", "b", "c")]
+    hashes = [spark.range(1).select(F.xxhash64(*map(F.lit, pair[k : k + 3]))).first()[0] >> 22 for k in (0, 3)]
+    assert hashes[0] == hashes[1]
+    long = F.concat(F.transform(F.sequence(F.lit(1), F.lit(1 << 21)), lambda i: F.concat(F.lit("p"), i)), F.array(*map(F.lit, pair)))
+    words = spark.range(2).select(F.when(F.col("id") == 0, long).otherwise(F.concat(long, F.array(*map(F.lit, pair[:3])))).alias("w"))
+    assert sorted(r[0] for r in words.select(quality.repeated_words(F.col("w"))).collect()) == [0, 6]
+
+
 def test_quality_edges(spark):
     df = spark.createDataFrame([(None, "w " * 60, None), (1, "w " * 60, None), (1, "w " * 60, None), (None, None, "a")], "doc_id long, text string, source string")
     assert quality.judge(df).count() == 4

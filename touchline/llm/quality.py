@@ -35,6 +35,7 @@ def repeated_words(w: Column) -> Column:
 
     Each window becomes one long: high bits of its hash, and its place in as many low bits as the
     text needs. Sorted, equal windows are neighbours, so the work is n log n and stays in the row.
+    Windows whose cut hashes are equal are compared by their words.
     """
     right = lambda x, bits: F.call_function("shiftright", x, bits)
     cut = lambda x, bits: F.call_function("shiftleft", right(x, bits), bits)
@@ -47,11 +48,17 @@ def repeated_words(w: Column) -> Column:
         same = lambda v, j: F.coalesce(right(F.get(s, j), bits) == right(v, bits), F.lit(False))
         return F.sort_array(F.transform(F.filter(s, lambda v, j: same(v, j - 1) | same(v, j + 1)), lambda v: v - cut(v, bits)))
 
+    def same_words(w: Column, places: Column) -> Column:
+        at = lambda p, k: F.get(w, p.cast("int") + k)
+        read = F.sort_array(F.transform(places, lambda p: F.struct(F.concat_ws(" ", at(p, 0), at(p, 1), at(p, 2)).alias("gram"), p.alias("place"))))
+        same = lambda s, v, j: F.coalesce(F.get(s, j)["gram"] == v["gram"], F.lit(False))
+        return let(read, lambda s: F.sort_array(F.transform(F.filter(s, lambda v, j: same(s, v, j - 1) | same(s, v, j + 1)), lambda v: v["place"])))
+
     def of(w: Column) -> Column:
         bits = F.length(F.bin(F.size(w)))
         codes = F.slice(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))), 1, F.size(w) - 2)
         packed = lambda b: F.sort_array(F.transform(codes, lambda h, i: cut(h, b) + i.cast("long")))
-        return let(bits, lambda b: let(packed(b), lambda s: let(found_twice(s, b), covered)))
+        return let(bits, lambda b: let(packed(b), lambda s: let(found_twice(s, b), lambda p: let(same_words(w, p), covered))))
 
     return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(w, of))
 
