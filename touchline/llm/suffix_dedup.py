@@ -1,12 +1,12 @@
-"""Suffix-array dedup: removal of strings of WIDTH bytes that also start earlier.
+"""Removal of strings of WIDTH bytes that also start earlier, by fingerprints in place of a suffix array.
 
-In the suffix order of the corpus, let the previous and the next smaller position of a suffix be
+No suffix array and no LPF lengths are built; what follows says why the result is theirs. In the suffix order of the corpus, let the previous and the next smaller position of a suffix be
 the nearest suffixes in that order which start earlier in the corpus. The longer of the two
 common prefixes is its longest previous factor (LPF). A byte goes if a suffix within WIDTH - 1
 bytes before it, or at it, has LPF >= WIDTH; the first copy has no earlier one and stays.
 
-Only LPF >= WIDTH matters, so suffixes are ordered by the name (a hash) of their first WIDTH
-bytes, as in prefix doubling, then by position: suffixes with the same name are neighbours, and
+Only LPF >= WIDTH matters, so windows are grouped by the name (a 64-bit hash) of their WIDTH
+bytes, and within a name by position: suffixes with the same name are neighbours, and
 the previous smaller position of a suffix is the one before it or has another name. The order
 is cut into independent buckets by name, so no task sees all suffixes.
 
@@ -229,7 +229,7 @@ def _names(buckets: int):
 
 
 def has_earlier(name: np.ndarray, ids: np.ndarray, subs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix order (by name, then position), and for each suffix in it whether LPF >= WIDTH.
+    """The order by name (hash), then position, and for each suffix in it whether LPF >= WIDTH, barring hash collisions.
 
     Within a name positions rise, so the previous smaller position is the suffix before; where
     that has another name, no suffix of the same name is earlier, and the next smaller one has
