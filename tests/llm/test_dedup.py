@@ -41,8 +41,6 @@ def corpus(seed, n=160, hot=60):
 def small_groups(monkeypatch):
     """Makes groups count as large, so that hubs, differences and summaries are used."""
     monkeypatch.setattr(ngram_join, "FEW_IN_BATCH", 6)
-    monkeypatch.setattr(ngram_join, "FEW_DEEP", 9)
-    monkeypatch.setattr(ngram_join, "FEW_DEEP_IN_BATCH", 7)
     monkeypatch.setattr(suffix_dedup, "FEW_REGIONS", 2)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
 

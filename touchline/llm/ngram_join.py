@@ -14,15 +14,18 @@ most `slack(n_x, n_y)`. Texts with equal sets are one node.
   Before sets are merged, the sizes of their parts between fixed pivots do so once more.
 * Each pair is verified once.
 
-Groups. A prefix n-gram that more than `few` nodes share is not expanded into pairs. Each node is
-verified against the hub of its length class, and the links found so far give components. Only
-nodes of different components are of interest then, and a group that is one component is done.
-For the others, sets are replaced by their differences from the hub: x and y link only if these
-share most of their n-grams, so the same prefix join runs again on the differences, whose n-grams
-are rare where the group's are not. (A node that does not link with its hub c cannot link with one
-whose difference shares nothing with its own: |D_y| - n_y/r is least for c itself.) Levels repeat
-until no group is open, LEVELS times at most; then what is open is compared pair by pair. Nothing
-is capped.
+Groups. Of the texts that share a prefix n-gram no pairs are made at first: each is verified against
+the hub of its length class, so a group of m makes m rows, and the links found give components.
+Only pairs of different components are of interest then, and a group that is one component is
+done. In the rest, an n-gram that at most `few` nodes have in the part of the prefix that the
+smaller of two sets needs (its index prefix) makes these nodes' pairs; one with more nodes is
+verified against its hubs once more, and sets are replaced by their differences from the hub: x and
+y link only if these share most of their n-grams, so the same prefix join runs again on the
+differences, whose n-grams are rare where the group's are not. (A node that does not link with its
+hub c cannot link with one whose difference shares nothing with its own: |D_y| - n_y/r is least for
+c itself.) Levels repeat until no group is open. Each level takes the hubs at least out of a group,
+and from DEEP levels on `few` doubles, so levels end. Nothing is capped, and no group is expanded
+into all pairs while hubs still divide it.
 """
 
 from __future__ import annotations
@@ -35,16 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.bytehash import Spans, mix, pack, starts_of, unpack
-from touchline.llm.util import components, stored
+from touchline.llm.util import components, few_rows, forget, fresh, stored
 
 N, PERCENT = 5, 80
-FEW = 64
-#: Levels of hubs; groups that are left then are compared pair by pair.
-LEVELS = 8
+#: An n-gram that more nodes have in their index prefix goes by hubs.
+FEW = 8
 #: In one batch: an n-gram with more nodes is sent as a summary, its rows go another way.
 FEW_IN_BATCH = 32
-#: The same for the later levels: few nodes are apart from the others then, so larger groups are compared at once.
-FEW_DEEP, FEW_DEEP_IN_BATCH = 4096, 2048
+#: From this level on `few` doubles from level to level: what hubs do not tell apart is compared directly in the end.
+DEEP = 3
+#: Bytes of rows that a task of the group step takes, about.
+BUCKET_BYTES = 16 << 20
 RANGE_BITS = 18
 _LEAST = -(1 << 63)
 _BLOCK = 1 << 19
@@ -59,7 +63,10 @@ _ROW, _SUMMARY, _HOT = 0, 1, 2
 _KINDS = ("<u8", "<i8", "<i4", "<i4", "<i4", "<i8")  # n-gram, node, set size, difference size, place, component so far
 _OUT = "kind int, key long, x long, y long, n int"
 _CHECKED = "x long, y long, linked boolean, n int, d int, keys binary"
-_PAIR, _HUB, _MEMBER = 0, 1, 2
+#: Pairs to verify; a member and its hub; and both apart, for n-grams whose rows are in several buckets.
+_PAIR, _OF_HUB, _HUB, _MEMBER = 0, 1, 2, 3
+#: What a level does: sets by hubs alone, sets, differences from hubs.
+_HUBS, _SETS, _DIFFERENCES = 0, 1, 2
 
 
 def gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -182,16 +189,16 @@ def _deal(columns: list[np.ndarray], buckets: int, most: float) -> list[tuple[in
     begin = np.flatnonzero(starts_of(key))
     size = np.diff(np.append(begin, len(key)))
     hot = np.repeat(size > most, size)
+    summary = _summary(*(c[hot] for c in columns))
     out = []
-    for kind, chosen, bucket in ((_ROW, ~hot, _to_buckets(key, buckets)), (_HOT, hot, _to_buckets(key ^ node.astype(np.uint64), buckets))):
-        at = np.flatnonzero(chosen)
-        at = at[np.argsort(bucket[at], kind="stable")]
+    for kind, own, bucket in (
+        (_ROW, [c[~hot] for c in columns], _to_buckets(key[~hot], buckets)),
+        (_HOT, [c[hot] for c in columns], _to_buckets(key[hot] ^ node[hot].astype(np.uint64), buckets)),
+        (_SUMMARY, summary, _to_buckets(summary[0], buckets)),
+    ):
+        at = np.argsort(bucket, kind="stable")
         cut = np.append(np.flatnonzero(starts_of(bucket[at])), len(at))
-        out += [(int(bucket[at[a]]), kind, pack(*(c[at[a:b]] for c in columns))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    hubs = _hubs(*(columns[i][hot] for i in (0, 1, 2)))
-    for b in np.unique(_to_buckets(hubs[0], buckets)):
-        own = _to_buckets(hubs[0], buckets) == b
-        out.append((int(b), _SUMMARY, pack(*(x[own] for x in hubs))))
+        out += [(int(bucket[at[a]]), kind, pack(*(c[at[a:b]] for c in own))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
     return out
 
 
@@ -200,63 +207,92 @@ def _class(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
 
 
-def _hubs(key: np.ndarray, node: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first node of each n-gram and set size: what any choice of hubs needs to know."""
+def _summary(key: np.ndarray, node: np.ndarray, n: np.ndarray, d: np.ndarray, place: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
+    """Of each n-gram and set size the first node, with the least and with the greatest component: what any choice of hubs needs to know."""
     order = np.lexsort((node, n, key))
-    key, node, n = key[order], node[order], n[order]
-    new = starts_of(key, n)
-    return key[new], node[new], n[new]
+    key, node, n, d, place, part = (c[order] for c in (key, node, n, d, place, part))
+    new = np.flatnonzero(starts_of(key, n))
+    if not len(new):
+        return [key, node, n, d, place, part]
+    lo, hi, place = np.minimum.reduceat(part, new), np.maximum.reduceat(part, new), np.minimum.reduceat(place, new)
+    more = np.flatnonzero(lo < hi)
+    both = np.append(new, new[more])
+    return [key[both], node[both], n[both], d[both], np.append(place, place[more]), np.append(lo, hi[more])]
 
 
-def _groups(percent: int, few: int, last: bool):
-    """Over a bucket: pairs of small groups, hubs of large ones."""
+def _index_prefix(n: np.ndarray, d: np.ndarray, percent: int, differences: bool) -> np.ndarray:
+    """How many first n-grams of the smaller one of two sets (or differences) that link hold one that both share."""
+    if differences:
+        return np.minimum(d, slack(n, n * 100 // percent, percent) // 2 + 1)
+    return n - -(-2 * percent * n // (100 + percent)) + 1
+
+
+def _groups(percent: int, few: int, stage: int):
+    """Over a bucket: pairs, and members with their hubs."""
 
     def frame(kind: int, key, x, y, n) -> pd.DataFrame:
         size = len(x)
         return pd.DataFrame({"kind": np.full(size, kind), "key": np.broadcast_to(key, size), "x": x, "y": np.broadcast_to(y, size), "n": np.broadcast_to(n, size)})
 
+    def once(kind: int, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((y, x))
+        new = starts_of(x[order], y[order])
+        return frame(kind, 0, x[order][new], y[order][new], 0)
+
+    def decoded(g: pd.DataFrame, kind: int) -> list[np.ndarray]:
+        rows = [unpack(b, *_KINDS) for b in g["payload"][g["kind"] == kind]]
+        return [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.empty(0, k) for k in _KINDS]
+
     def of(g: pd.DataFrame) -> pd.DataFrame:
-        rows = [unpack(b, *_KINDS) for b in g["payload"][g["kind"] == _ROW]]
-        summed = [unpack(b, "<u8", "<i8", "<i4") for b in g["payload"][g["kind"] == _SUMMARY]]
-        hot = [unpack(b, *_KINDS) for b in g["payload"][g["kind"] == _HOT]]
-        out = [frame(_PAIR, 0, np.empty(0, np.int64), 0, 0)]
-        for key, node, n, *_ in hot:
-            out.append(frame(_MEMBER, key.astype(np.int64), node, 0, n))
-        key, node, n, d, place, part = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else (np.empty(0, k) for k in _KINDS)
-        skey, snode, sn = (np.concatenate(c) for c in zip(*summed, strict=True)) if summed else (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32))
+        rows, summed, hot = (decoded(g, kind) for kind in (_ROW, _SUMMARY, _HOT))
+        out = [frame(_MEMBER, hot[0].astype(np.int64), hot[1], 0, hot[2])]
+        spread = np.arange(len(rows[0]) + len(summed[0])) >= len(rows[0])
+        key, node, n, d, place, part = (np.concatenate(c) for c in zip(rows, summed, strict=True))
         order = np.lexsort((node, n, key))
-        key, node, n, d, place, part = (c[order] for c in (key, node, n, d, place, part))
+        key, node, n, d, place, part, spread = (c[order] for c in (key, node, n, d, place, part, spread))
+        if not len(key):
+            return out[0]
         n, d, place = n.astype(np.int64), d.astype(np.int64), place.astype(np.int64)
+        index = (place < _index_prefix(n, d, percent, stage == _DIFFERENCES)) | spread
         begin = np.flatnonzero(starts_of(key))
         size = np.diff(np.append(begin, len(key)))
-        large_keys = np.unique(skey)
-        is_hot = np.isin(key[begin], large_keys)
-        open_ = np.maximum.reduceat(part, begin) > np.minimum.reduceat(part, begin) if len(begin) else np.empty(0, bool)  # else one component
-        is_large = is_hot | ((size > few) & open_ & (not last))
-        # pairs of small groups: every row with the k-th after it
-        small = np.repeat(~is_large & open_, size)
-        left = np.repeat(begin + size, size) - np.arange(len(key)) - 1
-        left[~small] = 0
-        at, k = np.flatnonzero(left > 0), 1
-        while len(at):
-            a, b = at, at + k
+        n_index = np.add.reduceat(index.astype(np.int64), begin)
+        is_open = (np.maximum.reduceat(part, begin) > np.minimum.reduceat(part, begin)) & (n_index > 0)  # else one component
+        is_spread = np.maximum.reduceat(spread, begin)
+        is_large = is_open & (is_spread | (n_index > few) | (stage == _HUBS))
+        # few nodes in the index: each of them with all others
+        chosen = np.flatnonzero(np.repeat(is_open & ~is_large, size))
+        rank = np.cumsum(index) - np.repeat(np.cumsum(n_index) - n_index, size)  # from 1, of the index rows of a group
+        at = np.flatnonzero(index)
+        xs, ys = [], []
+        for k in range(int(n_index[is_open & ~is_large].max(initial=0))):
+            kth = np.full(len(begin), -1)
+            own = at[rank[at] == k + 1]
+            kth[np.searchsorted(begin, own, "right") - 1] = own
+            a, b = np.repeat(kth, size)[chosen], chosen
+            b, a = b[a >= 0], a[a >= 0]
             room = slack(n[a], n[b], percent)
             need = -(-(d[a] + d[b] - room) // 2)
-            fits = (n[b] - n[a] <= room) & (np.minimum(d[a] - place[a], d[b] - place[b]) >= need) & (part[a] != part[b])
-            a, b = a[fits], b[fits]
-            out.append(frame(_PAIR, 0, np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), 0))
-            k += 1
-            at = at[left[at] >= k]
-        # hubs of large groups, one for each length class
+            fits = (np.abs(n[b] - n[a]) <= room) & (np.minimum(d[a] - place[a], d[b] - place[b]) >= need) & (part[a] != part[b])
+            fits &= (d[a] <= d[b]) & ((d[a] < d[b]) | (a < b) | ~index[b])
+            xs.append(np.minimum(node[a], node[b])[fits])
+            ys.append(np.maximum(node[a], node[b])[fits])
+        if xs:
+            out.append(once(_PAIR, np.concatenate(xs), np.concatenate(ys)))
+        # the others: members with the hubs of their length class and of the one below
         big = np.repeat(is_large, size)
-        mkey, mnode, mn = key[big], node[big], n[big]
-        out.append(frame(_MEMBER, mkey.astype(np.int64), mnode, 0, mn))
-        hkey, hnode, hn = np.append(mkey, skey), np.append(mnode, snode), np.append(mn, sn)
-        order = np.lexsort((hnode, hn, hkey))
-        hkey, hnode, hn = hkey[order], hnode[order], hn[order]
-        cls = _class(hn, percent)
-        new = starts_of(hkey, cls) if len(hkey) else np.empty(0, bool)
-        out.append(frame(_HUB, hkey[new].astype(np.int64), hnode[new], 0, cls[new]))
+        key, node, n, spread, whole = key[big], node[big], n[big], spread[big], ~np.repeat(is_spread, size)[big]
+        if len(key):
+            cls = _class(n, percent)
+            new = starts_of(key, cls)
+            first, run = np.flatnonzero(new), np.cumsum(new) - 1
+            below = np.maximum(run - 1, 0)
+            near = (run > 0) & (key[first[below]] == key) & (cls[first[below]] == cls - 1)
+            x = np.concatenate((node[whole], node[whole & near]))
+            y = np.concatenate((node[first[run]][whole], node[first[below]][whole & near]))
+            out.append(once(_PAIR if stage == _HUBS else _OF_HUB, x[x != y], y[x != y]))
+            out.append(frame(_MEMBER, key[~whole & ~spread].astype(np.int64), node[~whole & ~spread], 0, n[~whole & ~spread]))
+            out.append(frame(_HUB, key[new & ~whole].astype(np.int64), node[new & ~whole], 0, cls[new & ~whole]))
         return pd.concat(out, ignore_index=True)
 
     return of
@@ -300,16 +336,21 @@ def _dealer(buckets: int, most: float):
     return of
 
 
+def _bucket_count(rows: DataFrame) -> int:
+    """Buckets for the group step: as many as there are shuffle partitions, or as the bytes of the rows ask for."""
+    size = rows.agg(F.sum(F.length("keys"))).first()[0] or 0  # 8 of the 36 bytes of a row
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size * 36 // 8 // BUCKET_BYTES))
+
+
 def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = FEW, buckets: int | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
 
     Words are runs of characters other than white space, A-Z lower-cased; a text with fewer than n
     words is one n-gram, one without words or null has none and links with nothing. Rows that
     share a doc_id are one document of several versions and so linked with each other; null sorts
-    before all ids and is a document too. Other columns are ignored; an empty table gives no rows.
+    before all ids and is a document too. A text of any length is one set, held whole by a task.
+    Other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = gram_counts(keyed, n)
 
@@ -322,53 +363,71 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
                 rows.append((i, size, *set_key(s), first.tobytes(), sketch(s) if len(first) else b""))
             yield pd.DataFrame(rows, columns=["id", "n", "a", "b", "prefix", "sketch"])
 
+    def make_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, s.tobytes()) for i, a, z, s in zip(b["id"], b["a"], b["b"], gram_sets(b["text"].tolist(), n), strict=True) if set_key(s) == (a, z)]
+            yield pd.DataFrame(rows, columns=["node", "grams"])
+
     seen = stored(keyed.mapInPandas(prefixes, "id long, n int, a long, b long, prefix binary, sketch binary"), "prefixes")
     nodes = stored(seen.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("id", "prefix", "sketch")).alias("m")).select("a", "b", "n", F.col("m.id").alias("node"), F.col("m.prefix").alias("prefix"), F.col("m.sketch").alias("sketch")), "nodes")
 
-    rows = nodes.where("length(prefix) > 0").select("node", "n", F.col("n").alias("d"), F.col("node").alias("part"), F.col("prefix").alias("keys"))
+    ends = lambda df: df.select(F.col("x").alias("node")).union(df.select("y")).distinct()
     of_node = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    known, done, sets, last_hubs, level = None, None, None, None, 0
-    log_ratio = float(np.log(100 / percent))
+    length_class = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(float(np.log(100 / percent))) + F.lit(1e-9)).cast("int")
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().join(of_node("x"), "x").join(of_node("y"), "y").mapInPandas(_may_link(percent), "x long, y long, hub boolean")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        used = stored(ends(pairs).join(nodes.select("node", "a", "b"), "node").withColumnRenamed("node", "id"), "used")
+        return stored(keyed.join(few_rows(used), "id").mapInPandas(make_sets, "node long, grams binary"), "sets")
+
+    whole = nodes.where("length(prefix) > 0").select("node", "n", F.col("n").alias("d"), F.col("prefix").alias("keys"))
+    rows = whole.withColumn("part", F.col("node"))
+    known, done, sets, level = None, None, None, 0
     while True:
-        late = level >= LEVELS // 2  # by now what can link with a hub has done so
-        most = np.inf if level >= LEVELS else FEW_DEEP_IN_BATCH if late else FEW_IN_BATCH
-        dealt = rows.mapInPandas(_dealer(buckets, most), _ROWS)
-        grouped = stored(dealt.groupBy("bucket").applyInPandas(_groups(percent, FEW_DEEP if late else few, level >= LEVELS), _OUT), "groups")
-        length_class = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(log_ratio) + F.lit(1e-9)).cast("int")
+        stage, now = min(level, _DIFFERENCES), few << max(0, level - DEEP)
+        own = buckets or _bucket_count(rows)
+        dealt = rows.mapInPandas(_dealer(own, max(FEW_IN_BATCH, now)), _ROWS)
+        grouped = stored(dealt.groupBy("bucket").applyInPandas(_groups(percent, now, stage), _OUT), "groups")
         members = grouped.where(f"kind = {_MEMBER}").select("key", F.col("x").alias("member"), length_class.alias("own"))
         hubs = grouped.where(f"kind = {_HUB}").select("key", F.col("x").alias("hub_node"), F.col("n").alias("class"))
-        of_hub = members.join(hubs, "key").where("(own = class or own = class + 1) and member != hub_node").select(F.col("member").alias("x"), F.col("hub_node").alias("y"), F.lit(True).alias("hub"))
+        apart = members.join(hubs, "key").where("(own = class or own = class + 1) and member != hub_node").select(F.col("member").alias("x"), F.col("hub_node").alias("y"))
+        of_hub = grouped.where(f"kind = {_OF_HUB}").select("x", "y").union(apart).withColumn("hub", F.lit(stage != _HUBS))
         pairs = grouped.where(f"kind = {_PAIR}").select("x", "y", F.lit(False).alias("hub"))
-        if done is not None:
-            pairs = pairs.join(done, ["x", "y"], "left_anti")
-        if level == 0:  # later pairs share most of their n-grams, sketches would leave nearly all
-            pairs = pairs.distinct().join(of_node("x"), "x").join(of_node("y"), "y").mapInPandas(_may_link(percent), "x long, y long, hub boolean")
-        pairs = stored(pairs.union(of_hub).distinct(), "pairs")
-        if sets is None:
-
-            def make_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for b in batches:
-                    rows = [(i, s.tobytes()) for i, a, z, s in zip(b["id"], b["a"], b["b"], gram_sets(b["text"].tolist(), n), strict=True) if set_key(s) == (a, z)]
-                    yield pd.DataFrame(rows, columns=["node", "grams"])
-
-            used = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(nodes.select("node", "a", "b"), "node")
-            sets = stored(keyed.join(used.withColumnRenamed("node", "id"), "id").mapInPandas(make_sets, "node long, grams binary"), "sets")
-        elif last_hubs is not None:  # later levels concern the members of large groups alone
-            members = last_hubs.select(F.col("x").alias("node")).union(last_hubs.select("y")).distinct()
-            sets = stored(sets.join(members, "node"), "sets")
+        if stage == _HUBS:
+            tried = stored(pairs.union(of_hub).distinct(), "tried")
+            pairs = stored(sketched(tried), "pairs")
+        else:
+            pairs = pairs.distinct().join(done, ["x", "y"], "left_anti")
+            if stage == _SETS:  # later pairs share most of their n-grams, sketches would leave nearly all
+                pairs = sketched(pairs)
+            pairs = stored(pairs.union(of_hub.distinct()), "pairs")
+        before = sets
+        if stage == _DIFFERENCES:  # these levels concern members of large groups alone
+            sets = stored(sets.join(ends(pairs), "node"), "sets")
+        else:
+            sets = sets_of(pairs)
         of_x, of_y = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"set_{c}")) for c in "xy")
         checked = stored(pairs.join(of_y, "y").join(of_x, "x").select("x", "y", "hub", "set_x", "set_y").mapInPandas(_verify(percent, counts), _CHECKED), "checked")
-        links = checked.where("linked").select(F.col("x").alias("u"), F.col("y").alias("v"))
-        known = components(links if known is None else links.union(known.where("node != component")))
-        tried = pairs.where("not hub").select("x", "y")
-        done = tried if done is None else done.union(tried)
-        last_hubs = pairs.where("hub").select("x", "y")
+        links = checked.where("linked and keys is null" if stage == _SETS else "linked").select(F.col("x").alias("u"), F.col("y").alias("v"))  # hubs of sets were known before
+        if known is None or not links.isEmpty():
+            known = components(links if known is None else links.union(known.where("node != component")))
+        last = rows
+        if stage == _HUBS:  # the same prefixes once more, those of nodes that have any in common
+            done = pairs.select("x", "y")
+            parts = ends(tried).join(known, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+            rows = stored(whole.join(parts, "node"), "rows")
+        else:
+            done = done.union(pairs.where("not hub").select("x", "y"))
+            differ = checked.where("keys is not null").join(known, F.col("x") == F.col("node"), "left").withColumn("part", F.coalesce("component", "x"))
+            several = differ.groupBy("y").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("y")
+            rows = stored(differ.select("x", "y", "n", "d", "part", "keys").join(several, "y").select(F.col("x").alias("node"), "n", "d", "keys", "part"), "rows")
+        forget(grouped, checked, *([] if before is None else [before]), *([last] if level else []))
         level += 1
-        apart = checked.where("keys is not null").join(known, F.col("x") == F.col("node"), "left").withColumn("part", F.coalesce("component", "x"))
-        several = apart.groupBy("y").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("y")
-        rows = stored(apart.select("x", "y", "n", "d", "part", "keys").join(several, "y").select(F.col("x").alias("node"), "n", "d", "part", "keys"), "rows")
         if rows.isEmpty():
             break
+    forget(sets)
 
     placed = seen.select("id", "n", "a", "b").join(nodes.select("a", "b", "n", "node"), ["a", "b", "n"], "left").select("id", "n", F.coalesce("node", "id").alias("node"))
     versions = placed.where("n > 0").groupBy("id").agg(F.collect_set("node").alias("nodes")).where("size(nodes) > 1").select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v"))
@@ -378,6 +437,12 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
 
 
 def keep_one(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The documents that are the smallest of their component, columns as in the input."""
-    linked = link_texts(docs, n, percent).where("not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(linked, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The documents that are the smallest of their component, columns as in the input.
+
+    Null and empty texts link with nothing and stay, rows that repeat an id and a text stay or go
+    together, and so do all versions of an id; a null id is the smallest of all. No name of a
+    column clashes with those used here; an empty table gives an empty table.
+    """
+    gone = fresh(docs, "gone")
+    linked = stored(link_texts(docs, n, percent).where("not doc_id <=> component_id").select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    return docs.join(few_rows(linked), docs["doc_id"].eqNullSafe(F.col(gone)), "left_anti")
