@@ -84,10 +84,10 @@ def test_rivalries(spark):
 
 
 def test_finance_errors(spark):
-    rows = [("a", 2024, "full", 5, 3, "wages", "[]"), ("a", 2024, "abridged", 5, None, None, None), ("a", None, "full", None, None, None, None), ("a", 2024, "odd", None, None, None, "{}"), ("z", 2024, "full", 5, 3, "", "[")]
+    rows = [("a", 2024, "full", 5, 3, "excl_amortisation", "[]"), ("a", 2024, "small_company", 5, None, None, None), ("a", None, "full", None, None, None, None), ("a", 2024, "odd", None, None, None, "{}"), ("z", 2024, "full", 5, 3, "", "["), ("a", 2025, "dissolved", None, None, "wages", None)]
     df = spark.createDataFrame(rows, "club_id string, season_end_year int, disclosure string, turnover long, staff_costs long, staff_costs_definition string, flags string")
     got = finance_errors(df, spark.createDataFrame([("a",)], "club_id string")).collect()
-    assert sorted(tuple(r.errors) for r in got) == [(), ("bad disclosure", "flags are no JSON array"), ("missing key",), ("money without full disclosure",), ("staff costs without definition", "flags are no JSON array", "unknown club")]
+    assert sorted(tuple(r.errors) for r in got) == [(), ("bad disclosure", "flags are no JSON array"), ("bad staff costs definition",), ("missing key",), ("money without full disclosure",), ("staff costs without definition", "flags are no JSON array", "unknown club")]
 
 
 def test_deduction_errors(spark):

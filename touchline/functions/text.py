@@ -1,12 +1,15 @@
-"""Column functions for seasons, names, numbers and money. All stay in the JVM."""
+"""Column functions for seasons, names, numbers and money. All stay in the JVM but for names outside ASCII."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Letters with marks and their plain forms, for names of European clubs (fixed values).
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžčćđłńśźżęąőű", "aaaaaaceeeeiiiinoooooouuuuyyszccdlnszzeaou"
+#: Forms of the apostrophe that names drop (fixed values).
 APOSTROPHES = "'‘’ʼ´`"
 
 
@@ -36,9 +39,19 @@ def is_published(season: Column, today: Column) -> Column:
     return today >= F.make_date(season - 1, F.lit(8), F.lit(1))
 
 
+def decomposed(name: Column) -> Column:
+    """Compatibility decomposition (NFKD) without combining marks: Spark has no function for it."""
+
+    def of(names: pd.Series) -> pd.Series:  # a local function travels with the job, so executors need no copy of the package
+        return names.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
+
+    return F.pandas_udf(of, StringType())(name)
+
+
 def name_key(name: Column) -> Column:
-    """Letters and digits of a name: marks folded, apostrophes and all else dropped."""
-    return F.regexp_replace(F.translate(F.lower(name), MARKED + APOSTROPHES, PLAIN), "[^a-z0-9]+", "")
+    """Letters and digits of a name: decomposed, marks, apostrophes and all else dropped. Only names outside ASCII leave the JVM."""
+    plain = F.coalesce(decomposed(F.when(name.rlike(r"[^\x00-\x7F]"), name)), name)
+    return F.regexp_replace(F.translate(F.lower(plain), APOSTROPHES, ""), "[^a-z0-9]+", "")
 
 
 def search_key(name: Column) -> Column:
@@ -111,3 +124,13 @@ def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 
 def plural(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
+
+
+def labelled(key: Column, labels: dict) -> Column:
+    """The label of a key in a short literal table; null for others."""
+    return F.element_at(F.create_map(*(F.lit(x) for p in labels.items() for x in p)), key)
+
+
+def thousands(n: Column) -> Column:
+    """12345 -> 12,345."""
+    return F.format_number(n, 0)

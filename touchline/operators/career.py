@@ -25,6 +25,7 @@ def rollup(table: DataFrame) -> DataFrame:
         F.min("season_end_year").alias("first_season_in_db"),
         F.max("season_end_year").alias("last_season_in_db"),
         F.countDistinct("season_end_year").alias("n_seasons"),
+        F.count("*").alias("n_rows"),
         up.alias("total_promotions"),
         down.alias("total_relegations"),
     )
@@ -53,6 +54,7 @@ def bucket_name(bucket: Column, vague: Column) -> Column:
     return out
 
 
+# The wording of labels here is a fixed value, as pages must show it.
 def natural_level(table: DataFrame) -> DataFrame:
     """One row per club: distribution of its window, median tier, kind, label, trend and coverage note."""
     w = gap_filled(table).withColumn("_n", F.row_number().over(Window.partitionBy("club_id").orderBy(F.desc("season_end_year"))))
@@ -135,3 +137,13 @@ def level_panel(levels: DataFrame) -> DataFrame:
     parts = F.array(*(F.struct(F.lit(t).alias("bucket"), F.col(f"n{t}").alias("n")) for t in range(1, 7)))
     percent = F.bround((F.col("p.n") * 100 / F.col("seasons")).cast("decimal(20,8)"), 2).cast("double")
     return levels.select("club_id", "seasons", F.explode(parts).alias("p")).where("p.n > 0").select("club_id", "p.bucket", "p.n", percent.alias("percent"))
+
+
+def level_lines(levels: DataFrame) -> DataFrame:
+    """The sentences of the level panel: window, trend and gap. levels: rows of `trajectory` whose level is known."""
+    n = F.abs("level_gap")
+    recent = bucket_name(F.col("recent_tier"), F.col("coverage_note").isNotNull())
+    window = F.when(F.col("recorded") < F.col("seasons"), F.concat(F.col("seasons").cast("string"), F.lit(" seasons, "), F.col("recorded").cast("string"), F.lit(" of them inside the top five tiers"))).otherwise(F.concat(F.col("seasons").cast("string"), F.lit(" recorded seasons")))
+    trend = F.when(F.col("trend") == "rising", F.concat(F.lit("Rising — the last five seasons average out at "), recent, F.lit("."))).when(F.col("trend") == "falling", F.concat(F.lit("Falling — the last five seasons average out at "), recent, F.lit("."))).when(F.col("trend") == "level", "Holding steady against the previous decade.")
+    gap = F.when(F.col("level_gap") != 0, F.concat(F.lit("Currently "), n.cast("string"), F.lit(" division"), F.when(n > 1, "s").otherwise(""), F.when(F.col("level_gap") > 0, " below").otherwise(" above"), F.lit(" that level.")))
+    return levels.where("natural_tier is not null").select("club_id", "label", window.alias("window_note"), trend.alias("trend_line"), gap.alias("gap_line"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions.text import wage_ratio
+from touchline.functions.text import json_strings, labelled, money, ordinal, season_label, wage_ratio
 from touchline.operators.pyramid import overall_positions
+from touchline.plans.rules import CONSOLIDATION_LEVELS, DISCLOSURES, FLAG_LABELS, STAFF_COSTS_DEFINITIONS
 
 MONEY = ("turnover", "staff_costs", "profit_before_tax", "net_debt", "revenue_matchday", "revenue_broadcast", "revenue_commercial")
-DISCLOSURES = ("full", "abridged", "exempt")
 
 
 def with_errors(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -29,17 +29,20 @@ def finance_errors(rows: DataFrame, clubs: DataFrame | None = None) -> DataFrame
     }
     if "staff_costs_definition" in rows.columns:
         checks["staff costs without definition"] = F.col("staff_costs").isNotNull() & F.nullif(F.trim("staff_costs_definition"), F.lit("")).isNull()
+        checks["bad staff costs definition"] = ~F.nullif(F.trim("staff_costs_definition"), F.lit("")).isin(*STAFF_COSTS_DEFINITIONS)
+    if "consolidation_level" in rows.columns:
+        checks["bad consolidation level"] = ~F.nullif(F.trim("consolidation_level"), F.lit("")).isin(*CONSOLIDATION_LEVELS)
     if "flags" in rows.columns:
         checks["flags are no JSON array"] = F.col("flags").isNotNull() & (F.trim("flags") != "") & (F.from_json("flags", "array<string>").isNull() | ~F.trim("flags").startswith("["))
     if clubs is not None:
-        known = F.broadcast(clubs.select("club_id").distinct().withColumn("_known", F.lit(True)))  # the club dimension
+        known = clubs.select("club_id").distinct().withColumn("_known", F.lit(True))
         rows = rows.join(known, "club_id", "left")
         checks["unknown club"] = F.col("club_id").isNotNull() & F.col("_known").isNull()
     return with_errors(rows, checks).drop("_known")
 
 
 def deduction_errors(rows: DataFrame, clubs: DataFrame) -> DataFrame:
-    known = F.broadcast(clubs.select("club_id").distinct().withColumn("_known", F.lit(True)))  # the club dimension
+    known = clubs.select("club_id").distinct().withColumn("_known", F.lit(True))
     checks = {
         "unknown club": F.col("_known").isNull(),
         "missing season or points": F.col("season_end_year").isNull() | F.col("points").isNull(),
@@ -66,7 +69,7 @@ def disclosure_counts(accounts: DataFrame, table: DataFrame) -> DataFrame:
     """Per season: clubs in the tiers, and how many disclosed or withheld their accounts."""
     j = table.where("tier <= 5").join(accounts.select("club_id", "season_end_year", "disclosure"), ["club_id", "season_end_year"], "left")
     return j.groupBy("season_end_year").agg(
-        F.count("*").alias("in_season"), F.count(F.when(F.col("disclosure") == "full", 1)).alias("disclosed"), F.count(F.when(F.col("disclosure").isin("abridged", "exempt"), 1)).alias("withheld")
+        F.count("*").alias("in_season"), F.count(F.when(F.col("disclosure") == "full", 1)).alias("disclosed"), F.count(F.when(F.col("disclosure").isin(*[d for d in DISCLOSURES if d != "full"]), 1)).alias("withheld")
     )
 
 
@@ -111,3 +114,28 @@ def y_axis(points: DataFrame, scale: str) -> DataFrame:
     span = hi - lo
     pad = F.greatest(F.lit(0.05), span * 0.08) if scale == "log" else F.greatest(F.lit(1.0), span * 0.08) if scale == "signed" else F.greatest(F.lit(1.0), F.bround(span * 0.08, 0))
     return b.select((F.greatest(F.lit(0.0), lo - pad) if scale == "linear" else lo - pad).alias("lo"), (hi + pad).alias("hi"))
+
+
+def breakdown(*parts: tuple[str, Column]) -> Column:
+    """`matchday £2.1m · broadcast £5.0m`, of the parts that are known; null where none is."""
+    known = F.array_compact(F.array(*(F.when(c.isNotNull(), F.concat(F.lit(f"{name} "), money(c))) for name, c in parts)))
+    return F.when(F.size(known) > 0, F.array_join(known, " · "))
+
+
+def account_notes(accounts: DataFrame) -> DataFrame:
+    """Per account what has to be read with it: disclosure_note, period_note, flag_notes (the known flags in order of their keys)."""
+    months = F.col("period_months")
+    flags = F.array_sort(F.array_distinct(F.filter(json_strings(F.col("flags")), lambda f: f.isin(*FLAG_LABELS))))
+    full = F.col("disclosure") == "full"
+    return accounts.withColumns({
+        "disclosure_note": labelled(F.col("disclosure"), {k: v for k, v in DISCLOSURES.items() if v}),
+        "period_note": F.when(full & months.isNotNull() & ~months.isin(0, 12), F.concat(months.cast("string"), F.lit("-month period"))),
+        "flag_notes": F.transform(flags, lambda f: labelled(f, FLAG_LABELS)),
+    })
+
+
+def rank_titles(ranked: DataFrame, noun: str) -> DataFrame:
+    """ranked: club_id, season_end_year, rank, published, division_name. Adds short (`2nd of 20`) and title, as pages show ranks."""
+    place = F.when(F.col("rank") == 1, "Highest").otherwise(F.concat(ordinal(F.col("rank")), F.lit(" highest")))
+    title = F.concat(place, F.lit(f" {noun} of the "), F.col("published").cast("string"), F.lit(" clubs with published figures in "), F.col("division_name"), F.lit(", "), season_label(F.col("season_end_year")))
+    return ranked.withColumns({"short": F.concat(ordinal(F.col("rank")), F.lit(" of "), F.col("published").cast("string")), "title": title})

@@ -11,7 +11,8 @@ def top(df: DataFrame, n: int, *order) -> DataFrame:
 
 
 def yo_yo_table(careers: DataFrame, n: int = 25) -> DataFrame:
-    return top(careers.where("n_seasons >= 5"), n, F.desc("yo_yo_score"), F.desc("n_seasons"), "club_id")
+    """Clubs with five season rows or more, by score, then by the number of rows."""
+    return top(careers.where("n_rows >= 5"), n, F.desc("yo_yo_score"), F.desc("n_rows"), "club_id")
 
 
 def level_table(careers: DataFrame, above: bool, n: int = 25) -> DataFrame:
@@ -20,11 +21,13 @@ def level_table(careers: DataFrame, above: bool, n: int = 25) -> DataFrame:
 
 
 def fallen_giants(careers: DataFrame) -> DataFrame:
-    return careers.where("highest_tier = 1 and current_tier >= 3")
+    """The lowest first, then those that left the top longest ago."""
+    return careers.where("highest_tier = 1 and current_tier >= 3").orderBy(F.desc("current_tier"), "last_tier1_season", "club_id")
 
 
 def risers(careers: DataFrame) -> DataFrame:
-    return careers.where("first_tier >= 4 and current_tier <= 2")
+    """The highest first, then those that came from furthest down."""
+    return careers.where("first_tier >= 4 and current_tier <= 2").orderBy("current_tier", F.desc("first_tier"), "club_id")
 
 
 def records(table: DataFrame, kind: str, min_played: int = 30, n: int = 10) -> DataFrame:

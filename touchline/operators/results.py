@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.standings import perspectives
-from touchline.plans.rules import TIER_WEIGHT
+from touchline.plans.rules import FOLLOWED_CLUBS, TIER_WEIGHT
 
 
 def head_to_head(matches: DataFrame) -> DataFrame:
@@ -18,12 +20,18 @@ def head_to_head(matches: DataFrame) -> DataFrame:
     return m.groupBy("club_a", "club_b").agg(F.count("*").alias("total"), count(F.col("winner") == F.col("club_a")).alias("wins_a"), count(F.col("winner") == F.col("club_b")).alias("wins_b"), count(F.col("winner").isNull()).alias("draws"))
 
 
-def recent_form(matches: DataFrame, ties: list[str], n: int = 5) -> DataFrame:
-    """The last n dated results of each club's latest season, newest first, as a string such as WWDLW."""
+def recent_form(matches: DataFrame, ties: list[str], n: int = 5, salts: int = 32) -> DataFrame:
+    """The last n dated results of each club's latest season, newest first, as a string such as WWDLW.
+
+    The latest season comes from a grouped maximum; of its matches the last n are taken in `salts`
+    parts of a club first, so that a club with very many matches is never ranked in one task.
+    """
     own = perspectives(matches.where("match_date is not null"), "season_end_year", "match_date", *ties)
-    rank = F.row_number().over(Window.partitionBy("club_id").orderBy(F.desc("season_end_year"), F.desc("match_date"), *(F.desc(t) for t in ties)))
-    latest = F.max("season_end_year").over(Window.partitionBy("club_id"))
-    top = own.withColumns({"_n": rank, "_latest": latest}).where(f"_n <= {n} and season_end_year = _latest")
+    latest = own.groupBy("club_id").agg(F.max("season_end_year").alias("season_end_year"))
+    last = own.join(latest, ["club_id", "season_end_year"]).withColumn("_salt", F.pmod(F.xxhash64(*ties), F.lit(salts)))
+    newest = [F.desc("match_date"), *(F.desc(t) for t in ties)]
+    part = last.withColumn("_n", F.row_number().over(Window.partitionBy("club_id", "_salt").orderBy(*newest))).where(F.col("_n") <= n)
+    top = part.withColumn("_n", F.row_number().over(Window.partitionBy("club_id").orderBy(*newest))).where(F.col("_n") <= n)  # n rows of each salt
     g = top.groupBy("club_id").agg(F.first("season_end_year").alias("season_end_year"), F.array_sort(F.collect_list(F.struct("_n", "result"))).alias("r"))
     return g.select("club_id", "season_end_year", F.concat_ws("", F.col("r.result")).alias("form"))
 
@@ -41,10 +49,26 @@ def highest_since(table: DataFrame) -> DataFrame:
     return now.groupBy("club_id").agg(F.max(as_high).alias("highest_since"))
 
 
-def club_context(table: DataFrame, careers: DataFrame) -> DataFrame:
-    """What a preview says of a club: career, latest status and position."""
-    latest = last_seasons(table, 1).select("club_id", F.col("status").alias("last_status"), F.col("position").alias("last_position"))
-    return careers.join(latest, "club_id", "left").join(highest_since(table), "club_id", "left")
+def club_context(table: DataFrame, careers: DataFrame, form: DataFrame | None = None) -> DataFrame:
+    """What a preview says of a club: career, latest status, position, points and matches, the last five seasons, form (club_id, form).
+
+    Points and matches are null where the table has none.
+    """
+    of = lambda c: F.col(c) if c in table.columns else F.lit(None).cast("long")
+    latest = last_seasons(table.withColumns({"points": of("points"), "played": of("played")}), 5)
+    season = F.struct(*(c for c in ("season_end_year", "tier", "position", "points", "status")))
+    recent = latest.groupBy("club_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("nth", season.alias("s")))), lambda x: x["s"]).alias("recent_seasons"),
+        *(F.max(F.when(F.col("nth") == 1, F.col(c))).alias(f"last_{c}") for c in ("status", "position", "points", "played")),
+    )
+    known = careers.join(recent, "club_id", "left").join(highest_since(table), "club_id", "left")
+    return known.withColumn("form", F.lit(None).cast("string")) if form is None else known.join(form.select("club_id", "form"), "club_id", "left")
+
+
+def followed(env: str | None = None) -> list[str]:
+    """Clubs that previews favour: the configured ones and those of a comma-separated list (by default FOLLOWED_CLUBS of the environment)."""
+    given = os.environ.get("FOLLOWED_CLUBS", "") if env is None else env
+    return sorted({*FOLLOWED_CLUBS, *(x.strip() for x in given.split(",") if x.strip())})
 
 
 def fixture_window(fixtures: DataFrame, today: Column, days: int = 8) -> DataFrame:

@@ -2,17 +2,52 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from touchline.functions.text import first_year, plural, season_label, season_of_year
+from touchline.functions.text import first_year, labelled, plural, season_label, season_of_year, thousands
+from touchline.plans.rules import ORIGIN_LABELS, OWNERSHIP_LABELS, STADIUM_OWNERSHIP_LABELS
 
-FACTS = """struct<founded:int,nickname:string,ownership_model:string,owner:string,owner_since:int,
+FACTS = """struct<founded:int,origin_type:string,origin_note:string,nickname:string,ownership_model:string,owner:string,owner_since:int,multi_club_group:string,
 administration:array<struct<year:int,points_deducted:int,note:string>>,points_deductions:array<struct<season_end_year:int,points:int,reason:string>>,
-rivalries:array<struct<opponent:string,name:string,note:string>>,capacity:int,stadium:string,exile:array<struct<venue:string,seasons:string,distance_miles:int>>,
+drops:array<struct<season:int,note:string>>,rises:array<struct<season:int,note:string>>,
+rivalries:array<struct<opponent:string,name:string,note:string>>,stadium:string,stadium_opened:int,capacity:int,stadium_ownership:string,pitch_type:string,
+previous_grounds:array<struct<name:string,years:string>>,exile:array<struct<venue:string,seasons:string,distance_miles:int>>,
 ground_grading_denial:array<struct<season_end_year:int,note:string>>,phoenix_of:string,predecessor_folded:int,themes:array<string>,theme_notes:map<string,string>>"""
 
 
+def facts_of(front_matter: Column) -> Column:
+    """The facts struct of a story's YAML front matter; malformed text, or one that is no mapping, gives a struct of nulls."""
+
+    def to_json(fronts: pd.Series) -> pd.Series:
+        import yaml  # needed on executors only where stories are read
+
+        def read(text: str | None) -> str:
+            try:
+                facts = yaml.safe_load(text or "")
+            except yaml.YAMLError:
+                facts = None
+            facts = facts if isinstance(facts, dict) else {}
+            if isinstance(facts.get("themes"), str):
+                facts["themes"] = [facts["themes"]]
+            return json.dumps(facts, default=str)
+
+        return fronts.map(read)
+
+    return F.from_json(F.pandas_udf(to_json, StringType())(front_matter), FACTS)
+
+
+def with_facts(stories: DataFrame) -> DataFrame:
+    """stories of `read_stories` with facts, themes and has_prose: what a club's file says."""
+    read = stories.withColumn("facts", facts_of(F.col("front_matter")))
+    on = themes(read.select("club_id", "facts"))
+    return read.join(on, "club_id").withColumn("has_prose", (F.size("sections") > 0) | (F.col("extra") != ""))
+
+
 def _some(c: Column) -> Column:
     return F.coalesce(F.size(c), F.lit(0)) > 0
 
@@ -34,6 +69,7 @@ def themes(facts: DataFrame) -> DataFrame:
     return facts.select("club_id", F.array_sort(F.array_distinct(F.concat(derived, manual))).alias("themes"))
 
 
+# Labels and texts of events are fixed values, as pages must show them.
 def theme_events(facts: DataFrame) -> DataFrame:
     """club_id, theme, season_end_year, label, text: why a club is on a theme; calendar years move to the season that they end in."""
 
@@ -86,15 +122,65 @@ def rivalries(entries: DataFrame, clubs: DataFrame) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def facts_panel(facts: DataFrame) -> DataFrame:
-    """Label and value of every fact in the order of the panel; blanks are dropped, lists have a row for each entry."""
+def points_lost(facts: DataFrame) -> DataFrame:
+    """The points of all recorded deductions in one row (those named by administrations alone are not among them)."""
+    lost = F.explode(F.transform("facts.points_deductions", lambda e: F.coalesce(e["points"], F.lit(0))))
+    return facts.select(lost.alias("points")).agg(F.coalesce(F.sum("points"), F.lit(0)).alias("points"))
+
+
+def boom_and_bust_stats(events: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row: clubs, events, points and span of the administrations and deductions."""
+    b = boom_and_bust(events).agg(F.countDistinct("club_id").alias("clubs"), F.count("*").alias("events"), F.min("season_end_year").alias("lo"), F.max("season_end_year").alias("hi"))
+    span = F.concat((F.col("lo") - 1).cast("string"), F.lit("–"), F.col("hi").cast("string"))
+    return b.join(points_lost(facts)).select("clubs", "events", "points", span.alias("span"))  # two rows of one
+
+
+# The labels of the panel are fixed values.
+def facts_panel(facts: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Label and value of every fact in the order of the panel; blanks are dropped, lists have a row for each entry.
+
+    names: club_id and name, for the opponents of rivalries; an opponent without a name is shown by its id.
+    """
     f = lambda n: F.col(f"facts.{n}")
-    entry = lambda i, label, value: F.struct(F.lit(i).alias("place"), F.lit(label).alias("label"), value.cast("string").alias("value"))
-    many = lambda i, label, items, value: F.transform(F.coalesce(f(items), F.array()), lambda e: entry(i, label, value(e)))
-    one = F.array(entry(1, "Founded", f("founded")), entry(2, "Owner", f("owner")), entry(3, "Ownership", f("ownership_model")), entry(4, "Successor of", f("phoenix_of")))
-    rows = F.concat(one, many(5, "Administration", "administration", lambda e: e["year"]), many(6, "Points deducted", "points_deductions", lambda e: e["points"]), many(7, "Exiled at", "exile", lambda e: e["venue"]))
-    shown = F.filter(rows, lambda r: r["value"].isNotNull() & (r["value"] != ""))
-    return facts.select("club_id", F.posexplode(shown).alias("n", "r")).select("club_id", "n", "r.label", "r.value")
+    text = lambda c: F.nullif(c.cast("string"), F.lit(""))
+    none = F.lit(None).cast("string")
+    entry = lambda label, value, opponent=none: F.struct(F.lit(label).alias("label"), value.cast("string").alias("value"), opponent.alias("opponent"))
+    add = lambda c, before, after="": F.coalesce(F.concat(F.lit(before), text(c), F.lit(after)), F.lit(""))
+    many = lambda label, items, value, opponent=lambda e: none: F.transform(F.coalesce(f(items), F.array()), lambda e: entry(label, value(e), opponent(e)))
+    nonzero = lambda c: F.nullif(c, F.lit(0))
+    season = lambda c: season_label(nonzero(c))
+    founded, origin = nonzero(f("founded")), labelled(f("origin_type"), ORIGIN_LABELS)
+    dated = lambda e: F.concat(F.coalesce(F.concat(season(e["season"]), F.lit(" · ")), F.lit("")), text(e["note"]))
+    rows = F.concat(
+        F.array(
+            entry("Nickname", f("nickname")),
+            entry("Founded", F.concat(founded.cast("string"), add(origin, " · "))),
+            entry("Origin", F.when(founded.isNull(), origin)),
+            entry("Formed as", f("origin_note")),
+            entry("Owner", F.concat(text(f("owner")), add(nonzero(f("owner_since")), " (since ", ")"))),
+            entry("Ownership model", labelled(f("ownership_model"), OWNERSHIP_LABELS)),
+            entry("Multi-club group", f("multi_club_group")),
+            entry("Stadium", F.concat(text(f("stadium")), add(nonzero(f("stadium_opened")), " (opened ", ")"))),
+            entry("Ground ownership", labelled(f("stadium_ownership"), STADIUM_OWNERSHIP_LABELS)),
+            entry("Capacity", thousands(nonzero(f("capacity")))),
+            entry("Pitch", F.when(f("pitch_type") == "artificial_3g", "Artificial 3G")),
+        ),
+        many("Former ground", "previous_grounds", lambda e: F.concat(text(e["name"]), add(e["years"], " (", ")"))),
+        many("Played home games at", "exile", lambda e: F.concat(text(e["venue"]), add(e["seasons"], " · "), add(nonzero(e["distance_miles"]), " · ~", " miles away"))),
+        many("Administration", "administration", lambda e: F.concat(nonzero(e["year"]).cast("string"), add(nonzero(e["points_deducted"]), " · −", " points"))),
+        many("Points deduction", "points_deductions", lambda e: F.concat(F.lit("−"), nonzero(e["points"]).cast("string"), F.lit(" points"), add(season(e["season_end_year"]), " in "), add(e["reason"], " · "))),
+        many("Ground grading", "ground_grading_denial", lambda e: F.concat(F.coalesce(F.concat(season(e["season_end_year"]), F.lit(" · ")), F.lit("")), F.coalesce(text(e["note"]), F.lit("Promotion denied on ground grading")))),
+        F.array(entry("Successor to", F.concat(text(f("phoenix_of")), add(nonzero(f("predecessor_folded")), " (folded ", ")")))),
+        many("Featured on The drop", "drops", dated),
+        many("Featured on The rise", "rises", dated),
+        many("Rivalry", "rivalries", lambda e: F.when(text(e["opponent"]).isNotNull(), F.concat(add(e["name"], " (", ")"), add(e["note"], " · "))), lambda e: text(e["opponent"])),
+    )
+    shown = F.filter(rows, lambda r: r["value"].isNotNull() & ((r["value"] != "") | r["opponent"].isNotNull()))
+    listed = facts.select("club_id", F.posexplode(shown).alias("n", "r")).select("club_id", "n", "r.*")
+    if names is not None:
+        listed = listed.join(names.select(F.col("club_id").cast("string").alias("opponent"), F.col("name").alias("_name")), "opponent", "left")
+    opponent = F.coalesce("_name", "opponent") if names is not None else F.col("opponent")
+    return listed.select("club_id", "n", "label", F.coalesce(F.concat(F.lit("vs "), opponent, F.col("value")), F.col("value")).alias("value"))
 
 
 def on_chart(events: DataFrame, positions: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def finances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(signed, "club_id").select(
         "club_id",
         "season_end_year",
-        F.when(full, "full").when(key == 5, "abridged").otherwise("exempt").alias("disclosure"),
+        F.when(full, "full").when(key == 5, "small_company").otherwise("not_filed").alias("disclosure"),
         F.when(full, F.col("turnover")).alias("turnover"),
         F.when(full & (key != 4), F.col("staff_costs")).alias("staff_costs"),
         F.when(full, F.col("balance") * (F.col("season_end_year") % 5 - 2)).alias("profit_before_tax"),

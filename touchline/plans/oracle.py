@@ -11,6 +11,7 @@ def _values(rows, names: str) -> str:
 
 
 _pair = lambda r: r or (None, None)
+_ORDINAL = "{0} || CASE WHEN {0} % 100 BETWEEN 10 AND 20 THEN 'th' WHEN {0} % 10 = 1 THEN 'st' WHEN {0} % 10 = 2 THEN 'nd' WHEN {0} % 10 = 3 THEN 'rd' ELSE 'th' END"
 RULE_ROWS = [(t, a, z, n, *_pair(u), *_pair(p), *_pair(q), *_pair(d)) for t, a, z, n, u, p, q, d in RU.RULES]
 RANGES = "up_lo, up_hi, playoff_lo, playoff_hi, po_down_lo, po_down_hi, down_lo, down_hi"
 
@@ -125,7 +126,7 @@ CTE = {
     "fin0": """SELECT l_suppkey AS club_id, (year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) + 1993 AS season_end_year, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::BIGINT AS turnover,
         sum(CAST(round(l_extendedprice * 100 * (1 - l_discount) * (0.4::DOUBLE + (l_suppkey % 7) * 0.125::DOUBLE)) AS BIGINT))::BIGINT AS staff_costs FROM lineitem GROUP BY 1, 2""",
     "fin1": "SELECT f.*, (club_id * 5 + season_end_year * 3) % 7 AS k, CAST(round(s_acctbal * 100) AS BIGINT) AS balance FROM fin0 f JOIN supplier ON s_suppkey = club_id",
-    "fin": """SELECT club_id, season_end_year, CASE WHEN k < 5 THEN 'full' WHEN k = 5 THEN 'abridged' ELSE 'exempt' END AS disclosure, CASE WHEN k < 5 THEN turnover END AS turnover,
+    "fin": """SELECT club_id, season_end_year, CASE WHEN k < 5 THEN 'full' WHEN k = 5 THEN 'small_company' ELSE 'not_filed' END AS disclosure, CASE WHEN k < 5 THEN turnover END AS turnover,
         CASE WHEN k < 4 THEN staff_costs END AS staff_costs, CASE WHEN k < 5 THEN balance * (season_end_year % 5 - 2) END AS profit_before_tax FROM fin1""",
     "placed": "SELECT f.*, tier, position FROM fin f JOIN career USING (club_id, season_end_year)",
     "franks": """SELECT club_id, season_end_year, tier, turnover AS value, rank() OVER (PARTITION BY season_end_year, tier ORDER BY turnover DESC)::BIGINT AS rank, count(*) OVER (PARTITION BY season_end_year, tier)::BIGINT AS published
@@ -151,9 +152,19 @@ CTE = {
         UNION ALL SELECT c, 'fan-owned', y + 1, 'Fans take control', CASE WHEN c % 14 = 2 THEN 'Trust' ELSE 'The supporters'' trust' END || ' took control in ' || y || '.' FROM fc WHERE c % 7 = 2""",
     "member": """SELECT c AS club_id, unnest(list_distinct(list_filter([CASE WHEN c % 5 = 0 THEN 'phoenix' END, CASE WHEN c % 7 = 2 THEN 'fan-owned' END, CASE WHEN c % 6 = 1 THEN 'administration' END,
         CASE WHEN c % 9 = 4 THEN 'points-deductions' END, CASE WHEN c % 11 = 3 OR c % 17 = 1 THEN 'exiled' END, CASE WHEN c % 13 = 5 THEN 'ground-grading' END, CASE WHEN c % 17 = 1 THEN 'special' END], lambda x: x IS NOT NULL))) AS theme FROM fc""",
-    "panel": """SELECT c AS club_id, 1 AS p, 'Founded' AS label, (1880 + c % 120)::VARCHAR AS value FROM fc WHERE c % 5 = 0 UNION ALL SELECT c, 2, 'Owner', 'Trust' FROM fc WHERE c % 14 = 2
-        UNION ALL SELECT c, 3, 'Ownership', 'fan_trust' FROM fc WHERE c % 7 = 2 UNION ALL SELECT c, 4, 'Successor of', 'Old Club' FROM fc WHERE c % 5 = 0 UNION ALL SELECT c, 5, 'Administration', y::VARCHAR FROM fc WHERE c % 6 = 1
-        UNION ALL SELECT c, 6, 'Points deducted', (c % 13)::VARCHAR FROM fc WHERE c % 9 = 4 UNION ALL SELECT c, 7, 'Exiled at', 'Away Park' FROM fc WHERE c % 11 = 3""",
+    "panel": """SELECT c AS club_id, 1 AS p, 'Nickname' AS label, 'The Blues' AS value FROM fc WHERE c % 8 = 1
+        UNION ALL SELECT c, 2, 'Founded', (1880 + c % 120) || CASE WHEN c % 3 = 1 THEN ' · Works team' ELSE '' END FROM fc WHERE c % 5 = 0 UNION ALL SELECT c, 2, 'Origin', 'Works team' FROM fc WHERE c % 5 <> 0 AND c % 3 = 1
+        UNION ALL SELECT c, 3, 'Owner', 'Trust (since ' || y || ')' FROM fc WHERE c % 14 = 2 UNION ALL SELECT c, 4, 'Ownership model', 'Fan / supporters'' trust' FROM fc WHERE c % 7 = 2
+        UNION ALL SELECT c, 5, 'Stadium', 'Main Road' || CASE WHEN c % 8 = 1 THEN ' (opened ' || (1900 + c % 100) || ')' ELSE '' END FROM fc WHERE c % 4 = 1
+        UNION ALL SELECT c, 6, 'Ground ownership', 'Council-owned' FROM fc WHERE c % 5 = 1 UNION ALL SELECT c, 7, 'Capacity', format('{:,}', 10000 + c % 50000) FROM fc WHERE c % 4 = 2
+        UNION ALL SELECT c, 8, 'Pitch', 'Artificial 3G' FROM fc WHERE c % 16 = 3
+        UNION ALL SELECT c, 9, 'Played home games at', 'Away Park · ' || y || '–99' || CASE WHEN c % 2 = 1 THEN ' · ~12 miles away' ELSE '' END FROM fc WHERE c % 11 = 3
+        UNION ALL SELECT c, 10, 'Administration', y || CASE WHEN c % 4 = 1 AND c % 3 <> 0 THEN ' · −' || c % 3 || ' points' ELSE '' END FROM fc WHERE c % 6 = 1
+        UNION ALL SELECT c, 11, 'Points deduction', '−' || c % 13 || ' points in ' || (y - 1) || '/' || lpad((y % 100)::VARCHAR, 2, '0') FROM fc WHERE c % 9 = 4 AND c % 13 <> 0
+        UNION ALL SELECT c, 12, 'Ground grading', (y - 1) || '/' || lpad((y % 100)::VARCHAR, 2, '0') || ' · Promotion denied on ground grading' FROM fc WHERE c % 13 = 5
+        UNION ALL SELECT c, 13, 'Successor to', 'Old Club' || CASE WHEN c % 10 = 0 THEN ' (folded ' || y || ')' ELSE '' END FROM fc WHERE c % 5 = 0
+        UNION ALL SELECT c, 14, 'Featured on The rise', (y - 1) || '/' || lpad((y % 100)::VARCHAR, 2, '0') || ' · Climbed' FROM fc WHERE c % 21 = 6
+        UNION ALL SELECT c, 15, 'Rivalry', 'vs ' || coalesce(n_name, (c % 5)::VARCHAR) || CASE WHEN c % 24 = 7 THEN ' (Derby)' ELSE '' END || ' · Old grudge' FROM fc LEFT JOIN nation ON n_nationkey = c % 5 AND n_nationkey < 3 WHERE c % 12 = 7""",
     "notes": "SELECT club_id, season_end_year AS last, CASE position WHEN 1 THEN 'Finished 1st' ELSE 'Finished 2nd' END AS note FROM settled WHERE position <= 2",
     "riv": """SELECT club_a, club_b, seq, note FROM (SELECT least(a, b) AS club_a, greatest(a, b) AS club_b, seq, note FROM (SELECT o_orderkey AS seq, o_custkey % 25 AS a, o_orderkey % 27 AS b, o_orderpriority AS note FROM orders) WHERE a <> b AND b IN (SELECT n_nationkey FROM nation))
         QUALIFY row_number() OVER (PARTITION BY club_a, club_b ORDER BY length(coalesce(note, '')) DESC, seq) = 1""",
@@ -164,6 +175,52 @@ CTE = {
     "dayseason": "SELECT day, year(day) + CASE WHEN month(day) >= 7 THEN 1 ELSE 0 END AS y FROM days",
     "grid": "SELECT y AS season_end_year, t AS tier FROM range(1990, 2031) a(y), range(1, 7) b(t)",
     "divisions": f"SELECT * FROM {_values(RU.DIVISIONS, 'tier, from_year, until_year, division_name')}",
+    "clubs": """SELECT s_suppkey AS club_id, s_name AS canonical_name, CASE WHEN s_suppkey % 5 <> 0 THEN 50 + (s_suppkey * 37 % 80) / 10.0::DOUBLE END AS latitude,
+        CASE WHEN s_suppkey % 5 <> 0 THEN -5 + (s_suppkey * 53 % 70) / 10.0::DOUBLE END AS longitude FROM supplier WHERE s_suppkey % 9 <> 0""",
+    "labelled": f"SELECT * FROM {_values(sorted(RU.PATTERN_LABELS.items()), 'pattern, pattern_label')}",
+    "groups": f"SELECT * FROM {_values([(page, i, *g) for page, gs in (('the-drop', RU.FALL_GROUPS), ('the-rise', RU.RISE_GROUPS)) for i, g in enumerate(gs)], 'page, place, outcome, heading, about')}",
+    "sections": """SELECT CASE WHEN o.pattern LIKE 'relegation%' THEN 'the-drop' ELSE 'the-rise' END AS page, o.club_id, o.pattern, pattern_label, o.first, o.last, o.outcome,
+        (SELECT string_agg((y - 1) || '/' || lpad((y % 100)::VARCHAR, 2, '0'), ' → ' ORDER BY y) FROM (SELECT unnest(range(o.first, o.last + 1)) AS y)) || ' — ' || coalesce(a.tname, '?') || ' to ' || coalesce(b.tname, '?') AS path
+        FROM outcomes o JOIN labelled l ON l.pattern = o.pattern LEFT JOIN career c ON c.club_id = o.club_id AND c.season_end_year = o.first LEFT JOIN names a ON a.t = c.tier
+        LEFT JOIN names b ON b.t = CASE WHEN o.pattern LIKE 'relegation%' THEN o.floor_tier ELSE o.peak_tier END""",
+    "placings": "SELECT s.*, place, heading, about FROM sections s JOIN groups g ON g.page = s.page AND g.outcome = s.outcome",
+    "full_traj": """SELECT t.*, recorded, seasons, share, recent_tier, second_tier, coverage_note FROM traj t JOIN (SELECT club_id, recorded, seasons, share, recent_tier, second_tier, coverage_note FROM level) USING (club_id)""",
+    "bucket": f"SELECT t.club_id, CASE WHEN natural_tier = 6 THEN CASE WHEN coverage_note IS NOT NULL THEN '{RU.OUTSIDE_VAGUE}' ELSE '{RU.OUTSIDE_NAME}' END ELSE tname END AS natural_name FROM full_traj t LEFT JOIN names ON names.t = natural_tier",
+    "recent_bucket": f"SELECT t.club_id, CASE WHEN recent_tier = 6 THEN CASE WHEN coverage_note IS NOT NULL THEN '{RU.OUTSIDE_VAGUE}' ELSE '{RU.OUTSIDE_NAME}' END ELSE tname END AS recent_name FROM full_traj t LEFT JOIN names ON names.t = recent_tier",
+    "cards": """SELECT club_id, 1 AS p, 'Natural level' AS label, natural_name AS value FROM full_traj JOIN bucket USING (club_id) WHERE natural_tier IS NOT NULL UNION ALL SELECT club_id, 2, 'Current level', 'Tier ' || current_tier FROM full_traj
+        UNION ALL SELECT club_id, 3, 'Seasons at this level', current_tier_streak::VARCHAR FROM full_traj UNION ALL SELECT club_id, 4, 'Top-flight seasons (last ' || last_tier1_season || ')', seasons_in_tier1::VARCHAR FROM full_traj WHERE seasons_in_tier1 > 0
+        UNION ALL SELECT club_id, 5, 'Tier range', highest_tier || '–' || lowest_tier FROM full_traj UNION ALL SELECT club_id, 6, 'Promotions', total_promotions::VARCHAR FROM full_traj UNION ALL SELECT club_id, 7, 'Relegations', total_relegations::VARCHAR FROM full_traj
+        UNION ALL SELECT club_id, 8, 'Yo-yo score', yo_yo_score::VARCHAR FROM full_traj""",
+    "named_divisions": """SELECT c.*, coalesce(division_name, 'Tier ' || c.tier) AS division_name FROM settled c LEFT JOIN divisions d ON d.tier = c.tier AND season_end_year >= from_year AND season_end_year < until_year""",
+    "sranks": """SELECT club_id, season_end_year, tier, rank() OVER (PARTITION BY season_end_year, tier ORDER BY staff_costs DESC)::BIGINT AS rank, count(*) OVER (PARTITION BY season_end_year, tier)::BIGINT AS published
+        FROM placed WHERE staff_costs IS NOT NULL""",
+    "club_seed": "SELECT c_nationkey::BIGINT AS club_id, max_by(c_name, c_custkey) AS canonical_name, max_by(c_custkey % 6, c_custkey) AS current_tier FROM customer WHERE c_nationkey % 6 <> 0 GROUP BY 1",
+    "form": """SELECT club_id, string_agg(result, '' ORDER BY n) AS form FROM (SELECT *, row_number() OVER (PARTITION BY club_id ORDER BY season_end_year DESC, match_date DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, shipped DESC) AS n,
+        max(season_end_year) OVER (PARTITION BY club_id) AS latest FROM sides) WHERE n <= 5 AND season_end_year = latest GROUP BY 1""",
+    "last5": """SELECT club_id, string_agg(season_end_year || '/' || tier || '/' || position, ' ' ORDER BY season_end_year DESC) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY club_id ORDER BY season_end_year DESC) AS n FROM settled) WHERE n <= 5 GROUP BY 1""",
+    "last1": "SELECT club_id, max_by(status, season_end_year) AS last_status, max_by(position, season_end_year) AS last_position, max_by((n_clubs - position) * 3, season_end_year) AS last_points, max_by((n_clubs - 1) * 2, season_end_year) AS last_played FROM settled GROUP BY 1",
+    "since": "SELECT club_id, max(CASE WHEN season_end_year < last AND tier <= now THEN season_end_year END) AS highest_since FROM (SELECT *, max(season_end_year) OVER (PARTITION BY club_id) AS last, first_value(tier) OVER (PARTITION BY club_id ORDER BY season_end_year DESC) AS now FROM career) GROUP BY 1",
+    "pctx": """SELECT t.*, canonical_name AS name, last_status, last_position, last_points, last_played, highest_since, form, recent FROM full_traj t JOIN clubs USING (club_id) JOIN last1 USING (club_id) JOIN since USING (club_id) JOIN last5 USING (club_id)
+        LEFT JOIN form ON form.club_id = t.club_id""",
+    "said": """SELECT p.*, CASE WHEN a.tname LIKE 'League%' THEN a.tname ELSE 'the ' || a.tname END AS here, a.tname AS bare, CASE WHEN lo.tname LIKE 'League%' THEN lo.tname ELSE 'the ' || lo.tname END AS lower_,
+        CASE WHEN hi.tname LIKE 'League%' THEN hi.tname ELSE 'the ' || hi.tname END AS upper_, abs(level_gap) || ' division' || CASE WHEN abs(level_gap) = 1 THEN '' ELSE 's' END AS apart
+        FROM pctx p LEFT JOIN names a ON a.t = natural_tier LEFT JOIN names lo ON lo.t = least(natural_tier, second_tier) LEFT JOIN names hi ON hi.t = greatest(natural_tier, second_tier)""",
+    "leveled": """SELECT *, CASE WHEN natural_tier IS NOT NULL AND kind <> 'insufficient' AND natural_tier <> 6 THEN CASE WHEN kind = 'ever-present' THEN name || ' have never played outside ' || here
+        WHEN kind = 'established' THEN name || ' belong in ' || here || ' — ' || CAST(round_even(share * 100, 0) AS BIGINT) || '% of their ' || seasons || ' recorded seasons'
+        WHEN kind = 'yo-yo' AND second_tier IS NOT NULL THEN name || ' live between ' || coalesce(lower_, 'the Tier ' || least(natural_tier, second_tier)) || ' and ' || coalesce(upper_, 'the Tier ' || greatest(natural_tier, second_tier))
+        WHEN kind = 'broad' THEN name || chr(39) || 's record runs the length of the pyramid, but its centre of gravity is ' || here ELSE name || ' are, on the balance of their record, a ' || bare || ' club' END
+        || CASE WHEN level_gap > 0 THEN '; they are ' || apart || ' below that now' WHEN level_gap < 0 AND current_tier_streak >= 3 THEN '; they are ' || current_tier_streak || ' seasons into a spell ' || apart || ' above that'
+        WHEN level_gap < 0 AND last_season_in_db - highest_since >= 2 THEN '; this season is their highest since ' || highest_since WHEN level_gap < 0 AND highest_since IS NOT NULL THEN '; they are ' || apart || ' above that this season'
+        WHEN level_gap < 0 THEN '; this season is the highest in their record' ELSE '' END END AS level_says FROM said""",
+    "hist": f"""SELECT club_id, name, coalesce(level_says, CASE WHEN highest_tier = 1 AND current_tier >= 3 THEN name || ' are a fallen giant — ' || seasons_in_tier1 || ' top-flight season' || CASE WHEN seasons_in_tier1 = 1 THEN '' ELSE 's' END || ', the last in ' || last_tier1_season || ', now '
+        || (current_tier - 1) || ' divisions below' WHEN yo_yo_score >= 0.25 THEN name || ' are a classic yo-yo club — ' || total_promotions || ' promotion' || CASE WHEN total_promotions = 1 THEN '' ELSE 's' END || ' and ' || total_relegations || ' relegation'
+        || CASE WHEN total_relegations = 1 THEN '' ELSE 's' END || ' since ' || first_season_in_db WHEN current_tier_streak >= 10 THEN name || ' are furniture at this level — ' || current_tier_streak || ' consecutive seasons and counting'
+        ELSE name || ' have spent their ' || (last_season_in_db - first_season_in_db + 1) || ' recorded seasons ' || CASE WHEN highest_tier <> lowest_tier THEN 'between tiers ' || highest_tier || ' and ' || lowest_tier ELSE 'entirely at tier ' || highest_tier END END)
+        || '; they sit ' || {_ORDINAL.format("last_position")} || ' with ' || last_points || ' points from ' || last_played || ' games' || CASE WHEN form IS NULL THEN '' ELSE ', form ' || form END || '.' AS history FROM leveled""",
+    "h2h": """SELECT least(home_id, away_id) AS club_a, greatest(home_id, away_id) AS club_b, count(*)::BIGINT AS total, count(*) FILTER (WHERE (ftr = 'H') = (home_id < away_id) AND ftr <> 'D')::BIGINT AS wins_a,
+        count(*) FILTER (WHERE (ftr = 'H') = (home_id > away_id) AND ftr <> 'D')::BIGINT AS wins_b, count(*) FILTER (WHERE ftr = 'D')::BIGINT AS draws FROM m GROUP BY 1, 2""",
+    "fixnames": """SELECT f.*, coalesce(hc.canonical_name, home_id::VARCHAR) AS hname, coalesce(ac.canonical_name, away_id::VARCHAR) AS aname, hh.history AS hhist, ah.history AS ahist,
+        CASE WHEN month(match_date) >= 7 THEN year(match_date) + 1 ELSE year(match_date) END AS y FROM fix f LEFT JOIN clubs hc ON hc.club_id = home_id LEFT JOIN clubs ac ON ac.club_id = away_id LEFT JOIN hist hh ON hh.club_id = home_id LEFT JOIN hist ah ON ah.club_id = away_id""",
     "cmoney": "SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) * 37 AS v FROM customer",
 }
 
@@ -193,7 +250,6 @@ def _money(v: str) -> str:
         WHEN {a} >= 1000 THEN '£' || CAST(round_even({a} / 1000, 0) AS BIGINT) || 'k' ELSE '£' || CAST(round_even({a}, 0) AS BIGINT) END"""
 
 
-_ORDINAL = "{0} || CASE WHEN {0} % 100 BETWEEN 10 AND 20 THEN 'th' WHEN {0} % 10 = 1 THEN 'st' WHEN {0} % 10 = 2 THEN 'nd' WHEN {0} % 10 = 3 THEN 'rd' ELSE 'th' END"
 _RECORD = "SELECT season_end_year, tier, club_id, points, gd, played FROM league WHERE played >= 30 ORDER BY {}, season_end_year, tier, club_id LIMIT 10"
 _SAFE = "SELECT season_end_year, tier, club_id, points, gd, status FROM jl WHERE status = '{}' AND played {} ORDER BY {}, season_end_year, tier, club_id LIMIT 10"
 _AXIS = """SELECT '{0}' AS scale, round_even({1}, 3) AS lo, round_even({2}, 3) AS hi FROM (SELECT *, hi - lo AS span FROM (SELECT {3} AS lo, {4} AS hi FROM (SELECT {5} AS v FROM pp)))"""
@@ -259,13 +315,13 @@ SELECTS = {
     "featured_fixtures": "SELECT seq, row_number() OVER (ORDER BY score DESC, seq)::BIGINT AS featured, score FROM scored QUALIFY featured <= 6",
     "finance_rank": "SELECT * FROM franks",
     "wage_ratio": "SELECT club_id, season_end_year, round_even(staff_costs * 100.0::DOUBLE / turnover, 3) AS wage_ratio FROM fin WHERE staff_costs IS NOT NULL AND turnover <> 0",
-    "disclosure_counts": "SELECT season_end_year, count(*)::BIGINT AS in_season, count(*) FILTER (WHERE disclosure = 'full')::BIGINT AS disclosed, count(*) FILTER (WHERE disclosure IN ('abridged', 'exempt'))::BIGINT AS withheld FROM career LEFT JOIN fin USING (club_id, season_end_year) GROUP BY 1",
+    "disclosure_counts": "SELECT season_end_year, count(*)::BIGINT AS in_season, count(*) FILTER (WHERE disclosure = 'full')::BIGINT AS disclosed, count(*) FILTER (WHERE disclosure IN ('small_company', 'not_filed'))::BIGINT AS withheld FROM career LEFT JOIN fin USING (club_id, season_end_year) GROUP BY 1",
     "metric_points": "SELECT club_id, season_end_year, tier, overall_position, staff_costs AS value FROM fin JOIN overall USING (club_id, season_end_year) WHERE staff_costs IS NOT NULL",
     "metric_landing": "SELECT max(season_end_year) AS season_end_year FROM pp WHERE season_end_year IN (SELECT DISTINCT season_end_year FROM career ORDER BY 1 DESC LIMIT 6)",
     "metric_catalogue": f"SELECT metric, label, source, field, scale, format, CAST(benchmark AS DOUBLE) AS benchmark FROM {_values(RU.METRICS, 'metric, label, source, field, scale, format, benchmark')}",
-    "finance_validation": """SELECT club_id, season_end_year, concat_ws('; ', CASE WHEN k = 1 THEN 'bad disclosure' END, CASE WHEN d <> 'full' AND coalesce(t, staff_costs, profit_before_tax) IS NOT NULL THEN 'money without full disclosure' END) AS errors
-        FROM (SELECT *, (club_id * 3 + season_end_year) % 11 AS k, CASE WHEN (club_id * 3 + season_end_year) % 11 = 1 THEN 'partial' ELSE disclosure END AS d, CASE WHEN (club_id * 3 + season_end_year) % 11 = 2 THEN 5 ELSE turnover END AS t FROM fin)
-        WHERE k = 1 OR (d <> 'full' AND coalesce(t, staff_costs, profit_before_tax) IS NOT NULL)""",
+    "finance_validation": """SELECT * FROM (SELECT club_id, season_end_year, concat_ws('; ', CASE WHEN k = 1 THEN 'bad disclosure' END, CASE WHEN d <> 'full' AND coalesce(t, staff_costs, profit_before_tax) IS NOT NULL THEN 'money without full disclosure' END,
+        CASE WHEN k = 4 AND staff_costs IS NOT NULL THEN 'staff costs without definition' END, CASE WHEN k = 3 THEN 'bad staff costs definition' END, CASE WHEN k = 5 THEN 'bad consolidation level' END, CASE WHEN k = 6 THEN 'flags are no JSON array' END) AS errors
+        FROM (SELECT *, (club_id * 3 + season_end_year) % 11 AS k, CASE WHEN (club_id * 3 + season_end_year) % 11 = 1 THEN 'partial' ELSE disclosure END AS d, CASE WHEN (club_id * 3 + season_end_year) % 11 = 2 THEN 5 ELSE turnover END AS t FROM fin)) WHERE errors <> ''""",
     "outspender": "SELECT * FROM beaten WHERE beaten > 0 ORDER BY beaten DESC, staff_costs DESC, club_id, season_end_year LIMIT 10",
     "biggest_loss": "SELECT * FROM loss",
     "y_axis": " UNION ALL ".join(
@@ -276,7 +332,7 @@ SELECTS = {
         )
     ),
     "club_finances": f"""SELECT club_id, season_end_year, {_money("(turnover / 100.0::DOUBLE)")} AS turnover, {_money("(profit_before_tax / 100.0::DOUBLE)")} AS profit, {_ORDINAL.format("rank")} || ' of ' || published AS rank,
-        CASE disclosure WHEN 'abridged' THEN 'abridged accounts' WHEN 'exempt' THEN 'exempt from publication' END AS note FROM placed LEFT JOIN franks USING (club_id, season_end_year)""",
+        CASE disclosure WHEN 'small_company' THEN 'abridged accounts' WHEN 'not_filed' THEN 'exempt from publication' END AS note FROM placed LEFT JOIN franks USING (club_id, season_end_year)""",
     "longest_stay": "SELECT * FROM stay",
     "longest_runs": "SELECT * FROM streak ORDER BY current_tier_streak DESC, club_id LIMIT 10",
     "records_most_points": _RECORD.format("points DESC, gd DESC"),
@@ -330,5 +386,52 @@ SELECTS = {
     "unmatched_notes": "SELECT * FROM notes n WHERE NOT EXISTS (SELECT 1 FROM patterns p WHERE p.club_id = n.club_id AND p.last = n.last)",
     "rivalry_stats": "SELECT club_id, count(*)::BIGINT AS rivals, max(length(note))::BIGINT AS longest_note FROM (SELECT club_a AS club_id, note FROM riv UNION ALL SELECT club_b, note FROM riv) GROUP BY 1",
     "division_list": "SELECT c.*, coalesce(division_name, 'Tier ' || c.tier) AS division_name, (season_end_year - 1) || '/' || lpad((season_end_year % 100)::VARCHAR, 2, '0') AS label FROM (SELECT DISTINCT season_end_year, tier FROM career) c LEFT JOIN divisions d ON d.tier = c.tier AND season_end_year >= from_year AND season_end_year < until_year",
+    "club_directory": "SELECT club_id, canonical_name, current_tier, highest_tier FROM rollup JOIN clubs USING (club_id)",
+    "display_names": "SELECT seq, home_id AS club_id, coalesce(canonical_name, home_id::VARCHAR) AS name, EXISTS (SELECT 1 FROM career c WHERE c.club_id = home_id) AS linked FROM fix LEFT JOIN clubs ON clubs.club_id = home_id",
+    "season_by_season": """SELECT club_id, season_end_year, (season_end_year - 1) || '/' || lpad((season_end_year % 100)::VARCHAR, 2, '0') AS season, (season_end_year - 1) || '-' || lpad((season_end_year % 100)::VARCHAR, 2, '0') AS slug, division_name, position, status,
+        row_number() OVER (PARTITION BY club_id ORDER BY season_end_year DESC)::BIGINT AS nth FROM named_divisions""",
+    "stat_cards": "SELECT club_id, row_number() OVER (PARTITION BY club_id ORDER BY p)::BIGINT - 1 AS n, label, value FROM cards",
+    "level_lines": """SELECT club_id, label, CASE WHEN recorded < seasons THEN seasons || ' seasons, ' || recorded || ' of them inside the top five tiers' ELSE seasons || ' recorded seasons' END AS window_note,
+        CASE trend WHEN 'rising' THEN 'Rising — the last five seasons average out at ' || recent_name || '.' WHEN 'falling' THEN 'Falling — the last five seasons average out at ' || recent_name || '.' WHEN 'level' THEN 'Holding steady against the previous decade.' END AS trend_line,
+        CASE WHEN level_gap <> 0 THEN 'Currently ' || abs(level_gap) || ' division' || CASE WHEN abs(level_gap) > 1 THEN 's' ELSE '' END || CASE WHEN level_gap > 0 THEN ' below' ELSE ' above' END || ' that level.' END AS gap_line
+        FROM full_traj JOIN recent_bucket USING (club_id) WHERE natural_tier IS NOT NULL""",
+    "movement_sections": "SELECT page, place::BIGINT AS place, heading, about AS note, club_id, pattern_label, path, last FROM placings",
+    "movement_page_stats": """SELECT page, count(*)::BIGINT AS records, count(DISTINCT club_id)::BIGINT AS clubs, count(*) FILTER (WHERE outcome IN ('recovered', 'held'))::BIGINT AS good,
+        count(*) FILTER (WHERE outcome IN ('stuck', 'outside', 'slipped', 'fell_back'))::BIGINT AS bad FROM sections GROUP BY 1""",
+    "featured_movement": "SELECT page, p.club_id, pattern_label, p.last, n.note, outcome, heading FROM placings p JOIN notes n ON n.club_id = p.club_id AND n.last = p.last",
+    "case_study": "SELECT club_id, label AS natural_level_label, yo_yo_score, total_promotions, total_relegations FROM traj WHERE club_id = 7",
+    "map_rows": """SELECT r.club_id, canonical_name, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, current_tier, (SELECT '{' || string_agg('"' || season_end_year || '":' || tier, ',' ORDER BY season_end_year) || '}' FROM career c WHERE c.club_id = r.club_id) AS tiers
+        FROM rollup r JOIN clubs ON clubs.club_id = r.club_id WHERE latitude IS NOT NULL""",
+    "map_filter": "SELECT r.club_id, c.tier FROM rollup r JOIN career c ON c.club_id = r.club_id WHERE yo_yo_score >= 0.25 AND season_end_year = 2010 AND tier IN (2, 3)",
+    "teams_by_tier": "SELECT current_tier AS tier, any_value(tname) AS label, count(*)::BIGINT AS n, '[' || string_agg(club_id, ',' ORDER BY club_id) || ']' AS clubs FROM rollup JOIN names ON names.t = current_tier GROUP BY 1",
+    "timeline": f"SELECT year::BIGINT AS year, title, text FROM {_values(RU.TIMELINE, 'year, title, text')}",
+    "top_yo_yo": "SELECT canonical_name, yo_yo_score, total_promotions, total_relegations FROM rollup JOIN clubs USING (club_id) ORDER BY yo_yo_score DESC, club_id LIMIT 10",
+    "clubs_unresolved": "SELECT DISTINCT name, season_end_year FROM resolved WHERE club_id IS NULL",
+    "club_history": "SELECT season_end_year, tier, division_name, position, status FROM named_divisions WHERE club_id = 3",
+    "scatter_payload": "SELECT season_end_year, '[' || string_agg('[' || overall_position || ',' || club_id || ',' || staff_costs || ']', ',' ORDER BY overall_position, club_id) || ']' AS points FROM fin JOIN overall USING (club_id, season_end_year) WHERE staff_costs IS NOT NULL GROUP BY 1",
+    "revenue_breakdown": f"""SELECT club_id, season_end_year, CASE WHEN turnover IS NOT NULL THEN concat_ws(' · ', CASE WHEN k <> 0 THEN 'matchday ' || {_money("(turnover // 400)")} END, CASE WHEN k <> 1 THEN 'broadcast ' || {_money("(turnover // 250)")} END,
+        CASE WHEN k > 1 THEN 'commercial ' || {_money("(turnover // 1000)")} END) END AS breakdown FROM (SELECT club_id, season_end_year, turnover, (club_id + season_end_year) % 4 AS k FROM fin)""",
+    "account_notes": f"""SELECT club_id, season_end_year, note AS disclosure_note, CASE WHEN disclosure = 'full' AND k = 3 THEN '18-month period' END AS period_note,
+        CASE k WHEN 0 THEN '{RU.FLAG_LABELS["figure_disputed"].replace("'", "''")} {RU.FLAG_LABELS["profit_figure_omitted"].replace("'", "''")}' WHEN 2 THEN '{RU.FLAG_LABELS["figure_disputed"].replace("'", "''")}' ELSE '' END AS flag_notes
+        FROM (SELECT *, (club_id * 2 + season_end_year) % 6 AS k FROM fin) LEFT JOIN {_values([(k, v) for k, v in RU.DISCLOSURES.items() if v], 'd, note')} ON d = disclosure""",
+    "rank_titles": f"""SELECT club_id, season_end_year, {_ORDINAL.format("rank")} || ' of ' || published AS short, CASE WHEN rank = 1 THEN 'Highest' ELSE {_ORDINAL.format("rank")} || ' highest' END || ' wage bill of the ' || published || ' clubs with published figures in ' || division_name || ', '
+        || (season_end_year - 1) || '/' || lpad((season_end_year % 100)::VARCHAR, 2, '0') AS title FROM sranks JOIN (SELECT club_id, season_end_year, division_name FROM named_divisions) USING (club_id, season_end_year)""",
+    "seed_clubs": "SELECT * FROM club_seed",
+    "seed_detach": "SELECT season_end_year, CASE WHEN club_id IN (SELECT club_id FROM club_seed) THEN club_id END AS club_id, count(*)::BIGINT AS n FROM league GROUP BY 1, 2",
+    "seed_finances": """SELECT season_end_year, CASE WHEN bad THEN 'skipped' ELSE 'kept' END AS what, count(*)::BIGINT AS n FROM (SELECT CASE WHEN k = 1 THEN NULL ELSE season_end_year END AS season_end_year, k <= 1 OR club_id % 9 = 0 AS bad
+        FROM (SELECT *, (club_id + season_end_year) % 7 AS k FROM fin)) GROUP BY 1, 2""",
+    "seed_deductions": """SELECT seq, club_id, concat_ws('; ', CASE WHEN club_id NOT IN (SELECT n_nationkey FROM nation) THEN 'unknown club' END, CASE k WHEN 1 THEN 'missing season or points' WHEN 2 THEN 'points not positive' WHEN 3 THEN 'applied is no flag' WHEN 4 THEN 'no source' END) AS errors
+        FROM (SELECT o_orderkey AS seq, o_custkey % 30 AS club_id, o_orderkey % 8 AS k FROM orders)""",
+    "story_facts": """SELECT c AS club_id, CASE WHEN ok AND c % 2 = 0 THEN 1800 + c % 100 END AS founded, CASE WHEN ok AND c % 3 = 0 THEN 2000 + c % 100 END AS owner_since, CASE WHEN ok AND c % 4 = 1 THEN 1900 + c % 100 END AS year,
+        concat_ws(',', CASE WHEN ok AND c % 4 = 1 THEN 'administration' END, CASE WHEN ok AND c % 5 = 2 THEN 'exiled' END, CASE WHEN ok AND c % 3 = 0 THEN 'fan-owned' END) AS themes FROM (SELECT c, c % 19 <> 7 AS ok FROM fc)""",
+    "boom_and_bust_stats": "SELECT count(DISTINCT club_id)::BIGINT AS clubs, count(*)::BIGINT AS events, (SELECT sum(c % 13)::BIGINT FROM fc WHERE c % 9 = 4) AS points, (min(season_end_year) - 1) || '–' || max(season_end_year) AS span FROM tev WHERE theme IN ('administration', 'points-deductions')",
+    "name_key_cases": "SELECT * FROM (VALUES ('Bodø/Glimt', 'bodglimt'), ('Łódź', 'odz'), ('Plzeň', 'plzen'), ('Beşiktaş', 'besiktas'), ('ＡＦＣ Wimbledon', 'afcwimbledon'), ('King’s Lynn Town', 'kingslynntown'), ('Málaga CF', 'malagacf'), ('Brighton & Hove Albion', 'brightonhovealbion')) AS v(name, key)",
+    "followed_clubs": "SELECT club_id, count(*)::BIGINT AS n FROM (SELECT home_id AS club_id FROM fix UNION ALL SELECT away_id FROM fix) WHERE club_id IN (3, 5, 8) GROUP BY 1",
+    "club_context": "SELECT club_id, name, last_status, last_position, last_points, last_played, highest_since, form, recent FROM pctx",
+    "history_sentences": "SELECT club_id, name, history FROM hist",
+    "fixture_narratives": """SELECT seq, hname || ' host ' || aname || ' in ' || CASE WHEN division LIKE 'League%' THEN division ELSE 'the ' || division END || ' on ' || strftime(match_date, '%A %d %B') || '.' || coalesce(' ' || hhist, '') || coalesce(' ' || ahist, '')
+        || CASE WHEN total IS NOT NULL AND hhist IS NOT NULL AND ahist IS NOT NULL THEN ' They have met ' || total || ' times in league play since 1993: ' || hname || ' ' || CASE WHEN home_id < away_id THEN wins_a ELSE wins_b END || ' wins, ' || aname || ' '
+        || CASE WHEN home_id < away_id THEN wins_b ELSE wins_a END || ', ' || draws || ' drawn.' ELSE '' END AS narrative
+        FROM (SELECT f.*, coalesce(division_name, 'Tier ' || f.tier) AS division FROM fixnames f LEFT JOIN divisions d ON d.tier = f.tier AND y >= from_year AND y < until_year) f LEFT JOIN h2h ON club_a = least(home_id, away_id) AND club_b = greatest(home_id, away_id)""",
 }
 ORACLE_SQL = {name: sql(text) for name, text in SELECTS.items()}

@@ -10,6 +10,8 @@ from touchline.operators import career as C
 from touchline.operators import finance as N
 from touchline.operators import insights as I
 from touchline.operators import movement as M
+from touchline.operators import pages as PG
+from touchline.operators import previews as PV
 from touchline.operators import pyramid as P
 from touchline.operators import results as R
 from touchline.operators import standings as S
@@ -17,6 +19,8 @@ from touchline.operators import stories as ST
 from touchline.plans import adapters as A
 from touchline.plans import rules as RU
 from touchline.sources import files as SRC
+from touchline.sources import seeds as SD
+from touchline.sources import sinks as SI
 
 QUERIES: dict = {}
 
@@ -38,7 +42,8 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def settled(spark: SparkSession, sf: str) -> DataFrame:
-    return S.reconcile(judged(spark, sf))
+    """The season tables with final statuses, written once, as careers, patterns and previews read them many times."""
+    return SI.kept_table(S.reconcile(judged(spark, sf)), "settled")
 
 
 def league(spark: SparkSession, sf: str) -> DataFrame:
@@ -410,7 +415,13 @@ def finance_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Accounts with planted faults, and what the validator says of them."""
     a = A.finances(spark, sf)
     k = (F.col("club_id") * 3 + F.col("season_end_year")) % 11
-    bad = a.withColumns({"disclosure": F.when(k == 1, "partial").otherwise(F.col("disclosure")), "turnover": F.when(k == 2, F.lit(5).cast("long")).otherwise(F.col("turnover"))})
+    bad = a.withColumns({
+        "disclosure": F.when(k == 1, "partial").otherwise(F.col("disclosure")),
+        "turnover": F.when(k == 2, F.lit(5).cast("long")).otherwise(F.col("turnover")),
+        "staff_costs_definition": F.when(k == 3, "excl. fees").when(k != 4, "incl_amortisation"),
+        "consolidation_level": F.when(k == 5, "holding").otherwise("group"),
+        "flags": F.when(k == 6, "{}").otherwise("[]"),
+    })
     checked = N.finance_errors(bad)
     return longs(checked.where("size(errors) > 0").select("club_id", "season_end_year", F.array_join("errors", "; ").alias("errors")))
 
@@ -440,7 +451,7 @@ def club_finances(spark: SparkSession, sf: str) -> DataFrame:
     """A club's accounts as shown: money as text, rank and note on disclosure."""
     a, t = A.finances(spark, sf), A.career(spark, sf)
     r = N.ranks(a, t, "turnover").select("club_id", "season_end_year", F.concat(T.ordinal(F.col("rank")), F.lit(" of "), F.col("published").cast("string")).alias("rank"))
-    note = F.when(F.col("disclosure") == "abridged", "abridged accounts").when(F.col("disclosure") == "exempt", "exempt from publication")
+    note = F.when(F.col("disclosure") == "small_company", "abridged accounts").when(F.col("disclosure") == "not_filed", "exempt from publication")
     return longs(N.placed(a, t).join(r, ["club_id", "season_end_year"], "left").select("club_id", "season_end_year", T.money(F.col("turnover") / 100).alias("turnover"), T.money(F.col("profit_before_tax") / 100).alias("profit"), "rank", note.alias("note")))
 
 
@@ -647,15 +658,24 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
     none = lambda t: F.lit(None).cast(t)
     facts = F.struct(
         when(5, 0, (1880 + c % 120).cast("int")).alias("founded"),
-        none("string").alias("nickname"),
+        when(3, 1, F.lit("works")).alias("origin_type"),
+        none("string").alias("origin_note"),
+        when(8, 1, F.lit("The Blues")).alias("nickname"),
         when(7, 2, F.lit("fan_trust")).alias("ownership_model"),
         when(14, 2, F.lit("Trust")).alias("owner"),
         when(7, 2, year).alias("owner_since"),
+        none("string").alias("multi_club_group"),
         when(6, 1, F.array(F.struct(year.alias("year"), when(4, 1, (c % 3).cast("int")).alias("points_deducted"), when(8, 3, F.lit("Debts")).alias("note")))).alias("administration"),
         when(9, 4, F.array(F.struct(year.alias("season_end_year"), (c % 13).cast("int").alias("points"), none("string").alias("reason")))).alias("points_deductions"),
-        none("array<struct<opponent:string,name:string,note:string>>").alias("rivalries"),
-        none("int").alias("capacity"),
-        none("string").alias("stadium"),
+        none("array<struct<season:int,note:string>>").alias("drops"),
+        when(21, 6, F.array(F.struct(year.alias("season"), F.lit("Climbed").alias("note")))).alias("rises"),
+        when(12, 7, F.array(F.struct((c % 5).cast("string").alias("opponent"), when(24, 7, F.lit("Derby")).alias("name"), F.lit("Old grudge").alias("note")))).alias("rivalries"),
+        when(4, 1, F.lit("Main Road")).alias("stadium"),
+        when(8, 1, (1900 + c % 100).cast("int")).alias("stadium_opened"),
+        when(4, 2, (10000 + c % 50000).cast("int")).alias("capacity"),
+        when(5, 1, F.lit("council")).alias("stadium_ownership"),
+        when(16, 3, F.lit("artificial_3g")).alias("pitch_type"),
+        none("array<struct<name:string,years:string>>").alias("previous_grounds"),
         when(11, 3, F.array(F.struct(F.lit("Away Park").alias("venue"), F.concat(year.cast("string"), F.lit("–99")).alias("seasons"), when(2, 1, F.lit(12)).alias("distance_miles")))).alias("exile"),
         when(13, 5, F.array(F.struct(year.alias("season_end_year"), none("string").alias("note")))).alias("ground_grading_denial"),
         when(5, 0, F.lit("Old Club")).alias("phoenix_of"),
@@ -736,7 +756,8 @@ def theme_chart(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def facts_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return longs(ST.facts_panel(_facts(spark, sf)))
+    names = A.table(spark, sf, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("club_id"), F.col("n_name").alias("name"))
+    return longs(ST.facts_panel(_facts(spark, sf), names))
 
 
 @query
@@ -772,3 +793,243 @@ def division_list(spark: SparkSession, sf: str) -> DataFrame:
     """Seasons with their divisions' names."""
     t = A.career(spark, sf).select("season_end_year", "tier").distinct()
     return longs(S.with_division_name(t, RU.divisions(spark)).select("season_end_year", "tier", "division_name", T.season_label(F.col("season_end_year")).alias("label")))
+
+
+# Pages
+
+
+def _clubs(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as the club dimension: some have no name in it, some no ground."""
+    k = F.col("s_suppkey")
+    place = lambda v: F.when(k % 5 != 0, v)
+    return A.table(spark, sf, "supplier").where("s_suppkey % 9 != 0").select(k.alias("club_id"), F.col("s_name").alias("canonical_name"), place(50 + k * 37 % 80 / 10.0).alias("latitude"), place(-5 + k * 53 % 70 / 10.0).alias("longitude"))
+
+
+@query
+def club_directory(spark: SparkSession, sf: str) -> DataFrame:
+    """Careers of the clubs that the dimension names."""
+    return longs(PG.directory(C.rollup(settled(spark, sf)), _clubs(spark, sf)).select("club_id", "canonical_name", "current_tier", "highest_tier"))
+
+
+@query
+def display_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Home clubs of the fixtures by name, or by id where they have none, and whether they have a page."""
+    f = _fixtures(spark, sf).select("seq", F.col("home_id").alias("club_id"))
+    return PG.display_names(f, _clubs(spark, sf), A.career(spark, sf)).select("seq", "club_id", "name", "linked")
+
+
+@query
+def season_by_season(spark: SparkSession, sf: str) -> DataFrame:
+    t = S.with_division_name(settled(spark, sf), RU.divisions(spark))
+    return longs(PG.season_by_season(t).select("club_id", "season_end_year", "season", "slug", "division_name", "position", "status", "nth"))
+
+
+@query
+def stat_cards(spark: SparkSession, sf: str) -> DataFrame:
+    return longs(PG.stat_cards(C.trajectory(settled(spark, sf))))
+
+
+@query
+def level_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return C.level_lines(C.trajectory(settled(spark, sf)))
+
+
+@query
+def movement_sections(spark: SparkSession, sf: str) -> DataFrame:
+    t = settled(spark, sf)
+    return longs(PG.movement_sections(M.outcomes(t), t, RU.movement_groups(spark)).select("page", "place", "heading", "note", "club_id", "pattern_label", "path", "last"))
+
+
+@query
+def movement_page_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return PG.movement_page_stats(M.outcomes(settled(spark, sf)))
+
+
+@query
+def featured_movement(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns with a note of their club on their last season, and the heading of their outcome's group."""
+    t = settled(spark, sf)
+    notes = t.where("position <= 2").select("club_id", F.col("season_end_year").alias("last"), F.concat(F.lit("Finished "), T.ordinal(F.col("position"))).alias("note"), F.col("tier").alias("seq"))
+    groups = RU.movement_groups(spark).withColumnRenamed("note", "about")
+    return longs(PG.movement_sections(ST.with_notes(M.outcomes(t), notes)[0], t, groups).select("page", "club_id", "pattern_label", "last", "note", "outcome", "heading"))
+
+
+@query
+def case_study(spark: SparkSession, sf: str) -> DataFrame:
+    return PG.case_study(C.trajectory(settled(spark, sf)), 7)
+
+
+@query
+def map_rows(spark: SparkSession, sf: str) -> DataFrame:
+    t = settled(spark, sf)
+    return longs(PG.map_rows(C.rollup(t), _clubs(spark, sf), t).select("club_id", "canonical_name", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "current_tier", F.to_json("tiers").alias("tiers")))
+
+
+@query
+def map_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Yo-yo clubs that played in tier 2 or 3 in the selected season."""
+    t = settled(spark, sf)
+    return longs(PG.on_map(C.rollup(t).select("club_id", (F.col("yo_yo_score") >= 0.25).alias("yoyo")), t, 2010, [2, 3], "yoyo").select("club_id", "tier"))
+
+
+@query
+def teams_by_tier(spark: SparkSession, sf: str) -> DataFrame:
+    t = PG.teams_by_tier(C.rollup(A.career(spark, sf).withColumn("status", F.lit("Stayed"))))
+    return longs(t.select("tier", "label", F.size("clubs").cast("long").alias("n"), F.to_json("clubs").alias("clubs")))
+
+
+@query
+def timeline(spark: SparkSession, sf: str) -> DataFrame:
+    return longs(RU.timeline(spark))
+
+
+@query
+def top_yo_yo(spark: SparkSession, sf: str) -> DataFrame:
+    named = PG.directory(C.rollup(settled(spark, sf)), _clubs(spark, sf))
+    return longs(I.top(named, 10, F.desc("yo_yo_score"), "club_id").select("canonical_name", "yo_yo_score", "total_promotions", "total_relegations"))
+
+
+@query
+def clubs_unresolved(spark: SparkSession, sf: str) -> DataFrame:
+    """Names in the season tables that have no club."""
+    return longs(name_resolution(spark, sf).where("club_id is null").select("name", "season_end_year").distinct().orderBy("season_end_year", "name"))
+
+
+@query
+def club_history(spark: SparkSession, sf: str) -> DataFrame:
+    return longs(S.with_division_name(settled(spark, sf), RU.divisions(spark)).where("club_id = 3").select("season_end_year", "tier", "division_name", "position", "status").orderBy("season_end_year"))
+
+
+@query
+def scatter_payload(spark: SparkSession, sf: str) -> DataFrame:
+    """Per season a JSON list of the points of the wage chart, in order of position."""
+    p = N.metric_points(A.finances(spark, sf), A.career(spark, sf), "staff_costs")
+    g = p.groupBy("season_end_year").agg(F.array_sort(F.collect_list(F.struct("overall_position", "club_id", "value"))).alias("points"))
+    return longs(g.select("season_end_year", F.to_json(F.transform("points", lambda x: F.array(x["overall_position"].cast("long"), x["club_id"].cast("long"), x["value"].cast("long")))).alias("points")))
+
+
+# Accounts as pages show them
+
+
+@query
+def revenue_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    k, t = (F.col("club_id") + F.col("season_end_year")) % 4, F.col("turnover")
+    text = N.breakdown(("matchday", F.when(k != 0, F.floor(t / 400))), ("broadcast", F.when(k != 1, F.floor(t / 250))), ("commercial", F.when(k > 1, F.floor(t / 1000))))
+    return longs(A.finances(spark, sf).select("club_id", "season_end_year", text.alias("breakdown")))
+
+
+@query
+def account_notes(spark: SparkSession, sf: str) -> DataFrame:
+    k = (F.col("club_id") * 2 + F.col("season_end_year")) % 6
+    flags = F.when(k == 0, '["press_reported", "profit_figure_omitted", "figure_disputed"]').when(k == 1, "[broken").when(k == 2, '["figure_disputed"]')
+    a = A.finances(spark, sf).withColumns({"period_months": F.when(k == 3, 18).when(k == 4, 12), "flags": flags})
+    return longs(N.account_notes(a).select("club_id", "season_end_year", "disclosure_note", "period_note", F.array_join("flag_notes", " ").alias("flag_notes")))
+
+
+@query
+def rank_titles(spark: SparkSession, sf: str) -> DataFrame:
+    r = S.with_division_name(N.ranks(A.finances(spark, sf), A.career(spark, sf), "staff_costs"), RU.divisions(spark))
+    return longs(N.rank_titles(r, "wage bill").select("club_id", "season_end_year", "short", "title"))
+
+
+# Seeds
+
+
+def _club_seed(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as rows of a club seed: nations as ids, the last row of an id stays."""
+    c = A.table(spark, sf, "customer").where("c_nationkey % 6 != 0")
+    null = lambda t: F.lit(None).cast(t)
+    return c.select(F.col("c_nationkey").alias("club_id"), F.col("c_name").alias("canonical_name"), null("array<string>").alias("name_variants"), null("string").alias("lineage_parent_id"), (F.col("c_custkey") % 6).cast("int").alias("current_tier"), F.col("c_custkey").alias("seq"))
+
+
+@query
+def seed_clubs(spark: SparkSession, sf: str) -> DataFrame:
+    return longs(SD.seed_clubs(_club_seed(spark, sf), order="seq")[0].select("club_id", "canonical_name", "current_tier"))
+
+
+@query
+def seed_detach(spark: SparkSession, sf: str) -> DataFrame:
+    """Season rows of clubs that the seed no longer has stay without a club: rows by club and season."""
+    stored = A.table(spark, sf, "nation").select(F.col("n_nationkey").alias("club_id"))
+    _, stale = SD.seed_clubs(_club_seed(spark, sf), stored, "seq")
+    left = SD.detach(league(spark, sf).select("season_end_year", "tier", "club_id"), stale)
+    return longs(left.groupBy("season_end_year", "club_id").agg(F.count("*").alias("n")))
+
+
+@query
+def seed_finances(spark: SparkSession, sf: str) -> DataFrame:
+    """Accounts with planted faults: those kept and those skipped, by season."""
+    k = (F.col("club_id") + F.col("season_end_year")) % 7
+    rows = A.finances(spark, sf).withColumns({"disclosure": F.when(k == 0, "partial").otherwise(F.col("disclosure")), "season_end_year": F.when(k == 1, None).otherwise(F.col("season_end_year"))})
+    kept, skipped = SD.seed_finances(rows, _clubs(spark, sf))
+    count = lambda df, name: df.groupBy("season_end_year").agg(F.count("*").alias("n")).withColumn("what", F.lit(name))
+    return longs(count(kept, "kept").unionByName(count(skipped, "skipped")))
+
+
+@query
+def seed_deductions(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey") % 8
+    rows = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), (F.col("o_custkey") % 30).alias("club_id"), F.when(k != 1, F.year("o_orderdate")).alias("season_end_year"), F.lit(1).alias("tier"), F.when(k == 2, 0).otherwise(3).alias("points"), F.when(k == 3, 2).otherwise(1).alias("applied"), F.when(k != 4, F.lit("https://example.com")).alias("source_url"))
+    kept, skipped = SD.seed_deductions(rows, A.table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("club_id")))
+    shown = lambda df, e: df.select("seq", "club_id", e.alias("errors"))
+    return shown(kept, F.lit("")).unionByName(shown(skipped, F.array_join("errors", "; ")))
+
+
+# Stories and previews
+
+
+@query
+def story_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Front matter as YAML text, some of it malformed, read into facts."""
+    c = F.col("c_custkey")
+    line = lambda m, r, t: F.when(c % m == r, F.format_string(t, c % 100)).otherwise("")
+    text = F.concat(line(2, 0, "founded: 18%02d\n"), line(3, 0, "ownership_model: fan_trust\nowner_since: 20%02d\n"), line(4, 1, "administration:\n  - year: 19%02d\n    points_deducted: 3\n"), line(5, 2, "themes: exiled\n# %d\n"), line(19, 7, "broken: [%d\n"))
+    f = A.table(spark, sf, "customer").select(c.alias("club_id"), ST.facts_of(text).alias("facts"))
+    on = ST.themes(f).select("club_id", F.array_join("themes", ",").alias("themes"))
+    return longs(f.join(on, "club_id").select("club_id", "facts.founded", "facts.owner_since", F.col("facts.administration")[0]["year"].alias("year"), "themes"))
+
+
+@query
+def boom_and_bust_stats(spark: SparkSession, sf: str) -> DataFrame:
+    f = _facts(spark, sf)
+    return longs(ST.boom_and_bust_stats(ST.theme_events(f), f))
+
+
+@query
+def name_key_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Names with letters outside ASCII."""
+    names = ("Bodø/Glimt", "Łódź", "Plzeň", "Beşiktaş", "ＡＦＣ Wimbledon", "King’s Lynn Town", "Málaga CF", "Brighton & Hove Albion")
+    return spark.createDataFrame([(n,) for n in names], "name string").select("name", T.name_key(F.col("name")).alias("key"))
+
+
+@query
+def followed_clubs(spark: SparkSession, sf: str) -> DataFrame:
+    """Clubs of the configuration and of a comma-separated list, with their fixtures."""
+    ids = spark.createDataFrame([(int(x),) for x in R.followed(" 3, 5,,8 ")], "club_id long")
+    f = _fixtures(spark, sf).select("seq", F.explode(F.array("home_id", "away_id")).alias("club_id"))
+    return f.join(F.broadcast(ids), "club_id").groupBy("club_id").agg(F.count("*").alias("n"))  # a short configured list
+
+
+def _preview_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Context with points by position and the form of the nation with the club's id."""
+    t = settled(spark, sf).withColumns({"points": (F.col("n_clubs") - F.col("position")) * 3, "played": (F.col("n_clubs") - 1) * 2})
+    return R.club_context(t, C.trajectory(t), R.recent_form(A.matches(spark, sf), TIES)).join(_clubs(spark, sf).select("club_id", F.col("canonical_name").alias("name")), "club_id")
+
+
+@query
+def club_context(spark: SparkSession, sf: str) -> DataFrame:
+    c = _preview_context(spark, sf)
+    last = F.array_join(F.transform("recent_seasons", lambda s: F.concat_ws("/", s["season_end_year"].cast("string"), s["tier"].cast("string"), s["position"].cast("string"))), " ")
+    return longs(c.select("club_id", "name", "last_status", "last_position", "last_points", "last_played", "highest_since", "form", last.alias("recent")))
+
+
+@query
+def history_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return PV.histories(_preview_context(spark, sf))
+
+
+@query
+def fixture_narratives(spark: SparkSession, sf: str) -> DataFrame:
+    f = S.with_division_name(_fixtures(spark, sf).withColumn("season_end_year", T.season_of_date(F.col("match_date"))), RU.divisions(spark))
+    names = _clubs(spark, sf).select("club_id", F.col("canonical_name").alias("name"))
+    return PV.narratives(f, PV.histories(_preview_context(spark, sf)), R.head_to_head(A.matches(spark, sf)), names).select("seq", "narrative")

@@ -82,6 +82,91 @@ SECTION_ALIASES = {
 }
 THEMES = ("phoenix", "fan-owned", "administration", "points-deductions", "exiled", "ground-grading")
 
+# Disclosure of accounts with the note that stands for missing figures, and the other enums of accounts.
+DISCLOSURES = {
+    "full": None,
+    "small_company": "Filed under the small-company regime — no profit and loss account disclosed.",
+    "not_filed": "Accounts overdue and not filed.",
+    "dissolved": "Entity dissolved.",
+}
+STAFF_COSTS_DEFINITIONS, CONSOLIDATION_LEVELS = ("excl_amortisation", "incl_amortisation"), ("club", "group")
+# Flags of accounts and how pages explain them.
+FLAG_LABELS = {
+    "non_12_month_period": "One period isn't 12 months long, so it isn't like-for-like with the others.",
+    "figure_disputed": "Outlets reported materially different values for at least one figure.",
+    "profit_label_uncertain": "Sources didn't agree whether a profit figure is before or after tax.",
+    "staff_costs_basis_uncertain": "A wage figure is reported without confirming whether it includes amortisation of transfer fees.",
+    "staff_costs_disputed_omitted": "A wage bill is left blank because sources couldn't be reconciled.",
+    "profit_figure_omitted": "A profit figure is left blank because sources disagreed on which measure applies.",
+    "profit_includes_one_off_related_party_gain": "A result is flattered by a one-off sale within the owner's group.",
+    "profit_includes_one_off_exceptional_gain": "A result is flattered by a one-off item outside normal trading.",
+    "loss_includes_one_off_exceptional_charge": "A result is worsened by a one-off item outside normal trading.",
+    "turnover_may_include_transfer_fees": "A turnover figure may include transfer income rather than trading revenue alone.",
+    "disclosed_via_statement_not_filed_accounts": "Figures come from the club's own statement; the filing itself omitted the profit and loss account.",
+}
+# Labels of the facts panel.
+OWNERSHIP_LABELS = {
+    "fan_trust": "Fan / supporters' trust",
+    "family": "Family / local dynasty",
+    "benefactor": "Benefactor-funded",
+    "consortium": "Consortium",
+    "foreign_investment": "Foreign investment",
+    "multi_club": "Multi-club group",
+    "celebrity_media": "Celebrity / media ownership",
+    "plc": "Public limited company",
+}
+STADIUM_OWNERSHIP_LABELS = {"club": "Owned by the club", "council": "Council-owned", "third_party": "Owned by a third party", "disputed": "Ownership disputed"}
+ORIGIN_LABELS = {
+    "works": "Works team",
+    "church": "Church team",
+    "pub": "Pub team",
+    "school": "School / old boys",
+    "youth": "Youth / street team",
+    "civic": "Civic founding",
+    "phoenix": "Phoenix club",
+    "other": "Other",
+}
+# Patterns of movement by page, and the groups of their outcomes in order (outcome, heading, note).
+PATTERN_LABELS = {
+    "relegation_back_to_back": "Back-to-back",
+    "relegation_three_plus": "Three in a row",
+    "relegation_held": "Held, then down again",
+    "relegation_sandwich": "Straight back down",
+    "promotion_back_to_back": "Back-to-back",
+    "promotion_three_plus": "Three in a row",
+    "promotion_paused": "Paused, then up again",
+}
+FALL_GROUPS = [
+    ("recovered", "All the way back", "Back at the division they fell from, or higher."),
+    ("climbing", "Still climbing", "Above the level they fell to, but not yet back where they started."),
+    ("stuck", "Still down there", "Still at the division the fall took them to."),
+    ("worse", "Fell further", "Lower now than the division the fall itself took them to."),
+    ("outside", "Out of the pyramid", "No longer in Tiers 1-5 at all."),
+    ("unfolding", "Still unfolding", "The fall only just finished — the season that would show a recovery has not been played yet."),
+]
+RISE_GROUPS = [
+    ("held", "Held the new level", "Still at the division the climb took them to, or higher."),
+    ("slipped", "Slipped one division", "One division below the level they reached."),
+    ("fell_back", "Fell back further", "More than one division below the level they reached."),
+    ("outside", "Out of the pyramid", "No longer in Tiers 1-5 at all."),
+    ("unfolding", "Still unfolding", "The climb only just finished — the season at the new level has not been played yet."),
+]
+# Clubs that previews favour, besides those of the environment.
+FOLLOWED_CLUBS: tuple[str, ...] = ()
+# Events of the timeline (year, title, text).
+TIMELINE = [
+    (1995, "The Premier League shrinks", "Four clubs relegated in 1994/95 as the top flight cuts from 22 to 20; the Third Division expands to 24 to rebalance the pyramid."),
+    (1996, "Stevenage denied, Torquay reprieved", "Conference champions Stevenage Borough are refused promotion on ground grading, so nobody goes down from the Football League."),
+    (2002, "Two-up two-down with the Conference", "From 2002/03 two clubs are exchanged between the Football League and the Conference each season — and the Conference gains play-offs."),
+    (2003, "Wimbledon leave SW19", "Wimbledon FC relocate 60 miles to Milton Keynes mid-crisis; within a year they are rebranded MK Dons. Fan-founded AFC Wimbledon start seven tiers down and climb back."),
+    (2010, "Chester City expelled mid-season", "Chester City are wound up in March 2010 and their Conference record is expunged, leaving the division a club short."),
+    (2011, "Rushden & Diamonds fold", "Expelled from the Conference and liquidated within weeks."),
+    (2019, "Bury expelled from the Football League", "The first Football League expulsion since 1992. League One plays the season with 23 clubs and only three go down."),
+    (2020, "COVID stops the game", "Leagues One and Two and the National League end early on points-per-game; Macclesfield Town are relegated by points deduction, then wound up entirely months later."),
+    (2021, "The season with no relegation", "With the leagues below voided, nobody is relegated from the 23-club National League."),
+    (2022, "Wrexham go global", "Hollywood ownership turns a National League ever-present into the world's most-watched lower-league club — promotion follows in 2023."),
+]
+
 
 def rules(spark: SparkSession) -> DataFrame:
     """The rule table: fewer than 30 rows, so joins broadcast it."""
@@ -96,3 +181,13 @@ def divisions(spark: SparkSession) -> DataFrame:
 
 def metrics(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(METRICS, "metric string, label string, source string, field string, scale string, format string, benchmark double")
+
+
+def timeline(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TIMELINE, "year int, title string, text string")
+
+
+def movement_groups(spark: SparkSession) -> DataFrame:
+    """page, place, outcome, heading, note of the groups of the pages on falls and climbs: eleven rows."""
+    pages = (("the-drop", FALL_GROUPS), ("the-rise", RISE_GROUPS))
+    return spark.createDataFrame([(page, i, *g) for page, groups in pages for i, g in enumerate(groups)], "page string, place int, outcome string, heading string, note string")

@@ -145,3 +145,8 @@ def with_sections(stories: DataFrame) -> DataFrame:
     preamble = F.regexp_replace(parts[0], r"^\s+|\s+$", "")
     extra = F.array_join(F.filter(F.concat(F.array(preamble), F.transform(F.filter(cut, lambda s: ~named(s)), lambda s: F.concat(F.lit("## "), s["h"], F.lit("\n\n"), s["v"]))), lambda x: x != ""), "\n\n")
     return stories.withColumns({"sections": sections, "extra": extra})
+
+
+def read_theme(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
+    """theme (the file's name) and its prose without front matter; a theme without a file has no row."""
+    return read_stories(spark, path, glob).select(F.col("club_id").alias("theme"), F.regexp_replace("body", r"^\s+|\s+$", "").alias("prose"))

@@ -1,7 +1,13 @@
-"""Writers: idempotent replacement of seasons, JSON payloads."""
+"""Writers: idempotent replacement of seasons, JSON payloads, intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,3 +29,23 @@ def payload(df: DataFrame) -> DataFrame:
 
 def write_payload(df: DataFrame, path: str) -> None:
     payload(df).write.mode("overwrite").text(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one if all of Spark runs in one process, as in tests."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if configured:
+        return configured.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="touchline-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def kept_table(df: DataFrame, name: str) -> DataFrame:
+    """df, written once into the shared folder and read again, for tables that a plan uses many times."""
+    path = f"{shared_folder(df.sparkSession)}/touchline/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
