@@ -42,6 +42,7 @@ def small_groups(monkeypatch):
     """Makes groups count as large, so that hubs, differences and summaries are used."""
     monkeypatch.setattr(ngram_join, "FEW_IN_BATCH", 6)
     monkeypatch.setattr(suffix_dedup, "FEW_REGIONS", 2)
+    monkeypatch.setattr(suffix_dedup, "ORDERED_AT_ONCE", 90)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
 
 
@@ -83,6 +84,28 @@ def test_suffix_dedup_equals_brute_force(spark, small_groups, seed):
     assert got == repeated_bytes(docs)
 
 
+@pytest.mark.parametrize("letters", [2, 4, 256])
+def test_previous_factors(letters):
+    """Against every pair of suffixes."""
+    rng = np.random.default_rng(letters)
+    data = rng.integers(0, letters, 400).astype(np.uint8)
+    data[250:330] = data[40:120]
+    windows = np.lib.stride_tricks.sliding_window_view(data, 30)
+    position = rng.permutation(len(windows))
+    common = lambda x, y: next((i for i in range(30) if x[i] != y[i]), 30)
+    want = [max((common(x, y) for y, q in zip(windows, position) if q < p), default=0) for x, p in zip(windows, position)]
+    assert suffix_dedup.previous_factors(windows, position).tolist() == want
+
+
+@pytest.mark.parametrize("few", [0, 4])
+def test_suffix_dedup_by_names_and_by_bytes(spark, monkeypatch, few):
+    """With no cold anchor all windows go by name, with few hot ones by their bytes: the results are the same."""
+    monkeypatch.setattr(suffix_dedup, "FEW_REGIONS", few)
+    docs = corpus(9, 90, 30)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame(spark, docs), buckets=3).collect()}
+    assert got == repeated_bytes(docs)
+
+
 def test_suffix_dedup_of_sample(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

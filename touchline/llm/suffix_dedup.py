@@ -1,26 +1,29 @@
-"""Removal of strings of WIDTH bytes that also start earlier, by fingerprints in place of a suffix array.
+"""Removal of strings of WIDTH bytes that also start earlier, by longest-previous-factor (LPF) arrays.
 
-No suffix array and no LPF lengths are built; what follows says why the result is theirs. In the suffix order of the corpus, let the previous and the next smaller position of a suffix be
-the nearest suffixes in that order which start earlier in the corpus. The longer of the two
-common prefixes is its longest previous factor (LPF). A byte goes if a suffix within WIDTH - 1
-bytes before it, or at it, has LPF >= WIDTH; the first copy has no earlier one and stays.
+In the suffix order of the corpus, let the previous and the next smaller position of a suffix be the
+nearest suffixes in that order which start earlier in the corpus. The longer of the two common
+prefixes is its longest previous factor. A byte goes if a suffix within WIDTH - 1 bytes before it, or
+at it, has LPF >= WIDTH; the first copy has no earlier one and stays.
 
-Only LPF >= WIDTH matters, so windows are grouped by the name (a 64-bit hash) of their WIDTH
-bytes, and within a name by position: suffixes with the same name are neighbours, and
-the previous smaller position of a suffix is the one before it or has another name. The order
-is cut into independent buckets by name, so no task sees all suffixes.
+No task can order all suffixes, so the order is built in parts that do not need each other. The
+WIDTH-byte windows that share their least GRAM-byte hash (their anchor) form a run; a run's bytes are
+a region. Windows that match have the same anchor, so each part holds the suffixes of some anchors:
+their bytes are sorted, common prefixes are counted byte by byte, and the smaller positions give LPF
+(`previous_factors`). LPF is exact in a part wherever it is WIDTH or more.
 
-Most suffixes need no name of their own. The WIDTH-byte windows that share their least GRAM-byte
-hash (their anchor) form a run; a run's bytes hash to a region. Equal regions make all windows
-of the later runs LPF >= WIDTH at once. Only regions whose anchor also occurs in other regions
-can hold windows that match in part, and only their windows are named and ordered.
+Two things keep the parts small:
+
+* Equal regions need no order: all windows of the later ones have LPF >= WIDTH. They are found by
+  a 64-bit hash of the region next to 32 bits of its anchor's and its length. Only regions whose
+  anchor also occurs in other regions can hold windows that match in part, and only these are sent.
+* An anchor with over FEW_REGIONS regions in one batch of texts is hot. Its windows are not sent as
+  bytes to one part but dealt by a 64-bit name of their WIDTH bytes, and ordered by name and position.
 
 1. Texts -> runs, about one in 35 bytes. Equal regions in a batch are settled there, so a string
    that a third of all documents hold leaves a batch once.
 2. Runs by anchor: the first of each region stays, later ones are settled, and regions that share
-   an anchor are asked for. An anchor with many regions in one batch is dealt by region instead,
-   with a note to its own bucket, so that no bucket gets all of them.
-3. Names of the windows asked for, settled within the batch, then by name over the corpus.
+   an anchor are asked for. Hot anchors are dealt by region instead, with a note to their own bucket.
+3. Regions that are asked for, by anchor: suffix order and LPF. Windows of hot anchors by name.
 4. Settled runs and windows by document, joined with its text.
 """
 
@@ -43,9 +46,12 @@ BLOCK = 1 << 19
 #: An anchor with more regions in a batch is dealt by region.
 FEW_REGIONS = 4
 _LEAST = -(1 << 63)  # stands for a null doc_id
-_RUN, _NOTE, _SETTLED = 0, 1, 2
+#: Suffixes ordered at once (anchors are kept whole), bytes of text a bucket of step 2 stands for, and windows a bucket of step 3 takes, about.
+ORDERED_AT_ONCE, BUCKET_BYTES, BUCKET_WINDOWS = 1 << 16, 40 << 20, 1 << 19
+_RUN, _NOTE, _SETTLED, _REGION = 0, 1, 2, 3
 _ROWS = "bucket int, kind int, payload binary"
-_FOUND = "id long, sub long, asked boolean, run long"
+#: asked: the windows of the run are in question; hot: they go by name; else by anchor, as bytes.
+_FOUND = "id long, sub long, asked boolean, hot boolean, anchor int, run long"
 _DOCS = ("<i8", "<i8")
 
 
@@ -171,13 +177,28 @@ def _decoded(blobs, *kinds: str) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
-def _found(ids: np.ndarray, subs: np.ndarray, asked: bool, first: np.ndarray, count: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"id": ids, "sub": subs, "asked": np.full(len(ids), asked), "run": first.astype(np.int64) << 8 | count.astype(np.int64)})
+def _found(ids: np.ndarray, subs: np.ndarray, first: np.ndarray, count: np.ndarray, hot: np.ndarray | None = None, anchor: np.ndarray | None = None) -> pd.DataFrame:
+    """Settled runs; with hot and anchor, runs that are asked for."""
+    n, asked = len(ids), hot is not None
+    return pd.DataFrame({"id": ids, "sub": subs, "asked": np.full(n, asked), "hot": hot if asked else np.zeros(n, bool), "anchor": anchor.view("<i4") if asked else np.zeros(n, np.int32), "run": first.astype(np.int64) << 8 | count.astype(np.int64)})
+
+
+def _windows(ids: np.ndarray, subs: np.ndarray, first: np.ndarray) -> pd.DataFrame:
+    """Settled windows, each once, as runs of at most 200."""
+    order = np.lexsort((first, subs, ids))
+    ids, subs, first = ids[order], subs[order], first[order]
+    if not len(ids):
+        return _found(ids, subs, first, first)
+    new = starts_of(ids, subs)
+    new[1:] |= first[1:] != first[:-1] + 1
+    since = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
+    begin = np.flatnonzero(since % 200 == 0)
+    return _found(ids[begin], subs[begin], first[begin], np.diff(np.append(begin, len(ids))))
 
 
 def _forwarded(g: pd.DataFrame) -> pd.DataFrame:
     first, count, ids, subs = _decoded(g["payload"][g["kind"] == _SETTLED], "<i8", "u1")
-    return _found(ids, subs, False, first, count)
+    return _found(ids, subs, first, count)
 
 
 def _by_anchor(g: pd.DataFrame) -> pd.DataFrame:
@@ -189,45 +210,131 @@ def _by_anchor(g: pd.DataFrame) -> pd.DataFrame:
     new = starts_of(anchor, region, count)
     head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
     later = (ids != ids[head]) | (subs != subs[head]) | (first != first[head])
-    asked = new & np.isin(anchor, np.concatenate(noted)) if noted else np.zeros(len(new), bool)
+    hot = np.isin(anchor, np.concatenate(noted)) | (many > 0) if noted else many > 0
+    asked = new & hot
     if len(new):
         group = np.cumsum(starts_of(anchor)) - 1
-        shared = (np.bincount(group, new) > 1) | (np.bincount(group, many) > 0)
-        asked |= new & shared[group]
-    return pd.concat([_forwarded(g), _found(ids[later], subs[later], False, first[later], count[later]), _found(ids[asked], subs[asked], True, first[asked], count[asked])])
-
-
-def _names(buckets: int):
-    """Step 3, over batches of texts with the runs that are asked for."""
+        asked |= new & (np.bincount(group, new) > 1)[group]
+    return pd.concat([_forwarded(g), _found(ids[later], subs[later], first[later], count[later]), _found(ids[asked], subs[asked], first[asked], count[asked], hot[asked], anchor[asked])])
+
+
+def _asked(buckets: int):
+    """Step 3, over batches of texts with the runs that are asked for: regions by anchor, names of windows of hot anchors."""
+
+    def regions(batch: Batch, parts: list[tuple]) -> list[tuple[int, int, bytes]]:
+        data, doc, first, count, anchor = (np.concatenate(x) for x in zip(*parts, strict=True))
+        size = count + (WIDTH - 1)
+        begin = np.cumsum(size) - size
+        bucket = _to_buckets(anchor.astype(np.uint64), buckets)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.append(np.flatnonzero(starts_of(bucket[order])), len(order))
+        out = []
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            at = order[a:z]
+            own = np.repeat(begin[at] - np.cumsum(size[at]) + size[at], size[at]) + np.arange(size[at].sum())
+            out.append((int(bucket[at[0]]), _REGION, pack(anchor[at], first[at], count[at].astype("u1"), data[own], *batch.table(doc[at]))))
+        return out
+
+    def names(batch: Batch, parts: list[tuple]) -> list[tuple[int, int, bytes]]:
+        name, doc, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((first, batch.rank[doc], name))
+        name, doc, first = name[order], doc[order], first[order]
+        new = starts_of(name)
+        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+        later = (batch.rank[doc] != batch.rank[doc[head]]) | (first != first[head])
+        out = _settled(batch, doc[later], first[later], np.ones(later.sum()), buckets)
+        return out + _dealt(_RUN, _to_buckets(name[new], buckets), [name[new], first[new].astype("<i8")], batch, doc[new])
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            batch = Batch(b)
-            parts = []
-            for i, (text, runs) in enumerate(zip(b["text"], b["runs"], strict=True)):
-                data, runs = np.frombuffer((text or "").encode(), np.uint8), np.unique(np.asarray(runs, np.int64))
-                count = runs & 255
-                at = np.repeat((runs >> 8) - np.cumsum(count) + count, count) + np.arange(count.sum())
-                for a in range(0, len(data), BLOCK):
+            batch, cold, hot = Batch(b), [], []
+            for i, (text, runs, anchors, hots) in enumerate(zip(b["text"], b["runs"], b["anchors"], b["hots"], strict=True)):
+                data = np.frombuffer((text or "").encode(), np.uint8)
+                runs, at = np.unique(np.asarray(runs, np.int64), return_index=True)
+                anchor, is_hot = np.asarray(anchors, np.int32)[at].view("<u4"), np.asarray(hots, bool)[at]
+                first, count = runs >> 8, runs & 255
+                f, c = first[~is_hot], count[~is_hot]
+                size = c + (WIDTH - 1)
+                if len(f):
+                    cold.append((data[np.repeat(f - np.cumsum(size) + size, size) + np.arange(size.sum())], np.full(len(f), i), f, c, anchor[~is_hot]))
+                f, c = first[is_hot], count[is_hot]
+                at = np.repeat(f - np.cumsum(c) + c, c) + np.arange(c.sum())
+                for a in range(0, len(data) if len(f) else 0, BLOCK):
                     own = at[(at >= a) & (at < a + BLOCK)]
                     if len(own):
-                        block = data[a : a + BLOCK + WIDTH - 1]
-                        parts.append((Spans(block).of(own - a, own - a + WIDTH), np.full(len(own), i), own))
-            if not parts:
-                continue
-            name, doc, first = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((first, batch.rank[doc], name))
-            name, doc, first = name[order], doc[order], first[order]
-            new = starts_of(name)
-            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            later = (batch.rank[doc] != batch.rank[doc[head]]) | (first != first[head])
-            out = _settled(batch, doc[later], first[later], np.ones(later.sum()), buckets)
-            out += _dealt(_RUN, _to_buckets(name[new], buckets), [name[new], first[new].astype("<i8")], batch, doc[new])
-            yield pd.DataFrame(out, columns=["bucket", "kind", "payload"])
+                        hot.append((Spans(data[a : a + BLOCK + WIDTH - 1]).of(own - a, own - a + WIDTH), np.full(len(own), i), own))
+            rows = (regions(batch, cold) if cold else []) + (names(batch, hot) if hot else [])
+            if rows:
+                yield pd.DataFrame(rows, columns=["bucket", "kind", "payload"])
 
     return of
 
 
+def smaller_before(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place of an order, the common prefix with the nearest place before it that has a smaller position (0 if none).
+
+    common[i] is the common prefix of places i - 1 and i. All places jump at once: where the place
+    before is not smaller, what lies before that one is looked at next.
+    """
+    before, shared = np.arange(len(position)) - 1, common.copy()
+    at = np.flatnonzero((before >= 0) & (position[before] > position))
+    while len(at):
+        over = before[at]
+        shared[at], before[at] = np.minimum(shared[at], shared[over]), before[over]
+        at = at[(before[at] >= 0)]
+        at = at[position[before[at]] > position[at]]
+    return np.where(before >= 0, shared, 0)
+
+
+def previous_factors(windows: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """LPF, counted up to the width, of suffixes given by their first bytes (one row each) and distinct positions."""
+    order = np.argsort(position, kind="stable")
+    order = order[np.argsort(np.ascontiguousarray(windows[order]).view(f"S{windows.shape[1]}").ravel(), kind="stable")]
+    common = np.zeros(len(order), np.int64)
+    differ = windows[order[1:]] != windows[order[:-1]]
+    common[1:] = np.where(differ.any(1), differ.argmax(1), windows.shape[1])
+    place = position[order]
+    before = smaller_before(place, common)
+    after = smaller_before(place[::-1], np.append(0, common[:0:-1]))[::-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(before, after)
+    return out
+
+
+def _by_suffix(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and first bytes of the windows of regions that have LPF >= WIDTH."""
+    parts = []
+    for blob in blobs:
+        anchor, first, count, data, ids, subs, at = unpack(blob, "<u4", "<i8", "u1", "u1", *_DOCS, "<i4")
+        parts.append((anchor, first, count.astype(np.int64), data, ids[at], subs[at]))
+    empty = np.empty(0, np.int64)
+    if not parts:
+        return empty, empty, empty
+    anchor, first, count, data, ids, subs = (np.concatenate(x) for x in zip(*parts, strict=True))
+    size = count + (WIDTH - 1)
+    begin = np.cumsum(size) - size
+    order = np.lexsort((first, subs, ids, anchor))
+    anchor, first, count, ids, subs, begin = (x[order] for x in (anchor, first, count, ids, subs, begin))
+    once = starts_of(anchor, ids, subs, first)  # rows that repeat an id and a text are one document
+    anchor, first, count, ids, subs, begin = (x[once] for x in (anchor, first, count, ids, subs, begin))
+    every = np.lib.stride_tricks.sliding_window_view(data, WIDTH)
+    heads = np.flatnonzero(starts_of(anchor))
+    done = np.append(np.cumsum(count)[heads - 1] * (heads > 0), count.sum())
+    out, a = [], 0
+    while a < len(heads):
+        z = max(a + 1, int(np.searchsorted(done, done[a] + ORDERED_AT_ONCE, "right")) - 1)
+        own = slice(heads[a], heads[z] if z < len(heads) else len(anchor))
+        c = count[own]
+        step = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        w_ids, w_subs, w_first = np.repeat(ids[own], c), np.repeat(subs[own], c), np.repeat(first[own], c) + step
+        position = np.empty(len(step), np.int64)
+        position[np.lexsort((w_first, w_subs, w_ids))] = np.arange(len(step))
+        later = previous_factors(every[np.repeat(begin[own], c) + step], position) >= WIDTH
+        out.append((w_ids[later], w_subs[later], w_first[later]))
+        a = z
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def has_earlier(name: np.ndarray, ids: np.ndarray, subs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by name (hash), then position, and for each suffix in it whether LPF >= WIDTH, barring hash collisions.
 
@@ -242,11 +349,12 @@ def has_earlier(name: np.ndarray, ids: np.ndarray, subs: np.ndarray, first: np.n
     return order, same & ((ids != ids[head]) | (subs != subs[head]) | (first != first[head]))
 
 
-def _by_name(g: pd.DataFrame) -> pd.DataFrame:
+def _by_order(g: pd.DataFrame) -> pd.DataFrame:
+    """Step 3, over a bucket."""
     name, first, ids, subs = _decoded(g["payload"][g["kind"] == _RUN], "<u8", "<i8")
     order, later = has_earlier(name, ids, subs, first)
     at = order[later]
-    return pd.concat([_forwarded(g), _found(ids[at], subs[at], False, first[at], np.ones(len(at)))])
+    return pd.concat([_forwarded(g), _windows(ids[at], subs[at], first[at]), _windows(*_by_suffix(g["payload"][g["kind"] == _REGION]))])
 
 
 def spans_of(runs, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -263,15 +371,16 @@ def spans_of(runs, size: int) -> tuple[np.ndarray, np.ndarray]:
 def removed_spans(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """id, sub, text and `runs` of every row of docs: null, or windows (start << 8 | count) that also start earlier."""
     spark = docs.sparkSession
-    n = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text).alias("sub"), text.alias("text"))
-    by_anchor = keyed.mapInPandas(_runs(n), _ROWS).groupBy("bucket").applyInPandas(_by_anchor, _FOUND)
-    found = stored(by_anchor, "runs")
-    per_doc = lambda df: df.groupBy("id", "sub").agg(F.collect_list("run").alias("runs"))
-    asked = keyed.join(per_doc(found.where("asked")), ["id", "sub"])
-    by_name = asked.mapInPandas(_names(n), _ROWS).groupBy("bucket").applyInPandas(_by_name, _FOUND)
-    settled = per_doc(found.where("not asked").unionByName(by_name).select("id", "sub", "run"))
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or max(least, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES)
+    found = stored(keyed.mapInPandas(_runs(n), _ROWS).groupBy("bucket").applyInPandas(_by_anchor, _FOUND), "runs")
+    per_doc = lambda df, *also: df.groupBy("id", "sub").agg(F.collect_list("run").alias("runs"), *also)
+    asked = keyed.join(per_doc(found.where("asked"), F.collect_list("anchor").alias("anchors"), F.collect_list("hot").alias("hots")), ["id", "sub"])
+    m = buckets or max(least, (found.where("asked").agg(F.sum(F.expr("run & 255"))).first()[0] or 0) // BUCKET_WINDOWS)
+    ordered = asked.mapInPandas(_asked(m), _ROWS).groupBy("bucket").applyInPandas(_by_order, _FOUND)
+    settled = per_doc(found.where("not asked").unionByName(ordered).select("id", "sub", "run"))
     return keyed.join(settled, ["id", "sub"], "left")
 
 
