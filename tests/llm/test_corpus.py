@@ -7,8 +7,9 @@ from collections import defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_dedup import edited, prose
-from touchline.llm import decontaminate, packing, queries
+from touchline.llm import decontaminate, packing, queries, sharding, url_filter
 
 DOCS = "doc_id long, text string, item_id long, score string"
 
@@ -91,6 +92,48 @@ def test_skipping_misses_nothing():
         assert got.keys() == full.keys()
 
 
+def plain_leaks(docs, bench):
+    """(doc_id, item_id) of every item of which a passage holds 0.8 of the shingles, or of its question's: all passages against all items."""
+    words = lambda t: decontaminate.words_of(t or "")
+    stride = max((len(words(t)) for _, t in bench), default=1)
+    parts = [(i, decontaminate.shingles(words(t)), decontaminate.shingles(words(decontaminate.question_and_answer(t)[0]))) for i, t in bench if words(t)]
+    found = set()
+    for d, t in docs:
+        w = words(t)
+        for a in range(0, max(1, len(w)), stride):
+            passage = w[a : a + 2 * stride]
+            for i, whole, question in parts:
+                held = lambda s: sum(any(tuple(passage[k : k + len(x)]) == x for k in range(len(passage))) for x in s) / len(s)
+                if held(whole) >= 0.8 or (question and min(map(len, question)) >= 5 and held(question) >= 0.8):
+                    found.add((d, i))
+    return found
+
+
+def test_leaks_equal_all_passages_against_all_items(spark):
+    rng = random.Random(26)
+    bench = [(i, f"{prose(rng, rng.randint(4, 14))}.\n{prose(rng, rng.randint(2, 8))}.") for i in range(25)]
+    docs = []
+    for d in range(60):
+        w = rng.choice(bench)[1].split()
+        docs.append((d, f"{prose(rng, rng.randint(0, 40))} {edited(rng, ' '.join(w[: max(1, int(len(w) * rng.uniform(0.5, 1)))]), rng.randint(0, 1))} {prose(rng, rng.randint(0, 40))}"))
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    want = plain_leaks(docs, bench)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 15
+
+
+def test_index_loads_without_the_package():
+    """What is sent to executors can be read in a folder that has no copy of the library."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    sent = cloudpickle.dumps(decontaminate.Index([(7, "one two three four five six seven.\nEight nine.")]))
+    code = "import pickle, sys; i = pickle.loads(sys.stdin.buffer.read()); print([m[0] for m in i.matches('zero one two three four five six seven eight nine ten')], 'touchline' in sys.modules)"
+    out = subprocess.run([sys.executable, "-I", "-c", code], input=sent, capture_output=True, cwd="/")
+    assert out.stdout.decode().split() == ["[7]", "False"], out.stderr.decode()[-500:]
+
+
 @pytest.mark.parametrize("capacity", [10, 37, 4096])
 def test_plans_are_valid(capacity):
     rng = np.random.default_rng(capacity)
@@ -208,6 +251,29 @@ def test_pipeline(spark):
     assert set(kept["best_fit_packing"]) == {1, 4, 5, 6}
 
 
+#: Names that operators use for their own columns.
+CLASHING = ("_id", "_hash", "_gone", "_keep", "_url", "gone", "leaked_id", "leaked_hash", "row", "sub", "first", "keep", "lines", "left", "hash", "own", "host", "removed", "cell", "rank", "segment", "segments", "h", "x", "node", "part", "n", "id")
+
+
+def test_stages_with_clashing_names_nulls_and_repeats(spark):
+    rng = random.Random(32)
+    texts = [prose(rng, 120) for _ in range(3)]
+    rows = [(1, texts[0]), (1, texts[0]), (None, texts[1]), (None, texts[1]), (3, texts[2]), (4, None), (5, ""), (6, " ".join(edited(rng, texts[2], 1).split())), (7, f"{texts[0]}\n{prose(rng, 90)}")]
+    docs = spark.createDataFrame([(d, t, "s") for d, t in rows], "doc_id long, text string, source string")
+    docs = docs.withColumns({c: F.lit(c) for c in CLASHING})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        assert docs.columns == columns, name
+        assert all(r[c] == c for r in docs.collect() for c in CLASHING), name
+    assert sorted((r.doc_id or 0, r.text) for r in docs.collect())[:2] == [(0, texts[1])] * 2
+    assert {r.doc_id for r in docs.collect()} == {None, 1, 3, 7}
+    sharded = sharding.shard_rows(docs, ["doc_id", "text"], 3)
+    assert sharded.columns == [*columns, "shard", "slot"] and sharded.count() == docs.count()
+    urls = url_filter.filter_urls(docs.withColumn("url", F.lit("http://a.com/en/1")).drop("host"), queries.URL_RULES)
+    assert set(urls.columns) == {*columns, "url", "host", "path", "rule", "tier", "verdict"} and {r.verdict for r in urls.collect()} == {"block"}
+
+
 def test_pipeline_of_empty_table(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").where("false").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")

@@ -7,26 +7,31 @@ against itself; every item with `threshold` or more is retrieved, then verified
 of the item, of its question and of its answer. Questions are indexed by themselves as well, so a
 passage with the question and no answer is retrieved however long the answer is.
 
-Skipping: the words of an item, heaviest first, that carry `essential` of its own score are its
-essential postings. A window can only reach the threshold where its essential postings give what
-the others cannot. Postings are kept in blocks of items with the greatest impact of each word
-in the block: block sums that stay under the bound skip the block, item sums that stay under it
-skip the item, and only the rest is scored in full. Nothing above the threshold is missed.
+Block-max WAND: the words of an item, heaviest first, that carry `essential` of its own score are its
+essential postings. An item can only reach the threshold where its essential postings give what the
+others cannot (its bound). Each word of a window has a cursor on its postings. With cursors in the
+order of items, the pivot is the first item at which the greatest impacts of the words so far reach
+the least bound; all items before it are skipped. If the greatest impacts in the pivot's block of
+items stay under the block's bound, cursors skip to the end of the block. Else cursors move up to the
+pivot, and an item that all its cursors stand on is scored. Nothing above the threshold is missed.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.util import stored
+from touchline.llm.util import few_rows, fresh, stored
 
 THRESHOLD, ESSENTIAL = 0.6, 0.7
 SHINGLE, OVERLAP = 5, 0.8
@@ -84,34 +89,50 @@ class Postings:
                     self.essential[t].append(i)
                     carried += x / total
             self.bound.append(threshold - (1 - carried) - 1e-9)
-        #: word -> blocks of texts with the greatest impact there
-        self.blocks: dict[str, list[tuple[int, float]]] = {}
+        #: word -> greatest impact; word -> greatest impact in each block of texts that has it
+        self.most = {t: max(self.impact[t][i] for i in own) for t, own in self.essential.items()}
+        self.blocks: dict[str, dict[int, float]] = {}
         for t, own in self.essential.items():
-            most: dict[int, float] = {}
+            most = self.blocks[t] = {}
             for i in own:
                 most[i // BLOCK_ITEMS] = max(most.get(i // BLOCK_ITEMS, 0.0), self.impact[t][i])
-            self.blocks[t] = sorted(most.items())
         self.block_bound = [min(self.bound[b : b + BLOCK_ITEMS]) for b in range(0, len(self.bound), BLOCK_ITEMS)]
+        self.least = min(self.bound, default=math.inf)
 
     def score(self, i: int, window: set[str]) -> float:
         return math.fsum(self.impact[t].get(i, 0.0) for t in window if t in self.impact)
 
     def retrieve(self, window: set[str], hits: set[str]) -> list[tuple[int, float]]:
-        """All texts that score the threshold or more; hits: those words of the window that have essential postings."""
-        sums: dict[int, float] = defaultdict(float)
-        for t in hits:
-            for block, most in self.blocks[t]:
-                sums[block] += most
-        live = {b for b, x in sums.items() if x >= self.block_bound[b]}
-        if not live:
+        """All texts that score the threshold or more, by block-max WAND; hits: those words of the window that have essential postings."""
+        if math.fsum(self.most[t] for t in hits) < self.least:
             return []
-        items: dict[int, float] = defaultdict(float)
-        for t in hits:
-            for i in self.essential[t]:
-                if i // BLOCK_ITEMS in live:
-                    items[i] += self.impact[t][i]
-        scores = ((i, self.score(i, window)) for i, x in items.items() if x >= self.bound[i])
-        return [(i, score) for i, score in scores if score >= self.threshold]
+        cursors = sorted((self.essential[t][0], t, 0) for t in hits)
+        found = []
+        while cursors:
+            total, n, pivot = 0.0, 0, -1
+            for i, t, _ in cursors:
+                if total >= self.least and i > pivot:
+                    break
+                total += self.most[t]
+                n, pivot = n + 1, i
+            if total < self.least:
+                break
+            block, ahead = pivot // BLOCK_ITEMS, cursors[n:]
+            at_pivot = cursors[0][0] == pivot
+            if math.fsum(self.blocks[t].get(block, 0.0) for _, t, _ in cursors[:n]) < self.block_bound[block]:
+                to = min((block + 1) * BLOCK_ITEMS, ahead[0][0] if ahead else math.inf)
+            elif at_pivot:
+                if math.fsum(self.impact[t][pivot] for _, t, _ in cursors[:n]) >= self.bound[pivot] and (score := self.score(pivot, window)) >= self.threshold:
+                    found.append((pivot, score))
+                to = pivot + 1
+            else:
+                to = pivot
+            for i, t, k in cursors[:n]:
+                k = k if i >= to else bisect_left(self.essential[t], to, k)
+                if k < len(self.essential[t]):
+                    ahead.append((self.essential[t][k], t, k))
+            cursors = sorted(ahead)
+        return found
 
 
 class Index(Postings):
@@ -213,11 +234,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
             used = spark.createDataFrame([(t,) for t in {t for _, text in read for t in words_of(text or "")}], "word string")
             of_all = counted.where("word is null").first()
             stats = Statistics(of_all["n"], of_all["words"], of_all["longest"], dict(counted.join(used, "word").select("word", "n").collect()))
-        index = spark.sparkContext.broadcast(Index(read, threshold, stats=stats))
+        sent = spark.sparkContext.broadcast(cloudpickle.dumps(Index(read, threshold, stats=stats)))  # with its classes, which executors may lack
 
-        def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            index = pickle.loads(sent.value)
             for b in batches:
-                rows = [(d, h, *m) for d, h, text in zip(b["doc_id"], b["text_hash"], b["text"], strict=True) for m in index.value.matches(text)]
+                rows = [(d, h, *m) for d, h, text in zip(b["doc_id"], b["text_hash"], b["text"], strict=True) for m in index.matches(text)]
                 out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "item_id", "score", "first_word", "question_overlap", "answer_overlap"])
                 yield out.astype({"item_id": "Int64"})
 
@@ -227,6 +249,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no test item, columns as in the input."""
-    leaked = find_leaks(docs, items).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(leaked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash")), "left_anti")
+    """The documents that hold no test item, columns as in the input.
+
+    Null and empty texts hold none and stay; rows that repeat an id and a text stay or go together,
+    also where the id is null. No name of a column clashes with those used here; an empty table on
+    either side drops nothing.
+    """
+    own_id, own_hash = fresh(docs, "leaked_id"), fresh(docs, "leaked_hash")
+    leaked = stored(find_leaks(docs, items).select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct(), "leaked")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(own_hash))
+    return docs.join(few_rows(leaked), same, "left_anti")

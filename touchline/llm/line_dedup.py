@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from touchline.llm.util import stored
+from touchline.llm.util import nested, stored
 
 #: Texts that may hold a line of under MIN_WORDS for it to be rare; words that an aligned block must have to be deleted.
 RARE, MIN_WORDS = 100, 20
@@ -211,13 +211,13 @@ def dedup_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS) -
     lines. Columns named n_lines or n_removed are replaced; an empty table gives an empty table.
     """
     rest = docs.drop("n_lines", "n_removed")
-    text = F.coalesce("text", F.lit(""))
-    marks = doomed_lines(docs, rare, min_words).withColumnsRenamed({"sub": "_sub", "first": "_first", "keep": "_keep"})
-    joined = rest.withColumn("_sub", F.xxhash64(text)).join(marks, "_sub", "left").withColumn("_lines", F.split(text, "\n", -1))
-    copy = F.col("_keep").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("_first")) & (F.regexp_count(text, F.lit(_WORD)) >= min_words)
-    left = F.filter("_lines", lambda x, i: F.get("_keep", i))
-    left = F.when(copy, F.array().cast("array<string>")).when(F.col("_keep").isNull(), F.col("_lines")).otherwise(left)
+    row = lambda c: F.col(f"row.`{c}`")
+    text = F.coalesce(row("text"), F.lit(""))
+    joined = nested(rest).withColumn("sub", F.xxhash64(text)).join(doomed_lines(docs, rare, min_words), "sub", "left").withColumn("lines", F.split(text, "\n", -1))
+    copy = F.col("keep").isNotNull() & ~row("doc_id").eqNullSafe(F.col("first")) & (F.regexp_count(text, F.lit(_WORD)) >= min_words)
+    left = F.filter("lines", lambda x, i: F.get("keep", i))
+    left = F.when(copy, F.array().cast("array<string>")).when(F.col("keep").isNull(), F.col("lines")).otherwise(left)
     worded = lambda c: F.size(F.filter(c, lambda x: x.rlike(_WORD))).cast("long")
-    done = joined.withColumn("_left", left)
-    kept = F.when(F.col("_keep").isNull(), F.col("text")).when(F.exists("_left", lambda x: x.rlike(_WORD)), F.array_join("_left", "\n")).otherwise(F.when(F.col("text").isNotNull(), F.lit("")))
-    return done.select(*[F.col(c) if c != "text" else kept.alias("text") for c in rest.columns], worded("_lines").alias("n_lines"), (worded("_lines") - worded("_left")).alias("n_removed"))
+    done = joined.withColumn("left", left)
+    kept = F.when(F.col("keep").isNull(), row("text")).when(F.exists("left", lambda x: x.rlike(_WORD)), F.array_join("left", "\n")).otherwise(F.when(row("text").isNotNull(), F.lit("")))
+    return done.select(*(kept.alias("text") if c == "text" else row(c).alias(c) for c in rest.columns), worded("lines").alias("n_lines"), (worded("lines") - worded("left")).alias("n_removed"))

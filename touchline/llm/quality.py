@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.util import WORD_GAP, let, stored, words
+from touchline.llm.util import WORD_GAP, let, nested, stored, words
 
 #: A line that stands in more distinct texts of its host than this is removed.
 MAX_TEXTS = 100
@@ -122,8 +122,14 @@ def strip_lines(text: Column, removed: Column) -> Column:
 
 
 def keep_good(docs: DataFrame, host_col: str = "source", max_texts: int = MAX_TEXTS, min_left: float = MIN_LEFT) -> DataFrame:
-    """The documents that `judge` keeps, with the columns of the input, without their frequent lines."""
-    verdicts = judge(docs, host_col, max_texts, min_left).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("host").alias("_host"), "removed").withColumnRenamed("removed", "_removed").distinct()
-    keyed = docs.withColumns({"_hash0": F.xxhash64(F.coalesce("text", F.lit(""))), "_host0": F.coalesce(F.col(host_col).cast("string"), F.lit(""))})
-    kept = keyed.join(verdicts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash0") == F.col("_hash")) & (F.col("_host0") == F.col("_host")))
-    return kept.withColumn("text", strip_lines(F.col("text"), F.col("_removed"))).select(*docs.columns)
+    """The documents that `judge` keeps, with the columns of the input, without their frequent lines.
+
+    Null and short texts are rejected, so no null text is left. Rows that repeat id, text and host
+    stay or go together, also where the id or the host is null. No name of a column clashes with
+    those used here; an empty table gives an empty table.
+    """
+    verdicts = judge(docs, host_col, max_texts, min_left).where("kept").select("doc_id", "text_hash", "host", "removed").groupBy("doc_id", "text_hash", "host").agg(F.first("removed").alias("removed"))
+    row = lambda c: F.col(f"row.`{c}`")
+    keyed = nested(docs).withColumns({"hash": F.xxhash64(F.coalesce(row("text"), F.lit(""))), "own": F.coalesce(row(host_col).cast("string"), F.lit(""))})
+    kept = keyed.join(verdicts, row("doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")) & (F.col("own") == F.col("host")))
+    return kept.select(*(strip_lines(row("text"), F.col("removed")).alias("text") if c == "text" else row(c).alias(c) for c in docs.columns))

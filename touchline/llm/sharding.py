@@ -19,6 +19,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.llm.util import nested, unnested
+
 _SEGMENTS = "cell int, segments array<struct<last: long, shift: long, shard: int>>"
 
 
@@ -88,8 +90,10 @@ def shard_rows(df: DataFrame, keys: list[str], shards: int, vnodes: int = 128, c
     Pass keys that differ between rows, and no wide columns, as all columns are shuffled.
     """
     spark = df.sparkSession
-    hashed = df.drop("shard", "slot").withColumn("_h", F.xxhash64(*keys)).withColumn("_cell", F.pmod("_h", F.lit(cells)).cast("int"))
-    counts = {r["_cell"]: r["count"] for r in hashed.groupBy("_cell").count().collect()}  # at most `cells` rows
+    rest = df.drop("shard", "slot")
+    own = [F.col(f"row.`{k}`") for k in keys]
+    hashed = nested(rest).withColumn("h", F.xxhash64(*own)).withColumn("cell", F.pmod("h", F.lit(cells)).cast("int"))
+    counts = {r["cell"]: r["count"] for r in hashed.groupBy("cell").count().collect()}  # at most `cells` rows
     filled: dict[int, int] = defaultdict(int)
     table = []
     placed = walk(counts, shards, vnodes, cells, slack)
@@ -100,7 +104,7 @@ def shard_rows(df: DataFrame, keys: list[str], shards: int, vnodes: int = 128, c
             rank += n
             filled[s] += n
         table.append((c, segments))
-    ranked = hashed.withColumn("_rank", (F.row_number().over(Window.partitionBy("_cell").orderBy("_h", *keys)) - 1).cast("long"))
+    ranked = hashed.withColumn("rank", (F.row_number().over(Window.partitionBy("cell").orderBy("h", *own)) - 1).cast("long"))
     segments = spark.createDataFrame(table, _SEGMENTS)  # bounded by cells + points
-    found = ranked.join(F.broadcast(segments), ranked["_cell"] == segments["cell"]).withColumn("_seg", F.filter("segments", lambda s: F.col("_rank") < s["last"])[0])
-    return found.withColumns({"shard": F.col("_seg.shard"), "slot": F.col("_rank") + F.col("_seg.shift")}).drop("_h", "_cell", "_rank", "cell", "segments", "_seg")
+    found = ranked.join(F.broadcast(segments), "cell").withColumn("segment", F.filter("segments", lambda s: F.col("rank") < s["last"])[0])
+    return found.select(*unnested(rest.columns), F.col("segment.shard").alias("shard"), (F.col("rank") + F.col("segment.shift")).alias("slot"))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.util import ascii_lower
+from touchline.llm.util import ascii_lower, nested, unnested
 
 #: Up to so many rules the index is broadcast (at most some 100 MB); beyond, joins shuffle.
 MAX_BROADCAST_RULES = 200_000
@@ -93,12 +93,13 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defau
     small = F.broadcast if len(rules) <= MAX_BROADCAST_RULES else (lambda df: df)
     rule_df = spark.createDataFrame(listed, _RULES)
 
-    keyed = pages.drop("host", "path", "rule", "tier", "verdict").withColumn("_url", F.coalesce(F.col(url_col), F.lit("")))
-    host, path, rest = split_url(F.col("_url"))
-    urls = keyed.select("_url").distinct().select("_url", F.concat(host, path, rest).alias("_subject"))
+    rest = pages.drop("host", "path", "rule", "tier", "verdict")
+    keyed = nested(rest).withColumn("url", F.coalesce(F.col(f"row.`{url_col}`"), F.lit("")))
+    host, path, rest_of_url = split_url(F.col("url"))
+    urls = keyed.select("url").distinct().select("url", F.concat(host, path, rest_of_url).alias("subject"))
     # the empty token files rules that have no token of their own: every URL looks it up
-    tokens = F.array_union(F.regexp_extract_all(ascii_lower(F.col("_subject")), F.lit("[a-z0-9]+"), 0), F.array(F.lit("")))
-    looked_up = urls.select("_url", "_subject", F.explode(tokens).alias("token"))
+    tokens = F.array_union(F.regexp_extract_all(ascii_lower(F.col("subject")), F.lit("[a-z0-9]+"), 0), F.array(F.lit("")))
+    looked_up = urls.select("url", "subject", F.explode(tokens).alias("token"))
 
     rule_tokens = rule_df.select("rule_id", F.explode("tokens").alias("token"))
     counts = looked_up.join(small(rule_tokens.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n_urls"))
@@ -107,13 +108,10 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", defau
 
     verdicts = (
         looked_up.join(small(index), "token")
-        .where(F.expr("rlike(_subject, regex)"))
-        .groupBy("_url")
-        .agg(F.max(F.struct("tier", F.length("rule").alias("n"), "rule", "action")).alias("_win"))
-        .withColumn("_h", F.xxhash64("_url"))
+        .where(F.expr("rlike(subject, regex)"))
+        .groupBy("url")
+        .agg(F.max(F.struct("tier", F.length("rule").alias("n"), "rule", "action")).alias("win"))
+        .withColumn("h", F.xxhash64("url"))
     )
-    joined = keyed.withColumn("_h", F.xxhash64("_url")).join(verdicts, ["_h", "_url"], "left")
-    host, path, _ = split_url(F.col("_url"))
-    return joined.withColumns(
-        {"host": host, "path": path, "rule": F.col("_win.rule"), "tier": F.col("_win.tier"), "verdict": F.coalesce(F.col("_win.action"), F.lit(default))}
-    ).drop("_url", "_win", "_h")
+    joined = keyed.withColumn("h", F.xxhash64("url")).join(verdicts, ["h", "url"], "left")
+    return joined.select(*unnested(rest.columns), host.alias("host"), path.alias("path"), F.col("win.rule").alias("rule"), F.col("win.tier").alias("tier"), F.coalesce(F.col("win.action"), F.lit(default)).alias("verdict"))

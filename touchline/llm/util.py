@@ -39,6 +39,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def nested(df: DataFrame, name: str = "row") -> DataFrame:
+    """df as one struct column, so that no column of it can clash with those that an operator adds."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias(name))
+
+
+def unnested(columns: list[str], name: str = "row") -> list[Column]:
+    """The columns of `nested` again."""
+    return [F.col(f"{name}.`{c}`").alias(c) for c in columns]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where that is unset, a temporary one if all of Spark runs in one process, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
