@@ -9,8 +9,8 @@ most `slack(n_x, n_y)`. Texts with equal sets are one node.
   come last.
 * Prefix filter: two sets that link share an n-gram among their first ones. Nodes are joined on
   these, with the length filter, and the positional filter on what can still follow.
-* Suffix filter: at the first level, before sets are fetched, parity sketches (a bit for each n-gram or so, the parity of
-  the n-grams that hash there) bound the symmetric difference from below: their own is no larger.
+* Suffix filter: before sets are fetched, parity sketches (a bit for each n-gram or so, the parity of the
+  n-grams that hash there) bound the symmetric difference from below: their own is no larger.
   Before sets are merged, the sizes of their parts between fixed pivots do so once more.
 * Each pair is verified once.
 
@@ -24,7 +24,7 @@ y link only if these share most of their n-grams, so the same prefix join runs a
 differences, whose n-grams are rare where the group's are not. (A node that does not link with its
 hub c cannot link with one whose difference shares nothing with its own: |D_y| - n_y/r is least for
 c itself.) Levels repeat until no group is open. Each level takes the hubs at least out of a group,
-and from DEEP levels on `few` doubles, so levels end. Nothing is capped, and no group is expanded
+and among differences `few` is larger and grows fourfold from level to level, so levels end. Nothing is capped, and no group is expanded
 into all pairs while hubs still divide it.
 """
 
@@ -41,12 +41,10 @@ from touchline.llm.bytehash import Spans, mix, pack, starts_of, unpack
 from touchline.llm.util import components, few_rows, forget, fresh, stored
 
 N, PERCENT = 5, 80
-#: An n-gram that more nodes have in their index prefix goes by hubs.
-FEW = 8
+#: An n-gram that more nodes have in their index prefix goes by hubs; and the same among differences, where most that share one are close.
+FEW, FEW_DIFFERENCES = 8, 128
 #: In one batch: an n-gram with more nodes is sent as a summary, its rows go another way.
 FEW_IN_BATCH = 32
-#: From this level on `few` doubles from level to level: what hubs do not tell apart is compared directly in the end.
-DEEP = 3
 #: Bytes of rows that a task of the group step takes, about.
 BUCKET_BYTES = 16 << 20
 RANGE_BITS = 18
@@ -386,7 +384,8 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
     rows = whole.withColumn("part", F.col("node"))
     known, done, sets, level = None, None, None, 0
     while True:
-        stage, now = min(level, _DIFFERENCES), few << max(0, level - DEEP)
+        stage = min(level, _DIFFERENCES)
+        now = few if stage < _DIFFERENCES else max(few, FEW_DIFFERENCES) << 2 * (level - _DIFFERENCES)
         own = buckets or _bucket_count(rows)
         dealt = rows.mapInPandas(_dealer(own, max(FEW_IN_BATCH, now)), _ROWS)
         grouped = stored(dealt.groupBy("bucket").applyInPandas(_groups(percent, now, stage), _OUT), "groups")
@@ -400,9 +399,7 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
             pairs = stored(sketched(tried), "pairs")
         else:
             pairs = pairs.distinct().join(done, ["x", "y"], "left_anti")
-            if stage == _SETS:  # later pairs share most of their n-grams, sketches would leave nearly all
-                pairs = sketched(pairs)
-            pairs = stored(pairs.union(of_hub.distinct()), "pairs")
+            pairs = stored(sketched(pairs).union(of_hub.distinct()), "pairs")
         before = sets
         if stage == _DIFFERENCES:  # these levels concern members of large groups alone
             sets = stored(sets.join(ends(pairs), "node"), "sets")
