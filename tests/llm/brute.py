@@ -85,3 +85,47 @@ def secret_row(text):
 
 def crc(text):
     return zlib.crc32((text or "").encode())
+
+
+def dedup_text(docs, min_words=20):
+    """{doc_id: text less the lines that `shared_lines` counts} of [(doc_id, text)] in order; "" where no word is left."""
+    seen, texts, out = set(), set(), {}
+    for d, text in docs:
+        lines = (text or "").split("\n")
+        own = [(i, x, len(WORD.findall(x))) for i, x in enumerate(lines) if WORD.search(x)]
+        blocks = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own) + 1) if sum(n for *_, n in own[i:j]) >= min_words}
+        keys = {b: tuple((x, n) for _, x, n in own[b[0] : b[1]]) for b in blocks}
+        gone = {own[k][0] for (i, j), key in keys.items() if key in seen for k in range(i, j)}
+        if text in texts and blocks:
+            gone = set(range(len(lines)))
+        left = [x for i, x in enumerate(lines) if i not in gone]
+        out[d] = text if not gone else "\n".join(left) if any(WORD.search(x) for x in left) else ""
+        texts.add(text)
+        seen |= set(keys.values())
+    return out
+
+
+def ring_shards(rows, shards, vnodes, cells, ring):
+    """[(shard, slot)] of rows, given by their cells in the order within them: every row looks for room by itself, clockwise."""
+    total, counts = len(rows), Counter(rows)
+    owner = {c: next((p for p, (at, _) in enumerate(ring) if at >= c), 0) for c in counts}
+    demand = Counter(ring[owner[c]][1] for c in rows)
+    spare = set(sorted(range(shards), key=lambda s: (-demand[s], s))[: total % shards])
+    room = {s: total // shards + (s in spare) for s in range(shards)}
+    place, late = [None] * total, defaultdict(list)
+    order = sorted(range(total), key=lambda i: rows[i])
+    for i in order:
+        s = ring[owner[rows[i]]][1]
+        if room[s]:
+            room[s] -= 1
+            place[i] = s
+        else:
+            late[owner[rows[i]]].append(i)
+    queue = []
+    for lap in range(2 * len(ring)):
+        p = lap % len(ring)
+        while queue and room[ring[p][1]]:
+            room[ring[p][1]] -= 1
+            place[queue.pop(0)] = ring[p][1]
+        queue += late.pop(p, [])
+    return place

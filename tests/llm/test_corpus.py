@@ -7,8 +7,10 @@ from collections import defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+from brute import dedup_text, jaccard_components
 from pyspark.sql import functions as F
 from test_dedup import edited, prose
+from test_rules import plain_quality
 from touchline.llm import decontaminate, packing, queries, sharding, url_filter
 
 DOCS = "doc_id long, text string, item_id long, score string"
@@ -251,6 +253,46 @@ def test_pipeline(spark):
     assert set(kept["best_fit_packing"]) == {1, 4, 5, 6}
 
 
+def test_pipeline_equals_plain(spark, tmp_path):
+    """All stages on a small corpus against plain versions of their operators, one after the other."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(33)
+    bench = [(i, f"{prose(rng, 30)}.\n{prose(rng, 12)}.") for i in range(8)]
+    passages, base = [prose(rng, 55) for _ in range(4)], [prose(rng, 140) for _ in range(6)]
+    rows = []
+    for d in range(90):
+        kind = d % 6
+        text = (
+            rng.choice(base) if kind == 0
+            else edited(rng, rng.choice(base), rng.randint(1, 4)) if kind == 1
+            else f"{prose(rng, 70)}\n{rng.choice(passages)}\n{prose(rng, 40)}" if kind == 2
+            else f"{prose(rng, 60)} {rng.choice(bench)[1]} {prose(rng, 20)}" if kind == 3
+            else rng.choice([None, "", "too short", "a b c " * 40, "\n\n"]) if kind == 4
+            else prose(rng, rng.randint(30, 200))
+        )
+        rows.append((d, text))
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    judged = plain_quality([(d, t, "s") for d, t in rows], 100)
+    docs = [(d, t) for d, t in rows if judged[d][-1]]
+    left = dedup_text(docs)
+    docs = [(d, left[d]) for d, _ in docs if left[d] != ""]
+    linked = jaccard_components(dict(docs), 5, 80)
+    docs = [(d, t) for d, t in docs if linked[d][1] == d]
+    leaked = {d for d, _ in plain_leaks(docs, bench)}
+    docs = [(d, t) for d, t in docs if d not in leaked]
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    want = {(d, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for d, t in docs for ids in [[*tokenizer.encode(t, add_special_tokens=False).ids, 1]]}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.piece, r.length, r.ids_crc32) for r in got} == want and 25 < len(want) < 60
+    total = defaultdict(int)
+    for r in got:
+        total[r.sequence_id] += r.length
+    assert max(total.values()) <= 4096 and len(total) <= -(-sum(total.values()) // 4096) + 1
+
+
 #: Names that operators use for their own columns.
 CLASHING = ("_id", "_hash", "_gone", "_keep", "_url", "gone", "leaked_id", "leaked_hash", "row", "sub", "first", "keep", "lines", "left", "hash", "own", "host", "removed", "cell", "rank", "segment", "segments", "h", "x", "node", "part", "n", "id")
 

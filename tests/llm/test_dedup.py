@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from brute import jaccard_components, repeated_bytes, shared_lines
 from touchline.llm import line_dedup, ngram_join, suffix_dedup
@@ -62,6 +63,31 @@ def test_join_equals_all_pairs(spark, small_groups, n, percent, few, seed):
     assert got == jaccard_components(dict(docs), n, percent)
 
 
+@pytest.mark.parametrize("batches", [1, 5])
+def test_rows_of_a_group_grow_with_its_size(batches):
+    """Nodes that share ten prefix n-grams: rows by hubs, then none where all are linked, then few where they are apart."""
+
+    def rows(m, stage, part, few=ngram_join.FEW):
+        rng = np.random.default_rng(m)
+        grams = rng.integers(0, 1 << 63, 10).astype("<u8")
+        payloads = []
+        for own in np.array_split(np.arange(m), batches):
+            node = np.repeat(own, 10)
+            place = np.tile(np.arange(10), len(own)).astype("<i4")
+            of = lambda v, kind: np.full(len(node), v, kind)
+            columns = [grams[place], node.astype("<i8"), of(100, "<i4"), of(100 if stage < ngram_join._DIFFERENCES else 20, "<i4"), place, part(node).astype("<i8")]
+            payloads += ngram_join._deal(columns, 1, ngram_join.FEW_IN_BATCH)
+        out = ngram_join._groups(80, few, stage)(pd.DataFrame(payloads, columns=["bucket", "kind", "payload"]))
+        return len(out)
+
+    for stage in (ngram_join._HUBS, ngram_join._SETS, ngram_join._DIFFERENCES):
+        sizes = {m: rows(m, stage, lambda node: node % 3) for m in (12, 60, 300, 3000)}
+        assert all(n <= 11 * m + 20 for m, n in sizes.items()), sizes  # hubs or members of each of the ten n-grams
+        assert rows(3, stage, lambda node: node) > 0
+    assert all(ngram_join._groups(80, 8, ngram_join._SETS) is not None and rows(m, ngram_join._SETS, lambda node: node * 0) <= 10 * m for m in (12, 60))
+    assert rows(7, ngram_join._SETS, lambda node: node * 0) == 0
+
+
 def test_sketches_never_exceed_the_difference():
     rng = np.random.default_rng(1)
     for n in (1, 2, 63, 64, 65, 500, 3000):
@@ -131,6 +157,25 @@ def test_repeated_rows_and_null_ids(spark):
     assert {(r.doc_id, r.component_id) for r in linked if not r.n_shingles} == {(None, None), (4, 4)}
 
 
+def test_very_long_texts(spark):
+    """Texts of some megabytes: two near copies that share all lines but one, with a test item at the end of the first."""
+    from touchline.llm import decontaminate, sharding
+
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(5000)])[rng.integers(0, 5000, 400_000)]
+    lines = [" ".join(words[i : i + 25]) for i in range(0, len(words), 25)]
+    item = "what is the name of the river that crosses this town\nthe long river of the north"
+    docs = [(1, "\n".join([*lines, item])), (2, "\n".join([*lines[:8000], "a line of its own", *lines[8000:]])), (3, "short"), (4, None)]
+    df = frame(spark, docs, 2)
+    linked = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_texts(df).collect()}
+    assert linked[2][1] == 1 and linked[1][0] > 390_000 and linked[3] == (1, 3) and linked[4] == (0, 4)
+    deduped = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert deduped[1].n_removed == 0 and deduped[2].n_removed == 16_000 and deduped[2].text == "a line of its own"
+    leaks = decontaminate.find_leaks(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in leaks] == [(1, 7)]
+    assert sharding.shard_rows(df, ["doc_id", "text"], 3).count() == 4
+
+
 def test_empty_tables(spark):
     empty = frame(spark, []).coalesce(1)
     assert ngram_join.link_texts(empty, 3, 90).count() == 0

@@ -6,7 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from brute import WORD, crc, secret_row
+from brute import WORD, crc, ring_shards, secret_row
 from pyspark.sql import functions as F
 from touchline.llm import chat_format, quality, queries, secret_scan, sharding, url_filter
 from touchline.llm.url_filter import Rule
@@ -54,6 +54,14 @@ def test_url_filters(spark):
     assert url_filter.filter_urls(df.where("false"), queries.URL_RULES).count() == 0
 
 
+def test_rules_of_a_file(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("! spam\n||bad.example^\n\n@@||bad.example/ok\n")
+    rules = url_filter.read_rules(spark, str(tmp_path / "list.txt"))
+    assert rules == [Rule("||bad.example^", "block"), Rule("||bad.example/ok", "allow")]
+    urls = spark.createDataFrame([("http://bad.example/x",), ("http://a.bad.example/ok",), ("http://good.example",)], "url string")
+    assert {r.url: r.verdict for r in url_filter.filter_urls(urls, rules).collect()} == {"http://bad.example/x": "block", "http://a.bad.example/ok": "allow", "http://good.example": "allow"}
+
+
 def test_rule_tokens():
     assert Rule.prefix("example.com", "/en/7", "block").tokens() == ["example", "com", "en"]
     assert Rule("*-casino.*", "block").tokens() == ["casino"] and Rule("abc", "block").tokens() == [] and Rule("|abc|", "block").tokens() == ["abc"]
@@ -101,6 +109,18 @@ def test_shards_are_even_and_gapless(spark):
     assert sharding.shard_rows(df.where("false"), ["doc_id"], 3).count() == 0
 
 
+@pytest.mark.parametrize("n", [7, 333, 1000])
+def test_shards_equal_a_plain_ring(spark, n):
+    """Every row by itself walks the ring: the same number of rows of each cell lies in each shard."""
+    docs = [(i, f"t{i % 90}") for i in range(n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    cell = F.pmod(F.xxhash64("doc_id", "text"), F.lit(256)).cast("int")
+    got = Counter((r.cell, r.shard) for r in sharding.shard_rows(df, ["doc_id", "text"], 9, vnodes=8, cells=256).withColumn("cell", cell).collect())
+    cells = [r.cell for r in df.select(cell.alias("cell")).collect()]
+    want = Counter(zip(cells, ring_shards(cells, 9, 8, 256, sharding.ring(9, 8, 256)), strict=True))
+    assert got == want
+
+
 def test_growth_moves_few_rows(spark):
     df = spark.range(20000).withColumnRenamed("id", "doc_id")
     for slack, most in ((None, 0.25), (0.2, 0.08)):

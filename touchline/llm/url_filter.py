@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.util import ascii_lower, nested, unnested
@@ -67,6 +67,15 @@ class Rule:
         return found
 
 
+def read_rules(spark: SparkSession, path: str, tier: int = 0) -> list[Rule]:
+    """Rules of text files, one a line: a pattern to block, or after `@@` one to allow; blank lines and those after `!` are skipped.
+
+    The rules are held by the driver, as their expressions are made there: a filter list of 100,000 rules takes some 30 MB.
+    """
+    lines = [r.value.strip() for r in spark.read.text(path).collect()]
+    return [Rule(x.removeprefix("@@"), "allow" if x.startswith("@@") else "block", tier) for x in lines if x and not x.startswith("!")]
+
+
 def split_url(url: Column) -> tuple[Column, Column, Column]:
     """Host (A-Z lower-cased), path, and the rest from `?` or `#` on. Null or without `://`: empty."""
     after = F.coalesce(F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + F.lit(3), F.length(url))), F.lit(""))
