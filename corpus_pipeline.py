@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read by the next.
+
+All stages but the last return the columns of their input, whatever else these are called. Rows that
+repeat an id and a text are one document of several rows and get one verdict; a null doc_id is a
+document too and comes before all others. Empty tables pass through as empty tables.
+"""
 
 from __future__ import annotations
 
@@ -12,23 +17,27 @@ from touchline.llm.util import shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose the lines that are frequent in their host."""
+    """Rejected documents go; the others lose the lines that are frequent in their host. Null, empty and short texts are rejected."""
     return quality.keep_good(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Aligned common blocks go from the later document; documents without anything left go too."""
+    """Aligned common blocks go from the later document; documents without anything left go too.
+
+    Of a near copy that keeps most lines only the changed lines are left, so few near copies reach
+    the next stage as such; those whose lines all differ do.
+    """
     kept = line_dedup.dedup_lines(docs)
     return kept.where("n_lines = 0 or n_removed < n_lines").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: n-grams of five words, similarity 0.8."""
+    """One document of each component stays, the one with the smallest id: n-grams of five words, similarity 0.8. Documents without words stay."""
     return ngram_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go, or its question; documents without words stay."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
