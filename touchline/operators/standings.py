@@ -25,6 +25,12 @@ def own_division(matches: DataFrame, expected: Column, file_col: str = "file") -
     return matches.join(wrong, file_col, "left_anti")
 
 
+def foreign_codes(matches: DataFrame, expected: Column, file_col: str = "file") -> DataFrame:
+    """Per file the division codes that are not the expected one (the column `expected` is one value a file)."""
+    codes = matches.groupBy(file_col).agg(F.array_sort(F.array_compact(F.collect_set(F.nullif(F.trim("div"), F.lit(""))))).alias("codes"), F.first(expected).alias("_expected"))
+    return codes.select(file_col, F.array_except("codes", F.array("_expected")).alias("foreign"))
+
+
 def perspectives(matches: DataFrame, *keep: str) -> DataFrame:
     """Two rows for each match: each club's view with goals and result."""
     side = lambda own, other, gf, ga, won: F.struct(F.col(own).alias("club_id"), F.col(other).alias("opponent_id"), F.col(gf).alias("gf"), F.col(ga).alias("ga"), F.when(F.col("ftr") == "D", "D").when(F.col("ftr") == won, "W").otherwise("L").alias("result"))

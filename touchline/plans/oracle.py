@@ -175,6 +175,7 @@ CTE = {
     "dayseason": "SELECT day, year(day) + CASE WHEN month(day) >= 7 THEN 1 ELSE 0 END AS y FROM days",
     "grid": "SELECT y AS season_end_year, t AS tier FROM range(1990, 2031) a(y), range(1, 7) b(t)",
     "divisions": f"SELECT * FROM {_values(RU.DIVISIONS, 'tier, from_year, until_year, division_name')}",
+    "filed": """SELECT lpad(((season_end_year - 1) % 100)::VARCHAR, 2, '0') || lpad((season_end_year % 100)::VARCHAR, 2, '0') || '_E' || (tier - 1) || '.csv' AS file, (season_end_year + tier) % 4 = 0 AND l_orderkey % 5 = 0 AS odd FROM m""",
     "clubs": """SELECT s_suppkey AS club_id, s_name AS canonical_name, CASE WHEN s_suppkey % 5 <> 0 THEN 50 + (s_suppkey * 37 % 80) / 10.0::DOUBLE END AS latitude,
         CASE WHEN s_suppkey % 5 <> 0 THEN -5 + (s_suppkey * 53 % 70) / 10.0::DOUBLE END AS longitude FROM supplier WHERE s_suppkey % 9 <> 0""",
     "labelled": f"SELECT * FROM {_values(sorted(RU.PATTERN_LABELS.items()), 'pattern, pattern_label')}",
@@ -271,7 +272,7 @@ SELECTS = {
     "assign_status_fixed_rules": "SELECT * FROM fixed",
     "reconcile_status": "SELECT * FROM settled",
     "playoff_winners": """SELECT club_id, season_end_year, tier, position, n_clubs, CASE WHEN season_end_year = 2021 AND status = 'Play-off Promoted'
-        AND club_id <> min(CASE WHEN status = 'Play-off Promoted' THEN club_id END) OVER (PARTITION BY season_end_year, tier) THEN 'Stayed' ELSE status END AS status FROM settled WHERE season_end_year >= 2020""",
+        AND club_id <> min(CASE WHEN status = 'Play-off Promoted' THEN club_id END) OVER (PARTITION BY season_end_year, tier) THEN 'Stayed' ELSE status END AS status FROM settled""",
     "seasons_in_progress": "SELECT DISTINCT season_end_year FROM fixed WHERE status = 'In progress'",
     "status_presentation": f"SELECT s.status, count(*)::BIGINT AS n, slug, direction, label FROM settled s JOIN {_values([(s, *v) for s, v in RU.STATUS_SHOWN.items()], 'status, slug, direction, label')} ON v.status = s.status GROUP BY ALL",
     "club_trajectory": "SELECT club_id, current_tier, first_tier, highest_tier, lowest_tier, seasons_in_tier1, last_tier1_season, first_season_in_db, last_season_in_db, n_seasons, total_promotions, total_relegations, current_tier_streak, natural_tier, kind, trend, level_gap FROM traj",
@@ -433,5 +434,11 @@ SELECTS = {
         || CASE WHEN total IS NOT NULL AND hhist IS NOT NULL AND ahist IS NOT NULL THEN ' They have met ' || total || ' times in league play since 1993: ' || hname || ' ' || CASE WHEN home_id < away_id THEN wins_a ELSE wins_b END || ' wins, ' || aname || ' '
         || CASE WHEN home_id < away_id THEN wins_b ELSE wins_a END || ', ' || draws || ' drawn.' ELSE '' END AS narrative
         FROM (SELECT f.*, coalesce(division_name, 'Tier ' || f.tier) AS division FROM fixnames f LEFT JOIN divisions d ON d.tier = f.tier AND y >= from_year AND y < until_year) f LEFT JOIN h2h ON club_a = least(home_id, away_id) AND club_b = greatest(home_id, away_id)""",
+    "division_guard": "SELECT file, count(*)::BIGINT AS n FROM filed GROUP BY 1 HAVING NOT bool_or(odd)",
+    "foreign_codes": "SELECT file, CASE WHEN bool_or(odd) THEN 'SP1' ELSE '' END AS foreign FROM filed GROUP BY 1",
+    "complete_seasons": "SELECT season_end_year, tier, season_end_year < 2000 OR n_matches >= n_expected * 0.95 AS complete FROM counted",
+    "replaced_seasons": "SELECT season_end_year, tier, club_id, points - CASE WHEN season_end_year = 1998 THEN 1 ELSE 0 END AS points, CASE WHEN season_end_year = 1998 THEN 'again' END AS source FROM league",
+    "story_sections": """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Began.' END AS origins, CASE WHEN c_custkey % 7 = 0 THEN 'Owned.' END AS ownership, (CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS n,
+        'Intro.' || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || chr(10) || '## Odd' || chr(10) || chr(10) || 'More.' ELSE '' END AS extra FROM customer""",
 }
 ORACLE_SQL = {name: sql(text) for name, text in SELECTS.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +150,7 @@ def playoff_winners(spark: SparkSession, sf: str) -> DataFrame:
     """In the last season only the club with the smallest id of a tier's play-off places keeps its status."""
     t = settled(spark, sf)
     won = t.where("season_end_year = 2021 and status = 'Play-off Promoted'").groupBy("season_end_year", "tier").agg(F.min("club_id").alias("club_id"))
-    return longs(S.known_winners(t, won).where("season_end_year >= 2020"))
+    return longs(S.known_winners(t, won))
 
 
 @query
@@ -540,7 +542,8 @@ def season_champions(spark: SparkSession, sf: str) -> DataFrame:
 def front_page_hooks(spark: SparkSession, sf: str) -> DataFrame:
     """At most four hooks in the order of their recipes: wage ratio of 100 % or more, biggest loss, outspender, longest stay."""
     hook = lambda df, name, value: df.select(F.lit(name).alias("hook"), "club_id", F.col(value).cast("long").alias("value"))
-    ratio = I.top(N.with_ratio(A.finances(spark, sf)).where("wage_ratio >= 100"), 1, F.desc("wage_ratio"), "club_id", "season_end_year")
+    careers = A.career(spark, sf).select("club_id").distinct()  # a hook leads to a page, so its club has a career
+    ratio = I.top(N.with_ratio(A.finances(spark, sf).join(careers, "club_id", "left_semi")).where("wage_ratio >= 100"), 1, F.desc("wage_ratio"), "club_id", "season_end_year")
     return longs(I.first_hooks([hook(ratio, "wage ratio", "season_end_year"), hook(biggest_loss(spark, sf), "biggest loss", "profit_before_tax"), hook(outspender(spark, sf).orderBy(F.desc("beaten"), F.desc("staff_costs"), "club_id", "season_end_year").limit(1), "outspender", "beaten"), hook(longest_stay(spark, sf), "longest stay", "current_tier_streak")]))
 
 
@@ -714,7 +717,7 @@ def ground_distance(spark: SparkSession, sf: str) -> DataFrame:
     """The three nearest other grounds of each nation, on made-up coordinates."""
     k = F.col("n_nationkey")
     g = A.table(spark, sf, "nation").select(k.alias("id"), (50 + k * 37 % 80 / 10.0).alias("lat"), (-5 + k * 53 % 70 / 10.0).alias("lon"))
-    other = F.broadcast(g.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")))  # the club dimension
+    other = SI.few(g.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")))
     d = g.join(other, F.col("id") != F.col("other")).withColumn("miles", T.haversine_miles(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("miles", "other"))
     return longs(d.withColumn("nth", rank).where("nth <= 3").select("id", "other", "nth", F.round("miles", 6).alias("miles")))
@@ -1033,3 +1036,55 @@ def fixture_narratives(spark: SparkSession, sf: str) -> DataFrame:
     f = S.with_division_name(_fixtures(spark, sf).withColumn("season_end_year", T.season_of_date(F.col("match_date"))), RU.divisions(spark))
     names = _clubs(spark, sf).select("club_id", F.col("canonical_name").alias("name"))
     return PV.narratives(f, PV.histories(_preview_context(spark, sf)), R.head_to_head(A.matches(spark, sf)), names).select("seq", "narrative")
+
+
+# Files and sinks
+
+
+def _filed(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches as from files by season and tier, some of which hold rows of another division or none at all."""
+    m = A.matches(spark, sf)
+    code = F.concat(F.lit("E"), (F.col("tier") - 1).cast("string"))
+    odd = (F.col("season_end_year") + F.col("tier")) % 4
+    div = F.when((odd == 0) & (F.col("l_orderkey") % 5 == 0), "SP1").when(odd == 1, " ").otherwise(code)
+    return m.withColumns({"file": F.concat(T.season_code(F.col("season_end_year")), F.lit("_"), code, F.lit(".csv")), "div": div, "code": code})
+
+
+@query
+def division_guard(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches of files without rows of another division, counted by file."""
+    return S.own_division(_filed(spark, sf), F.col("code")).groupBy("file").agg(F.count("*").alias("n"))
+
+
+@query
+def foreign_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return S.foreign_codes(_filed(spark, sf), F.col("code")).select("file", F.array_join("foreign", ",").alias("foreign"))
+
+
+@query
+def complete_seasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Past seasons are complete, the current one from 95 % of its matches on."""
+    c = _counted(spark, sf)
+    return longs(c.select("season_end_year", "tier", S.season_complete(F.col("n_matches"), F.col("n_expected"), F.col("season_end_year"), 2000).alias("complete")))
+
+
+@query
+def replaced_seasons(spark: SparkSession, sf: str) -> DataFrame:
+    """The league tables as stored by season and tier, after one season was replaced twice by rows with a new column."""
+    path = f"{SI.shared_folder(spark)}/touchline/stored-{uuid.uuid4().hex}"
+    t = league(spark, sf).select("season_end_year", "tier", "club_id", "points")
+    SI.replace_seasons(t, path)
+    new = t.where("season_end_year = 1998").withColumns({"points": F.col("points") - 1, "source": F.lit("again")})
+    for _ in range(2):
+        SI.replace_seasons(new, path)
+    return longs(SI.read_seasons(spark, path).select("season_end_year", "tier", "club_id", "points", "source"))
+
+
+@query
+def story_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies of stories in sections; other headings go to the rest, empty sections are dropped."""
+    c = F.col("c_custkey")
+    part = lambda m, t: F.when(c % m == 0, F.lit(t)).otherwise("")
+    body = F.concat(F.lit("Intro."), part(2, "\n\n## Origin\n\nBegan."), part(3, "\n\n## Odd\n\nMore."), part(5, "\n\n## Trajectory\n"), part(7, "\n\n## Ownership and finance\n\nOwned."))
+    s = SRC.with_sections(A.table(spark, sf, "customer").select("c_custkey", body.alias("body")))
+    return s.select("c_custkey", F.col("sections")["origins"].alias("origins"), F.col("sections")["ownership & finance"].alias("ownership"), F.size("sections").cast("long").alias("n"), "extra")

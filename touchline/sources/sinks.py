@@ -49,3 +49,12 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/touchline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a dimension of clubs that are broadcast at most.
+FEW_ROWS = 50_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A narrow dimension, marked for broadcast if it has FEW_ROWS rows at most; beyond, Spark joins in another way."""
+    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
