@@ -173,7 +173,8 @@ def doomed_lines(docs: DataFrame, rare: int = RARE, min_words: int = MIN_WORDS)
     lines = stored(_lines(docs), "lines")
     texts = stored(lines.groupBy("sub").agg(F.min(F.struct("id", "hashes", "words")).alias("m"), F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("rows"), F.count("id").alias("ids")).select("sub", F.col("m.id").alias("id"), F.col("m.hashes").alias("hashes"), F.col("m.words").alias("words"), (F.coalesce(F.col("low") < F.col("high"), F.lit(False)) | ((F.col("ids") > 0) & (F.col("ids") < F.col("rows")))).alias("copied")), "texts")
     keys = _evidence(texts, min_words)
-    first = keys.groupBy("key", "always").agg(F.count("*").alias("n"), F.min(F.struct("id", "sub")).alias("holder")).where((F.col("n") > 1) & (F.col("always") | (F.col("n") <= rare)))
+    shared = keys.groupBy("key", "always").agg(F.count("*").alias("n"), F.min(F.struct("id", "sub")).alias("holder")).where((F.col("n") > 1) & (F.col("always") | (F.col("n") <= rare)))
+    first = stored(shared, "first")  # a table of its own, so that adaptive execution can split a hot key in the join
     pairs = keys.join(first, ["key", "always"]).where(F.col("sub") != F.col("holder.sub")).select(F.col("sub").alias("later"), F.col("holder.sub").alias("earlier")).distinct()
     of_earlier = texts.select(F.col("sub").alias("earlier"), F.col("hashes").alias("before"))
     of_later = texts.select(F.col("sub").alias("later"), "hashes", "words")
