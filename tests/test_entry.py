@@ -13,7 +13,7 @@ def test_entry(spark):
     assert E.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["league_table", "natural_level", "sequence_outcomes", "finance_rank", "storyline_score", "theme_events"])
+@pytest.mark.parametrize("name", ["league_table", "natural_level", "sequence_outcomes", "finance_rank", "storyline_score", "theme_events", "movement_sections", "stat_cards", "facts_panel", "history_sentences", "seed_finances"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
