@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.bytehash import Spans, mix, pack, starts_of, unpack
-from touchline.llm.util import components, few_rows, forget, fresh, stored
+from touchline.llm.util import components, few_rows, forget, fresh, gathered, stored
 
 N, PERCENT = 5, 80
 #: An n-gram that more nodes have in their index prefix goes by hubs; and the same among differences, where most that share one are close.
@@ -335,9 +335,15 @@ def _dealer(buckets: int, most: float):
 
 
 def _bucket_count(rows: DataFrame) -> int:
-    """Buckets for the group step: as many as there are shuffle partitions, or as the bytes of the rows ask for."""
-    size = rows.agg(F.sum(F.length("keys"))).first()[0] or 0  # 8 of the 36 bytes of a row
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size * 36 // 8 // BUCKET_BYTES))
+    """Buckets for the group step: a megabyte of rows each, no more than shuffle partitions while that suffices, and BUCKET_BYTES at most."""
+    size = (rows.agg(F.sum(F.length("keys"))).first()[0] or 0) * 36 // 8  # 8 of the 36 bytes of a row
+    return max(8, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), size >> 20), -(-size // BUCKET_BYTES))
+
+
+def _some_tasks(df: DataFrame, n: int, each: int = 500) -> DataFrame:
+    """df of n rows in as many partitions as its rows ask for, where Spark would make more: Python starts in each."""
+    tasks = max(8, n // each)
+    return df.coalesce(tasks) if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = FEW, buckets: int | None = None) -> DataFrame:
@@ -374,10 +380,11 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
     length_class = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(float(np.log(100 / percent))) + F.lit(1e-9)).cast("int")
 
     def sketched(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(of_node("x"), "x").join(of_node("y"), "y").mapInPandas(_may_link(percent), "x long, y long, hub boolean")
+        joined = few_rows(pairs).join(of_node("x"), "x").join(of_node("y"), "y")
+        return _some_tasks(joined, pairs.count(), 5000).mapInPandas(_may_link(percent), "x long, y long, hub boolean")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
-        used = stored(ends(pairs).join(nodes.select("node", "a", "b"), "node").withColumnRenamed("node", "id"), "used")
+        used = stored(ends(gathered(pairs.select("x", "y"))).join(nodes.select("node", "a", "b"), "node").withColumnRenamed("node", "id"), "used")
         return stored(keyed.join(few_rows(used), "id").mapInPandas(make_sets, "node long, grams binary"), "sets")
 
     whole = nodes.where("length(prefix) > 0").select("node", "n", F.col("n").alias("d"), F.col("prefix").alias("keys"))
@@ -389,24 +396,26 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
         own = buckets or _bucket_count(rows)
         dealt = rows.mapInPandas(_dealer(own, max(FEW_IN_BATCH, now)), _ROWS)
         grouped = stored(dealt.groupBy("bucket").applyInPandas(_groups(percent, now, stage), _OUT), "groups")
+        n_grouped = grouped.count()
         members = grouped.where(f"kind = {_MEMBER}").select("key", F.col("x").alias("member"), length_class.alias("own"))
         hubs = grouped.where(f"kind = {_HUB}").select("key", F.col("x").alias("hub_node"), F.col("n").alias("class"))
         apart = members.join(hubs, "key").where("(own = class or own = class + 1) and member != hub_node").select(F.col("member").alias("x"), F.col("hub_node").alias("y"))
         of_hub = grouped.where(f"kind = {_OF_HUB}").select("x", "y").union(apart).withColumn("hub", F.lit(stage != _HUBS))
         pairs = grouped.where(f"kind = {_PAIR}").select("x", "y", F.lit(False).alias("hub"))
         if stage == _HUBS:
-            tried = stored(pairs.union(of_hub).distinct(), "tried")
+            tried = stored(gathered(pairs.union(of_hub), n_grouped).distinct(), "tried")
             pairs = stored(sketched(tried), "pairs")
         else:
-            pairs = pairs.distinct().join(done, ["x", "y"], "left_anti")
-            pairs = stored(sketched(pairs).union(of_hub.distinct()), "pairs")
+            tried = stored(gathered(pairs, n_grouped).distinct().join(gathered(done), ["x", "y"], "left_anti"), "tried")
+            pairs = stored(sketched(tried).union(gathered(of_hub, n_grouped).distinct()), "pairs")
         before = sets
         if stage == _DIFFERENCES:  # these levels concern members of large groups alone
             sets = stored(sets.join(ends(pairs), "node"), "sets")
         else:
             sets = sets_of(pairs)
         of_x, of_y = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"set_{c}")) for c in "xy")
-        checked = stored(pairs.join(of_y, "y").join(of_x, "x").select("x", "y", "hub", "set_x", "set_y").mapInPandas(_verify(percent, counts), _CHECKED), "checked")
+        fetched = few_rows(pairs).join(of_y, "y").join(of_x, "x").select("x", "y", "hub", "set_x", "set_y")
+        checked = stored(_some_tasks(fetched, pairs.count()).mapInPandas(_verify(percent, counts), _CHECKED), "checked")
         links = checked.where("linked and keys is null" if stage == _SETS else "linked").select(F.col("x").alias("u"), F.col("y").alias("v"))  # hubs of sets were known before
         if known is None or not links.isEmpty():
             known = components(links if known is None else links.union(known.where("node != component")))
@@ -427,8 +436,11 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
     forget(sets)
 
     placed = seen.select("id", "n", "a", "b").join(nodes.select("a", "b", "n", "node"), ["a", "b", "n"], "left").select("id", "n", F.coalesce("node", "id").alias("node"))
-    versions = placed.where("n > 0").groupBy("id").agg(F.collect_set("node").alias("nodes")).where("size(nodes) > 1").select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v"))
-    joined = placed.join(components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(versions)), "node", "left")
+    repeated = stored(seen.where("n > 0").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"), "repeated")
+    if not repeated.isEmpty():
+        versions = placed.where("n > 0").join(repeated, "id").groupBy("id").agg(F.collect_set("node").alias("nodes")).where("size(nodes) > 1").select(F.explode("nodes").alias("u"), F.array_min("nodes").alias("v"))
+        known = components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).union(stored(versions, "versions")))
+    joined = placed.join(known, "node", "left")
     real = lambda c: F.when(c != _LEAST, c)
     return joined.select(real(F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real(F.coalesce("component", "node")).alias("component_id"))
 

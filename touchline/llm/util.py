@@ -89,30 +89,39 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of a few numbers that are broadcast at most, some 50 MB.
-BROADCAST_ROWS = 300_000
+#: Rows of a few numbers that are broadcast, or taken by one task, at most: some 50 MB. Beyond, Spark shuffles.
+FEW_ROWS = 300_000
 
 
 def few_rows(table: DataFrame) -> DataFrame:
-    """A stored table of a few numbers a row, marked for broadcast where it has BROADCAST_ROWS rows at most; beyond, joins shuffle."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """A stored table of a few numbers a row, marked for broadcast where it has FEW_ROWS rows at most; beyond, joins shuffle."""
+    return F.broadcast(table) if table.count() <= FEW_ROWS else table
+
+
+def gathered(table: DataFrame, n: int | None = None) -> DataFrame:
+    """A table of a few numbers a row in one partition where it has FEW_ROWS rows at most, so that grouping and joining them needs no shuffle; n: its rows, if known."""
+    return table.coalesce(1) if (table.count() if n is None else n) <= FEW_ROWS else table
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of edges (u, v): the smallest node that edges reach.
+    """(node, component) of every node of edges (u, v), rows of stored tables: the smallest node that edges reach.
 
     Alternating large-star and small-star steps; each step is written to the shared folder, so
     lineage stays short. A node with many edges is one side of a join that adaptive execution splits.
+    Steps never add edges, so few edges stay in one partition (`gathered`).
     """
-    current = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None if not current.isEmpty() else ()
+    n = edges.count()
+    current = stored(gathered(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), n).distinct(), "edges")
+    both_ways = lambda df: df.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+    state = None if n and not current.isEmpty() else ()
     while state != ():
-        both = current.union(current.select("v", "u"))
+        both = both_ways(gathered(current, n))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v")))
-        current = stored(small.distinct(), "edges")
+        last, current = current, stored(gathered(small, n).distinct(), "edges")
         now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         state = () if now == state else now
+        forget(last)
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(current.select("v", "v").distinct())
