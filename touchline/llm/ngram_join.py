@@ -9,7 +9,7 @@ most `slack(n_x, n_y)`. Texts with equal sets are one node.
   come last.
 * Prefix filter: two sets that link share an n-gram among their first ones. Nodes are joined on
   these, with the length filter, and the positional filter on what can still follow.
-* Suffix filter: before sets are fetched, parity sketches (a bit for each n-gram or so, the parity of the
+* Suffix filter: within a group, 128 parities of each set; before sets are fetched, parity sketches (a bit for each n-gram or so, the parity of the
   n-grams that hash there) bound the symmetric difference from below: their own is no larger.
   Before sets are merged, the sizes of their parts between fixed pivots do so once more.
 * Each pair is verified once.
@@ -17,7 +17,7 @@ most `slack(n_x, n_y)`. Texts with equal sets are one node.
 Groups. Of the texts that share a prefix n-gram no pairs are made at first: each is verified against
 the hub of its length class, so a group of m makes m rows, and the links found give components.
 Only pairs of different components are of interest then, and a group that is one component is
-done. In the rest, an n-gram that at most `few` nodes have in the part of the prefix that the
+done. In the rest, an n-gram that at most `few` (64) nodes have in the part of the prefix that the
 smaller of two sets needs (its index prefix) makes these nodes' pairs; one with more nodes is
 verified against its hubs once more, and sets are replaced by their differences from the hub: x and
 y link only if these share most of their n-grams, so the same prefix join runs again on the
@@ -42,7 +42,7 @@ from touchline.llm.util import components, few_rows, forget, fresh, gathered, st
 
 N, PERCENT = 5, 80
 #: An n-gram that more nodes have in their index prefix goes by hubs; and the same among differences, where most that share one are close.
-FEW, FEW_DIFFERENCES = 8, 128
+FEW, FEW_DIFFERENCES = 64, 128
 #: In one batch: an n-gram with more nodes is sent as a summary, its rows go another way.
 FEW_IN_BATCH = 32
 #: Bytes of rows that a task of the group step takes, about.
@@ -58,7 +58,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
 _ROWS = "bucket int, kind int, payload binary"
 _ROW, _SUMMARY, _HOT = 0, 1, 2
-_KINDS = ("<u8", "<i8", "<i4", "<i4", "<i4", "<i8")  # n-gram, node, set size, difference size, place, component so far
+_KINDS = ("<u8", "<i8", "<i4", "<i4", "<i4", "<i8", "<u8", "<u8")  # n-gram, node, set size, difference size, place, component so far, parities of the set in 128 cells
 _OUT = "kind int, key long, x long, y long, n int"
 _CHECKED = "x long, y long, linked boolean, n int, d int, keys binary"
 #: Pairs to verify; a member and its hub; and both apart, for n-grams whose rows are in several buckets.
@@ -122,6 +122,11 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def parities(s: np.ndarray) -> bytes:
+    """The sketch of a set in 128 cells, whatever its size: 16 bytes."""
+    return np.packbits((np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
 def sketch_bound(x: bytes, y: bytes) -> int:
     """A lower bound of the symmetric difference: n-grams in both sets cancel, any other changes one cell."""
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -205,17 +210,17 @@ def _class(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
 
 
-def _summary(key: np.ndarray, node: np.ndarray, n: np.ndarray, d: np.ndarray, place: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
+def _summary(key: np.ndarray, node: np.ndarray, n: np.ndarray, d: np.ndarray, place: np.ndarray, part: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
     """Of each n-gram and set size the first node, with the least and with the greatest component: what any choice of hubs needs to know."""
     order = np.lexsort((node, n, key))
-    key, node, n, d, place, part = (c[order] for c in (key, node, n, d, place, part))
+    key, node, n, d, place, part, low, high = (c[order] for c in (key, node, n, d, place, part, low, high))
     new = np.flatnonzero(starts_of(key, n))
     if not len(new):
-        return [key, node, n, d, place, part]
+        return [key, node, n, d, place, part, low, high]
     lo, hi, place = np.minimum.reduceat(part, new), np.maximum.reduceat(part, new), np.minimum.reduceat(place, new)
     more = np.flatnonzero(lo < hi)
     both = np.append(new, new[more])
-    return [key[both], node[both], n[both], d[both], np.append(place, place[more]), np.append(lo, hi[more])]
+    return [key[both], node[both], n[both], d[both], np.append(place, place[more]), np.append(lo, hi[more]), low[both], high[both]]
 
 
 def _index_prefix(n: np.ndarray, d: np.ndarray, percent: int, differences: bool) -> np.ndarray:
@@ -245,9 +250,9 @@ def _groups(percent: int, few: int, stage: int):
         rows, summed, hot = (decoded(g, kind) for kind in (_ROW, _SUMMARY, _HOT))
         out = [frame(_MEMBER, hot[0].astype(np.int64), hot[1], 0, hot[2])]
         spread = np.arange(len(rows[0]) + len(summed[0])) >= len(rows[0])
-        key, node, n, d, place, part = (np.concatenate(c) for c in zip(rows, summed, strict=True))
+        key, node, n, d, place, part, low, high = (np.concatenate(c) for c in zip(rows, summed, strict=True))
         order = np.lexsort((node, n, key))
-        key, node, n, d, place, part, spread = (c[order] for c in (key, node, n, d, place, part, spread))
+        key, node, n, d, place, part, low, high, spread = (c[order] for c in (key, node, n, d, place, part, low, high, spread))
         if not len(key):
             return out[0]
         n, d, place = n.astype(np.int64), d.astype(np.int64), place.astype(np.int64)
@@ -273,22 +278,29 @@ def _groups(percent: int, few: int, stage: int):
             need = -(-(d[a] + d[b] - room) // 2)
             fits = (np.abs(n[b] - n[a]) <= room) & (np.minimum(d[a] - place[a], d[b] - place[b]) >= need) & (part[a] != part[b])
             fits &= (d[a] <= d[b]) & ((d[a] < d[b]) | (a < b) | ~index[b])
+            fits &= np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= room
             xs.append(np.minimum(node[a], node[b])[fits])
             ys.append(np.maximum(node[a], node[b])[fits])
         if xs:
             out.append(once(_PAIR, np.concatenate(xs), np.concatenate(ys)))
         # the others: members with the hubs of their length class and of the one below
         big = np.repeat(is_large, size)
-        key, node, n, spread, whole = key[big], node[big], n[big], spread[big], ~np.repeat(is_spread, size)[big]
+        key, node, n, d, place, low, high, index, spread, whole = (c[big] for c in (key, node, n, d, place, low, high, index, spread, ~np.repeat(is_spread, size)))
         if len(key):
             cls = _class(n, percent)
             new = starts_of(key, cls)
             first, run = np.flatnonzero(new), np.cumsum(new) - 1
             below = np.maximum(run - 1, 0)
             near = (run > 0) & (key[first[below]] == key) & (cls[first[below]] == cls - 1)
-            x = np.concatenate((node[whole], node[whole & near]))
-            y = np.concatenate((node[first[run]][whole], node[first[below]][whole & near]))
-            out.append(once(_PAIR if stage == _HUBS else _OF_HUB, x[x != y], y[x != y]))
+            a = np.concatenate((np.flatnonzero(whole), np.flatnonzero(whole & near)))
+            b = np.concatenate((first[run[whole]], first[below[whole & near]]))
+            fits = node[a] != node[b]
+            if stage == _HUBS:  # only links count here, so a pair has to pass the filters
+                room = slack(n[a], n[b], percent)
+                fits &= (np.abs(n[b] - n[a]) <= room) & (np.minimum(d[a] - place[a], d[b] - place[b]) >= -(-(d[a] + d[b] - room) // 2))
+                fits &= (index[a] & (d[a] <= d[b])) | (index[b] & (d[b] <= d[a]))
+                fits &= np.bitwise_count(low[a] ^ low[b]).astype(np.int64) + np.bitwise_count(high[a] ^ high[b]) <= room
+            out.append(once(_PAIR if stage == _HUBS else _OF_HUB, node[a[fits]], node[b[fits]]))
             out.append(frame(_MEMBER, key[~whole & ~spread].astype(np.int64), node[~whole & ~spread], 0, n[~whole & ~spread]))
             out.append(frame(_HUB, key[new & ~whole].astype(np.int64), node[new & ~whole], 0, cls[new & ~whole]))
         return pd.concat(out, ignore_index=True)
@@ -328,7 +340,8 @@ def _dealer(buckets: int, most: float):
             size = np.array([len(g) for g in grams], np.int64)
             if size.sum():
                 place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                columns = [np.concatenate(grams), *(np.repeat(b[c].to_numpy(np.int64), size) for c in ("node", "n", "d")), place, np.repeat(b["part"].to_numpy(np.int64), size)]
+                cells = np.frombuffer(b"".join(b["cells"]), "<u8").reshape(-1, 2)
+                columns = [np.concatenate(grams), *(np.repeat(b[c].to_numpy(np.int64), size) for c in ("node", "n", "d")), place, np.repeat(b["part"].to_numpy(np.int64), size), *(np.repeat(cells[:, i], size) for i in (0, 1))]
                 yield pd.DataFrame(_deal([c.astype(k) for c, k in zip(columns, _KINDS, strict=True)], buckets, most), columns=["bucket", "kind", "payload"])
 
     return of
@@ -364,16 +377,16 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
             for i, s in zip(b["id"], gram_sets(b["text"].tolist(), n), strict=True):
                 size = len(s)
                 first = _rare_first(s, counts)[: size - -(-size * percent // 100) + 1] if size * (100 - percent) >= percent else s[:0]  # smaller sets link with none but equals
-                rows.append((i, size, *set_key(s), first.tobytes(), sketch(s) if len(first) else b""))
-            yield pd.DataFrame(rows, columns=["id", "n", "a", "b", "prefix", "sketch"])
+                rows.append((i, size, *set_key(s), first.tobytes(), sketch(s) if len(first) else b"", parities(s)))
+            yield pd.DataFrame(rows, columns=["id", "n", "a", "b", "prefix", "sketch", "cells"])
 
     def make_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(i, s.tobytes()) for i, a, z, s in zip(b["id"], b["a"], b["b"], gram_sets(b["text"].tolist(), n), strict=True) if set_key(s) == (a, z)]
             yield pd.DataFrame(rows, columns=["node", "grams"])
 
-    seen = stored(keyed.mapInPandas(prefixes, "id long, n int, a long, b long, prefix binary, sketch binary"), "prefixes")
-    nodes = stored(seen.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("id", "prefix", "sketch")).alias("m")).select("a", "b", "n", F.col("m.id").alias("node"), F.col("m.prefix").alias("prefix"), F.col("m.sketch").alias("sketch")), "nodes")
+    seen = stored(keyed.mapInPandas(prefixes, "id long, n int, a long, b long, prefix binary, sketch binary, cells binary"), "prefixes")
+    nodes = stored(seen.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("id", "prefix", "sketch", "cells")).alias("m")).select("a", "b", "n", F.col("m.id").alias("node"), F.col("m.prefix").alias("prefix"), F.col("m.sketch").alias("sketch"), F.col("m.cells").alias("cells")), "nodes")
 
     ends = lambda df: df.select(F.col("x").alias("node")).union(df.select("y")).distinct()
     of_node = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
@@ -387,7 +400,7 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
         used = stored(ends(gathered(pairs.select("x", "y"))).join(nodes.select("node", "a", "b"), "node").withColumnRenamed("node", "id"), "used")
         return stored(keyed.join(few_rows(used), "id").mapInPandas(make_sets, "node long, grams binary"), "sets")
 
-    whole = nodes.where("length(prefix) > 0").select("node", "n", F.col("n").alias("d"), F.col("prefix").alias("keys"))
+    whole = nodes.where("length(prefix) > 0").select("node", "n", F.col("n").alias("d"), F.col("prefix").alias("keys"), "cells")
     rows = whole.withColumn("part", F.col("node"))
     known, done, sets, level = None, None, None, 0
     while True:
@@ -420,16 +433,15 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
         if known is None or not links.isEmpty():
             known = components(links if known is None else links.union(known.where("node != component")))
         last = rows
-        if stage == _HUBS:  # the same prefixes once more, those of nodes that have any in common
+        if stage == _HUBS:  # the same prefixes once more, with components
             done = pairs.select("x", "y")
-            parts = ends(tried).join(known, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
-            rows = stored(whole.join(parts, "node"), "rows")
+            rows = whole.join(few_rows(known), "node", "left").select("node", "n", "d", "keys", "cells", F.coalesce("component", "node").alias("part"))
         else:
             done = done.union(pairs.where("not hub").select("x", "y"))
             differ = checked.where("keys is not null").join(known, F.col("x") == F.col("node"), "left").withColumn("part", F.coalesce("component", "x"))
             several = differ.groupBy("y").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("y")
-            rows = stored(differ.select("x", "y", "n", "d", "part", "keys").join(several, "y").select(F.col("x").alias("node"), "n", "d", "keys", "part"), "rows")
-        forget(grouped, checked, *([] if before is None else [before]), *([last] if level else []))
+            rows = stored(differ.select("x", "y", "n", "d", "part", "keys").join(several, "y").select(F.col("x").alias("node"), "n", "d", "keys", "part", F.lit(bytes(16)).alias("cells")), "rows")
+        forget(grouped, checked, *([] if before is None else [before]), *([last] if level > 1 else []))
         level += 1
         if rows.isEmpty():
             break
