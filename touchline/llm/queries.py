@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import chat_format, decontaminate, line_dedup, ngram_join, packing, quality, secret_scan, sharding, suffix_dedup, url_filter
+from touchline.llm import chat_format, decontaminate, divergence, line_dedup, ngram_join, packing, quality, secret_scan, sharding, suffix_dedup, toxicity, url_filter, variants
 from touchline.llm.url_filter import Rule
 
 URL_RULES = [
@@ -127,6 +127,53 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_url_filters, op2_decontamination, op3_chat_formatting, op4_line_dedup, op5_sharding, op6_best_fit_packing, op7_ngram_jaccard_join, op8_quality_rules, op9_suffix_dedup, op10_secret_scans)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+r AS (SELECT id, w, count(*) AS k FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents) GROUP BY ALL),
+h AS (SELECT w, k, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(id || ':' || w)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM r, tab),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT x.word, y.word AS other, y.n AS other_n FROM d x JOIN d y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+         UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.a || d.b
+         UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.a || d.b),
+b AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN b USING (word)),
+way AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT way.word, f.word, f.form FROM way JOIN f ON f.word = way.next)
+SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM f JOIN way ON way.word = f.word AND way.next IS NULL
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_texts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+full_c AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+tot AS (SELECT lang, source, sum(n) + 2 * count(*) AS tot FROM full_c GROUP BY ALL),
+p AS (SELECT lang, source, term, n, (1 + (1000000000 * (n + 2)::HUGEINT) // tot)::BIGINT AS p FROM full_c JOIN tot USING (lang, source)),
+lc AS (SELECT lang, term, sum(n) AS n FROM full_c GROUP BY ALL),
+q AS (SELECT lang, term, (1 + (1000000000 * (n + 2)::HUGEINT) // sum(n + 2) OVER (PARTITION BY lang))::BIGINT AS q FROM lc),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+_ALL = (op1_url_filters, op2_decontamination, op3_chat_formatting, op4_line_dedup, op5_sharding, op6_best_fit_packing, op7_ngram_jaccard_join, op8_quality_rules, op9_suffix_dedup, op10_secret_scans, op11_spelling_variants, op12_toxicity, op13_source_divergence)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op8_quality_rules": OP8_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op8_quality_rules": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op13_source_divergence": OP13_SQL}
