@@ -115,11 +115,15 @@ def source_name(season: Column, tier: Column) -> Column:
     return F.concat_ws("/", F.lit("football-data.co.uk"), season_code(season), F.concat(F.lit("E"), (tier - 1).cast("string")))
 
 
+#: Radius of the earth in miles (fixed value).
+EARTH_MILES = 3958.8
+
+
 def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance with a radius of 3958.8 miles."""
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), 2)
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return 3958.8 * 2 * F.atan2(F.sqrt(h), F.sqrt(1 - h))
+    return EARTH_MILES * 2 * F.atan2(F.sqrt(h), F.sqrt(1 - h))
 
 
 def plural(n: Column, word: str) -> Column:

@@ -222,6 +222,11 @@ CTE = {
         count(*) FILTER (WHERE (ftr = 'H') = (home_id > away_id) AND ftr <> 'D')::BIGINT AS wins_b, count(*) FILTER (WHERE ftr = 'D')::BIGINT AS draws FROM m GROUP BY 1, 2""",
     "fixnames": """SELECT f.*, coalesce(hc.canonical_name, home_id::VARCHAR) AS hname, coalesce(ac.canonical_name, away_id::VARCHAR) AS aname, hh.history AS hhist, ah.history AS ahist,
         CASE WHEN month(match_date) >= 7 THEN year(match_date) + 1 ELSE year(match_date) END AS y FROM fix f LEFT JOIN clubs hc ON hc.club_id = home_id LEFT JOIN clubs ac ON ac.club_id = away_id LEFT JOIN hist hh ON hh.club_id = home_id LEFT JOIN hist ah ON ah.club_id = away_id""",
+    "segs": """SELECT club_id, segment, any_value(tier) AS tier, min(season_end_year) AS "start", max(season_end_year) AS "end", max(bridge) AS bridged_from, count(*)::BIGINT AS n_points
+        FROM (SELECT *, sum(new) OVER (PARTITION BY club_id ORDER BY season_end_year)::BIGINT AS segment FROM (SELECT club_id, season_end_year, tier, CASE WHEN lag(season_end_year) OVER w = season_end_year - 1 AND lag(tier) OVER w = tier THEN 0 ELSE 1 END AS new,
+        CASE WHEN lag(season_end_year) OVER w = season_end_year - 1 AND lag(tier) OVER w <> tier THEN lag(season_end_year) OVER w END AS bridge FROM career WINDOW w AS (PARTITION BY club_id ORDER BY season_end_year))) GROUP BY 1, 2""",
+    "spots": "SELECT c_custkey AS id, 50 + (c_custkey - c_custkey % 4) * 7919 % 99991 / 12500.0::DOUBLE AS lat, -5 + (c_custkey - c_custkey % 4) * 104729 % 99989 / 14286.0::DOUBLE AS lon FROM customer WHERE c_custkey % 11 <> 0",
+    "namekeys": """SELECT id, trim(regexp_replace(lower(name), '[^\\p{L}\\p{N}]', ' ', 'g')) AS key FROM (SELECT 'c' || c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'p' || p_partkey, p_name FROM part)""",
     "cmoney": "SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) * 37 AS v FROM customer",
 }
 
@@ -294,9 +299,7 @@ SELECTS = {
     "overall_position": "SELECT club_id, season_end_year, overall_position FROM overall",
     "tier_floors": "SELECT * FROM floors",
     "floor_lines": "SELECT season_end_year, '[' || coalesce(string_agg(floor, ',' ORDER BY floor) FILTER (WHERE floor < top), '') || ']' AS floors, max(top) AS max_position FROM (SELECT *, max(floor) OVER (PARTITION BY season_end_year) AS top FROM floors) GROUP BY 1",
-    "tier_segments": """SELECT club_id, segment, any_value(tier) AS tier, min(season_end_year) AS "start", max(season_end_year) AS "end", max(bridge) AS bridged_from, count(*)::BIGINT AS n_points
-        FROM (SELECT *, sum(new) OVER (PARTITION BY club_id ORDER BY season_end_year)::BIGINT AS segment FROM (SELECT club_id, season_end_year, tier, CASE WHEN lag(season_end_year) OVER w = season_end_year - 1 AND lag(tier) OVER w = tier THEN 0 ELSE 1 END AS new,
-        CASE WHEN lag(season_end_year) OVER w = season_end_year - 1 AND lag(tier) OVER w <> tier THEN lag(season_end_year) OVER w END AS bridge FROM career WINDOW w AS (PARTITION BY club_id ORDER BY season_end_year))) GROUP BY 1, 2""",
+    "tier_segments": "SELECT * FROM segs",
     "ribbon": """SELECT c.club_id, s.season_end_year, t.tier, CASE WHEN EXISTS (SELECT 1 FROM runs r WHERE r.club_id = c.club_id AND s.season_end_year BETWEEN r.first AND r.last) THEN 1 ELSE 0 END::BIGINT AS in_pattern
         FROM (SELECT DISTINCT club_id FROM runs) c CROSS JOIN (SELECT DISTINCT season_end_year FROM career) s LEFT JOIN career t ON t.club_id = c.club_id AND t.season_end_year = s.season_end_year""",
     "matrix_cells": "SELECT season_end_year, tier, '[' || string_agg(club_id, ',' ORDER BY position) || ']' AS clubs FROM career GROUP BY 1, 2",
@@ -440,5 +443,27 @@ SELECTS = {
     "replaced_seasons": "SELECT season_end_year, tier, club_id, points - CASE WHEN season_end_year = 1998 THEN 1 ELSE 0 END AS points, CASE WHEN season_end_year = 1998 THEN 'again' END AS source FROM league",
     "story_sections": """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Began.' END AS origins, CASE WHEN c_custkey % 7 = 0 THEN 'Owned.' END AS ownership, (CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END)::BIGINT AS n,
         'Intro.' || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || chr(10) || '## Odd' || chr(10) || chr(10) || 'More.' ELSE '' END AS extra FROM customer""",
+    "published_seasons": "SELECT season_end_year, tier, club_id, points - CASE WHEN season_end_year = 1998 THEN 1 ELSE 0 END AS points, CASE WHEN season_end_year = 1998 THEN 'again' END AS source FROM league",
+    "seed_changes": """SELECT 'clubs' AS "table", CASE c_custkey % 10 WHEN 1 THEN 'inserted' WHEN 2 THEN 'removed' ELSE CASE WHEN c_custkey % 7 = 0 THEN 'changed' ELSE 'unchanged' END END AS change, count(*)::BIGINT AS n FROM customer GROUP BY 2
+        UNION ALL SELECT 'deductions', CASE c % 10 WHEN 1 THEN 'inserted' WHEN 2 THEN 'removed' ELSE 'unchanged' END, count(*) FROM (SELECT DISTINCT o_custkey AS c, year(o_orderdate) AS y FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 50 = 0) GROUP BY 2""",
+    "seed_published": "SELECT year(o_orderdate)::BIGINT AS season_end_year, o_custkey % 3 + 1 AS tier, count(DISTINCT o_custkey)::BIGINT AS n, count(DISTINCT CASE WHEN o_custkey % 10 <> 2 THEN o_custkey END)::BIGINT AS n_named, count(*)::BIGINT AS points FROM orders GROUP BY 1, 2",
+    "file_matches": "SELECT season_end_year, tier, count(DISTINCT (match_date, home_id, away_id))::BIGINT AS n, count(DISTINCT home_id)::BIGINT AS homes, min(match_date) AS first, max(match_date) AS last FROM m WHERE l_orderkey % 13 <> 0 GROUP BY 1, 2",
+    "file_refresh": """SELECT season_end_year, tier, count(DISTINCT (match_date, home_id, away_id)) FILTER (WHERE l_orderkey % 13 <> 0)::BIGINT AS n, count(DISTINCT home_id) FILTER (WHERE l_orderkey % 13 <> 0)::BIGINT AS homes, min(match_date) FILTER (WHERE l_orderkey % 13 <> 0) AS first,
+        max(match_date) FILTER (WHERE l_orderkey % 13 <> 0) AS last, CASE WHEN season_end_year >= 1998 THEN 'live' WHEN season_end_year = 1995 AND bool_or(l_orderkey % 4 = 0) THEN 'new' END AS read_again FROM m GROUP BY 1, 2 HAVING n > 0""",
+    "nearest_grounds": """SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY miles, other)::BIGINT AS nth, round(miles, 6) AS miles FROM (
+        SELECT a.id, b.id AS other, 3958.8::DOUBLE * 2 * atan2(sqrt(h), sqrt(1 - h)) AS miles FROM spots a JOIN spots b ON a.id <> b.id
+        CROSS JOIN LATERAL (SELECT power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2) AS h)) QUALIFY nth <= 3""",
+    "order_ranks": """SELECT o_orderkey, season_end_year, value, rank() OVER (PARTITION BY season_end_year ORDER BY value DESC)::BIGINT AS rank, count(*) OVER (PARTITION BY season_end_year)::BIGINT AS published,
+        row_number() OVER (PARTITION BY season_end_year ORDER BY o_orderdate, o_orderkey)::BIGINT AS nth FROM (SELECT o_orderkey, o_orderdate, year(o_orderdate)::BIGINT AS season_end_year, floor(o_totalprice / 100)::BIGINT AS value FROM orders)""",
+    "order_tiles": """SELECT o_orderkey, season_end_year, tile, row_number() OVER (PARTITION BY season_end_year, tile ORDER BY o_totalprice DESC, o_orderkey)::BIGINT AS place, count(*) OVER (PARTITION BY season_end_year, tile)::BIGINT AS n_in_tile
+        FROM (SELECT o_orderkey, o_totalprice, year(o_orderdate)::BIGINT AS season_end_year, ntile(7) OVER (PARTITION BY year(o_orderdate) ORDER BY o_totalprice DESC, o_orderkey)::BIGINT AS tile FROM orders)""",
+    "cheaper_above": """SELECT a.o_orderkey, (SELECT count(*) FROM orders b WHERE year(b.o_orderdate) = year(a.o_orderdate) AND b.o_custkey % 4 = a.o_custkey % 4 - 1 AND b.o_totalprice < a.o_totalprice)::BIGINT AS beaten FROM orders a WHERE a.o_custkey % 4 > 0""",
+    "name_searches": """SELECT term, row_number() OVER (PARTITION BY term ORDER BY key, id)::BIGINT AS nth, id, key FROM namekeys JOIN (SELECT DISTINCT trim(unnest([key[-5:], key[1:2], key[4:n + 3], key[-1:]])) AS term FROM (
+        SELECT trim(regexp_replace(lower(s_name), '[^\\p{L}\\p{N}]', ' ', 'g')) AS key, 9 AS n FROM supplier UNION ALL SELECT trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]', ' ', 'g')), 6 FROM part WHERE p_partkey % 10 = 0)) ON contains(key, term) WHERE term <> '' QUALIFY nth <= 8""",
+    "account_spells": """SELECT f.club_id, season_end_year, disclosure, s.tier AS spell_tier, "start", "end" FROM fin f LEFT JOIN segs s ON s.club_id = f.club_id AND season_end_year BETWEEN "start" AND "end\"""",
+    "shared_spells": """SELECT a.club_id AS pair, a.tier, a."start", a."end", b."start" AS start2, b."end" AS end2 FROM segs a JOIN segs b ON b.club_id = a.club_id + 3 AND a.tier = b.tier AND a."start" <= b."end" AND b."start" <= a."end\"""",
+    "rule_intervals": """SELECT g.season_end_year, g.tier, n, total_clubs, down_lo FROM (SELECT year(o_orderdate)::BIGINT AS season_end_year, o_custkey % 6 + 1 AS tier, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2) g
+        LEFT JOIN rules r ON r.tier = g.tier AND season_end_year BETWEEN from_year AND to_year QUALIFY row_number() OVER (PARTITION BY g.season_end_year, g.tier ORDER BY from_year DESC NULLS LAST) = 1""",
+    "top_yo_yo_sql": "SELECT club_id, yo_yo_score, total_promotions, total_relegations, (first_season_in_db - 1) || '/' || lpad((first_season_in_db % 100)::VARCHAR, 2, '0') AS first_season FROM rollup ORDER BY yo_yo_score DESC, club_id LIMIT 10",
 }
 ORACLE_SQL = {name: sql(text) for name, text in SELECTS.items()}

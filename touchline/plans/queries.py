@@ -10,19 +10,26 @@ from pyspark.sql import functions as F
 from touchline.functions import text as T
 from touchline.operators import career as C
 from touchline.operators import finance as N
+from touchline.operators import grounds as G
 from touchline.operators import insights as I
+from touchline.operators import intervals as IV
 from touchline.operators import movement as M
 from touchline.operators import pages as PG
 from touchline.operators import previews as PV
 from touchline.operators import pyramid as P
+from touchline.operators import ranking as RK
 from touchline.operators import results as R
+from touchline.operators import search as SE
 from touchline.operators import standings as S
 from touchline.operators import stories as ST
 from touchline.plans import adapters as A
 from touchline.plans import rules as RU
+from touchline.plans import surface as SF
 from touchline.sources import files as SRC
+from touchline.sources import ledger as LE
 from touchline.sources import seeds as SD
 from touchline.sources import sinks as SI
+from touchline.sources import store as STO
 
 QUERIES: dict = {}
 
@@ -717,10 +724,7 @@ def ground_distance(spark: SparkSession, sf: str) -> DataFrame:
     """The three nearest other grounds of each nation, on made-up coordinates."""
     k = F.col("n_nationkey")
     g = A.table(spark, sf, "nation").select(k.alias("id"), (50 + k * 37 % 80 / 10.0).alias("lat"), (-5 + k * 53 % 70 / 10.0).alias("lon"))
-    other = SI.few(g.select(F.col("id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")))
-    d = g.join(other, F.col("id") != F.col("other")).withColumn("miles", T.haversine_miles(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("miles", "other"))
-    return longs(d.withColumn("nth", rank).where("nth <= 3").select("id", "other", "nth", F.round("miles", 6).alias("miles")))
+    return longs(G.nearest_grounds(g, 3).withColumn("miles", F.round("miles", 6)))
 
 
 @query
@@ -1088,3 +1092,160 @@ def story_sections(spark: SparkSession, sf: str) -> DataFrame:
     body = F.concat(F.lit("Intro."), part(2, "\n\n## Origin\n\nBegan."), part(3, "\n\n## Odd\n\nMore."), part(5, "\n\n## Trajectory\n"), part(7, "\n\n## Ownership and finance\n\nOwned."))
     s = SRC.with_sections(A.table(spark, sf, "customer").select("c_custkey", body.alias("body")))
     return s.select("c_custkey", F.col("sections")["origins"].alias("origins"), F.col("sections")["ownership & finance"].alias("ownership"), F.size("sections").cast("long").alias("n"), "extra")
+
+
+# The store, the ledger of files, and joins that scale
+
+
+def _store(spark: SparkSession) -> STO.Store:
+    return STO.Store(spark, f"{SI.shared_folder(spark)}/touchline/store-{uuid.uuid4().hex}")
+
+
+@query
+def published_seasons(spark: SparkSession, sf: str) -> DataFrame:
+    """The league tables as published: one season replaced, another replaced and rolled back."""
+    store, t = _store(spark), league(spark, sf).select("season_end_year", "tier", "club_id", "points")
+    store.publish({"standings": t})
+    kept = store.publish({"standings": t.where("season_end_year = 1998").withColumns({"points": F.col("points") - 1, "source": F.lit("again")})})
+    store.publish({"standings": t.where("season_end_year = 1999").withColumn("points", F.col("points") * 2)})
+    store.roll_back(kept)
+    return longs(store.read("standings"))
+
+
+def _seeded(spark: SparkSession, sf: str) -> tuple[STO.Store, DataFrame]:
+    """A store seeded twice from customers and orders, with season tables that name the customers."""
+    store, c = _store(spark), A.table(spark, sf, "customer")
+    key = F.col("c_custkey")
+    clubs = lambda df: df.select(key.cast("string").alias("club_id"), F.col("name").alias("canonical_name"), F.array().cast("array<string>").alias("name_variants"), F.lit(None).cast("string").alias("lineage_parent_id"), F.lit(1).alias("current_tier"))
+    o = A.table(spark, sf, "orders")
+    docked = o.where("o_orderkey % 50 = 0").select(F.col("o_custkey").cast("string").alias("club_id"), F.year("o_orderdate").alias("season_end_year"), F.lit(1).alias("tier"), F.lit(3).alias("points"), F.lit(1).alias("applied"), F.lit("https://example.com").alias("source_url"))
+    SD.seed(store, clubs(c.where("c_custkey % 10 != 1").withColumn("name", F.col("c_name"))), deductions=docked)
+    tables = o.groupBy(F.year("o_orderdate").alias("season_end_year"), (F.col("o_custkey") % 3 + 1).cast("int").alias("tier"), F.col("o_custkey").cast("string").alias("club_id")).agg(F.count("*").alias("points"))
+    store.publish({"standings": tables})
+    named = c.where("c_custkey % 10 != 2").withColumn("name", F.when(key % 7 == 0, F.concat("c_name", F.lit(" FC"))).otherwise(F.col("c_name")))
+    return store, SD.seed(store, clubs(named), deductions=docked)[1]
+
+
+@query
+def seed_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What the second seeding inserted, changed, removed and left alone."""
+    return _seeded(spark, sf)[1]
+
+
+@query
+def seed_published(spark: SparkSession, sf: str) -> DataFrame:
+    """Season tables after clubs went: their rows stay without a club."""
+    t = _seeded(spark, sf)[0].read("standings")
+    return longs(t.groupBy("season_end_year", "tier").agg(F.count("*").alias("n"), F.count("club_id").alias("n_named"), F.sum("points").alias("points")))
+
+
+def _match_files(spark: SparkSession, sf: str, folder: str, matches: DataFrame) -> None:
+    """Matches as CSV files by season and tier, in two generations of columns, with faults between the rows."""
+    code = F.concat(F.lit("E"), (F.col("tier") - 1).cast("string"))
+    m = matches.withColumns({"file": F.concat(T.season_code(F.col("season_end_year")), F.lit("_"), code, F.lit(".csv")), "Date": F.date_format("match_date", "dd/MM/yy"), "Div": F.when(F.col("tier") == 5, "EC").otherwise(code)})
+    goals = lambda c: F.when(F.col("l_orderkey") % 11 == 0, F.concat(c.cast("string"), F.lit(".0"))).otherwise(c.cast("string"))
+    result = F.when(F.col("l_orderkey") % 13 == 0, F.lit("")).otherwise(F.col("ftr"))
+    cells = lambda *names: [F.col("Div"), F.col("Date"), F.concat(F.lit("Club, "), "home_id").alias("HomeTeam"), F.concat(F.lit("Club, "), "away_id").alias("AwayTeam"), goals(F.col("fthg")).alias(names[0]), goals(F.col("ftag")).alias(names[1]), result.alias("FTR")]
+    write = lambda df: df.write.mode("append").option("header", True).partitionBy("file").csv(folder)
+    write(m.where("season_end_year < 1996").select("file", *cells("HG", "AG")))
+    write(m.where("season_end_year >= 1996").select("file", *cells("FTHG", "FTAG"), F.lit("extra").alias("Referee")))
+
+
+def _file_sums(matches: DataFrame) -> DataFrame:
+    return longs(matches.groupBy("season_end_year", "tier").agg(F.count("*").alias("n"), F.countDistinct("home_name").alias("homes"), F.min("match_date").alias("first"), F.max("match_date").alias("last")))
+
+
+@query
+def file_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches written as files of two generations and read again, without rows that have no result, by season and tier."""
+    folder = f"{SI.shared_folder(spark)}/touchline/files-{uuid.uuid4().hex}"
+    _match_files(spark, sf, folder, A.matches(spark, sf))
+    return _file_sums(SRC.read_matches(spark, folder))
+
+
+@query
+def file_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches published from files, after one past season gained a file and nothing else was read again."""
+    folder, store, m = f"{SI.shared_folder(spark)}/touchline/files-{uuid.uuid4().hex}", _store(spark), A.matches(spark, sf)
+    late = (F.col("season_end_year") == 1995) & (F.col("l_orderkey") % 4 == 0)
+    _match_files(spark, sf, folder, m.where(~late))
+    LE.refresh_files(store, folder, live_season=1998)
+    _match_files(spark, sf, folder, m.where(late))
+    read = LE.refresh_files(store, folder, live_season=1998).where("why is not null").select(F.regexp_extract("path", r"/(?:file=)?(\d{4})_E(\d)", 1).alias("code"), F.regexp_extract("path", r"_E(\d)", 1).alias("e"), "why")
+    again = read.groupBy(T.season_of_code(F.col("code")).cast("long").alias("season_end_year"), (F.col("e").cast("long") + 1).alias("tier")).agg(F.max(F.when(F.col("why") == "live", "live").otherwise("new")).alias("read_again"))
+    return _file_sums(store.read("matches")).join(again, ["season_end_year", "tier"], "left")
+
+
+@query
+def nearest_grounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The three nearest others of all customers that have a ground, some of which share theirs."""
+    k = F.col("c_custkey")
+    g = A.table(spark, sf, "customer").where("c_custkey % 11 != 0").select(k.alias("id"), (50 + (k - k % 4) * 7919 % 99991 / 12500.0).alias("lat"), (-5 + (k - k % 4) * 104729 % 99989 / 14286.0).alias("lon"))
+    return longs(G.nearest_grounds(g, 3).withColumn("miles", F.round("miles", 6)))
+
+
+@query
+def order_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders ranked by price within their year, ties shared, and by date and key, in ranges."""
+    o = A.table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("season_end_year"), "o_orderdate", F.floor(F.col("o_totalprice") / 100).alias("value"))
+    ranked = RK.shared_ranks(o, ["season_end_year"], "value")
+    return longs(RK.row_numbers(ranked, ["season_end_year"], [F.col("o_orderdate").asc(), F.col("o_orderkey").asc()]).drop("o_orderdate"))
+
+
+@query
+def order_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of a year in seven tiles by price."""
+    o = A.table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("season_end_year"), "o_totalprice")
+    return longs(RK.tiles(o, ["season_end_year"], [F.col("o_totalprice").desc(), F.col("o_orderkey").asc()], 7).drop("o_totalprice"))
+
+
+@query
+def cheaper_above(spark: SparkSession, sf: str) -> DataFrame:
+    """For each order, the orders of its year and the next lower customer class that cost less, from counts of values."""
+    o = A.table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("season_end_year"), (F.col("o_custkey") % 4).alias("tier"), "o_totalprice")
+    above = o.select("season_end_year", (F.col("tier") + 1).alias("tier"), "o_totalprice")
+    return longs(RK.smaller_in(o.where("tier > 0"), above, ["season_end_year", "tier"], "o_totalprice", "beaten").select("o_orderkey", "beaten"))
+
+
+@query
+def name_searches(spark: SparkSession, sf: str) -> DataFrame:
+    """For parts of the names of customers, suppliers and parts of all lengths: the first eight customers and parts that contain them."""
+    c, p, s = (A.table(spark, sf, t) for t in ("customer", "part", "supplier"))
+    names = c.select(F.concat(F.lit("c"), "c_custkey").alias("id"), T.search_key(F.col("c_name")).alias("key")).unionByName(p.select(F.concat(F.lit("p"), "p_partkey").alias("id"), T.search_key(F.col("p_name")).alias("key")))
+    some = lambda col, n: F.explode(F.array(F.substring(col, -5, 5), F.substring(col, 1, 2), F.substring(col, 4, n), F.substring(col, -1, 1)))
+    terms = s.select(some(T.search_key(F.col("s_name")), 9).alias("term")).unionByName(p.where("p_partkey % 10 = 0").select(some(T.search_key(F.col("p_name")), 6).alias("term")))
+    return longs(SE.search_names(SE.name_index(names), terms.select(F.trim("term").alias("term"))))
+
+
+@query
+def account_spells(spark: SparkSession, sf: str) -> DataFrame:
+    """The spell in one tier that each account of a club falls into; accounts outside all spells stay."""
+    spells = P.segments(A.career(spark, sf)).select("club_id", F.col("tier").alias("spell_tier"), "start", "end")
+    accounts = A.finances(spark, sf).select("club_id", "season_end_year", "disclosure")
+    return longs(IV.holding(accounts, spells, ["club_id"], "season_end_year", "start", "end", "left"))
+
+
+@query
+def shared_spells(spark: SparkSession, sf: str) -> DataFrame:
+    """Spells of clubs of one tier that share a season with a spell of a club with the next number but three."""
+    s = P.segments(A.career(spark, sf)).select("club_id", "tier", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    pairs = IV.overlapping(s.withColumn("pair", F.col("club_id")), s.withColumn("pair", F.col("club_id") - 3), ["pair", "tier"], "start", "end")
+    return longs(pairs.select("pair", "tier", F.col("left.start").alias("start"), F.col("left.end").alias("end"), F.col("right.start").alias("start2"), F.col("right.end").alias("end2")))
+
+
+@query
+def rule_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """The rule of the year of each order, from a rule table without overlaps and an interval join."""
+    rules = SF.rule_intervals(RU.rules(spark)).select("tier", "from_year", "to_year", "total_clubs", "down_lo")
+    years = A.table(spark, sf, "orders").select(F.year("o_orderdate").alias("season_end_year"), (F.col("o_custkey") % 6 + 1).cast("int").alias("tier"))
+    counted = years.groupBy("season_end_year", "tier").agg(F.count("*").alias("n"))
+    return longs(IV.holding(counted, rules, ["tier"], "season_end_year", "from_year", "to_year", "left").drop("from_year", "to_year"))
+
+
+@query
+def top_yo_yo_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """SQL over views: the clubs that moved most, with a function of the session."""
+    t = settled(spark, sf)
+    SF.register_functions(spark)
+    SF.register_views({"standings": t, "club_trajectory": C.trajectory(t)})
+    return spark.sql("SELECT club_id, yo_yo_score, total_promotions, total_relegations, season_label(CAST(first_season_in_db AS INT)) AS first_season FROM club_trajectory ORDER BY yo_yo_score DESC, club_id LIMIT 10")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions.text import blank_to_null, json_strings, match_date, name_key, season_of_code, tolerant_int
 from touchline.operators.standings import first_of_each, own_division, valid_results
 from touchline.plans.rules import CODES, SECTION_ALIASES, SECTIONS
+from touchline.sources.sinks import few
 
 #: A comma outside quotes, byte-order marks as UTF-8 and as mis-read UTF-8 (fixed values), old column names.
 COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -20,32 +21,55 @@ def _text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
-def read_ragged_csv(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """file, line number and a map of cells by column name, of files whose headers differ.
+def file_of(path: Column) -> Column:
+    """The name of a file. A folder `x.csv` or `file=x.csv` of parts, as Spark writes it, counts as the file x.csv."""
+    return F.regexp_extract(path, r"([^/=]*?)(?:/part-[^/]*)?$", 1)
+
+
+def _lines(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
+    """path, place and bytes of every line of files of ten bytes or more; Spark cuts large files into splits at line ends.
+
+    place orders the lines of a file: the start of their split, then the number within what the
+    task reads. It is taken from the scan itself, so no line has to be numbered across splits.
+    """
+    raw = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    read = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), place.alias("place"), "value")  # bytes as they are
+    return read.where("size >= 10").drop("size")
+
+
+def read_ragged_csv(spark: SparkSession, path: str | list[str], glob: str = "*.csv") -> DataFrame:
+    """file, place (orders the rows of a file) and a map of cells by column name, of files whose headers differ.
 
     Rows wider than their header are cut to it, narrower ones lack the last cells; blank cells are
-    null, empty rows and files under ten bytes are dropped. A file is one row only while its lines
-    are split.
+    null, empty rows and files under ten bytes are dropped. A file is UTF-8, or Latin-1 if any of
+    its lines is not valid UTF-8. A file of any size is read by many tasks: one pass finds each
+    file's header and encoding (a row a file), a second reads the rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).where("length >= 10")
-    lines = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.split(F.regexp_replace(_text(F.col("content")), MARKS, ""), r"\r?\n").alias("l"))
+    lines = _lines(spark, path, glob)
+    utf8 = F.is_valid_utf8("value")
+    heads = few(lines.groupBy("path").agg(F.min_by("value", "place").alias("head"), F.min("place").alias("first"), F.bool_and(utf8).alias("utf8")))
+    text = lambda c: F.regexp_replace(F.when(F.col("utf8"), F.col(c)).otherwise(F.decode(F.col(c).cast("binary"), "ISO-8859-1")), "\r$", "")
     cells = lambda x: F.transform(F.split(x, COMMA, -1), lambda c: blank_to_null(F.regexp_replace(c, '^"|"$', "")))
     name = lambda h: F.coalesce(F.regexp_replace(h, MARKS, ""), F.lit(""))
-    split = lines.select("file", F.transform(cells(F.col("l")[0]), name).alias("head"), F.posexplode(F.slice("l", 2, 1 << 30)).alias("line", "row"))
-    rows = split.withColumn("c", cells(F.col("row"))).where(F.exists("c", lambda x: x.isNotNull()))
+    rows = lines.join(heads, "path").where("place > first").select(file_of(F.col("path")).alias("file"), "path", "place", F.transform(cells(F.regexp_replace(text("head"), MARKS, "")), name).alias("head"), cells(text("value")).alias("c"))
     pairs = F.filter(F.transform("head", lambda h, i: F.struct(h.alias("k"), F.get("c", i).alias("v"))), lambda p: p["k"] != "")
     first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda q: q["k"] == p["k"]))
-    return rows.select("file", F.col("line").cast("int").alias("line"), F.map_from_entries(first).alias("cells"))
+    return rows.where(F.exists("c", lambda x: x.isNotNull())).select("file", "path", "place", F.map_from_entries(first).alias("cells"))
+
+
+#: Names of match files, as 9394_E0.csv: season and tier (fixed value).
+FILE_NAME = r"^(\d{4})_E(\d)\.csv$"
 
 
-def read_matches(spark: SparkSession, path: str) -> DataFrame:
+def read_matches(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Matches of files named like 9394_E0.csv: season and tier are the file's; bad results and repeats are dropped."""
     raw = read_ragged_csv(spark, path)
-    code, tier = F.regexp_extract("file", r"^(\d{4})_E(\d)\.csv$", 1), F.regexp_extract("file", r"^(\d{4})_E(\d)\.csv$", 2)
+    code, tier = F.regexp_extract("file", FILE_NAME, 1), F.regexp_extract("file", FILE_NAME, 2)
     cell = lambda *names: F.coalesce(*(F.col("cells")[n] for n in names))
     parsed = raw.where(code != "").select(
         "file",
-        "line",
+        "place",
         season_of_code(code).alias("season_end_year"),
         (tier.cast("int") + 1).alias("tier"),
         cell("Div").alias("div"),
@@ -58,7 +82,7 @@ def read_matches(spark: SparkSession, path: str) -> DataFrame:
     )
     expected = F.element_at(F.create_map(*(F.lit(x) for t, c in sorted((t, c) for c, t in CODES.items()) for x in (t, c))), F.col("tier"))
     known = valid_results(own_division(parsed, expected)).where("home_name is not null and away_name is not null")
-    return first_of_each(known, ["file", "home_name", "away_name", "match_date"], ["line"])
+    return first_of_each(known, ["file", "home_name", "away_name", "match_date"], ["place"])
 
 
 def read_seed(spark: SparkSession, path: str) -> DataFrame:
