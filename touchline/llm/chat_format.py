@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.llm.util import let
 
 START, END = "<|im_start|>", "<|im_end|>"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
@@ -53,10 +54,22 @@ def part_tokens(p: Column) -> Column:
 
 
 def visit_parts(parts: Column) -> Column:
-    """struct(content, attachments) of an array of parts: escaped text with placeholders, and what they refer to."""
+    """struct(content, attachments) of an array of parts: escaped text with placeholders, and what they refer to.
+
+    The texts between two attachments are joined before they are escaped, so a control string that
+    is spread over several parts is escaped as well.
+    """
     is_attached = lambda p: F.coalesce(p["type"].isin(*ATTACHED), F.lit(False))
     placeholder = lambda p, i: F.concat(F.lit("<|"), p["type"], F.lit(":"), i.cast("string"), F.lit("|>"))
-    content = F.array_join(F.transform(parts, lambda p, i: F.when(is_attached(p), placeholder(p, i)).otherwise(escape(F.coalesce(p["text"], F.lit(""))))), "")
+    places = F.filter(F.transform(parts, lambda p, i: F.when(is_attached(p), i)), lambda i: i.isNotNull())
+
+    def joined(places: Column) -> Column:
+        before = lambda k: F.coalesce(F.get(places, k - 1), F.lit(-1))
+        said = lambda k, end: F.array_join(F.transform(F.slice(parts, before(k) + 2, end - before(k) - 1), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+        own = lambda end, k: F.concat(escape(said(k, end)), F.when(end < F.size(parts), placeholder(F.get(parts, end), end)).otherwise(F.lit("")))
+        return F.array_join(F.transform(F.concat(places, F.array(F.size(parts))), own), "")
+
+    content = let(places, joined)
     numbered = F.transform(
         parts,
         lambda p, i: F.struct(i.cast("long").alias("part"), p["type"].alias("type"), p["ref"].alias("ref"), placeholder(p, i).alias("placeholder"), part_tokens(p).alias("tokens"), is_attached(p).alias("kept")),
