@@ -8,6 +8,7 @@ lacks, once per blob however many paths share it, and findings join back to all
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -33,7 +34,8 @@ MORE_KINDS = {
     "prefixed": (r"\b(?:gh[pousr]_|glpat-|xox[abpr]-|sk_live_|npm_)[A-Za-z0-9_-]+", 0, 20, ("gh", "glpat-", "xox", "sk_live_", "npm_")),
 }
 KINDS = BASE_KINDS | MORE_KINDS
-RULE_VERSION = "2"
+#: Names the patterns themselves, so an edited one is a new version.
+RULE_VERSION = hashlib.sha256(repr(KINDS).encode()).hexdigest()[:16]
 
 LEDGER = "blob string, rule_version string, spans string, base_spans string, n_assign long, n_access long, n_hex long"
 
@@ -84,11 +86,12 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, D
 
     Findings: doc_id, blob, n_assign, n_access, n_hex, base_spans, spans. Null text is the empty
     blob, repeated rows and copies get equal findings, null doc_ids stay. Other columns are
-    ignored. An empty table gives empty results. The new ledger rows are written to the shared
+    ignored. An empty table gives empty results. A ledger that holds a blob twice under a rule
+    version, as two scans that append at once leave it, counts as holding it once. The new ledger rows are written to the shared
     folder, so that the scan runs once although both results are used.
     """
     new = stored(scan_unseen(docs, ledger), "ledger")
-    known = new if ledger is None else ledger.where(F.col("rule_version") == RULE_VERSION).select(new.columns).unionByName(new)
+    known = new if ledger is None else ledger.where(F.col("rule_version") == RULE_VERSION).select(new.columns).dropDuplicates(["blob"]).unionByName(new)
     hits = known.where("spans != ''").select("blob", "spans", "base_spans", "n_assign", "n_access", "n_hex")
     paths = docs.select("doc_id", blob_of(F.col("text")).alias("blob")).join(hits, "blob", "left")
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_assign", "n_access", "n_hex")} | {c: F.coalesce(c, F.lit("")) for c in ("spans", "base_spans")}
