@@ -15,7 +15,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,31 +26,50 @@ from touchline.llm.util import UPPER, forget, stored
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS, TOP_TERMS, ONE = 10, 10, 1_000_000_000
 #: Bytes of text for one shard. Counts of its terms are far smaller.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
+#: Bytes of text that are counted at once, and whose counts a task holds before it hands them on; rows of a batch.
+SLICE_BYTES, HELD_BYTES, MAX_ROWS = 2 << 20, 64 << 20, 1 << 16
 
 
 def _duck():
     import duckdb
 
-    con = duckdb.connect(config={"threads": 1, "temp_directory": "", "preserve_insertion_order": False})
-    con.execute("SET TimeZone = 'UTC'")
-    return con
+    return duckdb.connect(config={"threads": 1, "temp_directory": "", "preserve_insertion_order": False})
+
+
+def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about so many bytes of text; a longer text is a run of its own."""
+    end = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // size
+    edges = [0, *(np.nonzero(np.diff(end))[0] + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def _count_batches(n_shards: int):
-    sql = f"""
+    read = f"""
         WITH d AS (SELECT lang, source, row_number() OVER () AS doc, text FROM batch),
         t AS (SELECT lang, source, doc, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '{TERM}')) AS term FROM d),
         p AS (SELECT lang, source, doc, term, count(*) AS n FROM t GROUP BY ALL)
-        SELECT (hash(lang, term) % {n_shards})::INTEGER AS shard, lang, source, term, sum(n)::BIGINT AS n, count(*) AS docs FROM p GROUP BY ALL
+        INSERT INTO counted SELECT lang, source, term, sum(n)::BIGINT, count(*) FROM p GROUP BY ALL
     """
+    dealt = f"SELECT (hash(lang, term) % {n_shards})::INTEGER AS shard, lang, source, term, sum(n)::BIGINT AS n, sum(docs)::BIGINT AS docs FROM counted GROUP BY ALL"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con = _duck()
-        for b in batches:
-            con.register("batch", pa.Table.from_batches([b]))
-            yield from con.sql(sql).to_arrow_table().combine_chunks().to_batches()
+        con.execute("CREATE TABLE counted (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
+        held = 0
+        for batch in (x for b in batches for x in _slices(b, SLICE_BYTES)):
+            con.register("batch", pa.Table.from_batches([batch]))
+            con.execute(read)
             con.unregister("batch")
+            held += pc.sum(pc.binary_length(batch.column("text"))).as_py()
+            if held >= HELD_BYTES:
+                yield from con.sql(dealt).to_arrow_table().to_batches(MAX_ROWS)
+                con.execute("TRUNCATE counted")
+                held = 0
+        yield from con.sql(dealt).to_arrow_table().to_batches(MAX_ROWS)
+        con.close()
 
     return count
 
@@ -56,14 +77,16 @@ def _count_batches(n_shards: int):
 def _add_counts(min_docs: int):
     sql = f"""
         WITH s AS (SELECT shard, lang, source, term, sum(n)::BIGINT AS n, sum(docs) AS docs FROM counted GROUP BY ALL),
-        k AS (SELECT *, sum(docs) OVER w AS all_docs, row_number() OVER (PARTITION BY lang, term ORDER BY source) AS place FROM s WINDOW w AS (PARTITION BY lang, term))
-        SELECT shard, lang, source, term, n, (place = 1)::BIGINT AS new FROM k WHERE all_docs >= {min_docs}
+        k AS (SELECT lang, term, min(source) AS first FROM s GROUP BY ALL HAVING sum(docs) >= {min_docs})
+        SELECT shard, lang, source, term, n, (source = first)::BIGINT AS new FROM s JOIN k USING (lang, term)
     """
 
     def add(counted: pa.Table) -> pa.Table:
         con = _duck()
         con.register("counted", counted)
-        return con.sql(sql).to_arrow_table()
+        out = con.sql(sql).to_arrow_table()
+        con.close()
+        return out
 
     return add
 
@@ -93,7 +116,9 @@ def _shard_sums(top_terms: int):
         con = _duck()
         con.register("kept", kept)
         con.register("groups", groups)
-        return con.sql(sql).to_arrow_table()
+        out = con.sql(sql).to_arrow_table()
+        con.close()
+        return out
 
     return sums
 
