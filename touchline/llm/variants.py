@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,25 +147,26 @@ def near_words(queries: list[bytes], keys: np.ndarray, ends: np.ndarray) -> tupl
 NEAR = "word string, n_near long, form string, form_n long"
 
 
-def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each block of words and each shard: the words that have neighbours there, how many, and the best of them."""
     for b in batches:
-        for queries, keys, ends, words, counts in zip(b["queries"], b["letters"], b["ends"], b["words"], b["counts"], strict=True):
-            asked, there, n = queries.split(b"\n"), words.split(b"\n"), np.frombuffer(counts, np.int64)
-            q, w = near_words(asked, np.frombuffer(keys, np.int64), np.frombuffer(ends, np.int32))
+        for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
+            asked, there, n = row["queries"].split(b"\n"), row["words"].split(b"\n"), np.frombuffer(row["counts"], np.int64)
+            q, w = near_words(asked, np.frombuffer(row["letters"], np.int64), np.frombuffer(row["ends"], np.int32))
             order = np.lexsort((w, -n[w], q))  # words are numbered in their order
             q, w = q[order], w[order]
             head, n_near = np.unique(q, return_index=True, return_counts=True)[1:] if len(q) else (q, q)
-            text = lambda xs, at: [xs[i].decode("latin-1") for i in at]
-            yield pd.DataFrame({"word": text(asked, q[head]), "n_near": n_near, "form": text(there, w[head]), "form_n": n[w[head]]}, columns=["word", "n_near", "form", "form_n"])
+            text = lambda xs, at: pa.array([xs[i].decode("latin-1") for i in at], pa.string())
+            yield pa.RecordBatch.from_arrays([text(asked, q[head]), pa.array(n_near, pa.int64()), text(there, w[head]), pa.array(n[w[head]], pa.int64())], ["word", "n_near", "form", "form_n"])
 
 
 def _blocks(block_words: int):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for words in b["words"]:
+            for words in b.column(0).to_pylist():
                 own = words.split(b"\n")
-                yield pd.DataFrame({"queries": [b"\n".join(own[i : i + block_words]) for i in range(0, len(own), block_words)]})
+                for i in range(0, len(own), block_words):
+                    yield pa.RecordBatch.from_arrays([pa.array([b"\n".join(own[i : i + block_words])], pa.binary())], ["queries"])
 
     return cut
 
@@ -173,13 +175,13 @@ def neighbours(words: DataFrame, shard_words: int = SHARD_WORDS, at_once: int =
     """(word, n_near, form, form_n) of every word with a neighbour: how many it has, and the one of largest n (ties: the smallest)."""
     tries = stored(sharded(words, shard_words).groupBy("shard").applyInPandas(_build, TRIE), "variants-tries")
     shards = sorted(r["shard"] for r in tries.select("shard").collect())
-    blocks = stored(tries.select("words").mapInPandas(_blocks(block_words), "queries binary"), "variants-blocks")
+    blocks = stored(tries.select("words").mapInArrow(_blocks(block_words), "queries binary"), "variants-blocks")
     found = words.sparkSession.createDataFrame([], NEAR)
     for i in range(0, len(shards), at_once):
         some = shards[i : i + at_once]
         asked = blocks.withColumn("shard", F.explode(F.array(*(F.lit(s) for s in some)))).repartition(F.xxhash64("queries", "shard"))
         met = asked.join(F.broadcast(tries.where(F.col("shard").isin(some))), "shard").select("queries", "letters", "ends", "words", "counts")
-        found = found.unionByName(stored(met.mapInPandas(_search, NEAR), "variants-near"))
+        found = found.unionByName(stored(met.mapInArrow(_search, NEAR), "variants-near"))
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form")).alias("best")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))
 
