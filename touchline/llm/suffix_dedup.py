@@ -16,8 +16,9 @@ Two things keep the parts small:
 * Equal regions need no order: all windows of the later ones have LPF >= WIDTH. They are found by
   a 64-bit hash of the region next to 32 bits of its anchor's and its length. Only regions whose
   anchor also occurs in other regions can hold windows that match in part, and only these are sent.
-* An anchor with over FEW_REGIONS regions in one batch of texts is hot. Its windows are not sent as
-  bytes to one part but dealt by a 64-bit name of their WIDTH bytes, and ordered by name and position.
+* An anchor with over FEW_REGIONS regions in one batch of texts, or with more than ORDERED_AT_ONCE windows in the different
+  regions of all batches, is hot. Its windows are not sent as bytes to one part but dealt by a 64-bit
+  name of their WIDTH bytes, and ordered by name and position. So no part holds more of one anchor.
 
 1. Texts -> runs, about one in 35 bytes. Equal regions in a batch are settled there, so a string
    that a third of all documents hold leaves a batch once.
@@ -43,8 +44,8 @@ from touchline.llm.util import stored
 WIDTH, GRAM = 100, 32
 #: Bytes of text hashed at once; longer texts are cut into overlapping blocks.
 BLOCK = 1 << 19
-#: An anchor with more regions in a batch is dealt by region.
-FEW_REGIONS = 4
+#: An anchor with more regions in a batch is dealt by region. Smaller positions are found in so many rounds at most, or with a stack.
+FEW_REGIONS, JUMPS = 64, 32
 _LEAST = -(1 << 63)  # stands for a null doc_id
 #: Suffixes ordered at once (anchors are kept whole), bytes of text a bucket of step 2 stands for, and windows a bucket of step 3 takes, about.
 ORDERED_AT_ONCE, BUCKET_BYTES, BUCKET_WINDOWS = 1 << 16, 40 << 20, 1 << 19
@@ -215,6 +216,7 @@ def _by_anchor(g: pd.DataFrame) -> pd.DataFrame:
     if len(new):
         group = np.cumsum(starts_of(anchor)) - 1
         asked |= new & (np.bincount(group, new) > 1)[group]
+        hot |= (np.bincount(group, new * count.astype(np.int64)) > ORDERED_AT_ONCE)[group]  # more windows than are ordered at once
     return pd.concat([_forwarded(g), _found(ids[later], subs[later], first[later], count[later]), _found(ids[asked], subs[asked], first[asked], count[asked], hot[asked], anchor[asked])])
 
 
@@ -274,16 +276,25 @@ def smaller_before(position: np.ndarray, common: np.ndarray) -> np.ndarray:
     """For each place of an order, the common prefix with the nearest place before it that has a smaller position (0 if none).
 
     common[i] is the common prefix of places i - 1 and i. All places jump at once: where the place
-    before is not smaller, what lies before that one is looked at next.
+    before is not smaller, what lies before that one is looked at next. Orders that need more than
+    JUMPS such rounds, as those that rise and then fall, are walked once with a stack instead.
     """
     before, shared = np.arange(len(position)) - 1, common.copy()
     at = np.flatnonzero((before >= 0) & (position[before] > position))
-    while len(at):
+    for _ in range(JUMPS):
+        if not len(at):
+            return np.where(before >= 0, shared, 0)
         over = before[at]
         shared[at], before[at] = np.minimum(shared[at], shared[over]), before[over]
         at = at[(before[at] >= 0)]
         at = at[position[before[at]] > position[at]]
-    return np.where(before >= 0, shared, 0)
+    out, stack = [], []  # (position, common prefix of its place with the one below it in the stack), positions rise
+    for own, with_last in zip(position.tolist(), common.tolist(), strict=True):
+        while stack and stack[-1][0] > own:
+            with_last = min(with_last, stack.pop()[1])
+        out.append(with_last if stack else 0)
+        stack.append((own, with_last))
+    return np.array(out, np.int64)
 
 
 def previous_factors(windows: np.ndarray, position: np.ndarray) -> np.ndarray:
