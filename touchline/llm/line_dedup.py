@@ -1,10 +1,10 @@
 """Line dedup by pairwise alignment.
 
 Documents that share rare line hashes or runs of lines are aligned with patience diff, and the
-common blocks that line up are deleted from the later document. What lines up in no order, or
-repeats, is found by the hashes of runs, so no common block of MIN_WORDS is left in a pair.
+common blocks that line up are deleted from the later document. What crosses these is aligned
+again, until nothing lines up any more, so no common block of MIN_WORDS is left in a pair.
 
-A run is the least number of lines from a line on, or up to a line, that have MIN_WORDS together:
+What is aligned are runs. A run is the least number of lines from a line on, or up to a line, that have MIN_WORDS together:
 every block of MIN_WORDS or more consists of such runs. Every line and every run points to the
 document that has it first, so one that n documents hold makes n - 1 candidates, not n * n, and no
 block is missed because parts of it stand in other documents before. A line of less than MIN_WORDS
@@ -96,37 +96,43 @@ def runs(lines: np.ndarray, words: np.ndarray, text: np.ndarray, min_words: int)
     return start, end, (sums[end + 1] - sums[start]) * power(pow(BASE, -1, 1 << 64))[start]
 
 
-def moved_lines(later: list[int], earlier: list[int], words: list[int], min_words: int) -> list[int]:
-    """Places in `later` of lines in runs that `earlier` has as well, in any order and number."""
-    own = dict(zip(later, words, strict=True))
-    codes = lambda x: np.array(x, np.int64).view(np.uint64)
-    one = lambda x: np.zeros(len(x), np.int8)
-    start, end, key = runs(codes(later), np.array(words, np.int64), one(later), min_words)
-    found = np.isin(key, runs(codes(earlier), np.array([own.get(x, 1) for x in earlier], np.int64), one(earlier), min_words)[2])
-    edges = np.zeros(len(later) + 1, np.int64)
-    np.add.at(edges, start[found], 1)
-    np.add.at(edges, end[found] + 1, -1)
-    return np.flatnonzero(np.cumsum(edges)[:-1]).tolist()
+def _run_table(lines: list[int], words: list[int], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last lines and hashes of the runs of one text, in the order of the text."""
+    start, end, key = runs(np.array(lines, np.int64).view(np.uint64), np.array(words, np.int64), np.zeros(len(lines), np.int8), min_words)
+    order = np.lexsort((end, start))
+    return start[order], end[order], key[order]
+
+
+def aligned_runs(later: list[int], earlier: list[int]) -> set[int]:
+    """The runs of `later` that come to lie on runs of `earlier`.
+
+    The runs of both texts are aligned in their order, each where it stands first; then those that
+    are left are aligned again, until none lines up. So blocks that crossed others come to lie in an
+    alignment of their own. A run that is aligned is so wherever it stands in the later text.
+    """
+    found: set[int] = set()
+    mine, other = list(dict.fromkeys(later)), list(dict.fromkeys(earlier))
+    both = set(mine) & set(other)
+    mine, other = [x for x in mine if x in both], [x for x in other if x in both]
+    while pairs := patience(mine, other):
+        on = {mine[i] for i, _ in pairs}
+        found |= on
+        mine, other = [x for x in mine if x not in on], [x for x in other if x not in on]
+    return found
 
 
 def common_lines(later: list[int], earlier: list[int], words: list[int], min_words: int) -> list[int]:
-    """Line numbers of `later` in common blocks of lines with min_words or more. 0 stands for a line without words."""
+    """Line numbers of `later` in aligned common blocks of lines with min_words or more. 0 stands for a line without words."""
     own = [i for i, x in enumerate(later) if x]
     mine, other = [later[i] for i in own], [x for x in earlier if x]
-    out: set[int] = set()
-    block: list[int] = []
-    last = None
-    for i, j in [*patience(mine, other), (-9, -9)]:
-        if last is None or (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[x] for x in block) >= min_words:
-                out.update(block)
-            block = []
-        if i >= 0:
-            block.append(own[i])
-        last = (i, j)
-    if len(out) < len(own):
-        out.update(own[i] for i in moved_lines(mine, other, [words[i] for i in own], min_words))
-    return sorted(out)
+    size = dict(zip(mine, (words[i] for i in own), strict=True))
+    start, end, key = _run_table(mine, [words[i] for i in own], min_words)
+    aligned = aligned_runs(key.tolist(), _run_table(other, [size.get(x, 1) for x in other], min_words)[2].tolist())
+    edges = np.zeros(len(own) + 1, np.int64)
+    on = np.fromiter((k in aligned for k in key.tolist()), bool, len(key))
+    np.add.at(edges, start[on], 1)
+    np.add.at(edges, end[on] + 1, -1)
+    return [own[i] for i in np.flatnonzero(np.cumsum(edges)[:-1]).tolist()]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
