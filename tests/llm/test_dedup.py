@@ -132,6 +132,41 @@ def test_suffix_dedup_by_names_and_by_bytes(spark, monkeypatch, few):
     assert got == repeated_bytes(docs)
 
 
+def test_an_anchor_of_every_batch_is_spread(monkeypatch):
+    """One region of an anchor in each batch: beyond what is ordered at once, its windows are dealt by name."""
+    rng = random.Random(12)
+    common = "".join(rng.choice("abcdefgh") for _ in range(96))
+    texts = ["".join(rng.choice("ijklmnop") for _ in range(80)) + common + "".join(rng.choice("ijklmnop") for _ in range(80)) for _ in range(300)]
+
+    def hot_share():
+        rows = pd.concat(x for i, t in enumerate(texts) for x in suffix_dedup._runs(3)(iter([pd.DataFrame({"id": [i], "sub": [0], "text": [t]})])))
+        found = pd.concat(suffix_dedup._by_anchor(g) for _, g in rows.groupby("bucket"))
+        asked = found[found["asked"]]
+        return len(asked), asked["hot"].mean(), asked[~asked["hot"]].groupby("anchor")["run"].agg(lambda r: int((r & 255).sum())).max()
+
+    n, share, _ = hot_share()
+    assert n >= 300 and share == 0  # few enough to be ordered at once
+    monkeypatch.setattr(suffix_dedup, "ORDERED_AT_ONCE", 3000)
+    n, share, largest = hot_share()
+    assert n >= 300 and share > 0.5 and not largest > 3000
+
+
+@pytest.mark.parametrize("n", [1, 2, 50, 400])
+def test_smaller_positions_of_all_shapes(n):
+    rng = np.random.default_rng(n)
+    rising_falling = np.concatenate([np.arange(0, n, 2), np.arange(1, n, 2)[::-1]])
+    for position in (rng.permutation(n), rising_falling, np.arange(n), np.arange(n)[::-1].copy()):
+        common = rng.integers(0, 100, n)
+        common[0] = 0
+        want = []
+        for i in range(n):
+            j, shared = i - 1, common[i]
+            while j >= 0 and position[j] > position[i]:
+                shared, j = min(shared, common[j]), j - 1
+            want.append(shared if j >= 0 else 0)
+        assert suffix_dedup.smaller_before(position, common).tolist() == want
+
+
 def test_suffix_dedup_of_sample(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
@@ -194,6 +229,37 @@ def lines(rng, n, words=8):
     return [prose(rng, words) for _ in range(n)]
 
 
+def moved_lines(later, earlier, words, min_words):
+    """Places in `later` of lines in runs that `earlier` has as well, by sets of runs: no alignment."""
+    own = [i for i, x in enumerate(later) if x]
+    mine, other = [later[i] for i in own], [x for x in earlier if x]
+    blocks = lambda lines, size: {(i, j): tuple(lines[i:j]) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1) if sum(size.get(x, 1) for x in lines[i:j]) >= min_words}
+    size = dict(zip(mine, (words[i] for i in own), strict=True))
+    known = set(blocks(other, size).values())
+    return sorted({own[k] for (i, j), b in blocks(mine, size).items() if b in known for k in range(i, j)})
+
+
+def random_pair(rng):
+    size = {k: rng.choice([3, 8, 12, 25]) for k in range(1, 9)} | {0: 0}
+    earlier = [rng.randrange(9) for _ in range(rng.randint(0, 14))]
+    later = [rng.randrange(9) for _ in range(rng.randint(0, 14))]
+    if rng.random() < 0.5 and len(earlier) > 4:
+        i, j = sorted(rng.sample(range(len(earlier)), 2))
+        later = later[:3] + earlier[j:] + later[3:6] + earlier[i:j] + later[6:] + earlier[i:j]
+    return later, earlier, [size[x] for x in later]
+
+
+def test_alignment_finds_all_common_blocks(monkeypatch):
+    rng = random.Random(14)
+    pairs = [random_pair(rng) for _ in range(1500)]
+    want = [moved_lines(*p, 20) for p in pairs]
+    assert [line_dedup.common_lines(*p, 20) for p in pairs] == want and sum(map(bool, want)) > 500
+    reverse = list(range(1, 400))
+    assert line_dedup.common_lines(reverse[::-1], reverse, [25] * 399, 20) == list(range(399))
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert not any(line_dedup.common_lines(*p, 20) for p in pairs)  # nothing goes that was not aligned
+
+
 def test_patience():
     assert line_dedup.patience(list("abcxdef"), list("abcydef")) == [(0, 0), (1, 1), (2, 2), (4, 4), (5, 5), (6, 6)]
     assert line_dedup.patience(list("qabz"), list("abq")) == [(1, 0), (2, 1)]

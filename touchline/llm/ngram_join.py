@@ -440,7 +440,8 @@ def link_texts(docs: DataFrame, n: int = N, percent: int = PERCENT, few: int = F
             done = done.union(pairs.where("not hub").select("x", "y"))
             differ = checked.where("keys is not null").join(known, F.col("x") == F.col("node"), "left").withColumn("part", F.coalesce("component", "x"))
             several = differ.groupBy("y").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("y")
-            rows = stored(differ.select("x", "y", "n", "d", "part", "keys").join(several, "y").select(F.col("x").alias("node"), "n", "d", "keys", "part", F.lit(bytes(16)).alias("cells")), "rows")
+            open_rows = differ.select("x", "y", "n", "d", "part", "keys").join(several, "y").select(F.col("x").alias("node"), "n", "d", "keys", "part")
+            rows = stored(open_rows.join(nodes.select("node", "cells"), "node"), "rows")
         forget(grouped, checked, *([] if before is None else [before]), *([last] if level > 1 else []))
         level += 1
         if rows.isEmpty():
