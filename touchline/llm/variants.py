@@ -176,10 +176,10 @@ def neighbours(words: DataFrame, shard_words: int = SHARD_WORDS, at_once: int =
     tries = stored(sharded(words, shard_words).groupBy("shard").applyInPandas(_build, TRIE), "variants-tries")
     shards = sorted(r["shard"] for r in tries.select("shard").collect())
     blocks = stored(tries.select("words").mapInArrow(_blocks(block_words), "queries binary"), "variants-blocks")
-    found = words.sparkSession.createDataFrame([], NEAR)
+    found, n_blocks = words.sparkSession.createDataFrame([], NEAR), blocks.count()
     for i in range(0, len(shards), at_once):
         some = shards[i : i + at_once]
-        asked = blocks.withColumn("shard", F.explode(F.array(*(F.lit(s) for s in some)))).repartition(F.xxhash64("queries", "shard"))
+        asked = blocks.withColumn("shard", F.explode(F.array(*(F.lit(s) for s in some)))).repartition(max(1, n_blocks * len(some)), "queries", "shard")  # a block and a trie are seconds of work, and few bytes
         met = asked.join(F.broadcast(tries.where(F.col("shard").isin(some))), "shard").select("queries", "letters", "ends", "words", "counts")
         found = found.unionByName(stored(met.mapInArrow(_search, NEAR), "variants-near"))
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form")).alias("best")
