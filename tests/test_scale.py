@@ -229,3 +229,13 @@ def test_sql_over_a_published_state(spark, tmp_path):
     assert ask("SELECT ordinal(111), ordinal(22), season_code(2000), wage_ratio(50, 200), wage_ratio(1, 0), round(haversine_miles(51.5, 0, 53.5, -2), 3)") == [("111th", "22nd", "9900", 25.0, None, pytest.approx(162.0, abs=2))]
     store.publish({"standings": standings.withColumn("points", F.lit(0))})
     assert ask("SELECT sum(points) FROM standings") == [(159,)]  # the views stay with the state that they were made for
+
+
+def test_careers_of_large_inputs_are_the_same(spark, monkeypatch):
+    """The tiers of the adapter by a window and by ranges."""
+    from touchline.plans import adapters as A
+
+    view = lambda: sorted(map(tuple, A.career(spark, "/root/testdata/sf0.001").collect()))
+    small = view()
+    monkeypatch.setattr(A, "large", lambda df: True)
+    assert view() == small and len(small) > 20

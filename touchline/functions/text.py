@@ -48,9 +48,23 @@ def decomposed(name: Column) -> Column:
     return F.pandas_udf(of, StringType())(name)
 
 
+def _latin() -> tuple[str, str, str]:
+    """Letters up to U+024F that decompose to one ASCII letter or digit, these, and those that decompose to several."""
+    bare = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii() and x.isalnum()) for c in map(chr, range(0x80, 0x250))}
+    one = [c for c in bare if len(bare[c]) == 1]
+    return "".join(one), "".join(bare[c] for c in one), "".join(c for c in bare if len(bare[c]) > 1)
+
+
+LATIN, LATIN_BARE, LATIN_SEVERAL = _latin()
+
+
 def name_key(name: Column) -> Column:
-    """Letters and digits of a name: decomposed, marks, apostrophes and all else dropped. Only names outside ASCII leave the JVM."""
-    plain = F.coalesce(decomposed(F.when(name.rlike(r"[^\x00-\x7F]"), name)), name)
+    """Letters and digits of a name: decomposed, marks, apostrophes and all else dropped.
+
+    Latin letters with marks are translated; only names with letters beyond these leave the JVM.
+    """
+    far = name.rlike(rf"[^\x00-\u024F\u2010-\u2027]|[{LATIN_SEVERAL}]")
+    plain = F.coalesce(decomposed(F.when(far, name)), F.translate(name, LATIN, LATIN_BARE))
     return F.regexp_replace(F.translate(F.lower(plain), APOSTROPHES, ""), "[^a-z0-9]+", "")
 
 

@@ -124,12 +124,19 @@ def level_gap(current: Column, natural: Column, active: Column) -> Column:
     return F.when(active & natural.isNotNull() & (natural != OUTSIDE), current - natural)
 
 
-def trajectory(table: DataFrame) -> DataFrame:
-    """The career table: rollup, streak, natural level and gap of every club."""
+def with_gap(careers: DataFrame, latest: Column) -> DataFrame:
+    """Adds level_gap: clubs whose last season is the latest of all are active."""
+    return careers.withColumn("level_gap", level_gap(F.col("current_tier"), F.col("natural_tier"), F.col("last_season_in_db") == latest))
+
+
+def trajectory(table: DataFrame, latest: int | None = None) -> DataFrame:
+    """The career table: rollup, streak, natural level and gap of every club. latest: the latest season, if table has only some of the clubs."""
     known = table.where(F.col("club_id").isNotNull())
-    latest = known.agg(F.max("season_end_year").alias("_latest"))
-    joined = rollup(known).join(streak(known), "club_id").join(natural_level(known).drop(*(f"n{t}" for t in range(1, 7))), "club_id").join(F.broadcast(latest), F.lit(True))  # one row
-    return joined.withColumn("level_gap", level_gap(F.col("current_tier"), F.col("natural_tier"), F.col("last_season_in_db") == F.col("_latest"))).drop("_latest")
+    joined = rollup(known).join(streak(known), "club_id").join(natural_level(known).drop(*(f"n{t}" for t in range(1, 7))), "club_id")
+    if latest is not None:
+        return with_gap(joined, F.lit(latest))
+    last = known.agg(F.max("season_end_year").alias("_latest"))
+    return with_gap(joined.join(F.broadcast(last), F.lit(True)), F.col("_latest")).drop("_latest")  # one row
 
 
 def level_panel(levels: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.text import json_strings, labelled, money, ordinal, season_label, wage_ratio
 from touchline.operators.pyramid import overall_positions
+from touchline.operators.ranking import shared_ranks, smaller_in
 from touchline.plans.rules import CONSOLIDATION_LEVELS, DISCLOSURES, FLAG_LABELS, STAFF_COSTS_DEFINITIONS
 
 MONEY = ("turnover", "staff_costs", "profit_before_tax", "net_debt", "revenue_matchday", "revenue_broadcast", "revenue_commercial")
@@ -59,10 +60,9 @@ def placed(accounts: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def ranks(accounts: DataFrame, table: DataFrame, field: str) -> DataFrame:
-    """Rank of a published figure within its season and tier, ties shared, with the number of published figures."""
-    p = placed(accounts, table).where((F.col("disclosure") == "full") & F.col(field).isNotNull())
-    w = Window.partitionBy("season_end_year", "tier")
-    return p.select("club_id", "season_end_year", "tier", F.col(field).alias("value"), F.rank().over(w.orderBy(F.desc(field))).alias("rank"), F.count("*").over(w).alias("published"))
+    """Rank of a published figure within its season and tier, ties shared, with the number of published figures. No task holds a season."""
+    p = placed(accounts, table).where(F.col("disclosure") == "full").select("club_id", "season_end_year", "tier", F.col(field).alias("value"))
+    return shared_ranks(p, ["season_end_year", "tier"], "value")
 
 
 def disclosure_counts(accounts: DataFrame, table: DataFrame) -> DataFrame:
@@ -93,14 +93,11 @@ def landing_season(points: DataFrame, table: DataFrame, newest: int = 6) -> Data
 def beaten_above(accounts: DataFrame, table: DataFrame) -> DataFrame:
     """For each club outside tier 1, the clubs of the tier above that spent less on staff.
 
-    Both tiers are ranked by staff costs in one window, so no pairs are made: the count is that
-    of the rows of the tier above that sort before.
+    Counts of values are added up in ranges: no pairs are made, and no task holds a season.
     """
     p = placed(accounts, table).where("staff_costs is not null").select("club_id", "season_end_year", "tier", "staff_costs")
-    sides = p.select("*", F.col("tier").alias("pair"), F.lit(1).alias("mine")).union(p.select("*", (F.col("tier") + 1).alias("pair"), F.lit(0).alias("mine")))
-    before = Window.partitionBy("season_end_year", "pair").orderBy("staff_costs").rangeBetween(Window.unboundedPreceding, -1)
-    counted = sides.withColumn("beaten", F.count(F.when(F.col("mine") == 0, 1)).over(before))
-    return counted.where("mine = 1 and tier > 1").select("club_id", "season_end_year", "tier", "staff_costs", "beaten")
+    above = p.select("season_end_year", (F.col("tier") + 1).alias("tier"), "staff_costs")
+    return smaller_in(p.where("tier > 1"), above, ["season_end_year", "tier"], "staff_costs", "beaten").select("club_id", "season_end_year", "tier", "staff_costs", "beaten")
 
 
 def y_axis(points: DataFrame, scale: str) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.ranking import tiles
+from touchline.sources.sinks import large
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,9 +32,13 @@ def career(spark: SparkSession, sf_dir: str) -> DataFrame:
     strength = (F.col("rev") - F.col("mean")) * swing + F.col("mean") * ((c * 37) % 10)
     active = F.col("rev") * 10 >= F.col("mean") * 7  # a club with less has no season then
     seen = q.join(season, "season_end_year").where(active).select("club_id", "season_end_year", strength.alias("strength"))
-    by = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("strength"), "club_id")
-    tiers = seen.withColumn("tier", F.ntile(5).over(by("season_end_year")))
-    return tiers.select(
+    order = [F.desc("strength"), F.asc("club_id")]
+    if large(li):  # a season is cut into ranges; the windows below give the same
+        tiled = tiles(seen, ["season_end_year"], order, 5)
+        return tiled.select("club_id", "season_end_year", "tile", F.col("place").alias("position"), F.col("n_in_tile").alias("n_clubs")).withColumnRenamed("tile", "tier")
+    by = lambda *keys: Window.partitionBy(*keys).orderBy(*order)
+    tiered = seen.withColumn("tier", F.ntile(5).over(by("season_end_year")))
+    return tiered.select(
         "club_id", "season_end_year", "tier", F.row_number().over(by("season_end_year", "tier")).alias("position"), F.count("*").over(Window.partitionBy("season_end_year", "tier")).cast("int").alias("n_clubs")
     )
 
@@ -51,8 +58,8 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    home = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_nationkey").alias("home_id"), F.col("n_regionkey").alias("home_region"))
-    away = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("away_id"), F.col("n_regionkey").alias("away_region"))
+    home = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_nationkey").alias("home_id"), F.col("n_regionkey").alias("home_region"))
+    away = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("away_id"), F.col("n_regionkey").alias("away_region"))
     joined = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(home, F.col("o_custkey") == F.col("c_custkey")).join(away, F.col("l_suppkey") == F.col("s_suppkey"))
     goals = joined.where("home_id != away_id and home_region = away_region").withColumns({"fthg": F.col("l_quantity").cast("int") % 5, "ftag": ((F.col("l_linenumber") + F.col("l_partkey")) % 4).cast("int")})
     return goals.select(

@@ -164,7 +164,7 @@ CTE = {
         UNION ALL SELECT c, 12, 'Ground grading', (y - 1) || '/' || lpad((y % 100)::VARCHAR, 2, '0') || ' · Promotion denied on ground grading' FROM fc WHERE c % 13 = 5
         UNION ALL SELECT c, 13, 'Successor to', 'Old Club' || CASE WHEN c % 10 = 0 THEN ' (folded ' || y || ')' ELSE '' END FROM fc WHERE c % 5 = 0
         UNION ALL SELECT c, 14, 'Featured on The rise', (y - 1) || '/' || lpad((y % 100)::VARCHAR, 2, '0') || ' · Climbed' FROM fc WHERE c % 21 = 6
-        UNION ALL SELECT c, 15, 'Rivalry', 'vs ' || coalesce(n_name, (c % 5)::VARCHAR) || CASE WHEN c % 24 = 7 THEN ' (Derby)' ELSE '' END || ' · Old grudge' FROM fc LEFT JOIN nation ON n_nationkey = c % 5 AND n_nationkey < 3 WHERE c % 12 = 7""",
+        UNION ALL SELECT c, 15, 'Rivalry', 'vs ' || coalesce(n_name, (c % 5)::VARCHAR) || CASE WHEN c % 24 = 7 THEN ' (Derby)' ELSE '' END || ' · Old grudge' FROM fc LEFT JOIN nation ON n_nationkey = c % 5 WHERE c % 12 = 7""",
     "notes": "SELECT club_id, season_end_year AS last, CASE position WHEN 1 THEN 'Finished 1st' ELSE 'Finished 2nd' END AS note FROM settled WHERE position <= 2",
     "riv": """SELECT club_a, club_b, seq, note FROM (SELECT least(a, b) AS club_a, greatest(a, b) AS club_b, seq, note FROM (SELECT o_orderkey AS seq, o_custkey % 25 AS a, o_orderkey % 27 AS b, o_orderpriority AS note FROM orders) WHERE a <> b AND b IN (SELECT n_nationkey FROM nation))
         QUALIFY row_number() OVER (PARTITION BY club_a, club_b ORDER BY length(coalesce(note, '')) DESC, seq) = 1""",
@@ -173,7 +173,7 @@ CTE = {
         CROSS JOIN LATERAL (SELECT pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2) AS h)""",
     "days": "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders",
     "dayseason": "SELECT day, year(day) + CASE WHEN month(day) >= 7 THEN 1 ELSE 0 END AS y FROM days",
-    "grid": "SELECT y AS season_end_year, t AS tier FROM range(1990, 2031) a(y), range(1, 7) b(t)",
+    "grid": "SELECT (year(o_orderdate) - 3 + o_custkey % 40)::BIGINT AS season_end_year, (o_orderkey % 6 + 1)::BIGINT AS tier, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2",
     "divisions": f"SELECT * FROM {_values(RU.DIVISIONS, 'tier, from_year, until_year, division_name')}",
     "filed": """SELECT lpad(((season_end_year - 1) % 100)::VARCHAR, 2, '0') || lpad((season_end_year % 100)::VARCHAR, 2, '0') || '_E' || (tier - 1) || '.csv' AS file, (season_end_year + tier) % 4 = 0 AND l_orderkey % 5 = 0 AS odd FROM m""",
     "clubs": """SELECT s_suppkey AS club_id, s_name AS canonical_name, CASE WHEN s_suppkey % 5 <> 0 THEN 50 + (s_suppkey * 37 % 80) / 10.0::DOUBLE END AS latitude,
@@ -322,7 +322,7 @@ SELECTS = {
     "disclosure_counts": "SELECT season_end_year, count(*)::BIGINT AS in_season, count(*) FILTER (WHERE disclosure = 'full')::BIGINT AS disclosed, count(*) FILTER (WHERE disclosure IN ('small_company', 'not_filed'))::BIGINT AS withheld FROM career LEFT JOIN fin USING (club_id, season_end_year) GROUP BY 1",
     "metric_points": "SELECT club_id, season_end_year, tier, overall_position, staff_costs AS value FROM fin JOIN overall USING (club_id, season_end_year) WHERE staff_costs IS NOT NULL",
     "metric_landing": "SELECT max(season_end_year) AS season_end_year FROM pp WHERE season_end_year IN (SELECT DISTINCT season_end_year FROM career ORDER BY 1 DESC LIMIT 6)",
-    "metric_catalogue": f"SELECT metric, label, source, field, scale, format, CAST(benchmark AS DOUBLE) AS benchmark FROM {_values(RU.METRICS, 'metric, label, source, field, scale, format, benchmark')}",
+    "metric_catalogue": f"SELECT metric, label, source, field, scale, format, CAST(benchmark AS DOUBLE) AS benchmark, coalesce(n, 0)::BIGINT AS n, first, last FROM {_values(RU.METRICS, 'metric, label, source, field, scale, format, benchmark')} LEFT JOIN (SELECT field, count(*) AS n, min(season_end_year) AS first, max(season_end_year) AS last FROM (SELECT season_end_year, unnest(['turnover', 'staff_costs', 'profit_before_tax', 'wage_ratio']) AS field, unnest([turnover IS NOT NULL, staff_costs IS NOT NULL, profit_before_tax IS NOT NULL, staff_costs IS NOT NULL AND turnover <> 0]) AS known FROM fin WHERE disclosure = 'full') WHERE known GROUP BY 1) USING (field)",
     "finance_validation": """SELECT * FROM (SELECT club_id, season_end_year, concat_ws('; ', CASE WHEN k = 1 THEN 'bad disclosure' END, CASE WHEN d <> 'full' AND coalesce(t, staff_costs, profit_before_tax) IS NOT NULL THEN 'money without full disclosure' END,
         CASE WHEN k = 4 AND staff_costs IS NOT NULL THEN 'staff costs without definition' END, CASE WHEN k = 3 THEN 'bad staff costs definition' END, CASE WHEN k = 5 THEN 'bad consolidation level' END, CASE WHEN k = 6 THEN 'flags are no JSON array' END) AS errors
         FROM (SELECT *, (club_id * 3 + season_end_year) % 11 AS k, CASE WHEN (club_id * 3 + season_end_year) % 11 = 1 THEN 'partial' ELSE disclosure END AS d, CASE WHEN (club_id * 3 + season_end_year) % 11 = 2 THEN 5 ELSE turnover END AS t FROM fin)) WHERE errors <> ''""",
@@ -408,7 +408,7 @@ SELECTS = {
         FROM rollup r JOIN clubs ON clubs.club_id = r.club_id WHERE latitude IS NOT NULL""",
     "map_filter": "SELECT r.club_id, c.tier FROM rollup r JOIN career c ON c.club_id = r.club_id WHERE yo_yo_score >= 0.25 AND season_end_year = 2010 AND tier IN (2, 3)",
     "teams_by_tier": "SELECT current_tier AS tier, any_value(tname) AS label, count(*)::BIGINT AS n, '[' || string_agg(club_id, ',' ORDER BY club_id) || ']' AS clubs FROM rollup JOIN names ON names.t = current_tier GROUP BY 1",
-    "timeline": f"SELECT year::BIGINT AS year, title, text FROM {_values(RU.TIMELINE, 'year, title, text')}",
+    "timeline": f"SELECT coalesce(v.year, o.year)::BIGINT AS year, title, text, n, finished FROM {_values(RU.TIMELINE, 'year, title, text')} FULL JOIN (SELECT year(o_orderdate) + o_custkey % 3 AS year, count(*)::BIGINT AS n, count(*) FILTER (WHERE o_orderstatus = 'F')::BIGINT AS finished FROM orders GROUP BY 1) o ON o.year = v.year",
     "top_yo_yo": "SELECT canonical_name, yo_yo_score, total_promotions, total_relegations FROM rollup JOIN clubs USING (club_id) ORDER BY yo_yo_score DESC, club_id LIMIT 10",
     "clubs_unresolved": "SELECT DISTINCT name, season_end_year FROM resolved WHERE club_id IS NULL",
     "club_history": "SELECT season_end_year, tier, division_name, position, status FROM named_divisions WHERE club_id = 3",
@@ -429,7 +429,7 @@ SELECTS = {
     "story_facts": """SELECT c AS club_id, CASE WHEN ok AND c % 2 = 0 THEN 1800 + c % 100 END AS founded, CASE WHEN ok AND c % 3 = 0 THEN 2000 + c % 100 END AS owner_since, CASE WHEN ok AND c % 4 = 1 THEN 1900 + c % 100 END AS year,
         concat_ws(',', CASE WHEN ok AND c % 4 = 1 THEN 'administration' END, CASE WHEN ok AND c % 5 = 2 THEN 'exiled' END, CASE WHEN ok AND c % 3 = 0 THEN 'fan-owned' END) AS themes FROM (SELECT c, c % 19 <> 7 AS ok FROM fc)""",
     "boom_and_bust_stats": "SELECT count(DISTINCT club_id)::BIGINT AS clubs, count(*)::BIGINT AS events, (SELECT sum(c % 13)::BIGINT FROM fc WHERE c % 9 = 4) AS points, (min(season_end_year) - 1) || '–' || max(season_end_year) AS span FROM tev WHERE theme IN ('administration', 'points-deductions')",
-    "name_key_cases": "SELECT * FROM (VALUES ('Bodø/Glimt', 'bodglimt'), ('Łódź', 'odz'), ('Plzeň', 'plzen'), ('Beşiktaş', 'besiktas'), ('ＡＦＣ Wimbledon', 'afcwimbledon'), ('King’s Lynn Town', 'kingslynntown'), ('Málaga CF', 'malagacf'), ('Brighton & Hove Albion', 'brightonhovealbion')) AS v(name, key)",
+    "name_key_cases": "SELECT c_custkey, ['Bodø/Glimt', 'Łódź', 'Plzeň', 'Beşiktaş', 'ＡＦＣ Wimbledon', 'King’s Lynn Town', 'Málaga CF', 'Brighton & Hove Albion'][c_custkey % 8 + 1] || ' ' || c_name AS name, ['bodglimt', 'odz', 'plzen', 'besiktas', 'afcwimbledon', 'kingslynntown', 'malagacf', 'brightonhovealbion'][c_custkey % 8 + 1] || regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS key FROM customer",
     "followed_clubs": "SELECT club_id, count(*)::BIGINT AS n FROM (SELECT home_id AS club_id FROM fix UNION ALL SELECT away_id FROM fix) WHERE club_id IN (3, 5, 8) GROUP BY 1",
     "club_context": "SELECT club_id, name, last_status, last_position, last_points, last_played, highest_since, form, recent FROM pctx",
     "history_sentences": "SELECT club_id, name, history FROM hist",
@@ -464,6 +464,7 @@ SELECTS = {
     "shared_spells": """SELECT a.club_id AS pair, a.tier, a."start", a."end", b."start" AS start2, b."end" AS end2 FROM segs a JOIN segs b ON b.club_id = a.club_id + 3 AND a.tier = b.tier AND a."start" <= b."end" AND b."start" <= a."end\"""",
     "rule_intervals": """SELECT g.season_end_year, g.tier, n, total_clubs, down_lo FROM (SELECT year(o_orderdate)::BIGINT AS season_end_year, o_custkey % 6 + 1 AS tier, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2) g
         LEFT JOIN rules r ON r.tier = g.tier AND season_end_year BETWEEN from_year AND to_year QUALIFY row_number() OVER (PARTITION BY g.season_end_year, g.tier ORDER BY from_year DESC NULLS LAST) = 1""",
+    "career_refresh": "SELECT r.club_id, current_tier, highest_tier, n_seasons, total_promotions, total_relegations, yo_yo_score, current_tier_streak FROM rollup r JOIN streak s USING (club_id)",
     "top_yo_yo_sql": "SELECT club_id, yo_yo_score, total_promotions, total_relegations, (first_season_in_db - 1) || '/' || lpad((first_season_in_db % 100)::VARCHAR, 2, '0') AS first_season FROM rollup ORDER BY yo_yo_score DESC, club_id LIMIT 10",
 }
 ORACLE_SQL = {name: sql(text) for name, text in SELECTS.items()}

@@ -11,6 +11,7 @@ from touchline.functions import text as T
 from touchline.operators import career as C
 from touchline.operators import finance as N
 from touchline.operators import grounds as G
+from touchline.operators import increment as IN
 from touchline.operators import insights as I
 from touchline.operators import intervals as IV
 from touchline.operators import movement as M
@@ -85,18 +86,20 @@ def match_dedup_valid(spark: SparkSession, sf: str) -> DataFrame:
     return longs(m.select("season_end_year", "tier", "match_date", "home_id", "away_id", "fthg", "ftag", "ftr"))
 
 
-def _season_grid(spark: SparkSession) -> DataFrame:
-    return spark.range(1990, 2031).select(F.col("id").cast("int").alias("season_end_year"), F.explode(F.array(*(F.lit(t) for t in range(1, 7)))).alias("tier"))
+def _season_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Seasons and tiers as orders give them, moved so that they reach over all changes of rules."""
+    o = A.table(spark, sf, "orders")
+    return o.groupBy((F.year("o_orderdate") - 3 + F.col("o_custkey") % 40).cast("int").alias("season_end_year"), (F.col("o_orderkey") % 6 + 1).cast("int").alias("tier")).agg(F.count("*").alias("n"))
 
 
 @query
 def division_names(spark: SparkSession, sf: str) -> DataFrame:
-    return longs(S.with_division_name(_season_grid(spark), RU.divisions(spark)))
+    return longs(S.with_division_name(_season_grid(spark, sf), RU.divisions(spark)))
 
 
 @query
 def rules_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    return longs(S.rules_for(_season_grid(spark), RU.rules(spark), "total_clubs", *S.RANGES))
+    return longs(S.rules_for(_season_grid(spark, sf), RU.rules(spark), "total_clubs", *S.RANGES))
 
 
 def _counted(spark: SparkSession, sf: str) -> DataFrame:
@@ -325,7 +328,7 @@ def map_payload(spark: SparkSession, sf: str) -> DataFrame:
 def single_tier_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Filtered to one tier, clubs are ranked anew in the order of the pyramid."""
     p = P.overall_positions(A.career(spark, sf)).where("tier = 2")
-    return longs(p.select("season_end_year", "club_id", F.row_number().over(Window.partitionBy("season_end_year").orderBy("overall_position")).alias("x")))
+    return longs(RK.row_numbers(p.select("season_end_year", "club_id", "overall_position"), ["season_end_year"], [F.col("overall_position").asc()], "x").drop("overall_position"))
 
 
 # Results
@@ -416,7 +419,12 @@ def metric_landing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def metric_catalogue(spark: SparkSession, sf: str) -> DataFrame:
-    return RU.metrics(spark)
+    """The metrics that can be charted, with how many accounts publish each and the seasons of these."""
+    a = N.with_ratio(A.finances(spark, sf)).where("disclosure = 'full'")
+    fields = [f for f in dict.fromkeys(m[3] for m in RU.METRICS) if f in a.columns]
+    known = a.select("season_end_year", F.explode(F.array(*(F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields))).alias("field")).where("field is not null")
+    counts = known.groupBy("field").agg(F.count("*").alias("n"), F.min("season_end_year").alias("first"), F.max("season_end_year").alias("last"))
+    return longs(RU.metrics(spark).join(counts, "field", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))))
 
 
 @query
@@ -763,7 +771,7 @@ def theme_chart(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def facts_panel(spark: SparkSession, sf: str) -> DataFrame:
-    names = A.table(spark, sf, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("club_id"), F.col("n_name").alias("name"))
+    names = A.table(spark, sf, "nation").select(F.col("n_nationkey").alias("club_id"), F.col("n_name").alias("name"))
     return longs(ST.facts_panel(_facts(spark, sf), names))
 
 
@@ -887,7 +895,9 @@ def teams_by_tier(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def timeline(spark: SparkSession, sf: str) -> DataFrame:
-    return longs(RU.timeline(spark))
+    """The events of the timeline with the seasons that orders are of: how many, and how many of finished ones."""
+    o = A.table(spark, sf, "orders").groupBy((F.year("o_orderdate") + F.col("o_custkey") % 3).cast("int").alias("year")).agg(F.count("*").alias("n"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("finished"))
+    return longs(RU.timeline(spark).join(o, "year", "full"))
 
 
 @query
@@ -1004,9 +1014,11 @@ def boom_and_bust_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def name_key_cases(spark: SparkSession, sf: str) -> DataFrame:
-    """Names with letters outside ASCII."""
+    """Names of customers with letters outside ASCII."""
     names = ("Bodø/Glimt", "Łódź", "Plzeň", "Beşiktaş", "ＡＦＣ Wimbledon", "King’s Lynn Town", "Málaga CF", "Brighton & Hove Albion")
-    return spark.createDataFrame([(n,) for n in names], "name string").select("name", T.name_key(F.col("name")).alias("key"))
+    k = F.col("c_custkey")
+    named = A.table(spark, sf, "customer").select("c_custkey", F.concat(F.element_at(F.array(*(F.lit(n) for n in names)), (k % len(names) + 1).cast("int")), F.lit(" "), F.col("c_name")).alias("name"))
+    return named.select("c_custkey", "name", T.name_key(F.col("name")).alias("key"))
 
 
 @query
@@ -1249,3 +1261,14 @@ def top_yo_yo_sql(spark: SparkSession, sf: str) -> DataFrame:
     SF.register_functions(spark)
     SF.register_views({"standings": t, "club_trajectory": C.trajectory(t)})
     return spark.sql("SELECT club_id, yo_yo_score, total_promotions, total_relegations, season_label(CAST(first_season_in_db AS INT)) AS first_season FROM club_trajectory ORDER BY yo_yo_score DESC, club_id LIMIT 10")
+
+
+@query
+def career_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Careers after seasons that were published wrong were put right, computed again only for the clubs in them."""
+    store, t = _store(spark), judged(spark, sf)
+    wrong = (F.col("season_end_year") % 9 == 4) & (F.col("tier") == 2)
+    IN.publish_careers(store, t.withColumn("status", F.when(wrong, "Relegated").otherwise(F.col("status"))).where(~(wrong & (F.col("position") % 4 == 0))))
+    IN.refresh_careers(store, t.where(F.col("season_end_year") % 9 == 4))
+    c = store.read("careers")
+    return longs(c.select("club_id", "current_tier", "highest_tier", "n_seasons", "total_promotions", "total_relegations", "yo_yo_score", "current_tier_streak"))

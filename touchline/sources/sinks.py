@@ -58,3 +58,12 @@ FEW_ROWS = 50_000
 def few(df: DataFrame) -> DataFrame:
     """A narrow dimension, marked for broadcast if it has FEW_ROWS rows at most; beyond, Spark joins in another way."""
     return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+
+
+#: Bytes, by Spark's estimate of a scan, from which ranks are made in ranges.
+LARGE = 256 << 20
+
+
+def large(df: DataFrame) -> bool:
+    """Whether a scan is estimated to give LARGE bytes or more; no job is run for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= LARGE
