@@ -101,6 +101,25 @@ def test_sketches_never_exceed_the_difference():
                 assert bound > ngram_join.slack(np.array(n), np.array(n), 80)  # unrelated sets of one size go
 
 
+def test_texts_that_share_all_and_never_link_make_no_pairs(spark, monkeypatch):
+    """Random texts over seven words: every level with its own bounds. Rows go with nodes and their n-grams, not with pairs of nodes."""
+    rng, m, kinds = random.Random(5), 240, []
+    kept = ngram_join.stored
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "groups":
+            kinds.append({r.kind: r["count"] for r in out.groupBy("kind").count().collect()})
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    docs = [(i, " ".join(rng.choice("abcdefg") for _ in range(300))) for i in range(m)]
+    grams = max(len(g) for g in ngram_join.gram_sets([t for _, t in docs], 3))
+    got = ngram_join.link_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), 3, 90)
+    assert got.where("doc_id != component_id").isEmpty() and len(kinds) >= 3
+    assert all(k.get(ngram_join._PAIR, 0) <= 0.01 * m * m / 2 and sum(k.values()) <= 2 * m * grams for k in kinds), kinds
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_suffix_dedup_equals_brute_force(spark, small_groups, seed):
     docs = corpus(seed)
