@@ -24,7 +24,7 @@ RUN = r"[A-Za-z\x{C0}-\x{FF}]+"
 #: One in so many runs loses a code point.
 DELETE_ONE_IN = 97
 MIN_LENGTH, MIN_COUNT = 5, 3
-#: Words of one trie (a shard may have up to twice as many), tries that are broadcast at once (some 100 MB at most), words of one block of queries.
+#: Words of one trie, about, tries that are broadcast at once (some 100 MB at most), words of one block of queries.
 SHARD_WORDS, SHARDS_AT_ONCE, BLOCK_WORDS = 1 << 17, 8, 1 << 15
 
 
@@ -43,9 +43,9 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def sharded(words: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(shard, word, n): ranges of words of about equal size, each of at most 2 * shard_words."""
+    """(shard, word, n): ranges of words of about shard_words, made of several smaller ranges each, so that uneven ones matter little."""
     n = words.count()
-    parts = stored(words.repartitionByRange(max(1, -(-n // shard_words)), "word").withColumn("part", F.spark_partition_id()), "variants-parts")
+    parts = stored(words.repartitionByRange(max(1, -(-4 * n // shard_words)), "word").withColumn("part", F.spark_partition_id()), "variants-parts")
     sizes = parts.groupBy("part").count().orderBy("part").collect()  # a row a shard
     before = np.cumsum([0, *(r["count"] for r in sizes)])
     shard_of = [x for r, at in zip(sizes, before, strict=False) for x in (F.lit(r["part"]), F.lit(int(at) // shard_words))]
