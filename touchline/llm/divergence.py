@@ -25,8 +25,8 @@ from touchline.llm.util import UPPER, forget, stored
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS, TOP_TERMS, ONE = 10, 10, 1_000_000_000
-#: Bytes of text for one shard. Counts of its terms are far smaller.
-SHARD_BYTES = 16 << 20
+#: Bytes of text for one shard, whose counts of terms are far smaller, and shards of a small input.
+SHARD_BYTES, LEAST_SHARDS = 16 << 20, 64
 #: Bytes of text that are counted at once, and whose counts a task holds before it hands them on; rows of a batch.
 SLICE_BYTES, HELD_BYTES, MAX_ROWS = 2 << 20, 64 << 20, 1 << 16
 
@@ -131,13 +131,13 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
     without terms has its pairs; in a language without kept terms all pairs are 0. Equal values are
     ranked by item, byte by byte. Other columns are ignored; an empty table gives no rows.
 
-    Shards grow in number with the text, not in size, and are no fewer than shuffle partitions. One term of a shard has at most one row a
+    Shards grow in number with the text, not in size. One term of a shard has at most one row a
     source and batch, so a hot language or term does not meet in one task. Pairs of sources are rows
     of the result; within a shard they are made for the sources that share a term, and summed there.
     """
     read = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    n_shards = max(LEAST_SHARDS, -(-size // shard_bytes))
     counted = stored(read.mapInArrow(_count_batches(n_shards), "shard int, lang string, source string, term string, n long, docs long"), "divergence-counts")
     kept = stored(counted.groupBy("shard").applyInArrow(_add_counts(min_docs), "shard int, lang string, source string, term string, n long, new long"), "divergence-kept")
     forget(counted)
