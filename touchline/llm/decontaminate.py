@@ -38,6 +38,8 @@ SHINGLE, OVERLAP = 5, 0.8
 #: Items in an index; more items are taken in several passes over the documents. Items in a block of postings.
 MAX_ITEMS, BLOCK_ITEMS = 20_000, 16
 K1, B = 1.2, 0.75
+#: More than rounding can change a sum of impacts, which are parts of one.
+MARGIN = 1e-9
 _WORD = re.compile(r"\w+")
 HITS = "doc_id long, text_hash long, item_id long, score double, first_word long, question_overlap double, answer_overlap double"
 
@@ -102,36 +104,47 @@ class Postings:
     def score(self, i: int, window: set[str]) -> float:
         return math.fsum(self.impact[t].get(i, 0.0) for t in window if t in self.impact)
 
-    def retrieve(self, window: set[str], hits: set[str]) -> list[tuple[int, float]]:
-        """All texts that score the threshold or more, by block-max WAND; hits: those words of the window that have essential postings."""
-        if math.fsum(self.most[t] for t in hits) < self.least:
+    def retrieve(self, window: set[str], hits: list[str]) -> list[tuple[int, float]]:
+        """All texts that score the threshold or more, by block-max WAND; hits: those words of the window that have essential postings.
+
+        Bounds are compared with plain sums and a margin, so that rounding skips nothing; scores are exact sums.
+        """
+        most, least, blocks, impact = self.most, self.least - MARGIN, self.blocks, self.impact
+        if sum(map(most.__getitem__, hits)) < least:
             return []
         cursors = sorted((self.essential[t][0], t, 0) for t in hits)
         found = []
         while cursors:
             total, n, pivot = 0.0, 0, -1
             for i, t, _ in cursors:
-                if total >= self.least and i > pivot:
+                if total >= least and i > pivot:
                     break
-                total += self.most[t]
+                total += most[t]
                 n, pivot = n + 1, i
-            if total < self.least:
+            if total < least:
                 break
-            block, ahead = pivot // BLOCK_ITEMS, cursors[n:]
-            at_pivot = cursors[0][0] == pivot
-            if math.fsum(self.blocks[t].get(block, 0.0) for _, t, _ in cursors[:n]) < self.block_bound[block]:
+            block, ahead, these = pivot // BLOCK_ITEMS, cursors[n:], cursors[:n]
+            in_block = 0.0
+            for _, t, _ in these:
+                in_block += blocks[t].get(block, 0.0)
+            if in_block < self.block_bound[block] - MARGIN:
                 to = min((block + 1) * BLOCK_ITEMS, ahead[0][0] if ahead else math.inf)
-            elif at_pivot:
-                if math.fsum(self.impact[t][pivot] for _, t, _ in cursors[:n]) >= self.bound[pivot] and (score := self.score(pivot, window)) >= self.threshold:
+            elif cursors[0][0] == pivot:
+                at_pivot = 0.0
+                for _, t, _ in these:
+                    at_pivot += impact[t][pivot]
+                if at_pivot >= self.bound[pivot] - MARGIN and (score := self.score(pivot, window)) >= self.threshold:
                     found.append((pivot, score))
                 to = pivot + 1
             else:
                 to = pivot
-            for i, t, k in cursors[:n]:
-                k = k if i >= to else bisect_left(self.essential[t], to, k)
-                if k < len(self.essential[t]):
-                    ahead.append((self.essential[t][k], t, k))
-            cursors = sorted(ahead)
+            for i, t, k in these:
+                own = self.essential[t]
+                k = k if i >= to else bisect_left(own, to, k)
+                if k < len(own):
+                    ahead.append((own[k], t, k))
+            ahead.sort()
+            cursors = ahead
         return found
 
 
@@ -153,7 +166,8 @@ class Index(Postings):
                     self.asks.append(len(self.ids))
                     asked.append(Counter(q))
                 self.ids.append(item_id)
-                self.parts.append((shingles(w), shingles(q), set(a), len(q) >= SHINGLE))
+                whole, question = shingles(w), shingles(q)
+                self.parts.append((whole, question, set(a), len(q) >= SHINGLE, {len(x) for s in (whole, question) for x in s}))
                 tfs.append(Counter(w))
         if stats is None:
             sizes = [sum(t.values()) for t in tfs]
@@ -161,33 +175,27 @@ class Index(Postings):
         self.stride = stats.longest
         super().__init__(tfs, stats, threshold, essential)
         self.questions = Postings(asked, stats, threshold, essential)
+        self.words = frozenset(self.essential) | frozenset(self.questions.essential)
 
     def candidates(self, window: set[str], hits: set[str]) -> list[int]:
         """Items that are retrieved whole or by their question."""
-        whole = self.retrieve(window, {t for t in hits if t in self.essential})
-        return sorted({i for i, _ in whole} | {self.asks[j] for j, _ in self.questions.retrieve(window, {t for t in hits if t in self.questions.essential})})
+        whole = self.retrieve(window, [t for t in hits if t in self.essential])
+        return sorted({i for i, _ in whole} | {self.asks[j] for j, _ in self.questions.retrieve(window, [t for t in hits if t in self.questions.essential])})
 
     def matches(self, text: str) -> list[tuple[int, float, int, float, float]]:
         """(item_id, score, first word of the passage, question overlap, answer overlap) of all verified items, the best passage of each."""
-        w = words_of(text)
-        essential, asked = self.essential, self.questions.essential
-        places = [i for i, x in enumerate(w) if x in essential or x in asked]
-        if not places:
-            return []
-        seen: dict[int, set[str]] = defaultdict(set)
-        for i in places:
-            k = i // self.stride
-            seen[k].add(w[i])
-            if k:
-                seen[k - 1].add(w[i])
+        w, words, stride = words_of(text), self.words, self.stride
+        blocks = [{x for x in w[i : i + stride] if x in words} for i in range(0, len(w), stride)]
+        seen = {k: own | after for k, (own, after) in enumerate(zip(blocks, [*blocks[1:], set()], strict=True)) if own or after} if blocks else {}
         best: dict[int, tuple] = {}
         for k, hits in seen.items():
             first = k * self.stride
             passage = w[first : first + 2 * self.stride]
-            window = set(passage)
+            window, made = set(passage), {}
             for i in self.candidates(window, hits):
-                whole, question, answer, alone = self.parts[i]
-                own = set().union(*(shingles(passage, n) for n in {len(x) for s in (whole, question) for x in s}))
+                whole, question, answer, alone, sizes = self.parts[i]
+                made |= {n: shingles(passage, n) for n in sizes if n not in made}  # once a window
+                own = set().union(*(made[n] for n in sizes)) if len(sizes) > 1 else made[min(sizes)]
                 covered = len(whole & own) / len(whole)
                 q = len(question & own) / len(question) if question else 1.0
                 a = len(answer & window) / len(answer) if answer else 1.0
