@@ -24,6 +24,14 @@ def test_kinds(spark):
     assert level(spark, [1] * 5).label == "Insufficient record"
 
 
+def test_no_tier_beside_the_outermost_counts(spark):
+    """There is no tier above the first, nor one below outside: seasons outside are no neighbours of these."""
+    n = level(spark, [1] * 5 + [None] * 4 + [5, 1])
+    assert (n.natural_tier, n.n6, n.second_tier, n.kind, n.label) == (1, 4, None, "broad", "Premier League club (whole-pyramid range)")
+    out = level(spark, [1] + [None] * 8 + [2, 3, 4, 4, 2])
+    assert (out.natural_tier, out.n6, out.second_tier, out.kind) == (6, 8, None, "broad")
+
+
 def test_gap_filled_window(spark):
     tiers = [5] * 6 + [None] * 3 + [5] * 2 + [None] * 4 + [5] * 6
     n = level(spark, tiers, 2006)

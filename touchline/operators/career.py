@@ -71,7 +71,7 @@ def natural_level(table: DataFrame) -> DataFrame:
         F.max((F.col("tier") == OUTSIDE) & (F.col("season_end_year") < 2006)).alias("early_gap"),
         *(c.alias(n) for n, c in counts.items()),
     )
-    n_of = lambda t: F.coalesce(F.element_at(F.array(*counts), F.when(t.between(1, 6), t)), F.lit(0))
+    n_of = lambda t: F.coalesce(*(F.when(t == i, F.col(f"n{i}")) for i in range(1, 7)), F.lit(0))  # noqa: E731  # element_at takes a null index for -1 where counts cannot be null
     enough = (F.col("seasons") >= MIN_WINDOW) & (F.col("recorded") >= MIN_RECORDED)
     own = n_of(F.col("median"))
     below, above = n_of(F.col("median") - 1), n_of(F.col("median") + 1)
