@@ -23,15 +23,16 @@ def head_to_head(matches: DataFrame) -> DataFrame:
 def recent_form(matches: DataFrame, ties: list[str], n: int = 5, salts: int = 32) -> DataFrame:
     """The last n dated results of each club's latest season, newest first, as a string such as WWDLW.
 
-    The latest season comes from a grouped maximum; of its matches the last n are taken in `salts`
-    parts of a club first, so that a club with very many matches is never ranked in one task.
+    Matches are read once: the last n by season and date are taken in `salts` parts of a club first,
+    so that a club with very many matches is never ranked in one task, and Spark cuts each part
+    before it is shuffled. Of these, the last n of the latest season are left.
     """
-    own = perspectives(matches.where("match_date is not null"), "season_end_year", "match_date", *ties)
-    latest = own.groupBy("club_id").agg(F.max("season_end_year").alias("season_end_year"))
-    last = own.join(latest, ["club_id", "season_end_year"]).withColumn("_salt", F.pmod(F.xxhash64(*ties), F.lit(salts)))
-    newest = [F.desc("match_date"), *(F.desc(t) for t in ties)]
+    own = perspectives(matches.where("match_date is not null and season_end_year is not null"), "season_end_year", "match_date", *ties).where("club_id is not null")
+    last = own.withColumn("_salt", F.pmod(F.xxhash64(*ties), F.lit(salts)))
+    newest = [F.desc("season_end_year"), F.desc("match_date"), *(F.desc(t) for t in ties)]
     part = last.withColumn("_n", F.row_number().over(Window.partitionBy("club_id", "_salt").orderBy(*newest))).where(F.col("_n") <= n)
-    top = part.withColumn("_n", F.row_number().over(Window.partitionBy("club_id").orderBy(*newest))).where(F.col("_n") <= n)  # n rows of each salt
+    club = Window.partitionBy("club_id")  # n rows of each salt
+    top = part.withColumns({"_n": F.row_number().over(club.orderBy(*newest)), "_latest": F.max("season_end_year").over(club)}).where(F.col("_n") <= n).where("season_end_year = _latest").drop("_latest")
     g = top.groupBy("club_id").agg(F.first("season_end_year").alias("season_end_year"), F.array_sort(F.collect_list(F.struct("_n", "result"))).alias("r"))
     return g.select("club_id", "season_end_year", F.concat_ws("", F.col("r.result")).alias("form"))
 

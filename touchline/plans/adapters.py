@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.ranking import tiles
-from touchline.sources.sinks import large
+from touchline.sources.sinks import FEW_NUMBERS, few, large
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,17 +55,19 @@ def relative_rules(seasons: DataFrame) -> DataFrame:
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items between a customer's and a supplier's nation of one region, as matches."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    goals = {"fthg": F.col("l_quantity").cast("int") % 5, "ftag": ((F.col("l_linenumber") + F.col("l_partkey")) % 4).cast("int"), "shipped": F.to_date("l_shipdate")}
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(c.alias(n) for n, c in goals.items()))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("season_end_year"), F.to_date("o_orderdate").alias("match_date"))
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    home = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_nationkey").alias("home_id"), F.col("n_regionkey").alias("home_region"))
-    away = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("away_id"), F.col("n_regionkey").alias("away_region"))
-    joined = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(home, F.col("o_custkey") == F.col("c_custkey")).join(away, F.col("l_suppkey") == F.col("s_suppkey"))
-    goals = joined.where("home_id != away_id and home_region = away_region").withColumns({"fthg": F.col("l_quantity").cast("int") % 5, "ftag": ((F.col("l_linenumber") + F.col("l_partkey")) % 4).cast("int")})
-    return goals.select(
-        F.year("o_orderdate").alias("season_end_year"),
+    home = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("c_nationkey").alias("home_id"), F.col("n_regionkey").alias("home_region"))  # nations are 25 rows
+    away = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("away_id"), F.col("n_regionkey").alias("away_region"))
+    hosted = orders.join(home, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")  # orders meet customers before line items, which are shuffled once
+    visits = li.join(few(away, FEW_NUMBERS), F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = visits.join(hosted, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("home_region") == F.col("away_region")) & (F.col("home_id") != F.col("away_id")))
+    return joined.select(
+        "season_end_year",
         (F.col("home_region") + 1).alias("tier"),
-        F.to_date("o_orderdate").alias("match_date"),
+        "match_date",
         "home_id",
         "away_id",
         "fthg",
@@ -75,7 +77,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber",
         "l_partkey",
         "l_suppkey",
-        F.to_date("l_shipdate").alias("shipped"),
+        "shipped",
     )
 
 

@@ -51,13 +51,13 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a dimension of clubs that are broadcast at most.
-FEW_ROWS = 50_000
+#: Rows of a dimension of clubs that are broadcast at most; and of one of a few numbers (some 50 MB).
+FEW_ROWS, FEW_NUMBERS = 50_000, 1_000_000
 
 
-def few(df: DataFrame) -> DataFrame:
-    """A narrow dimension, marked for broadcast if it has FEW_ROWS rows at most; beyond, Spark joins in another way."""
-    return F.broadcast(df) if df.limit(FEW_ROWS + 1).count() <= FEW_ROWS else df
+def few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """A narrow dimension, marked for broadcast if it has `most` rows at most; beyond, Spark joins in another way."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 #: Bytes, by Spark's estimate of a scan, from which ranks are made in ranges.
