@@ -36,24 +36,30 @@ def facts_of(front_matter: Column) -> Column:
                 facts["themes"] = [facts["themes"]]
             return json.dumps(facts, default=str)
 
-        return fronts.map(read)
+        texts = {t: read(t) for t in set(fronts)}  # equal texts of a batch once
+        return fronts.map(lambda t: texts[t])
 
     return F.from_json(F.pandas_udf(to_json, StringType())(front_matter), FACTS)
 
 
+def read_facts(stories: DataFrame) -> DataFrame:
+    """stories with facts and themes of their front_matter, each read once. Rows are dealt to all tasks before, as YAML takes long and a scan may be one task."""
+    tasks = int(stories.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stories.repartition(tasks, "club_id", F.xxhash64("front_matter"))
+    return dealt.withColumn("facts", facts_of(F.col("front_matter"))).withColumn("themes", theme_list())
+
+
 def with_facts(stories: DataFrame) -> DataFrame:
     """stories of `read_stories` with facts, themes and has_prose: what a club's file says."""
-    read = stories.withColumn("facts", facts_of(F.col("front_matter")))
-    on = themes(read.select("club_id", "facts"))
-    return read.join(on, "club_id").withColumn("has_prose", (F.size("sections") > 0) | (F.col("extra") != ""))
+    return read_facts(stories).withColumn("has_prose", (F.size("sections") > 0) | (F.col("extra") != ""))
 
 
 def _some(c: Column) -> Column:
     return F.coalesce(F.size(c), F.lit(0)) > 0
 
 
-def themes(facts: DataFrame) -> DataFrame:
-    """club_id and its themes: from facts and from the manual list, sorted, each once."""
+def theme_list() -> Column:
+    """The themes of the column facts: from facts and from the manual list, sorted, each once."""
     f = lambda n: F.col(f"facts.{n}")
     derived = F.array_compact(
         F.array(
@@ -66,7 +72,12 @@ def themes(facts: DataFrame) -> DataFrame:
         )
     )
     manual = F.filter(F.transform(F.coalesce(f("themes"), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
-    return facts.select("club_id", F.array_sort(F.array_distinct(F.concat(derived, manual))).alias("themes"))
+    return F.array_sort(F.array_distinct(F.concat(derived, manual)))
+
+
+def themes(facts: DataFrame) -> DataFrame:
+    """club_id and its themes."""
+    return facts.select("club_id", theme_list().alias("themes"))
 
 
 # Labels and texts of events are fixed values, as pages must show them.
