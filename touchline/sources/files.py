@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline.functions.text import blank_to_null, json_strings, match_date, name_key, season_of_code, tolerant_int
 from touchline.operators.standings import first_of_each, own_division, valid_results
 from touchline.plans.rules import CODES, SECTION_ALIASES, SECTIONS
-from touchline.sources.sinks import few
+from touchline.sources.sinks import few, kept_table
 
 #: A comma outside quotes, byte-order marks as UTF-8 and as mis-read UTF-8 (fixed values), old column names.
 COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -48,14 +48,18 @@ def read_ragged_csv(spark: SparkSession, path: str | list[str], glob: str = "*.c
     """
     lines = _lines(spark, path, glob)
     utf8 = F.is_valid_utf8("value")
-    heads = few(lines.groupBy("path").agg(F.min_by("value", "place").alias("head"), F.min("place").alias("first"), F.bool_and(utf8).alias("utf8")))
+    heads = lines.groupBy("path").agg(F.min_by("value", "place").alias("head"), F.min("place").alias("first"), F.bool_and(utf8).alias("utf8"))
     text = lambda c: F.regexp_replace(F.when(F.col("utf8"), F.col(c)).otherwise(F.decode(F.col(c).cast("binary"), "ISO-8859-1")), "\r$", "")
     cells = lambda x: F.transform(F.split(x, COMMA, -1), lambda c: blank_to_null(F.regexp_replace(c, '^"|"$', "")))
     name = lambda h: F.coalesce(F.regexp_replace(h, MARKS, ""), F.lit(""))
-    rows = lines.join(heads, "path").where("place > first").select(file_of(F.col("path")).alias("file"), "path", "place", F.transform(cells(F.regexp_replace(text("head"), MARKS, "")), name).alias("head"), cells(text("value")).alias("c"))
-    pairs = F.filter(F.transform("head", lambda h, i: F.struct(h.alias("k"), F.get("c", i).alias("v"))), lambda p: p["k"] != "")
-    first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, 1, i), lambda q: q["k"] == p["k"]))
-    return rows.where(F.exists("c", lambda x: x.isNotNull())).select("file", "path", "place", F.map_from_entries(first).alias("cells"))
+    named = F.transform(cells(F.regexp_replace(text("head"), MARKS, "")), name)
+    known = heads.select("path", "first", "utf8", F.posexplode(named).alias("at", "k")).groupBy("path", "first", "utf8", "k").agg(F.min("at").alias("at"))  # of columns of one name the first
+    columns = F.array_sort(F.collect_list(F.when(F.col("k") != "", F.struct("at", "k"))))
+    files = few(kept_table(known.groupBy("path", "first", "utf8").agg(columns.alias("columns")), "heads"))
+    row = lambda c: F.struct(F.exists(c, lambda x: x.isNotNull()).alias("filled"), F.map_from_entries(F.transform("columns", lambda p: F.struct(p["k"], F.get(c, p["at"])))).alias("cells"))
+    split = F.transform(F.array(cells(text("value"))), row)[0]  # a line is split once, whatever is made of its cells
+    rows = lines.join(files, "path").where("place > first").select("path", "place", F.explode(F.array(split)).alias("r"))  # a generator is not repeated by what filters its rows
+    return rows.where("r.filled").select(file_of(F.col("path")).alias("file"), "path", "place", F.col("r.cells").alias("cells"))
 
 
 #: Names of match files, as 9394_E0.csv: season and tier (fixed value).
@@ -81,7 +85,7 @@ def read_matches(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.trim(cell("FTR")).alias("ftr"),
     )
     expected = F.element_at(F.create_map(*(F.lit(x) for t, c in sorted((t, c) for c, t in CODES.items()) for x in (t, c))), F.col("tier"))
-    known = valid_results(own_division(parsed, expected)).where("home_name is not null and away_name is not null")
+    known = valid_results(own_division(kept_table(parsed, "parsed"), expected)).where("home_name is not null and away_name is not null")
     return first_of_each(known, ["file", "home_name", "away_name", "match_date"], ["place"])
 
 
