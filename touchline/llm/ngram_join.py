@@ -50,6 +50,8 @@ BUCKET_BYTES = 16 << 20
 RANGE_BITS = 18
 _LEAST = -(1 << 63)
 _BLOCK = 1 << 19
+#: N-grams that are dealt to buckets at once, about.
+_DEALT = 1 << 18
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
@@ -336,12 +338,15 @@ def _dealer(buckets: int, most: float):
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            grams = [np.frombuffer(k, np.uint64) for k in b["keys"]]
-            size = np.array([len(g) for g in grams], np.int64)
-            if size.sum():
+            upto = np.cumsum(b["keys"].str.len().to_numpy(np.int64) // 8)
+            for _, own in b.groupby(upto // _DEALT):  # a batch has some 60 bytes a row and n-gram, several times over
+                grams = [np.frombuffer(k, np.uint64) for k in own["keys"]]
+                size = np.array([len(g) for g in grams], np.int64)
+                if not size.sum():
+                    continue
                 place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                cells = np.frombuffer(b"".join(b["cells"]), "<u8").reshape(-1, 2)
-                columns = [np.concatenate(grams), *(np.repeat(b[c].to_numpy(np.int64), size) for c in ("node", "n", "d")), place, np.repeat(b["part"].to_numpy(np.int64), size), *(np.repeat(cells[:, i], size) for i in (0, 1))]
+                cells = np.frombuffer(b"".join(own["cells"]), "<u8").reshape(-1, 2)
+                columns = [np.concatenate(grams), *(np.repeat(own[c].to_numpy(np.int64), size) for c in ("node", "n", "d")), place, np.repeat(own["part"].to_numpy(np.int64), size), *(np.repeat(cells[:, i], size) for i in (0, 1))]
                 yield pd.DataFrame(_deal([c.astype(k) for c, k in zip(columns, _KINDS, strict=True)], buckets, most), columns=["bucket", "kind", "payload"])
 
     return of
