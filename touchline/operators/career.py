@@ -11,7 +11,7 @@ MIN_WINDOW, MIN_RECORDED, RECENT, PRIOR, MIN_PRIOR = 8, 4, 5, 10, 3
 
 
 def rollup(table: DataFrame) -> DataFrame:
-    """One row per club: tiers, seasons, moves and the yo-yo score (half to even)."""
+    """One row per club: tiers, seasons, moves and the yo-yo score (half to even). Seasons are counted in sets, as several distinct counts would multiply the rows."""
     up = F.count(F.when(F.col("status").isin(*PROMOTED) & (F.col("tier") > 1), 1))
     down = F.count(F.when(F.col("status").isin(*RELEGATED), 1))
     top = F.when(F.col("tier") == 1, F.col("season_end_year"))
@@ -20,11 +20,11 @@ def rollup(table: DataFrame) -> DataFrame:
         F.min_by("tier", "season_end_year").alias("first_tier"),
         F.min("tier").alias("highest_tier"),
         F.max("tier").alias("lowest_tier"),
-        F.countDistinct(top).alias("seasons_in_tier1"),
+        F.size(F.collect_set(top)).cast("long").alias("seasons_in_tier1"),
         F.max(top).alias("last_tier1_season"),
         F.min("season_end_year").alias("first_season_in_db"),
         F.max("season_end_year").alias("last_season_in_db"),
-        F.countDistinct("season_end_year").alias("n_seasons"),
+        F.size(F.collect_set("season_end_year")).cast("long").alias("n_seasons"),
         F.count("*").alias("n_rows"),
         up.alias("total_promotions"),
         down.alias("total_relegations"),
@@ -42,9 +42,12 @@ def streak(table: DataFrame) -> DataFrame:
 
 
 def gap_filled(table: DataFrame) -> DataFrame:
-    """Every season from a club's first to its last: its tier, or OUTSIDE."""
-    span = table.groupBy("club_id").agg(F.explode(F.sequence(F.min("season_end_year"), F.max("season_end_year"))).alias("season_end_year"))
-    return span.join(table.select("club_id", "season_end_year", "tier").distinct(), ["club_id", "season_end_year"], "left").withColumn("tier", F.coalesce("tier", F.lit(OUTSIDE)))
+    """Every season from a club's first to its last: its tier, or OUTSIDE. A row fills the seasons up to the club's next one, so nothing is joined."""
+    one = table.where("season_end_year is not null").select("club_id", "season_end_year", F.when(F.col("club_id").isNotNull(), F.col("tier")).alias("tier")).distinct()
+    season, then = F.col("season_end_year"), F.lead("season_end_year").over(Window.partitionBy("club_id").orderBy("season_end_year"))
+    until = one.withColumns({"_own": season, "_until": F.greatest(season, then - 1)})  # the last season, and the same season in another tier, fill themselves only
+    filled = until.withColumn("season_end_year", F.explode(F.sequence(season, F.col("_until"))))
+    return filled.select("club_id", "season_end_year", F.coalesce(F.when(season == F.col("_own"), F.col("tier")), F.lit(OUTSIDE)).alias("tier"))
 
 
 def bucket_name(bucket: Column, vague: Column) -> Column:
@@ -131,7 +134,7 @@ def with_gap(careers: DataFrame, latest: Column) -> DataFrame:
 
 def trajectory(table: DataFrame, latest: int | None = None) -> DataFrame:
     """The career table: rollup, streak, natural level and gap of every club. latest: the latest season, if table has only some of the clubs."""
-    known = table.where(F.col("club_id").isNotNull())
+    known = table.where(F.col("club_id").isNotNull()).repartition("club_id")  # all that follows is by club, and stays where it is
     joined = rollup(known).join(streak(known), "club_id").join(natural_level(known).drop(*(f"n{t}" for t in range(1, 7))), "club_id")
     if latest is not None:
         return with_gap(joined, F.lit(latest))

@@ -49,7 +49,8 @@ def refresh_careers(store: Store, judged: DataFrame) -> DataFrame:
     judged has the whole rows of the divisions that it holds; divisions that are the same as stored
     count as unchanged. Clubs that are left without a season lose their career.
     """
-    spark, state = store.spark, store.manifest()["number"]
+    spark, begun = store.spark, store.manifest()
+    state = begun["number"]
     read = lambda name: store.read(name, state)
     old, rows = read("judged"), kept_table(judged, "judged-new")
     changed = few(kept_table(changed_divisions(old, rows), "changed"))
@@ -60,7 +61,7 @@ def refresh_careers(store: Store, judged: DataFrame) -> DataFrame:
     settled = kept_table(reconcile(history), "settled-new")
 
     seasons = changed.select("season_end_year").union(changed.select((F.col("season_end_year") - 1).alias("season_end_year"))).distinct()
-    reached = few(settled.join(few(seasons), "season_end_year", "left_semi").select(*SEASON).union(changed.select(*SEASON)).distinct())
+    reached = few(kept_table(settled.join(few(seasons), "season_end_year", "left_semi").select(*SEASON).union(changed.select(*SEASON)).distinct(), "reached"))
     stay = read("settled").join(reached, SEASON, "left_semi").join(clubs, "club_id", "left_anti")
     nameless = new.where("club_id is null")
     kept_out = stay.where("club_id is not null").unionByName(stay.where("club_id is null").join(changed, SEASON, "left_anti"))
@@ -76,7 +77,7 @@ def refresh_careers(store: Store, judged: DataFrame) -> DataFrame:
     counts = spark.createDataFrame([(what, df.count()) for what, df in done.items()], "what string, n long")
     if changed.isEmpty():
         return counts
-    gone = lambda name, by, df: [p for p in _paths(by, df) if p in store.manifest(state)["tables"][name]["parts"]]
+    gone = lambda name, by, df: [p for p in _paths(by, df) if p in begun["tables"][name]["parts"]]
     store.publish({"judged": new, "settled": division, "careers": careers}, {"careers": PART}, gone={"settled": gone("settled", SEASON, reached), "careers": gone("careers", PART, parts)}, on=state)
     return counts
 

@@ -43,14 +43,10 @@ def career(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def relative_rules(seasons: DataFrame) -> DataFrame:
-    """Rules by the size of a division: second goes up, third and fourth play off, the last two go down."""
-    n = F.col("n_clubs")
-    sized = seasons.select("season_end_year", "tier", "n_clubs").distinct()
-    none = F.lit(None).cast("int")
-    return sized.select(
-        "season_end_year", "tier", F.lit(2).alias("up_lo"), F.lit(2).alias("up_hi"), F.lit(3).alias("playoff_lo"), F.lit(4).alias("playoff_hi"), none.alias("po_down_lo"), none.alias("po_down_hi"), (n - 1).alias("down_lo"), n.alias("down_hi")
-    )
+def relative_ranges() -> dict[str, Column]:
+    """The ranges of a rule by the size of the division that a row tells in n_clubs: second goes up, third and fourth play off, the last two go down."""
+    n, none = F.col("n_clubs"), F.lit(None).cast("int")
+    return {"up_lo": F.lit(2), "up_hi": F.lit(2), "playoff_lo": F.lit(3), "playoff_hi": F.lit(4), "po_down_lo": none, "po_down_hi": none, "down_lo": n - 1, "down_hi": n}
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
