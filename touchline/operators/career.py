@@ -138,7 +138,7 @@ def trajectory(table: DataFrame, latest: int | None = None) -> DataFrame:
     joined = rollup(known).join(streak(known), "club_id").join(natural_level(known).drop(*(f"n{t}" for t in range(1, 7))), "club_id")
     if latest is not None:
         return with_gap(joined, F.lit(latest))
-    last = known.agg(F.max("season_end_year").alias("_latest"))
+    last = table.where(F.col("club_id").isNotNull()).agg(F.max("season_end_year").alias("_latest"))  # from rows as they lie
     return with_gap(joined.join(F.broadcast(last), F.lit(True)), F.col("_latest")).drop("_latest")  # one row
 
 
